@@ -41,8 +41,9 @@ def heavy_digests(narrow: DataFrame, tracked: int = TRACKED) -> DataFrame:
     part = narrow.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(text_sha256, {int(tracked)})").alias("sketch")
     )
-    top = part.groupBy().agg(F.count("*").alias("parts"), F.expr("approx_top_k_combine(sketch)").alias("sketch"))
-    top = top.where("parts > 0").select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {int(tracked)})")).alias("t"))
+    # grouped by a constant that is no literal: tasks without a sketch then have no buffer to merge
+    top = part.groupBy(F.col("part").isNull()).agg(F.expr("approx_top_k_combine(sketch)").alias("sketch"))
+    top = top.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {int(tracked)})")).alias("t"))
     return top.where("t.count > 1").select(F.col("t.item").alias("text_sha256"))
 
 
