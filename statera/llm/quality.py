@@ -2,7 +2,7 @@
 
 Features are word unigrams and bigrams as written, bigrams that repeat a word, and unigrams to trigrams of word shapes
 (runs of capitals, small letters, digits; other characters as they are), hashed into 2^18 slots; a text is its vector
-of square roots of counts scaled to about unit length (short texts less), plus a constant.  Training takes a bounded sample of labelled rows, about ``train_rows`` of them chosen by a
+of square roots of counts scaled to unit length, plus a small constant.  Training takes a bounded sample of labelled rows, about ``train_rows`` of them chosen by a
 hash of doc_id, so what one task trains on does not grow with the corpus; the model (one float per slot) is broadcast
 and every whole text is scored as a sparse dot product.
 
@@ -26,7 +26,7 @@ BITS = 18
 TRAIN_ROWS = 20_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
-SHRINK = 30.0  # n-grams' worth of length added to each text: short texts stay near the constant
+CONSTANT = 0.1  # small beside the unit vector, so that few words can still outweigh it
 _U = np.uint64
 
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -53,7 +53,7 @@ def _slots(words: np.ndarray, n: int, salt: int) -> np.ndarray:
 def features(column: pa.Array):
     """Slots (distinct) and values of each text; slot 2^BITS is the constant."""
     data, offsets = flat(column)
-    bias = np.array([1 << BITS]), np.ones(1)
+    bias = np.array([1 << BITS]), np.array([CONSTANT])
     for lo, hi in blocks(offsets):
         part = offsets[lo : hi + 1] - offsets[lo]
         block = data[offsets[lo] : offsets[hi]]
@@ -74,7 +74,7 @@ def features(column: pa.Array):
             slots.sort()
             first = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
             counts = np.sqrt(np.diff(np.append(first, len(slots))))
-            yield np.append(slots[first], 1 << BITS), np.append(counts / np.sqrt(np.dot(counts, counts) + SHRINK), 1.0)
+            yield np.append(slots[first], 1 << BITS), np.append(counts / np.sqrt(np.dot(counts, counts)), CONSTANT)
 
 
 def _train(table: pa.Table) -> pa.Table:

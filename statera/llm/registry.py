@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, parity_join, quality
+from . import exact_dedup, mixing, packing, parity_join, quality, telephony
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_length_buckets": packing.op3_length_buckets,
+    "op5_telephony": telephony.op5_telephony,
     "op6_parity_join": parity_join.op6_parity_join,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_quality": quality.op8_quality,
