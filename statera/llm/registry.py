@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, parity_join, quality, telephony
+from . import exact_dedup, mixing, packing, parity_join, quality, repair, telephony
 
 QUERIES = {
+    "op1_repair": repair.op1_repair,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_length_buckets": packing.op3_length_buckets,
     "op5_telephony": telephony.op5_telephony,
