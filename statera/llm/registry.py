@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, parity_join, quality, repair, telephony
+from . import chunks, exact_dedup, mixing, packing, parity_join, quality, repair, telephony
 
 QUERIES = {
     "op1_repair": repair.op1_repair,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_parity_join": parity_join.op6_parity_join,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_quality": quality.op8_quality,
+    "op9_gear_chunks": chunks.op9_gear_chunks,
 }
 
 ORACLES = {
