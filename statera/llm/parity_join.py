@@ -9,15 +9,16 @@ can differ, so one slice it emits is equal in the other, which then emits it too
 unrelated texts share by chance, are thus hardly ever emitted.  Bands span a factor of 2.5; texts within a factor of
 1.25 of a band's edge also take part in a band of their own around that edge, so every pair meets in one band.
 
-Slice digests travel as packed arrays per bucket.  Texts that share a slice are linked to the smallest of them as
-candidates (a star, not all pairs) and verified exactly on their shingle sets.  Slices whose texts are then not all in
-one component are taken up again in blocks: sketches are compared by Hamming distance, and pairs in different
-components within D are verified too.  So components are those of all links, and copies of one text, which are
-collapsed by digest beforehand, never meet in pairs.
+Slice digests travel as packed arrays per bucket, each text's own sketch once.  Texts that share a slice are paired
+with the smallest of them as candidates (a star, not all pairs); candidates whose sketches are within D are verified
+exactly on their shingle sets.  Slices whose texts are then not all in one component are taken up again, large ones in
+blocks: only members of different components whose sketches are within D become candidates and are verified too.  So
+components are those of all links.  Copies of one text are linked to the smallest of them by digest; each task that
+reads texts emits a text once, however many copies it holds.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing, not even each other; fewer than
 five words form one shingle; rows that share a ``doc_id`` are one node of the graph (a null ``doc_id`` too, its
-component_id is null unless a smaller id is reachable; it counts as smallest otherwise); an empty table gives an empty
+component_id is null as it counts as the smallest id); an empty table gives an empty
 result; other columns are ignored by :func:`classes` and carried by :func:`keep_one`.
 """
 
@@ -77,8 +78,9 @@ def slices(scheme: int) -> int:
     return max(largest + 1, wanted + 2)
 
 
-def sketch_bits(scheme: int) -> int:
-    return 1 << max(6, int(2 * BANDS[scheme // 2][1] * (1 + scheme % 2) - 1).bit_length())
+def sketch_bits(size: int) -> int:
+    """At least twice the size, a power of two: a longer sketch can be folded to a shorter one."""
+    return 1 << max(6, (2 * size - 1).bit_length())
 
 
 def emitted(shingles: np.ndarray, scheme: int, m: int, needed: int) -> np.ndarray:
@@ -104,36 +106,47 @@ def parity_sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("keys", "ids", "who", "sizes", "sketches")]])
+_PACKED_DDL = "bucket int, keys binary, ids binary, who binary, sizes binary, sketches binary"
 
 
 def _emit(n_buckets: int, width: int):
     def run(batches):
-        keys, ids, sizes = [], [], []
+        keys, ids, who, sizes, sketches = [], [], [], [], []
 
         def flush():
-            k = np.concatenate([x for x, _ in keys]) if keys else np.zeros(0, np.uint64)
-            i = np.repeat(np.array([y for _, y in keys], np.int64), [len(x) for x, _ in keys])
+            k = np.concatenate([np.zeros(0, np.uint64), *keys])
+            i = np.repeat(np.array(ids, np.int64), [len(x) for x in keys])
             bucket = (((k >> _U(32)) * _U(n_buckets)) >> _U(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             k, i, cuts = k[order], i[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            who, size = np.array(ids, np.int64), np.array(sizes, np.int64)
-            home = np.arange(len(who)) % n_buckets
-            rows = [(b, k[cuts[b] : cuts[b + 1]].tobytes(), i[cuts[b] : cuts[b + 1]].tobytes(), np.stack([who[home == b], size[home == b]]).T.tobytes()) for b in range(n_buckets) if cuts[b] < cuts[b + 1] or b < len(who)]
-            keys.clear(), ids.clear(), sizes.clear()
+            rows = []
+            for b in range(n_buckets):
+                own = slice(b, None, n_buckets)  # a text's size and sketch go to any one bucket
+                if cuts[b] < cuts[b + 1] or who[own]:
+                    part = slice(cuts[b], cuts[b + 1])
+                    rows.append((b, k[part].tobytes(), i[part].tobytes(), np.array(who[own], np.int64).tobytes(), np.array(sizes[own], np.int64).tobytes(), b"".join(sketches[own])))
+            for held in (keys, ids, who, sizes, sketches):
+                held.clear()
             for lo in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[lo : lo + 64]), _PACKED)], schema=_PACKED)
 
-        held = 0
+        held, seen = 0, set()
         for batch in batches:
+            new = []
+            for x in batch.column(2).to_pylist():
+                new.append(x not in seen)
+                seen.add(x)
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
-                ids.append(doc)
-                sizes.append(len(shingles))
-                if len(shingles):
-                    for scheme, m, needed in schemes(len(shingles)):
-                        found = emitted(shingles, scheme, m, needed)
-                        keys.append((found, doc))
-                        held += 8 * len(found)
+                size = len(shingles)
+                who.append(doc)
+                sizes.append(size)
+                sketches.append(parity_sketch(shingles, sketch_bits(size)).tobytes())
+                for scheme, m, needed in schemes(size):
+                    keys.append(emitted(shingles, scheme, m, needed))
+                    ids.append(doc)
+                    held += 16 * needed
                 if held > FLUSH_BYTES:
                     yield from flush()
                     held = 0
@@ -142,20 +155,24 @@ def _emit(n_buckets: int, width: int):
     return run
 
 
-_MET = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
+_MET = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.binary())])
+_MET_DDL = "kind byte, a long, b long, sketch binary"
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """Kind 0: (doc, set size). 1: candidate (smallest doc of a slice, other doc). 2: (group, doc) of groups of three or more."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()])
-    sizes = np.concatenate([np.frombuffer(x, np.int64) for x in table["sizes"].to_pylist()]).reshape(-1, 2)
+    """Kind 0: (doc, set size, sketch). 1: candidate (smallest doc of a slice, other doc). 2: (group, doc) of slices with three docs or more."""
+    joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table[c].to_pylist())])
+    keys, ids, who, sizes = joined("keys", np.uint64), joined("ids", np.int64), joined("who", np.int64), joined("sizes", np.int64)
+    ends = np.cumsum([sketch_bits(n) // 8 for n in sizes.tolist()], dtype=np.int64)
+    raw = b"".join(table["sketches"].to_pylist())
+    sketches = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
     order = np.argsort(keys, kind="stable")
     keys, ids = keys[order], ids[order]
     run = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     length = np.diff(np.append(run, len(keys)))
     many = np.repeat(length > 1, length)
     keys, ids = keys[many], ids[many]
+    stars = groups = np.zeros((0, 2), np.int64)
     if len(keys):
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
@@ -166,71 +183,83 @@ def _met(table: pa.Table) -> pa.Table:
         lead = np.repeat(ids[first], length)
         stars = np.unique(np.stack([lead, ids], 1)[lead != ids], axis=0)
         group = np.add.reduceat(mix(ids.view(np.uint64)), first)  # the same members have the same sum
-        _, one = np.unique(group, return_index=True)
         keep = np.zeros(len(first), bool)
-        keep[one] = True
-        keep &= length > 2
-        wide = np.repeat(keep, length)
+        keep[np.unique(group, return_index=True)[1]] = True
+        wide = np.repeat(keep & (length > 2), length)
         groups = np.stack([np.repeat(group.view(np.int64), length)[wide], ids[wide]], 1)
-    else:
-        stars = groups = np.zeros((0, 2), np.int64)
-    rows = np.concatenate([sizes, stars, groups])
-    kind = np.repeat(np.array([0, 1, 2], np.int8), [len(sizes), len(stars), len(groups)])
-    return pa.table([kind, np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1])], schema=_MET)
+    rows = np.concatenate([np.stack([who, sizes], 1), stars, groups])
+    kind = np.repeat(np.array([0, 1, 2], np.int8), [len(who), len(stars), len(groups)])
+    sketches = pa.array(sketches + [None] * (len(rows) - len(who)), pa.binary())
+    return pa.table([kind, np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1]), sketches], schema=_MET)
 
 
-def _verify(width: int, percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of one sketch to sketches of one length; the longer kind is folded to the shorter first."""
+    while len(x) < y.shape[1]:
+        y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+    while len(x) > y.shape[1]:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
 
-    return run
+
+def _may_link(a, b, distance, percent: int):
+    """Sizes a and b and a lower bound of the symmetric difference do not rule a link out."""
+    return (distance * (100 + percent) <= (a + b) * (100 - percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts link; texts (id, text)."""
-    x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(c + "_text")) for c in "ab")
-    full = pairs.join(x, "a").join(y, "b").select("a", "b", "a_text", "b_text")
-    return full.mapInArrow(_verify(width, percent), "a long, b long")
+def _close(percent: int):
+    def run(batches):
+        """Pairs (a, b, size and sketch of each) that may link."""
+        for batch in batches:
+            a, b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            distance = np.array([_distances(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)[None])[0] for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            keep = pa.array(_may_link(a, b, distance, percent), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
+    return run
 
-def _sketches(width: int):
-    out = pa.schema([("id", pa.int64()), ("scheme", pa.int32()), ("size", pa.int64()), ("sketch", pa.binary())])
 
+def _verify(width: int, percent: int):
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
-                for scheme, _, _ in schemes(len(shingles)) if len(shingles) else ():
-                    rows.append((doc, scheme, len(shingles), parity_sketch(shingles, sketch_bits(scheme)).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), out)], schema=out)
+            keep = []
+            for x, y in zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _near(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of one block pair, in different components, whose sketches are within the distance that a link allows."""
-        t = table.to_pandas()
-        x, y = t[t.side == 0], t[t.side == 1]
-        if t.i.iloc[0] == t.j.iloc[0]:
-            y = x
-        found_a, found_b = [], []
-        if len(x) and len(y):
-            grid = np.stack([np.frombuffer(s, np.uint64) for s in y.sketch])
-            size, label, ids = y["size"].to_numpy(), y.label.to_numpy(), y.id.to_numpy()
-            for a, la, sa, ska in zip(x.id, x.label, x["size"], x.sketch):
-                near = np.bitwise_count(grid ^ np.frombuffer(ska, np.uint64)).sum(1, dtype=np.int64) <= (sa + size) * (100 - percent) // (100 + percent)
-                near &= (label != la) & (ids != a) & (100 * np.minimum(size, sa) >= percent * np.maximum(size, sa))
-                found_a += [a] * int(near.sum())
-                found_b += ids[near].tolist()
-        a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        """Pairs of the block pairs of one bucket that are in different components and may link."""
+        t = table.combine_chunks().sort_by([("grp", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        grp, i, j, side = (t[c].to_numpy() for c in ("grp", "i", "j", "side"))
+        ids, size, label, sketch = t["id"].to_numpy(), t["size"].to_numpy(), t["label"].to_numpy(), t["sketch"].to_pylist()
+        new = np.concatenate(([True], (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        cuts = np.append(np.flatnonzero(new), len(grp)).tolist()
+        out: set[tuple[int, int]] = set()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            rows = np.arange(lo, hi)
+            x = rows[side[lo:hi] == 0]
+            y = x if i[lo] == j[lo] else rows[side[lo:hi] == 1]
+            by_length: dict[int, list[int]] = {}
+            for r in y.tolist():
+                by_length.setdefault(len(sketch[r]), []).append(r)
+            for some in by_length.values():
+                grid = np.frombuffer(b"".join(sketch[r] for r in some), np.uint64).reshape(len(some), -1)
+                some = np.array(some)
+                for r in x.tolist():
+                    other = (label[some] != label[r]) & (ids[some] != ids[r])
+                    if x is y:
+                        other &= some > r
+                    if other.any():
+                        at = some[other]
+                        at = at[_may_link(size[at], size[r], _distances(np.frombuffer(sketch[r], np.uint64), grid[other]), percent)]
+                        out.update((min(k, ids[r]), max(k, ids[r])) for k in ids[at].tolist())
+        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
     return run
 
@@ -238,51 +267,64 @@ def _near(percent: int):
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``: components of the links of similarity 0.8 or more."""
     percent = 80  # slices() and schemes() are derived from it
-    spark = docs.sparkSession
-    node = F.coalesce("doc_id", F.lit(NULL_ID))
-    text = shared.whole_text()
-    narrow = shared.stored(docs.select(node.alias("id"), F.sha2(text, 256).alias("digest"), text.rlike(shared.WORD).alias("words")), "digests")
-    heads = shared.stored(narrow.where("words").groupBy("digest").agg(F.min("id").alias("head")), "heads")
-    copies = narrow.where("words").join(heads, "digest").where("id != head").select("id", "digest")
-    copies = shared.stored(copies, "copies")
-    whole = docs.select(node.alias("id"), text.alias("text")).where(F.col("text").rlike(shared.WORD))
-    singles = whole.withColumn("digest", F.sha2("text", 256)).join(copies, ["id", "digest"], "left_anti").select("id", "text")
-    n_buckets = BUCKETS_PER_PARTITION * shared.shuffle_partitions(spark)
-    packed = singles.mapInArrow(_emit(n_buckets, width), "bucket int, keys binary, ids binary, sizes binary")
-    met = shared.stored(packed.groupBy("bucket").applyInArrow(_met, "kind byte, a long, b long"), "met")
-
-    stars = shared.stored(met.where("kind = 1").select("a", "b").distinct(), "stars")
-    ids = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
-    texts = shared.stored(whole.join(shared.stored(ids, "ids"), "id", "left_semi"), "texts")
-    links = shared.stored(_links(stars, texts, width, percent), "verified")
-    label = components(links)
-
-    groups = met.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("id")).distinct()
+    node, text = F.coalesce("doc_id", F.lit(NULL_ID)), shared.whole_text()
+    n_buckets = BUCKETS_PER_PARTITION * shared.shuffle_partitions(docs.sparkSession)
+    whole = docs.select(node.alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    narrow = shared.stored(whole.select("id", "digest", F.col("text").rlike(shared.WORD).alias("words")), "digests")
+    heads = narrow.where("words").groupBy("digest").agg(F.min("id").alias("head"))
+    copies = shared.stored(narrow.where("words").join(heads, "digest").where("id != head").select("id", "head"), "copies")
+    packed = whole.where(F.col("text").rlike(shared.WORD)).mapInArrow(_emit(n_buckets, width), _PACKED_DDL)
+    met = shared.stored(packed.groupBy("bucket").applyInArrow(_met, _MET_DDL), "met")
+    sketches = met.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("size"), "sketch")
+    # tasks emit copies of one another under their own ids; the smallest stands for all of them
+    head_of = copies.groupBy("id").agg(F.min("head").alias("head"))
+
+    def to_heads(rows: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            rows = rows.join(head_of.select(F.col("id").alias(c), "head"), c, "left").withColumn(c, F.coalesce("head", c)).drop("head")
+        return rows
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), a < b, whose texts link; only the texts of these candidates move."""
+        pairs = shared.stored(pairs, "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = shared.stored(ids.repartitionByRange(1 + shared.shuffle_partitions(docs.sparkSession) // 16, "id").sortWithinPartitions("id"), "ids")
+        texts = shared.stored(whole.select("id", "text").join(ids, "id", "left_semi"), "texts")
+        x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(c + "_text")) for c in "ab")
+        full = pairs.join(x, "a").join(y, "b").select("a", "b", "a_text", "b_text")
+        return shared.stored(full.mapInArrow(_verify(width, percent), "a long, b long"), "verified")
+
+    def sides(pairs: DataFrame) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(sketches.select(F.col("id").alias(c), F.col("size").alias(c + "_size"), F.col("sketch").alias(c + "_sketch")), c)
+        return pairs.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+
+    stars = to_heads(met.where("kind = 1").select("a", "b").distinct(), "a", "b")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    links = linked(sides(stars).mapInArrow(_close(percent), "a long, b long").distinct())
+    same = copies.select(F.col("id").alias("a"), F.col("head").alias("b"))
+    label = components(links.union(same))
+
+    groups = to_heads(met.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("id")).distinct(), "id").distinct()
     groups = groups.join(label.withColumnRenamed("node", "id"), "id", "left").select("grp", "id", F.coalesce("component", "id").alias("label"))
     groups = shared.stored(groups, "groups")
-    open_groups = groups.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    open_groups = groups.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi AND members > 2")
     open_groups = shared.stored(open_groups.select("grp", "members"), "open")
     if not open_groups.isEmpty():
-        members = groups.join(open_groups, "grp")
-        who = shared.stored(members.select("id").distinct(), "ids")
-        sketch = shared.stored(texts.join(who, "id", "left_semi").mapInArrow(_sketches(width), "id long, scheme int, size long, sketch binary"), "sketches")
         n = F.ceil(F.col("members") / BLOCK).cast("int")
-        members = members.select("grp", "id", "label", n.alias("n"), F.pmod(F.xxhash64("id"), n).cast("int").alias("home"))
-        members = members.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("other")).join(sketch, "id")
-        side = F.explode(F.expr("CASE WHEN home < other THEN array(0) WHEN home > other THEN array(1) ELSE array(0) END")).alias("side")
-        members = members.select("grp", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "scheme", "id", "label", "size", "sketch", side)
-        near = members.groupBy("grp", "scheme", "i", "j").applyInArrow(_near(percent), "a long, b long").distinct()
-        more = _links(shared.stored(near, "near"), texts, width, percent)
-        label = components(links.union(shared.stored(more, "verified")))
-
-    sizes = met.where("kind = 0").select(F.col("a").alias("head"), F.col("b").alias("n_shingles"))
-    heads = heads.join(sizes.groupBy("head").agg(F.max("n_shingles").alias("n_shingles")), "head").join(label.withColumnRenamed("node", "head"), "head", "left")
-    heads = heads.select("digest", "n_shingles", F.coalesce("component", "head").alias("component_id"))
-    out = narrow.join(heads, "digest", "left")
+        members = groups.join(open_groups, "grp").select("grp", "id", "label", n.alias("n"), F.pmod(F.xxhash64("id"), n).cast("int").alias("home"))
+        members = members.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("other")).join(sketches, "id")
+        members = members.select(
+            "grp", "id", "label", "size", "sketch", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), (F.col("home") > F.col("other")).cast("int").alias("side")
+        ).withColumn("bucket", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(8 * n_buckets)))
+        near = members.groupBy("bucket").applyInArrow(_near(percent), "a long, b long").distinct()
+        label = components(links.union(same).union(linked(near)))
+
+    sizes = sketches.join(narrow, "id").groupBy("digest").agg(F.max("size").alias("size"))
+    out = narrow.join(sizes, "digest", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
+    out = out.select("id", F.when(F.col("words"), F.col("size")).otherwise(0).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.withColumn("cid", F.coalesce("component_id", "id")).select(
-        back("id").alias("doc_id"), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), back("cid").alias("component_id")
-    )
+    return out.select(back("id").alias("doc_id"), "n_shingles", back("component").alias("component_id"))
 
 
 def op6_parity_join(spark, sf_dir: str) -> DataFrame:
