@@ -16,7 +16,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import shared, spread
 from .textblocks import BYTE_CODE, blocks, mix, powers
@@ -78,38 +77,48 @@ def starts(ends: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest and number of every chunk of every text, and the n + 1 offsets of each text's chunks."""
+COLUMNS = ("keys", "docs", "crcs", "places")
+
+
+def chunk_keys(data: np.ndarray, offsets: np.ndarray):
+    """Digest (keys) and number (places) of every chunk of every text, and the n + 1 offsets of each text's chunks."""
     ends, at = cuts(data, offsets)
     begins = starts(ends, at, offsets)
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_CODE[data] * up[: len(data)], out=total[1:])
     keys = mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
-    return keys, np.arange(len(ends)) - np.repeat(at[:-1], np.diff(at)), at
+    return {"keys": keys, "places": np.arange(len(ends)) - np.repeat(at[:-1], np.diff(at))}, at
 
 
-def _repeats(n_buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        """The chunks that are not the first with their digest."""
-        e = spread.unpack(table)
-        order = np.lexsort((e["places"], e["crcs"], e["docs"], e["keys"]))
-        e = {c: a[order] for c, a in e.items()}
-        new = np.concatenate((np.ones(min(1, len(order)), bool), e["keys"][1:] != e["keys"][:-1]))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        again = (e["docs"] != e["docs"][head]) | (e["crcs"] != e["crcs"][head]) | (e["places"] != e["places"][head])
-        return spread.by_document(e["docs"][again], e["crcs"][again], e["places"][again], e["keys"][again], n_buckets)
+def split_repeats(e: spread.Arrays) -> tuple[spread.Arrays, spread.Arrays]:
+    """The first entry of each key, and the others but for repeats of the very same place."""
+    e = spread.take(e, np.lexsort((e["places"], e["crcs"], e["docs"], e["keys"])))
+    n = len(e["keys"])
+    new = np.concatenate((np.ones(min(1, n), bool), e["keys"][1:] != e["keys"][:-1]))
+    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    again = (e["docs"] != e["docs"][head]) | (e["crcs"] != e["crcs"][head]) | (e["places"] != e["places"][head])
+    return spread.take(e, new), spread.take(e, again)
+
+
+def _fold(e: spread.Arrays):
+    first, again = split_repeats(e)
+    return [(spread.ENTRY, first), (spread.MARK, again)]
 
-    return run
 
+def _settle(n_buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Marks the chunks that are not the first with their digest; marks made before pass through."""
+        _, again = split_repeats(spread.unpack(spread.of_kind(table, spread.ENTRY), COLUMNS))
+        made = pa.Table.from_batches(list(spread.pack(spread.MARK, again, n_buckets)), spread.schema(COLUMNS))
+        return pa.concat_tables([spread.of_kind(table, spread.MARK).cast(made.schema), made])
 
-_OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_chunks", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
-_OUT_DDL = "id long, n_bytes long, n_chunks long, spans array<struct<start:long,stop:long>>, kept binary"
+    return run
 
 
 def _remove(ids, texts, found) -> pa.Table:
-    rows = []
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+    spans = []
     for lo, hi in blocks(offsets):
         part = offsets[lo : hi + 1] - offsets[lo]
         ends, at = cuts(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), part)
@@ -118,34 +127,18 @@ def _remove(ids, texts, found) -> pa.Table:
             a, b = at[k - lo], at[k - lo + 1]
             s, e = begins[a:b] - part[k - lo], ends[a:b] - part[k - lo]
             mark = np.zeros(b - a + 2, bool)
-            _, places = found(ids[k], texts[k])
-            mark[places.astype(np.int64) + 1] = True
+            mark[found(ids[k], texts[k])["places"].astype(np.int64) + 1] = True
             edge = np.flatnonzero(mark[1:] != mark[:-1])
-            spans = [(int(s[x]), int(e[y - 1])) for x, y in zip(edge[::2], edge[1::2]) if e[y - 1] - s[x] >= RUN]
-            rows.append((ids[k], len(texts[k]), int(b - a), [{"start": x, "stop": y} for x, y in spans], without(texts[k], spans)))
-    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(_OUT), _OUT)], schema=_OUT)
-
-
-def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    out, at = [], 0
-    for start, stop in spans:
-        out.append(text[at:start])
-        at = stop
-    return b"".join([*out, text[at:]])
+            spans.append([(int(s[x]), int(e[y - 1])) for x, y in zip(edge[::2], edge[1::2]) if e[y - 1] - s[x] >= RUN])
+    return spread.without(ids, texts, spans)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_chunks, spans (removed byte ranges), kept (the rest of the text as UTF-8)."""
+    """doc_id, n_bytes, spans (removed byte ranges), kept (the rest of the text as UTF-8)."""
     n = 4 * shared.shuffle_partitions(docs.sparkSession) | 1
-    found = spread.entries(docs, chunk_keys, n).groupBy("bucket").applyInArrow(_repeats(n), spread.DDL)
-    out = spread.with_texts(docs, found, n, _remove, _OUT_DDL)
-    return out.select(F.when(F.col("id") != spread.NULL_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_chunks", "spans", "kept")
-
-
-def digest_columns(result: DataFrame) -> DataFrame:
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.stop - s.start)
-    return result.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans")
+    found = spread.entries(docs, chunk_keys, _fold, n, COLUMNS).groupBy("bucket").applyInArrow(_settle(n), spread.ddl(COLUMNS))
+    return spread.to_documents(spread.with_texts(docs, found, n, _remove, spread.REMOVED, COLUMNS))
 
 
 def op9_gear_chunks(spark, sf_dir: str) -> DataFrame:
-    return digest_columns(deduplicate(shared.documents(spark, sf_dir)))
+    return spread.digest_columns(deduplicate(shared.documents(spark, sf_dir)))

@@ -1,15 +1,18 @@
-"""Many small (key, document, place) entries through one shuffle: packed arrays per bucket instead of a row each.
+"""Many small entries about places in texts through one shuffle: packed arrays per bucket instead of a row each.
 
-``entries`` turns each text into keys and places and packs them by a bucket of the key; ``by_document`` packs what a
-bucket decides about documents by a bucket of the document.  A bucket's arrays are flushed when a task holds
-``FLUSH_BYTES``, so a task's memory is bounded.  A document is known by its doc_id and the CRC of its text: rows that
-repeat both are one document, rows that share an id but not the text are told apart.
+A row holds the arrays of one bucket's entries and their kind.  Entries meet by a bucket of their key; what is then
+decided about documents is packed by a bucket of the document and meets the texts there.  Tasks flush what they hold
+every ``FLUSH_BYTES``, so their memory is bounded; before a flush, ``fold`` may settle entries that meet inside the
+task already, so that a key with a third of all entries reaches its bucket once a flush.
+
+A document is known by its doc_id and 16 bits of the CRC of its text: rows that repeat both are one document, rows
+that share an id but not the text are told apart.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,28 +24,23 @@ from .textblocks import blocks, flat
 
 FLUSH_BYTES = 48 << 20
 NULL_ID = -(2**63)
-DDL = "bucket int, keys binary, docs binary, crcs binary, places binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("keys", "docs", "crcs", "places")]])
-_KINDS = {"keys": np.uint64, "docs": np.int64, "crcs": np.uint32, "places": np.uint32}
+#: kinds of rows: MARK rows are packed by document, all others by key
+MARK, ENTRY = 0, 1
+TYPES = {"keys": np.uint64, "hashes": np.uint64, "docs": np.int64, "crcs": np.uint16, "places": np.uint32, "counts": np.uint8}
 _U = np.uint64
+Arrays = dict[str, np.ndarray]
 
 
 def node(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
 
 
-def pack(bucket: np.ndarray, n_buckets: int, arrays: dict[str, np.ndarray]):
-    """Arrow batches with one row for each bucket that has entries."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    arrays = {c: a[order] for c, a in arrays.items()}
-    rows = [(b, *(a[cuts[b] : cuts[b + 1]].tobytes() for a in arrays.values())) for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
-    for lo in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[lo : lo + 64]), _SCHEMA)], schema=_SCHEMA)
+def ddl(columns: tuple[str, ...]) -> str:
+    return "bucket int, kind int, " + ", ".join(f"{c} binary" for c in columns)
 
 
-def unpack(table: pa.Table) -> dict[str, np.ndarray]:
-    return {c: np.concatenate([np.zeros(0, k), *(np.frombuffer(x, k) for x in table[c].to_pylist())]) for c, k in _KINDS.items()}
+def schema(columns) -> pa.Schema:
+    return pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in columns]])
 
 
 def of_key(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -60,70 +58,111 @@ def bucket_of(doc: str, n_buckets: int) -> Column:
     return F.pmod(folded, F.lit(n_buckets)).cast("int")
 
 
-def entries(docs: DataFrame, find: Callable, n_buckets: int) -> DataFrame:
+def pack(kind: int, arrays: Arrays, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows for the buckets that have entries; a bucket's entries keep their order."""
+    bucket = of_doc(arrays["docs"], n_buckets) if kind == MARK else of_key(arrays["keys"], n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first[1:], len(order))
+    arrays = {c: a[order] for c, a in arrays.items()}
+    for lo in range(0, len(found), 64):
+        parts = [slice(a, b) for a, b in zip(first[lo : lo + 64], ends[lo : lo + 64])]
+        columns = [pa.array(found[lo : lo + 64], pa.int32()), pa.array([kind] * len(parts), pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns + [pa.array([a[p].tobytes() for p in parts], pa.binary()) for a in arrays.values()], schema=schema(arrays))
+
+
+def unpack(table: pa.Table, columns: tuple[str, ...]) -> Arrays:
+    return {c: np.concatenate([np.zeros(0, TYPES[c]), *(np.frombuffer(x, TYPES[c]) for x in table[c].to_pylist())]) for c in columns}
+
+
+def of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pa.compute.equal(table["kind"], kind))
+
+
+def take(arrays: Arrays, which) -> Arrays:
+    return {c: a[which] for c, a in arrays.items()}
+
+
+def entries(docs: DataFrame, find: Callable, fold: Callable, n_buckets: int, columns: tuple[str, ...]) -> DataFrame:
     """Packed entries of every text.
 
-    find(data, offsets) gets the bytes of some texts and their n + 1 offsets and returns keys, places (relative to the
-    text) and the n + 1 offsets of each text's entries.
+    find(data, offsets) gets the bytes of some texts and their n + 1 offsets; it returns the arrays of their entries
+    without docs and crcs, and the n + 1 offsets of each text's entries.  fold(arrays) returns (kind, arrays) pairs.
     """
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[Arrays] = []
 
         def flush():
-            keys, who, crcs, places = (np.concatenate(x) for x in zip(*held))
+            arrays = {c: np.concatenate([h[c] for h in held]).astype(TYPES[c], copy=False) for c in columns}
             held.clear()
-            yield from pack(of_key(keys, n_buckets), n_buckets, {"keys": keys, "docs": who, "crcs": crcs, "places": places})
+            for kind, part in fold(arrays):
+                yield from pack(kind, part, n_buckets)
 
         size = 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = flat(batch.column(1))
             for lo, hi in blocks(offsets):
-                block = data[offsets[lo] : offsets[hi]]
-                at = offsets[lo : hi + 1] - offsets[lo]
-                keys, places, cuts = find(block, at)
-                raw = block.tobytes()
-                crcs = np.array([zlib.crc32(raw[at[k] : at[k + 1]]) for k in range(hi - lo)], np.uint32)
-                n = np.diff(cuts)
-                held.append((keys, np.repeat(ids[lo:hi], n), np.repeat(crcs, n), places.astype(np.uint32)))
-                size += 24 * len(keys)
+                block, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                found, cuts = find(block, at)
+                raw, n = memoryview(block), np.diff(cuts)
+                crcs = np.array([zlib.crc32(raw[at[k] : at[k + 1]]) & 0xFFFF for k in range(hi - lo)], np.uint16)
+                held.append({**found, "docs": np.repeat(ids[lo:hi], n), "crcs": np.repeat(crcs, n)})
+                size += sum(TYPES[c](0).nbytes for c in columns) * int(cuts[-1])
                 if size > FLUSH_BYTES:
                     yield from flush()
                     size = 0
         if held:
             yield from flush()
 
-    return docs.select(node().alias("id"), shared.whole_text().alias("text")).mapInArrow(run, DDL)
-
-
-def by_document(docs: np.ndarray, crcs: np.ndarray, places: np.ndarray, keys: np.ndarray, n_buckets: int) -> pa.Table:
-    return pa.Table.from_batches(list(pack(of_doc(docs, n_buckets), n_buckets, {"keys": keys, "docs": docs, "crcs": crcs, "places": places})), _SCHEMA)
+    return docs.select(node().alias("id"), shared.whole_text().alias("text")).mapInArrow(run, ddl(columns))
 
 
-def with_texts(docs: DataFrame, packed: DataFrame, n_buckets: int, apply: Callable, ddl: str) -> DataFrame:
-    """apply(doc_ids, texts, found) for buckets of documents, where found(id, text) gives the (keys, places) packed for it.
+def with_texts(docs: DataFrame, packed: DataFrame, n_buckets: int, apply: Callable, out: str, columns: tuple[str, ...]) -> DataFrame:
+    """apply(doc_ids, texts, found) for buckets of documents, where found(id, text) gives the arrays packed for it.
 
-    A bucket's documents and what was found in them meet in one task; documents are spread evenly by a hash of doc_id.
+    A bucket's documents and what was found in them meet in one task; documents are spread evenly by their ids.
     """
 
     def run(table: pa.Table, marks: pa.Table) -> pa.Table:
-        if not len(table):
-            return apply([], [], None)
-        m = unpack(marks)
+        m = unpack(marks, columns)
         order = np.lexsort((m["places"], m["crcs"], m["docs"]))
-        m = {c: a[order] for c, a in m.items()}
+        m = take(m, order)
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), (m["docs"][1:] != m["docs"][:-1]) | (m["crcs"][1:] != m["crcs"][:-1]))))
         ends = np.append(first[1:], len(order))
         index = {(d, c): (int(a), int(b)) for d, c, a, b in zip(m["docs"][first].tolist(), m["crcs"][first].tolist(), first, ends)}
-        none = (m["keys"][:0], m["places"][:0])
 
-        def found(doc: int, text: bytes):
-            at = index.get((doc, zlib.crc32(text)))
-            return none if at is None else (m["keys"][at[0] : at[1]], m["places"][at[0] : at[1]])
+        def found(doc: int, text: bytes) -> Arrays:
+            lo, hi = index.get((doc, zlib.crc32(text) & 0xFFFF), (0, 0))
+            return {c: a[lo:hi] for c, a in m.items()}
 
         return apply(table["id"].to_pylist(), table["text"].to_pylist(), found)
 
     texts = docs.select(node().alias("id"), shared.whole_text().cast("binary").alias("text"))
     texts = texts.select(bucket_of("id", n_buckets).alias("bucket"), "id", "text")
-    return texts.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(run, ddl)
+    return texts.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(run, out)
+
+
+REMOVED = "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
+_REMOVED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
+
+
+def without(ids: list[int], texts: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.Table:
+    """The texts without their spans (ascending, apart from each other), as rows of ``REMOVED``."""
+    rest = []
+    for text, cuts in zip(texts, spans):
+        ends = [0, *(stop for _, stop in cuts)]
+        rest.append(b"".join(text[a:b] for a, b in zip(ends, [*(start for start, _ in cuts), len(text)])))
+    columns = [ids, [len(t) for t in texts], [[{"start": int(a), "stop": int(b)} for a, b in s] for s in spans], rest]
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _REMOVED)], schema=_REMOVED)
+
+
+def to_documents(removed: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, spans (removed byte ranges), kept (the rest of the text, UTF-8 bytes)."""
+    return removed.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_bytes", "spans", "kept")
+
+
+def digest_columns(result: DataFrame) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.stop - s.start)
+    return result.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
