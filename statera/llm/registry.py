@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chunks, exact_dedup, mixing, packing, parity_join, quality, repair, telephony
+from . import chunks, exact_dedup, mixing, packing, parity_join, quality, repair, suffix_dedup, telephony
 
 QUERIES = {
     "op1_repair": repair.op1_repair,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_length_buckets": packing.op3_length_buckets,
+    "op4_suffix_array": suffix_dedup.op4_suffix_array,
     "op5_telephony": telephony.op5_telephony,
     "op6_parity_join": parity_join.op6_parity_join,
     "op7_mix_sources": mixing.op7_mix_sources,

@@ -24,8 +24,9 @@ from .textblocks import blocks, flat
 
 FLUSH_BYTES = 48 << 20
 NULL_ID = -(2**63)
-#: kinds of rows: MARK rows are packed by document, all others by key
-MARK, ENTRY = 0, 1
+#: kinds of rows: those in BY_DOCUMENT are packed by document, all others by key
+MARK, ENTRY, ASK = 0, 1, 3
+BY_DOCUMENT = (MARK, ASK)
 TYPES = {"keys": np.uint64, "hashes": np.uint64, "docs": np.int64, "crcs": np.uint16, "places": np.uint32, "counts": np.uint8}
 _U = np.uint64
 Arrays = dict[str, np.ndarray]
@@ -60,7 +61,7 @@ def bucket_of(doc: str, n_buckets: int) -> Column:
 
 def pack(kind: int, arrays: Arrays, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows for the buckets that have entries; a bucket's entries keep their order."""
-    bucket = of_doc(arrays["docs"], n_buckets) if kind == MARK else of_key(arrays["keys"], n_buckets)
+    bucket = of_doc(arrays["docs"], n_buckets) if kind in BY_DOCUMENT else of_key(arrays["keys"], n_buckets)
     order = np.argsort(bucket, kind="stable")
     found, first = np.unique(bucket[order], return_index=True)
     ends = np.append(first[1:], len(order))
