@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def unpack(table: pa.Table, columns: tuple[str, ...]) -> Arrays:
 
 
 def of_kind(table: pa.Table, kind: int) -> pa.Table:
-    return table.filter(pa.compute.equal(table["kind"], kind))
+    return table.filter(pc.equal(table["kind"], kind))
 
 
 def take(arrays: Arrays, which) -> Arrays:

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import shared, spread
@@ -140,7 +141,7 @@ def _settle(n_buckets: int, shard_bytes: int):
         ]
         made = [b for kind, part in parts for b in spread.pack(kind, part, n_buckets)]
         out = spread.schema(COLUMNS)
-        passed = table.filter(pa.compute.not_equal(table["kind"], spread.ENTRY))
+        passed = table.filter(pc.not_equal(table["kind"], spread.ENTRY))
         return pa.concat_tables([passed.cast(out), pa.Table.from_batches(made, out)])
 
     return run
