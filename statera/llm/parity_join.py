@@ -327,5 +327,12 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return out.select(back("id").alias("doc_id"), "n_shingles", back("component").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` without those that have a smaller doc_id in their component, with all their columns."""
+    found = classes(docs, width)
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(shared.stored(dropped, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op6_parity_join(spark, sf_dir: str) -> DataFrame:
     return classes(shared.documents(spark, sf_dir))

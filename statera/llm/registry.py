@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, exact_dedup, mixing, packing, parity_join, quality, repair, suffix_dedup, telephony
+from . import chunks, exact_dedup, mixing, packing, parity_join, personal, quality, repair, suffix_dedup, telephony
 
 QUERIES = {
     "op1_repair": repair.op1_repair,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_quality": quality.op8_quality,
     "op9_gear_chunks": chunks.op9_gear_chunks,
+    "op10_contextual_pii": personal.op10_contextual_pii,
 }
 
 ORACLES = {
