@@ -38,14 +38,16 @@ def a4(d):
     return g.select("record_type", "valued", "n", A.percent(F.col("valued"), "n").alias("pct"), A.percent(F.col("_s"), "_t").alias("side_pct"))
 
 
-@query("a5_percentiles", "SELECT stage, percentile_cont(0.5) WITHIN GROUP (ORDER BY seconds) AS p50, percentile_cont(0.95) WITHIN GROUP (ORDER BY seconds) AS p95 FROM pipeline_run GROUP BY stage")
+@query("a5_percentiles", "SELECT stage, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY seconds), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY seconds), 6) AS p95 FROM pipeline_run GROUP BY stage")
 def a5(d):
-    return A.percentiles(d.pipeline_run, ["stage"], "seconds")
+    out = A.percentiles(d.pipeline_run, ["stage"], "seconds")
+    return out.select("stage", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
-@query("a6_percentile_filter", "SELECT adapter, percentile_cont(0.5) WITHIN GROUP (ORDER BY seconds) FILTER (WHERE status = 'succeeded') AS p50, percentile_cont(0.9) WITHIN GROUP (ORDER BY seconds) FILTER (WHERE status = 'succeeded') AS p90 FROM pipeline_run GROUP BY adapter")
+@query("a6_percentile_filter", "SELECT adapter, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY seconds) FILTER (WHERE status = 'succeeded'), 6) AS p50, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY seconds) FILTER (WHERE status = 'succeeded'), 6) AS p90 FROM pipeline_run GROUP BY adapter")
 def a6(d):
-    return A.percentiles(d.pipeline_run, ["adapter"], "seconds", (0.5, 0.9), "status = 'succeeded'")
+    out = A.percentiles(d.pipeline_run, ["adapter"], "seconds", (0.5, 0.9), "status = 'succeeded'")
+    return out.select("adapter", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"))  # the last bit of an interpolation is the engine's own
 
 
 @query("a7_distinct_array", "SELECT stage, string_agg(DISTINCT adapter, ',' ORDER BY adapter) AS adapters FROM pipeline_run WHERE status = 'failed' GROUP BY stage")

@@ -9,7 +9,7 @@ from ..sources import scans
 from .catalog import query
 
 
-@query("f1_fingerprint", "SELECT id, sha256(concat(encode(filing_id), unhex('00'), unhex(lpad(hex(ordinal), 8, '0')), unhex('00'), encode(asset_description_raw))) AS fingerprint FROM line")
+@query("f1_fingerprint", "SELECT id, sha256(encode(filing_id) || unhex('00') || unhex(lpad(hex(ordinal), 8, '0')) || unhex('00') || encode(asset_description_raw)) AS fingerprint FROM line")
 def f1(d):
     return d.line.select("id", S.fingerprint(F.col("filing_id"), F.col("ordinal"), F.col("asset_description_raw")).alias("fingerprint"))
 
