@@ -151,11 +151,12 @@ def _fetch(n_documents: int, n_buckets: int):
     """What was asked for of a bucket's texts: the bytes of stretches and the digests of windows, packed by key."""
 
     def run(ids, texts, found) -> pa.Table:
-        stretch, pieces, window = [], [], []
+        stretch, pieces, window, seen = [], [], [], set()
         for doc, text in zip(ids, texts):
             e = found(doc, text)
-            if not len(e["keys"]):
+            if not len(e["keys"]) or (doc, text) in seen:  # rows that repeat id and text are one document
                 continue
+            seen.add((doc, text))
             spread_out = e["hashes"] == 1
             plain = spread.take(e, ~spread_out)
             stretch.append(plain)
