@@ -312,10 +312,10 @@ def r7(d):
     return trust.fold_verdicts(d.line, verdicts)
 
 
-@query("r8_open_once", "SELECT DISTINCT target_kind, target_id FROM review_task WHERE priority = 1 AND (target_kind, target_id) NOT IN (SELECT (target_kind, target_id) FROM review_task WHERE status = 'open' AND priority <> 1)")
+@query("r8_open_once", "SELECT DISTINCT target_kind, target_id, reason FROM review_task WHERE priority = 1 AND (target_id || reason) NOT IN (SELECT target_id || reason FROM review_task WHERE status = 'open' AND priority = 2)")
 def r8(d):
-    proposed = d.review_task.where("priority = 1").select("target_kind", "target_id")
-    return trust.open_once(d.review_task.where("priority <> 1"), proposed, ["target_kind", "target_id"])
+    proposed = d.review_task.where("priority = 1").select("target_kind", "target_id", "reason")
+    return trust.open_once(d.review_task.where("priority = 2"), proposed, ["target_kind", "target_id", "reason"])
 
 
 @query("r9_identity_agreement", "SELECT filing_id, CASE WHEN count(DISTINCT owner) = 1 AND count(owner) = count(*) THEN min(owner) END AS identity FROM line GROUP BY 1")
