@@ -66,7 +66,7 @@ def plan(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
     )
     goals = shared.stored(goals, "targets")
     ranges = max(1, sized.count() // ROWS_PER_RANGE)
-    digits = max(1, len(f"{ranges - 1:x}")) if ranges > 1 else 1
+    digits = max(2, len(f"{ranges - 1:x}"))
     keyed = sized.where("size > 0").select("source", key().alias("key"), "doc_id", "size").withColumn("part", F.substring("key", 1, digits))
     rows = keyed.groupBy("source", "part", "key", "doc_id", "size").agg(F.count("*").alias("copies"))
     words = F.col("size") * F.col("copies")
