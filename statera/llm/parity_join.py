@@ -36,7 +36,7 @@ from .textblocks import mix, shingle_sets
 WIDTH = 5
 BUCKETS_PER_PARTITION = 2
 FLUSH_BYTES = 48 << 20
-BLOCK = 2048
+BLOCK = 1024
 NULL_ID = -(2**63)
 _U = np.uint64
 
