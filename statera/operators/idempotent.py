@@ -31,26 +31,26 @@ def upsert_open(existing: DataFrame, detected: DataFrame, key: str) -> DataFrame
 
 
 def publish(tables: dict[str, DataFrame], root: str, batch: str) -> None:
-    """Write all tables under a batch folder, then point ``_CURRENT`` at it by one rename: readers see all or nothing.
+    """Write all tables under a batch folder, then point ``CURRENT`` at it by one replacing rename: readers see all or nothing.
 
     One writer at a time is assumed.  A batch that is written again replaces its own folder only.
     """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{batch}/{name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    draft, current = path(f"{root}/_CURRENT.{batch}"), path(f"{root}/_CURRENT")
-    out = fs.create(draft, True)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    draft, pointer = hadoop.Path(f"{root}/CURRENT.{batch}"), hadoop.Path(f"{root}/CURRENT")
+    out = draft.getFileSystem(conf).create(draft, True)
     out.write(bytearray(json.dumps({"batch": batch, "tables": sorted(tables)}).encode()))
     out.close()
-    fs.delete(current, False)
-    if not fs.rename(draft, current):
-        raise OSError(f"cannot publish {batch}")
+    replace = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    replace[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(pointer.toUri(), conf).rename(draft, pointer, replace)
 
 
 def current(spark: SparkSession, root: str, table: str) -> DataFrame:
-    manifest = spark.read.text(f"{root}/_CURRENT").collect()[0][0]
+    """A table as of the last batch that was published whole."""
+    manifest = spark.read.text(f"{root}/CURRENT").collect()[0][0]
     return spark.read.parquet(f"{root}/{json.loads(manifest)['batch']}/{table}")
 
 

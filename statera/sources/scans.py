@@ -104,7 +104,7 @@ class _Cells(HTMLParser):
             self.cell.append(data)
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def table_rows(html: pd.Series) -> pd.Series:
     def cells(page):
         parser = _Cells()
@@ -141,7 +141,7 @@ class _Fields(HTMLParser):
             self.text.append(data)
 
 
-@F.pandas_udf("array<struct<section:string,term:string,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("section", "term", "text")])))
 def listed_fields(html: pd.Series) -> pd.Series:
     def fields(page):
         parser = _Fields()
