@@ -271,7 +271,8 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     n_buckets = BUCKETS_PER_PARTITION * shared.shuffle_partitions(docs.sparkSession)
     whole = docs.select(node.alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     narrow = shared.stored(whole.select("id", "digest", F.col("text").rlike(shared.WORD).alias("words")), "digests")
-    heads = narrow.where("words").groupBy("digest").agg(F.min("id").alias("head"))
+    # aggregates are stored before they are joined: a digest with very many copies then is a skewed join that Spark splits
+    heads = shared.stored(narrow.where("words").groupBy("digest").agg(F.min("id").alias("head")), "heads")
     copies = shared.stored(narrow.where("words").join(heads, "digest").where("id != head").select("id", "head"), "copies")
     packed = whole.where(F.col("text").rlike(shared.WORD)).mapInArrow(_emit(n_buckets, width), _PACKED_DDL)
     met = shared.stored(packed.groupBy("bucket").applyInArrow(_met, _MET_DDL), "met")
@@ -320,7 +321,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         near = members.groupBy("bucket").applyInArrow(_near(percent), "a long, b long").distinct()
         label = components(links.union(same).union(linked(near)))
 
-    sizes = sketches.join(narrow, "id").groupBy("digest").agg(F.max("size").alias("size"))
+    sizes = shared.stored(sketches.join(narrow, "id").groupBy("digest").agg(F.max("size").alias("size")), "sizes")
     out = narrow.join(sizes, "digest", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
     out = out.select("id", F.when(F.col("words"), F.col("size")).otherwise(0).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
