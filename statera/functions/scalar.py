@@ -187,3 +187,32 @@ def collapsed(text: Column) -> Column:
 def high_impact(low: Column, floor_cents: int = 50_000_100) -> Column:
     """Aggregate: any value of the document reaches the floor; an unknown one counts as high."""
     return F.bool_or(F.coalesce(low >= floor_cents, F.lit(True)))
+
+
+def owner_of(row: Column, vehicle: Column) -> tuple[Column, Column]:
+    """Owner by precedence row, vehicle, self; and which of them it came from."""
+    return F.coalesce(row, vehicle, F.lit("self")), F.when(row.isNotNull(), "row").when(vehicle.isNotNull(), "vehicle").otherwise("default")
+
+
+def row_anchor(line: Column) -> Column:
+    """Side token, two dates and the band of a printed transaction line, as a struct; empty parts where it is no such line."""
+    pattern = r"(?i)\b(P|S|E)(?: \(partial\))?\s+(\d{1,2}/\d{1,2}/\d{4})\s+(\d{1,2}/\d{1,2}/\d{4})\s+(\$[0-9,]+ - \$[0-9,]+|Over \$[0-9,]+)\s*$"
+    return F.struct(*[F.regexp_extract(line, pattern, k).alias(n) for k, n in enumerate(("side", "traded", "notified", "band"), 1)])
+
+
+def date_range(raw: Column) -> tuple[Column, Column]:
+    """Both ends of dates joined by an en or em dash; a single date is both; what is no date is null."""
+    parts = F.split(raw, r"\s*[\u2013\u2014]\s*")
+    return F.try_to_date(F.get(parts, 0), "yyyy/MM/dd"), F.try_to_date(F.element_at(parts, -1), "yyyy/MM/dd")
+
+
+def parsed_band(raw: Column) -> tuple[Column, Column]:
+    """Ends of a "$a - $b" band in cents; both null for an inverted band or anything else."""
+    pattern = r"^\$([0-9,]+(?:\.[0-9]{1,2})?) - \$([0-9,]+(?:\.[0-9]{1,2})?)$"
+    low, high = ((F.replace(F.regexp_extract(raw, pattern, k), F.lit(","), F.lit("")).try_cast("decimal(16,2)") * 100).cast("long") for k in (1, 2))
+    return F.when(low <= high, low), F.when(low <= high, high)
+
+
+def first_cadence(text: Column) -> Column:
+    """Cadence word and leading year of an income line, as a struct."""
+    return F.struct(F.lower(F.regexp_extract(text, r"(?i)\b(monatlich|jährlich|einmalig|vierteljährlich)\b", 1)).alias("word"), F.regexp_extract(text, r"^\s*((?:19|20)\d\d)\b", 1).try_cast("int").alias("year"))

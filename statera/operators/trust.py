@@ -166,3 +166,32 @@ def last_healthy(passes: DataFrame) -> DataFrame:
     """Baseline before each pass: the value of the last healthy pass of the same source before it."""
     w = Window.partitionBy("source").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
     return passes.withColumn("baseline", F.last(F.when(F.col("healthy"), F.col("count")), ignorenulls=True).over(w))
+
+
+def contract(details: Column, required: list[str], allowed: list[str]) -> Column:
+    """The first breach of a details contract (not_an_object, missing:<key>, unknown:<key>), or ok."""
+    keys = F.json_object_keys(details)
+    missing = F.array_except(F.array(*map(F.lit, required)), keys)
+    unknown = F.array_sort(F.array_except(keys, F.array(*map(F.lit, allowed))))
+    return F.when(keys.isNull(), "not_an_object").when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.get(missing, 0))).when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), F.get(unknown, 0))).otherwise("ok")
+
+
+def drift_state(passes: DataFrame) -> DataFrame:
+    """Per source after all passes: open drift of the last pass that is not healthy since the last healthy one, and how often it was seen."""
+    healthy = passes.where("kind = 'none'").groupBy("source").agg(F.max("pass").alias("recovered"))
+    open_ = passes.where("kind <> 'none'").join(healthy, "source", "left").where("recovered IS NULL OR pass > recovered")
+    return open_.groupBy("source").agg(F.max_by("kind", "pass").alias("kind"), F.count("*").alias("detections"), F.min("pass").alias("since"))
+
+
+def zero_rows(documents: DataFrame, policy: DataFrame) -> DataFrame:
+    """accept or reject per document without rows, by its regime's policy; regimes without one reject."""
+    out = documents.join(policy, "regime_id", "left")
+    return out.withColumn("outcome", F.when((F.col("rows") > 0) | F.coalesce("zero_is_correct", F.lit(False)), "accept").otherwise("reject"))
+
+
+def coverage(present: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per regime the share of its declared target years (first_year to last_year) that it has data for."""
+    have = present.select("regime_id", "year").distinct()
+    spread = targets.select("regime_id", F.explode(F.sequence("first_year", "last_year")).alias("year"))
+    hit = spread.join(have.withColumn("hit", F.lit(1)), ["regime_id", "year"], "left")
+    return hit.groupBy("regime_id").agg(F.count("*").alias("target_years"), F.count("hit").alias("done_years")).withColumn("complete", F.col("target_years") == F.col("done_years"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..operators import idempotent, joins, trust, windows
+from ..operators import exports, idempotent, joins, trust, windows
 from .catalog import query
 
 AS_OF = "2024-01-31"
@@ -428,3 +428,79 @@ def r29(d):
 def t6(d):
     events = d.usage_event.withColumn("at", F.col("at").cast("timestamp"))
     return trust.usage_windows(events, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("t5_minute_counters", "SELECT user_id, time_bucket(INTERVAL '1 minute', \"at\") AS start, count(*) AS calls FROM usage_event WHERE \"at\" >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1, 2")
+def t5(d):
+    events = d.usage_event.where("at >= TIMESTAMP_NTZ '2024-01-20 00:00:00'").withColumn("at", F.col("at").cast("timestamp"))
+    return trust.usage_windows(events, "1 minute").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "r4_details_contract",
+    """SELECT id, CASE WHEN stage = 'parse' THEN 'missing:stage' WHEN stage = 'fetch' THEN 'unknown:extra' WHEN stage = 'publish' THEN 'not_an_object' ELSE 'ok' END AS breach FROM pipeline_run""",
+)
+def r4(d):
+    k = F.get_json_object("stats", "$.k")
+    details = (
+        F.when(F.col("stage") == "parse", F.concat(F.lit('{"k":'), k, F.lit("}")))
+        .when(F.col("stage") == "fetch", F.concat(F.lit('{"k":'), k, F.lit(',"stage":1,"extra":2}')))
+        .when(F.col("stage") == "publish", F.lit("[1]"))
+        .otherwise(F.concat(F.lit('{"stage":1,"k":'), k, F.lit("}")))
+    )
+    return d.pipeline_run.select("id", trust.contract(details, ["k", "stage"], ["k", "stage", "note"]).alias("breach"))
+
+
+@query(
+    "r13_drift_state",
+    """SELECT source, max_by(kind, pass) AS kind, count(*) AS detections, min(pass) AS since FROM (
+         SELECT adapter || regime_id AS source, id AS pass, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'none' ELSE stage END AS kind,
+                max(CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN id END) OVER (PARTITION BY adapter || regime_id) AS recovered FROM pipeline_run)
+       WHERE kind <> 'none' AND (recovered IS NULL OR pass > recovered) GROUP BY source""",
+)
+def r13(d):
+    kind = F.when(F.col("id").cast("long") % 3 == 0, "none").otherwise(F.col("stage"))
+    return trust.drift_state(d.pipeline_run.select(F.concat("adapter", "regime_id").alias("source"), F.col("id").alias("pass"), kind.alias("kind")))
+
+
+@query(
+    "r25_zero_rows",
+    """SELECT f.id, CASE WHEN count(l.id) > 0 OR CAST(f.regime_id AS INTEGER) % 5 = 1 THEN 'accept' ELSE 'reject' END AS outcome FROM filing f
+       LEFT JOIN line l ON l.filing_id = f.id AND l.record_type = 'holding' AND l.low_cents > 6000000 GROUP BY f.id, f.regime_id""",
+)
+def r25(d):
+    rows = d.line.where("record_type = 'holding' AND low_cents > 6000000").groupBy(F.col("filing_id").alias("id")).agg(F.count("*").alias("rows"))
+    documents = d.filing.select("id", "regime_id").join(rows, "id", "left").fillna(0, ["rows"])
+    policy = d.regime.select(F.col("id").alias("regime_id"), (F.col("id").cast("int") % 5 == 1).alias("zero_is_correct"))
+    return trust.zero_rows(documents, policy).select("id", "outcome")
+
+
+@query(
+    "r26_coverage",
+    """SELECT t.regime_id, count(*) AS target_years, count(h.year) AS done_years, count(*) = count(h.year) AS complete
+       FROM (SELECT id AS regime_id, unnest(range(1990, 1996 + CAST(id AS INTEGER) % 6)) AS year FROM regime) t
+       LEFT JOIN (SELECT DISTINCT regime_id, year(filed_date) AS year FROM filing WHERE priority = '1-URGENT') h ON h.regime_id = t.regime_id AND h.year = t.year GROUP BY 1""",
+)
+def r26(d):
+    targets = d.regime.select(F.col("id").alias("regime_id"), F.lit(1990).alias("first_year"), (F.lit(1995) + F.col("id").cast("int") % 6).alias("last_year"))
+    present = d.filing.where("priority = '1-URGENT'").select("regime_id", F.year("filed_date").alias("year"))
+    return trust.coverage(present, targets)
+
+
+@query(
+    "k11_scoped_copy",
+    """SELECT 'filing' AS relation, count(*) AS rows FROM filing WHERE regime_id = '3' AND CAST(id AS BIGINT) % 4 <> 0
+       UNION ALL SELECT 'line', count(*) FROM line l JOIN filing f ON l.filing_id = f.id WHERE f.regime_id = '3' AND l.ordinal > 1""",
+)
+def k11(d):
+    source = {"filing": d.filing, "line": d.line}
+    target = {"filing": d.filing.where("CAST(id AS BIGINT) % 4 = 0"), "line": d.line.where("ordinal = 1")}
+    out = exports.scoped_copy(source, target, {"line": ("filing_id", "filing")}, "filing", F.col("regime_id") == "3")
+    return A.union_counts(**out)
+
+
+@query("s22_seed", "SELECT id, code, id IN (SELECT regime_id FROM filing WHERE status = 'P' AND priority = '1-URGENT' AND year(filed_date) = 1995) AS live FROM regime")
+def s22(d):
+    live = d.filing.where("status = 'P' AND priority = '1-URGENT' AND year(filed_date) = 1995").select(F.col("regime_id").alias("id")).distinct()
+    rows = d.regime.select("id", "code")
+    return rows.join(live, "id", "left_semi").withColumn("live", F.lit(True)).unionByName(rows.join(live, "id", "left_anti").withColumn("live", F.lit(False)))

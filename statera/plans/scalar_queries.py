@@ -179,3 +179,45 @@ def s19(d):
     files = key(d.raw_document.where(n % 3 == 0)).withColumn("rows", F.lit("file"))
     table = key(d.raw_document.where(n % 2 == 0)).withColumn("rows", F.lit("table"))
     return scans.cached_rows(key(d.raw_document), files, table)
+
+
+@query("f13_json_path", "SELECT id, json_extract_string(stats, '$.k') AS k, json_extract_string(stats, '$.none') IS NOT NULL AS has_none FROM pipeline_run WHERE stage = 'publish'")
+def f13(d):
+    return d.pipeline_run.where("stage = 'publish'").select("id", F.get_json_object("stats", "$.k").alias("k"), F.get_json_object("stats", "$.none").isNotNull().alias("has_none"))
+
+
+@query("f21_cadence_split", "SELECT id, CASE WHEN ordinal % 2 = 0 THEN 'monatlich' ELSE '' END AS word, CASE WHEN ordinal % 3 = 0 THEN 2000 + ordinal END AS year FROM line")
+def f21(d):
+    lead = F.when(F.col("ordinal") % 3 == 0, F.concat((F.col("ordinal") + 2000).cast("string"), F.lit(": "))).otherwise("")
+    tail = F.when(F.col("ordinal") % 2 == 0, " Monatlich, 5 EUR").otherwise(" gelegentlich")
+    found = S.first_cadence(F.concat(lead, F.lit("Rat,"), tail))
+    return d.line.select("id", found["word"].alias("word"), found["year"].alias("year"))
+
+
+@query("f23_owner_precedence", "SELECT id, coalesce(owner, CASE WHEN ordinal % 2 = 0 THEN 'joint' END, 'self') AS owner, CASE WHEN owner IS NOT NULL THEN 'row' WHEN ordinal % 2 = 0 THEN 'vehicle' ELSE 'default' END AS origin FROM line")
+def f23(d):
+    owner, origin = S.owner_of(F.col("owner"), F.when(F.col("ordinal") % 2 == 0, "joint"))
+    return d.line.select("id", owner.alias("owner"), origin.alias("origin"))
+
+
+@query("f27_row_anchor", "SELECT id, 'S' AS side, strftime(filed_date, '%m/%d/%Y') AS traded, '$1,001 - $15,000' AS band FROM filing WHERE status = 'P'")
+def f27(d):
+    day = F.date_format("filed_date", "MM/dd/yyyy")
+    found = S.row_anchor(F.concat(F.lit("Acme Corp (ACM) [ST] S (partial) "), day, F.lit(" "), day, F.lit(" $1,001 - $15,000")))
+    return d.filing.where("status = 'P'").select("id", found["side"].alias("side"), found["traded"].alias("traded"), found["band"].alias("band"))
+
+
+@query("f28_date_range", "SELECT id, filed_date AS first_day, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN filed_date WHEN CAST(id AS BIGINT) % 3 = 1 THEN CAST(filed_date + INTERVAL 9 DAY AS DATE) END AS last_day FROM filing")
+def f28(d):
+    day = lambda c: F.date_format(c, "yyyy/MM/dd")
+    n = F.col("id").cast("long") % 3
+    first, last = S.date_range(F.when(n == 0, day("filed_date")).when(n == 1, F.concat(day("filed_date"), F.lit(" – "), day(F.date_add("filed_date", 9)))).otherwise(F.concat(day("filed_date"), F.lit(" — later"))))
+    return d.filing.select("id", first.alias("first_day"), last.alias("last_day"))
+
+
+@query("f32_band_parser", "SELECT id, CASE WHEN low_cents <= high_cents AND ordinal % 4 <> 0 THEN low_cents END AS low, CASE WHEN low_cents <= high_cents AND ordinal % 4 <> 0 THEN high_cents END AS high FROM line WHERE low_cents IS NOT NULL AND high_cents IS NOT NULL")
+def f32(d):
+    money = lambda c: F.concat(F.lit("$"), F.format_number((F.col(c) / 100).cast("decimal(16,2)"), 2))
+    raw = F.when(F.col("ordinal") % 4 == 0, F.concat(money("low_cents"), F.lit(" to "), money("high_cents"))).otherwise(F.concat(money("low_cents"), F.lit(" - "), money("high_cents")))
+    low, high = S.parsed_band(raw)
+    return d.line.where("low_cents IS NOT NULL AND high_cents IS NOT NULL").select("id", low.alias("low"), high.alias("high"))

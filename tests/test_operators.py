@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statera.functions import scalar as S
-from statera.operators import aggregates, chains, filters, idempotent, paging, trust, windows
+from statera.operators import aggregates, chains, exports, filters, idempotent, paging, trust, windows
 from statera.sources import adapters, scans
 
 
@@ -160,3 +160,29 @@ def test_listed_fields(spark):
     page = "<h2>Gifts</h2><dl><dt>From</dt><dd>A  B</dd></dl><h2>Posts</h2><ul><li>Chair</li></ul>"
     rows = spark.createDataFrame([(page,)], "t string").select(F.explode(scans.listed_fields("t")).alias("f")).select("f.*").collect()
     assert [tuple(r) for r in rows] == [("Gifts", "From", "A B"), ("Posts", None, "Chair")]
+
+
+def test_exports_read_back(spark, tmp_path):
+    import gzip
+    import hashlib
+    import json
+
+    rows = spark.createDataFrame([("a", None, 1, {"k": "v"}), ("b", "x,y", 2, None)], "id string, note string, n int, details map<string,string>")
+    rows = rows.withColumn("money", F.lit("1.50").cast("decimal(16,2)")).withColumn("at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    exports.export_csv(rows.coalesce(1), f"file://{tmp_path}/csv")
+    (file,) = (tmp_path / "csv").glob("part-*")
+    assert gzip.decompress(file.read_bytes()).decode().splitlines()[1].startswith('a,,1,"{\\"k\\":\\"v\\"}",1.50,2024-01-02T03:04:05')
+    exports.export_jsonl(rows.coalesce(1), f"file://{tmp_path}/json")
+    (lines,) = (tmp_path / "json").glob("part-*")
+    first = json.loads(gzip.decompress(lines.read_bytes()).decode().splitlines()[0])
+    assert first["money"] == "1.50" and first["note"] is None and first["details"] == {"k": "v"}
+    listed = exports.manifest(spark, f"file://{tmp_path}/csv", "2024-01-01", "CC0").collect()
+    assert [(r.name, r.bytes, r.sha256) for r in listed] == [(file.name, file.stat().st_size, hashlib.sha256(file.read_bytes()).hexdigest())]
+
+
+def test_signature_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    found = spark.createDataFrame([("payload é",)], "p string").select(exports.signed(F.col("p"), "secret")).collect()[0][0]
+    assert found == hmac.new(b"secret", "payload é".encode(), hashlib.sha256).hexdigest()
