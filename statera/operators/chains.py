@@ -10,7 +10,7 @@ MAX_DEPTH = 1000
 
 def chain_up(records: DataFrame, starts: DataFrame) -> DataFrame:
     """(start_id, id, depth) of every record that the starts supersede, directly or through others, themselves at depth 0."""
-    links = records.select("id", "supersedes_record_id")
+    links = records.select("id", "supersedes_record_id").cache()  # read once a level; two narrow columns, spilled where large
     return records.sparkSession.sql(
         f"""WITH RECURSIVE up(start_id, id, parent, depth) MAX RECURSION LEVEL {MAX_DEPTH} AS (
               SELECT l.id, l.id, l.supersedes_record_id, 0 FROM {{links}} l JOIN {{starts}} s ON l.id = s.id
@@ -24,7 +24,7 @@ def chain_up(records: DataFrame, starts: DataFrame) -> DataFrame:
 
 def chain_down(records: DataFrame, starts: DataFrame) -> DataFrame:
     """(start_id, id, depth) of every record that supersedes a start, directly or through others; branches are followed."""
-    links = records.where("supersedes_record_id IS NOT NULL").select("id", "supersedes_record_id")
+    links = records.where("supersedes_record_id IS NOT NULL").select("id", "supersedes_record_id").cache()  # as in chain_up
     return records.sparkSession.sql(
         f"""WITH RECURSIVE down(start_id, id, depth) MAX RECURSION LEVEL {MAX_DEPTH} AS (
               SELECT s.id, s.id, 0 FROM {{starts}} s
