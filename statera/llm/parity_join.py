@@ -14,7 +14,7 @@ with the smallest of them as candidates (a star, not all pairs); candidates whos
 exactly on their shingle sets.  Slices whose texts are then not all in one component are taken up again, large ones in
 blocks: only members of different components whose sketches are within D become candidates and are verified too.  So
 components are those of all links.  Copies of one text are linked to the smallest of them by digest; each task that
-reads texts emits a text once, however many copies it holds.
+reads texts emits a text once, under a key of the text that all its copies share, however many copies it holds.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing, not even each other; fewer than
 five words form one shingle; rows that share a ``doc_id`` are one node of the graph (a null ``doc_id`` too, its
@@ -106,47 +106,53 @@ def parity_sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("keys", "ids", "who", "sizes", "sketches")]])
-_PACKED_DDL = "bucket int, keys binary, ids binary, who binary, sizes binary, sketches binary"
+_PACKED = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("keys", "ids", "texts", "who", "sizes", "sketches")]])
+_PACKED_DDL = "bucket int, keys binary, ids binary, texts binary, who binary, sizes binary, sketches binary"
 
 
 def _emit(n_buckets: int, width: int):
     def run(batches):
-        keys, ids, who, sizes, sketches = [], [], [], [], []
+        keys, ids, texts, who, sizes, sketches = [], [], [], [], [], []
 
         def flush():
             k = np.concatenate([np.zeros(0, np.uint64), *keys])
-            i = np.repeat(np.array(ids, np.int64), [len(x) for x in keys])
+            i, t = (np.repeat(np.array(x, np.int64), [len(x) for x in keys]) for x in (ids, texts))
             bucket = (((k >> _U(32)) * _U(n_buckets)) >> _U(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            k, i, cuts = k[order], i[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            k, i, t, cuts = k[order], i[order], t[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            # a text's size and sketch go to the bucket of its key, where those from other tasks meet them
+            w, n = np.array(who, np.int64), np.array(sizes, np.int64)
+            own_bucket = (((w.view(np.uint64) >> _U(32)) * _U(n_buckets)) >> _U(32)).astype(np.int32)
+            own_order = np.argsort(own_bucket, kind="stable")
+            own_cuts = np.searchsorted(own_bucket[own_order], np.arange(n_buckets + 1))
             rows = []
             for b in range(n_buckets):
-                own = slice(b, None, n_buckets)  # a text's size and sketch go to any one bucket
-                if cuts[b] < cuts[b + 1] or who[own]:
+                own = own_order[own_cuts[b] : own_cuts[b + 1]]
+                if cuts[b] < cuts[b + 1] or len(own):
                     part = slice(cuts[b], cuts[b + 1])
-                    rows.append((b, k[part].tobytes(), i[part].tobytes(), np.array(who[own], np.int64).tobytes(), np.array(sizes[own], np.int64).tobytes(), b"".join(sketches[own])))
-            for held in (keys, ids, who, sizes, sketches):
+                    rows.append((b, k[part].tobytes(), i[part].tobytes(), t[part].tobytes(), w[own].tobytes(), n[own].tobytes(), b"".join(sketches[j] for j in own.tolist())))
+            for held in (keys, ids, texts, who, sizes, sketches):
                 held.clear()
             for lo in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[lo : lo + 64]), _PACKED)], schema=_PACKED)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 64]), _PACKED)], schema=_PACKED)
 
         held, seen = 0, set()
         for batch in batches:
             new = []
-            for x in batch.column(2).to_pylist():
+            for x in batch.column(3).to_pylist():
                 new.append(x not in seen)
                 seen.add(x)
             batch = batch.filter(pa.array(new, pa.bool_()))
-            for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
+            for doc, key, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), width)):
                 size = len(shingles)
-                who.append(doc)
+                who.append(key)
                 sizes.append(size)
                 sketches.append(parity_sketch(shingles, sketch_bits(size)).tobytes())
                 for scheme, m, needed in schemes(size):
                     keys.append(emitted(shingles, scheme, m, needed))
                     ids.append(doc)
-                    held += 16 * needed
+                    texts.append(key)
+                    held += 24 * needed
                 if held > FLUSH_BYTES:
                     yield from flush()
                     held = 0
@@ -160,24 +166,29 @@ _MET_DDL = "kind byte, a long, b long, sketch binary"
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """Kind 0: (doc, set size, sketch). 1: candidate (smallest doc of a slice, other doc). 2: (group, doc) of slices with three docs or more."""
+    """Kind 0: (text, set size, sketch). 1: candidate (smallest text of a slice, other text). 2: (group, text) of slices with three texts or more."""
     joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table[c].to_pylist())])
-    keys, ids, who, sizes = joined("keys", np.uint64), joined("ids", np.int64), joined("who", np.int64), joined("sizes", np.int64)
+    keys, ids, texts, who, sizes = joined("keys", np.uint64), *(joined(c, np.int64) for c in ("ids", "texts", "who", "sizes"))
     ends = np.cumsum([sketch_bits(n) // 8 for n in sizes.tolist()], dtype=np.int64)
     raw = b"".join(table["sketches"].to_pylist())
     sketches = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    once = list(dict(zip(zip(who.tolist(), sketches), range(len(who)))).values())  # tasks that read copies send the same
+    who, sizes, sketches = who[once], sizes[once], [sketches[k] for k in once]
     order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
+    keys, ids, texts = keys[order], ids[order], texts[order]
     run = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     length = np.diff(np.append(run, len(keys)))
     many = np.repeat(length > 1, length)
-    keys, ids = keys[many], ids[many]
+    keys, ids, texts = keys[many], ids[many], texts[many]
     stars = groups = np.zeros((0, 2), np.int64)
     if len(keys):
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
-        keys, ids = keys[new], ids[new]
+        # each text once, with the smallest id that a task met it under; then by that id: originals tend to come first
+        order = np.lexsort((ids, texts, keys))
+        keys, ids, texts = keys[order], ids[order], texts[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])))
+        keys, ids, texts = keys[new], ids[new], texts[new]
+        order = np.lexsort((texts, ids, keys))
+        keys, ids = keys[order], texts[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         length = np.diff(np.append(first, len(keys)))
         lead = np.repeat(ids[first], length)
@@ -274,15 +285,18 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # aggregates are stored before they are joined: a digest with very many copies then is a skewed join that Spark splits
     heads = shared.stored(narrow.where("words").groupBy("digest").agg(F.min("id").alias("head")), "heads")
     copies = shared.stored(narrow.where("words").join(heads, "digest").where("id != head").select("id", "head"), "copies")
-    packed = whole.where(F.col("text").rlike(shared.WORD)).mapInArrow(_emit(n_buckets, width), _PACKED_DDL)
+    # a text's key stands for it until the smallest of its copies does: what a task reads first need not be that one
+    keys = shared.stored(heads.select(F.xxhash64("digest").alias("key"), "digest", "head"), "keys")
+    packed = whole.where(F.col("text").rlike(shared.WORD)).select("id", F.xxhash64("digest").alias("key"), "text", "digest").mapInArrow(_emit(n_buckets, width), _PACKED_DDL)
     met = shared.stored(packed.groupBy("bucket").applyInArrow(_met, _MET_DDL), "met")
-    sketches = met.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("size"), "sketch")
-    # tasks emit copies of one another under their own ids; the smallest stands for all of them
-    head_of = copies.groupBy("id").agg(F.min("head").alias("head"))
+    texts_met = met.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("size"), "sketch").join(keys, "key")
+    texts_met = shared.stored(texts_met, "sketches")
+    sketches = texts_met.select(F.col("head").alias("id"), "size", "sketch")
+    sizes = shared.stored(texts_met.groupBy("digest").agg(F.max("size").alias("size")), "sizes")
 
     def to_heads(rows: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
-            rows = rows.join(head_of.select(F.col("id").alias(c), "head"), c, "left").withColumn(c, F.coalesce("head", c)).drop("head")
+            rows = rows.join(keys.select(F.col("key").alias(c), "head"), c).withColumn(c, F.col("head")).drop("head")
         return rows
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -321,7 +335,6 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         near = members.groupBy("bucket").applyInArrow(_near(percent), "a long, b long").distinct()
         label = components(links.union(same).union(linked(near)))
 
-    sizes = shared.stored(sketches.join(narrow, "id").groupBy("digest").agg(F.max("size").alias("size")), "sizes")
     out = narrow.join(sizes, "digest", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
     out = out.select("id", F.when(F.col("words"), F.col("size")).otherwise(0).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

@@ -66,6 +66,20 @@ def test_parity_join_at_the_threshold(spark):
     assert 40 < len(set(want.values())) < 360
 
 
+def test_parity_join_reads_copies_out_of_id_order(spark):
+    """A task meets larger ids first, and ids that stand for several texts."""
+    w = prose(41, 80).split(" ")
+    near, other = " ".join(w[:40] + ["x"] + w[41:]), prose(42, 90)
+    v = other.split(" ")
+    rows = [(700, " ".join(w)), (300, " ".join(w)), (500, near)]
+    rows += [(950, other), (950, prose(43, 30)), (900, " ".join(v[:50] + ["y"] + v[51:])), (800, prose(43, 30)), (920, other), (850, "one two three")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = parity_join.classes(frame).collect()
+    want = classes(rows)
+    assert want[500] == 300 and want[900] == 800
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted((i, len(shingles(t)), want[i]) for i, t in rows)
+
+
 def test_sketch_distance_is_a_lower_bound():
     r = np.random.default_rng(3)
     for _ in range(50):
