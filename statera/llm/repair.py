@@ -172,7 +172,7 @@ class Encoder:
     The byte-level tokenizer splits a text before each white space that stands alone between other characters, and
     between a Latin letter or ASCII digit and the ASCII punctuation that follows.  Pieces between such
     places are known by a 64-bit hash of their bytes in an open-addressing table; unknown ones are encoded, joined to
-    one text, and their ids kept.  Texts with other white space are encoded whole.
+    one text, and their ids kept.  Texts with other white space or with an added token's content are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -180,7 +180,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values() if token.content]
         self.tokenizer.model._resize_cache(0)  # pieces that it sees are new by construction
         # in a byte-level vocabulary a character stands for a byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(True), np.int64)
@@ -194,6 +194,16 @@ class Encoder:
         self.spans = np.zeros(1 << 18, np.int64)  # begin << 20 | ids, of each piece
         self.uses = np.zeros(0, np.uint8)  # blocks of texts that had the piece, up to 2
 
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Numbers of the texts that hold the content of an added token (or seem to, across the end of a text)."""
+        raw, found = data.tobytes(), []
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                found.append(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = raw.find(content, at + 1)
+        return found
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of pieces by hash, -1 for unknown ones."""
         out = np.full(len(h), -1, np.int32)
@@ -269,6 +279,7 @@ class Encoder:
         if self.known > PIECES:
             self._shrink()
         odd = odd_texts(data, offsets) | (np.diff(offsets) >= 1 << 20)  # a piece must have fewer ids than that
+        odd[self._with_added(data, offsets)] = True
         whole = [bytes(data[offsets[k] : offsets[k + 1]]).decode() for k in np.flatnonzero(odd)]
         whole = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else []
         begins = piece_starts(data, offsets)

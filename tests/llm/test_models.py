@@ -15,6 +15,7 @@ from statera.llm.textblocks import flat
 from .conftest import prose
 
 tokenizers = pytest.importorskip("public_tokenizers")
+tokenizers_library = pytest.importorskip("tokenizers")
 SF = "/root/testdata/sf0.001"
 
 
@@ -36,6 +37,15 @@ def test_encoder_equals_whole_texts(encoder):
     assert (encoder(data, offsets)[0] == ids).all()
 
 
+def test_encoder_equals_the_tokenizer_as_loaded(encoder):
+    loaded = tokenizers_library.Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", "a <|endoftext|> b", "plain", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "a <|endoftext", "|> b", "end <|endoftext|>"]
+    ids, at = encoder(*flat(pa.array(texts)))
+    found = [ids[at[k] : at[k + 1] - 1].tolist() for k in range(len(texts))]
+    assert found == [loaded.encode(t, add_special_tokens=False).ids for t in texts]
+    assert found[1] == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("least", [2, 5, 1000])
 def test_compression_round_trip(least):
     r = np.random.default_rng(least)
