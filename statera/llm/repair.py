@@ -38,8 +38,7 @@ from .textblocks import BYTE_CODE, blocks, flat, mix, powers
 END = 0
 BASE = 1 << 17  # the first symbol of a rule; every vocabulary here is smaller
 SHARD_TOKENS = 1 << 19
-ROUNDS = 10
-LEAST = 256  # a pair is replaced while it occurs so often in a shard
+LEAST = 128  # a pair is replaced while it occurs so often in a shard
 HASH_BITS = 16
 PIECES = 1_500_000
 SLOT_BITS = 22
@@ -50,17 +49,17 @@ _U = np.uint64
 SHARD_DDL = "shard int, part int, symbols binary, rules binary, lengths binary, docs array<struct<doc_id:long,n_tokens:long>>"
 
 
-def compress(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths) of a sequence of ids below BASE.
 
     Pairs are counted by a hash small enough for the cache.  Of pairs that share a slot, the one met last stands for it
-    and is counted by itself before it is replaced; the others wait for a round in which the symbols have changed.
+    and is counted by itself before it is replaced; the others wait for a round in which the symbols have changed.  Once
+    such a round finds nothing, the pairs of the full slots are counted exactly, until none is frequent.
     """
     seq = ids.astype(np.uint32)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
+    exact = False
+    while len(seq) > least:
         slot = seq[:-1] * np.uint32(0x9E3779B1)
         slot += seq[1:] * np.uint32(0x85EBCA77)
         slot >>= np.uint32(32 - HASH_BITS)
@@ -69,35 +68,44 @@ def compress(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> tuple
         hot = np.flatnonzero(seen >= least)
         if not len(hot):
             break
-        # any occurrence tells what a slot stands for; a frequent pair is nearly always met early
-        one = np.full(1 << HASH_BITS, -1, np.int32)
-        early = min(len(slot), 1 << HASH_BITS)
-        one[slot[:early]] = np.arange(early, dtype=np.int32)
-        if (one[hot] < 0).any():
-            one[slot[early:]] = np.arange(early, len(slot), dtype=np.int32)
-        left, right, weight = seq[one[hot]], seq[one[hot] + 1], seen[hot]
-        # a symbol takes the side on which its frequent pairs weigh more
-        top = int(max(left.max(), right.max())) + 1
-        leans = np.bincount(left, weight, top) >= np.bincount(right, weight, top)
-        take = leans[left] & ~leans[right]
-        equal = not take.any()
-        if equal:  # every frequent pair has both symbols on one side: the most frequent goes, leftmost occurrences first
-            take[weight.argmax()] = True
-        hot, left, right = hot[take], left[take], right[take]
-        rule_of = np.full(1 << HASH_BITS, -1, np.int32)
-        rule_of[hot] = np.arange(len(hot), dtype=np.int32)
-        rule = rule_of[slot]
-        where = np.flatnonzero(rule >= 0)
-        rule = rule[where]
-        true = (seq[where] == left[rule]) & (seq[where + 1] == right[rule])
-        where, rule = where[true], rule[true]
-        often = np.bincount(rule, minlength=len(left)) >= least
-        if not often.any():
-            break
-        if not often.all():
-            true = often[rule]
-            where, rule = where[true], (np.cumsum(often) - 1)[rule[true]]
-            left, right = left[often], right[often]
+        if exact:
+            full = np.flatnonzero((seen >= least)[slot])
+            pair = (seq[full].astype(np.uint64) << _U(32)) | seq[full + 1]
+            found, of, weight = np.unique(pair, return_inverse=True, return_counts=True)
+            often = weight >= least
+            if not often.any():
+                break
+            left, right, weight = (found[often] >> _U(32)).astype(np.uint32), found[often].astype(np.uint32), weight[often]
+            take, equal = _sides(left, right, weight)
+            rule_of = np.full(len(found), -1, np.int32)
+            rule_of[np.flatnonzero(often)[take]] = np.arange(int(take.sum()), dtype=np.int32)
+            left, right, rule = left[take], right[take], rule_of[of]
+            where, rule = full[rule >= 0], rule[rule >= 0]
+        else:
+            # any occurrence tells what a slot stands for; a frequent pair is nearly always met early
+            one = np.full(1 << HASH_BITS, -1, np.int32)
+            early = min(len(slot), 1 << HASH_BITS)
+            one[slot[:early]] = np.arange(early, dtype=np.int32)
+            if (one[hot] < 0).any():
+                one[slot[early:]] = np.arange(early, len(slot), dtype=np.int32)
+            left, right, weight = seq[one[hot]], seq[one[hot] + 1], seen[hot]
+            take, equal = _sides(left, right, weight)
+            hot, left, right = hot[take], left[take], right[take]
+            rule_of = np.full(1 << HASH_BITS, -1, np.int32)
+            rule_of[hot] = np.arange(len(hot), dtype=np.int32)
+            rule = rule_of[slot]
+            where = np.flatnonzero(rule >= 0)
+            rule = rule[where]
+            true = (seq[where] == left[rule]) & (seq[where + 1] == right[rule])
+            where, rule = where[true], rule[true]
+            often = np.bincount(rule, minlength=len(left)) >= least
+            if not often.any():
+                exact = True
+                continue
+            if not often.all():
+                true = often[rule]
+                where, rule = where[true], (np.cumsum(often) - 1)[rule[true]]
+                left, right = left[often], right[often]
         if equal and left[0] == right[0]:
             step = np.arange(len(where))
             run = step - np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, step, 0))
@@ -111,6 +119,17 @@ def compress(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> tuple
     return seq, np.concatenate(rules), lengths
 
 
+def _sides(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Which pairs can be taken together, and whether there is but one: a symbol takes the side on which its pairs weigh more."""
+    top = int(max(left.max(), right.max())) + 1
+    leans = np.bincount(left, weight, top) >= np.bincount(right, weight, top)
+    take = leans[left] & ~leans[right]
+    equal = not take.any()
+    if equal:  # every frequent pair has both symbols on one side: the most frequent goes, leftmost occurrences first
+        take[weight.argmax()] = True
+    return take, equal
+
+
 def expansion(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """How many ids each symbol stands for."""
     out = np.ones(len(symbols), np.uint32)

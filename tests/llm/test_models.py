@@ -60,6 +60,18 @@ def test_compression_round_trip(least):
             assert len(symbols) < 30
 
 
+@pytest.mark.parametrize("least", [4, 64, repair.LEAST])
+def test_compression_leaves_no_frequent_pair(least):
+    r = np.random.default_rng(least)
+    passages = [r.integers(0, 50_000, int(r.integers(5, 60))) for _ in range(6)]
+    for ids in (np.concatenate([passages[k] for k in r.integers(0, 6, 6 * least)]), r.integers(0, 12, 100 * least), np.zeros(5000, int), np.tile([1, 2], least)):
+        ids = ids.astype(np.uint32)
+        symbols, rules, lengths = repair.compress(ids, least)
+        assert (repair.expand(symbols, rules, lengths) == ids).all()
+        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        assert not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < least
+
+
 def test_shards(spark, docs, texts, none, encoder):
     path = shared.new_path(spark, "ids")
     repair.write(docs, path, tokenizers.path("byte_bpe_50k.json"), 3)
