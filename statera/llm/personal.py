@@ -37,6 +37,8 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _S, _W = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
+#: the last two words of a text
+LAST_TWO = rf"(?<!{_W})(?:{_W}++{_S}++)?{_W}++{_S}*+\z"
 LOOKS = rf"(?<!{_W}){_W}*?[0-9@]{_W}*+"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -67,11 +69,11 @@ BASE = (
 )
 
 
-def _walk(text: Column, pattern: str, may: Column, kind: str, add) -> Column:
+def _walk(text: Column, pattern: str, may: Column, kind: str, add, more=lambda found, gaps, i: ()) -> Column:
     """add(found, start, match, gap before, number) folded over the matches; empty where the text may have none."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"), F.get(gaps, i + 1).alias("n")))
+    steps = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"), F.get(gaps, i + 1).alias("n"), *more(found, gaps, i)))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -98,12 +100,19 @@ WORDS = "array<struct<start:int,word:string,before:string,after:string>>"
 
 
 def identifier_words(text: Column) -> Column:
-    """Words with a digit or an at sign: start, word, the text between it and the neighbouring ones (at most 80 characters)."""
+    """Words with a digit or an at sign: start, word, the two words before it, whatever they hold, and the character after it."""
+
+    def before(found, gaps, i):
+        # a gap has words without digits only, so the two words are in these four pieces
+        last = lambda k: F.regexp_extract(F.coalesce(F.get(gaps, k), F.lit("")), LAST_TWO, 0)
+        space = lambda k: F.regexp_extract(F.coalesce(F.get(gaps, k), F.lit("")), rf"^{_S}*+", 0)
+        word = lambda k: F.coalesce(F.get(found, k), F.lit(""))
+        return (F.concat(word(i - 2), space(i - 1), last(i - 1), word(i - 1), space(i), last(i)).alias("b"),)
 
     def add(out, begin, s):
-        return F.array_append(out, F.struct(begin.alias("start"), s["m"].alias("word"), F.right(s["g"], F.lit(80)).alias("before"), F.left(s["n"], F.lit(1)).alias("after")))
+        return F.array_append(out, F.struct(begin.alias("start"), s["m"].alias("word"), F.regexp_extract(s["b"], LAST_TWO, 0).alias("before"), F.left(s["n"], F.lit(1)).alias("after")))
 
-    return _walk(text, LOOKS, text.rlike("[0-9@]"), WORDS, add)
+    return _walk(text, LOOKS, text.rlike("[0-9@]"), WORDS, add, before)
 
 
 def _shape(word: Column) -> Column:
@@ -117,16 +126,14 @@ def instances(found: DataFrame) -> DataFrame:
     w = found.select("row_id", "base", F.explode("words").alias("w")).select("row_id", "base", "w.*")
     core = F.regexp_extract("word", r"^[^A-Za-z0-9+@]*(.*?)[^A-Za-z0-9]*$", 1)
     lead = F.char_length(F.regexp_extract("word", r"^([^A-Za-z0-9+@]*)", 1))
-    w = w.select("row_id", "base", (F.col("start") + lead).cast("int").alias("start"), core.alias("instance"), F.lower(F.rtrim("before")).alias("before"))
+    w = w.select("row_id", "base", (F.col("start") + lead).cast("int").alias("start"), core.alias("instance"), F.lower(F.regexp_replace("before", rf"{_S}++\z", "")).alias("before"))
     w = w.where("instance != ''").withColumn("end", (F.col("start") + F.char_length("instance")).cast("int"))
     begins = F.exists("base", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end")))
     inside = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     first = F.regexp_extract("before", rf"({_W}+)$", 1)
     two = F.regexp_extract("before", rf"({_W}+{_S}+{_W}+)$", 1)
     keys = F.array(F.when(two != "", F.concat(F.lit("2 "), two)), F.when(first != "", F.concat_ws(" ", F.lit("1"), first, _shape(F.col("instance")))))
-    w = w.where(begins | ~inside).select("row_id", "start", "end", "instance", F.array_compact(keys).alias("patterns"), begins.alias("seed"))
-    digits = F.char_length(F.regexp_replace("instance", "[^0-9]", ""))
-    return w.where(F.col("seed") | ((digits >= 4) & (F.char_length("instance") >= 6)))
+    return w.where(begins | ~inside).select("row_id", "start", "end", "instance", F.array_compact(keys).alias("patterns"), begins.alias("seed"))
 
 
 def patterns(words: DataFrame, rounds: int = ROUNDS) -> DataFrame:

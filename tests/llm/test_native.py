@@ -124,6 +124,25 @@ def test_personal_discovers(spark):
     assert found[100] == [(31, 41)] and found[101] == [] and not any(found[k] for k in range(12))
 
 
+def test_personal_discovers_in_lists_and_short_identifiers(spark):
+    seeds = [(k, f"room {k} for user{k}@mail{k}.example.com today") for k in range(12)] + [(20 + k, f"id 7 then 8 user{k}@mail{k}.example.org") for k in range(12)]
+    filler = "word " * 40
+    new = [(100, "7 then 8 jdoe@corp"), (101, "7 then 8 A1"), (102, "7 then 8 48213 x"), (103, "12345678 87654321 2024-05-01 AB-123"), (104, "unrelated words A1"), (105, filler + "then 8 B-7")]
+    frame = spark.createDataFrame(seeds + new, "doc_id long, text string")
+    words = {r.doc_id: [(w.word, w.before) for w in r.w] for r in frame.select("doc_id", personal.identifier_words(F.col("text")).alias("w")).collect()}
+    assert words[103] == [("12345678", ""), ("87654321", "12345678 "), ("2024-05-01", "12345678 87654321 "), ("AB-123", "87654321 2024-05-01 ")]
+    assert words[101] == [("7", ""), ("8", "7 then "), ("A1", "then 8 ")]
+    found = {r.doc_id: [(s.start, s.end) for s in r.extra] for r in personal.find(frame).collect()}
+    assert found[101] == [(9, 11)] and found[102] == [(9, 14)] and found[104] == [] and found[105] == [(len(filler) + 7, len(filler) + 10)]
+    assert found[100] == [(9, 18)]
+
+
+def test_personal_context_of_long_words(spark):
+    text = "a" * 200 + "  \n" + "b" * 100 + "\t1\n\n2 " + "c" * 90 + " 3"
+    row = spark.createDataFrame([(text,)], "text string").select(personal.identifier_words(F.col("text")).alias("w")).collect()[0]
+    assert [w.before for w in row.w] == ["a" * 200 + "  \n" + "b" * 100 + "\t", "b" * 100 + "\t1\n\n", "2 " + "c" * 90 + " "]
+
+
 def test_listed(spark):
     row = spark.range(1).select(personal.listed(F.expr("array(named_struct('start', 3, 'kind', 2, 'end', 9))")).alias("x")).collect()
     assert row[0].x == "card:3:9"
