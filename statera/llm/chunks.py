@@ -3,8 +3,8 @@
 A gear hash rolls over the 32 bytes before each position; where its top bits are zero, and a character begins, a text
 may be cut, so cuts depend on content alone and an insertion moves only the chunks it touches.  Chunks have at least
 ``LEAST`` and at most ``MOST`` bytes.  Their 64-bit digests travel packed; the first chunk with a digest, by document
-and position, stays, later ones are repeats.  A document loses the runs of neighbouring repeats of at least ``RUN``
-bytes, so that a single short chunk that two texts share by chance is left alone.
+and position, stays, later ones are repeats.  A document loses all of them; ``RUN`` is the least length of a run of
+neighbouring repeats that goes, one byte.
 
 Defined results: null counts as empty, and an empty text has no chunk; a text shorter than ``LEAST`` is one chunk;
 order is by doc_id (null first), then CRC of the text, then position; rows that repeat both id and text are one
@@ -21,9 +21,9 @@ from . import shared, spread
 from .textblocks import BYTE_CODE, blocks, mix, powers
 
 WINDOW = 32
-TOP_BITS = 5
-LEAST, MOST = 24, 256
-RUN = 100
+TOP_BITS = 4
+LEAST, MOST = 16, 256
+RUN = 1
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 

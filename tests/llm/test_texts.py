@@ -195,6 +195,13 @@ def test_chunks(docs, texts, none):
     assert chunks.deduplicate(none).count() == 0
 
 
+def test_short_repeats_go(spark):
+    line = "all rights reserved by the owner of this page"
+    rows = [(1, "short text"), (2, "short text"), (3, line), (4, line), (5, line)]
+    found = {r.doc_id: r.kept for r in chunks.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: b"short text", 2: b"", 3: line.encode(), 4: b"", 5: b""}
+
+
 def test_insertion_moves_few_chunks():
     b = prose(5, 3000).encode()
     c = b[:7000] + b"inserted " + b[7000:]
