@@ -2,13 +2,12 @@
 
 A gear hash rolls over the 32 bytes before each position; where its top bits are zero, and a character begins, a text
 may be cut, so cuts depend on content alone and an insertion moves only the chunks it touches.  Chunks have at least
-``LEAST`` and at most ``MOST`` bytes.  Their 64-bit digests travel packed; the first chunk with a digest, by document
-and position, stays, later ones are repeats.  A document loses all of them; ``RUN`` is the least length of a run of
-neighbouring repeats that goes, one byte.
+``LEAST`` and at most ``MOST`` bytes.  Their 128-bit digests travel packed; the first chunk with a digest, by document
+and position, stays, later ones are repeats.  A document loses all of them, however short.
 
 Defined results: null counts as empty, and an empty text has no chunk; a text shorter than ``LEAST`` is one chunk;
-order is by doc_id (null first), then CRC of the text, then position; rows that repeat both id and text are one
-document and get equal results; an empty table gives an empty result; other columns are ignored.
+order is by doc_id (null first), then the number of the row (rows of one id are documents of their own, in the order
+in which they are read), then position; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import shared, spread
-from .textblocks import BYTE_CODE, blocks, mix, powers
+from .textblocks import blocks, mix
 
 WINDOW = 32
 TOP_BITS = 4
 LEAST, MOST = 16, 256
-RUN = 1
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -77,27 +75,24 @@ def starts(ends: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-COLUMNS = ("keys", "docs", "crcs", "places")
+COLUMNS = ("keys", "more", "docs", "rows", "places")
 
 
 def chunk_keys(data: np.ndarray, offsets: np.ndarray):
     """Digest (keys) and number (places) of every chunk of every text, and the n + 1 offsets of each text's chunks."""
     ends, at = cuts(data, offsets)
     begins = starts(ends, at, offsets)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=total[1:])
-    keys = mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
-    return {"keys": keys, "places": np.arange(len(ends)) - np.repeat(at[:-1], np.diff(at))}, at
+    keys, more = spread.digests(data.tobytes(), begins, ends)
+    return {"keys": keys, "more": more, "places": np.arange(len(ends)) - np.repeat(at[:-1], np.diff(at))}, at
 
 
 def split_repeats(e: spread.Arrays) -> tuple[spread.Arrays, spread.Arrays]:
-    """The first entry of each key, and the others but for repeats of the very same place."""
-    e = spread.take(e, np.lexsort((e["places"], e["crcs"], e["docs"], e["keys"])))
+    """The first entry of each digest (keys and more), and the others but for repeats of the very same place."""
+    e = spread.take(e, np.lexsort((e["places"], e["rows"], e["docs"], e["more"], e["keys"])))
     n = len(e["keys"])
-    new = np.concatenate((np.ones(min(1, n), bool), e["keys"][1:] != e["keys"][:-1]))
+    new = np.concatenate((np.ones(min(1, n), bool), (e["keys"][1:] != e["keys"][:-1]) | (e["more"][1:] != e["more"][:-1])))
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    again = (e["docs"] != e["docs"][head]) | (e["crcs"] != e["crcs"][head]) | (e["places"] != e["places"][head])
+    again = (e["rows"] != e["rows"][head]) | (e["places"] != e["places"][head])
     return spread.take(e, new), spread.take(e, again)
 
 
@@ -116,7 +111,7 @@ def _settle(n_buckets: int):
     return run
 
 
-def _remove(ids, texts, found) -> pa.Table:
+def _remove(ids, rows, texts, found) -> pa.Table:
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
     spans = []
     for lo, hi in blocks(offsets):
@@ -127,17 +122,17 @@ def _remove(ids, texts, found) -> pa.Table:
             a, b = at[k - lo], at[k - lo + 1]
             s, e = begins[a:b] - part[k - lo], ends[a:b] - part[k - lo]
             mark = np.zeros(b - a + 2, bool)
-            mark[found(ids[k], texts[k])["places"].astype(np.int64) + 1] = True
+            mark[found(rows[k])["places"].astype(np.int64) + 1] = True
             edge = np.flatnonzero(mark[1:] != mark[:-1])
-            spans.append([(int(s[x]), int(e[y - 1])) for x, y in zip(edge[::2], edge[1::2]) if e[y - 1] - s[x] >= RUN])
+            spans.append([(int(s[x]), int(e[y - 1])) for x, y in zip(edge[::2], edge[1::2])])
     return spread.without(ids, texts, spans)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges), kept (the rest of the text as UTF-8)."""
-    n = 4 * shared.shuffle_partitions(docs.sparkSession) | 1
-    found = spread.entries(docs, chunk_keys, _fold, n, COLUMNS).groupBy("bucket").applyInArrow(_settle(n), spread.ddl(COLUMNS))
-    return spread.to_documents(spread.with_texts(docs, found, n, _remove, spread.REMOVED, COLUMNS))
+    table, n = spread.numbered(docs)
+    found = spread.entries(table, chunk_keys, _fold, n, COLUMNS).groupBy("bucket").applyInArrow(_settle(n), spread.ddl(COLUMNS))
+    return spread.to_documents(spread.with_texts(table, found, n, _remove, spread.REMOVED, COLUMNS))
 
 
 def op9_gear_chunks(spark, sf_dir: str) -> DataFrame:

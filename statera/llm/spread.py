@@ -5,13 +5,12 @@ decided about documents is packed by a bucket of the document and meets the text
 every ``FLUSH_BYTES``, so their memory is bounded; before a flush, ``fold`` may settle entries that meet inside the
 task already, so that a key with a third of all entries reaches its bucket once a flush.
 
-A document is known by its doc_id and 16 bits of the CRC of its text: rows that repeat both are one document, rows
-that share an id but not the text are told apart.
+A document is a row: :func:`numbered` stores every row once under a number of its own, and entries carry that number
+beside the doc_id, so rows that share an id, or have none, never meet each other's entries.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,21 +19,39 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import xxhash
+
 from . import shared
 from .textblocks import blocks, flat
 
 FLUSH_BYTES = 48 << 20
+GROUP_BYTES = 4 << 20  # text of a bucket of documents; its entries take about as much
 NULL_ID = -(2**63)
 #: kinds of rows: those in BY_DOCUMENT are packed by document, all others by key
 MARK, ENTRY, ASK = 0, 1, 3
 BY_DOCUMENT = (MARK, ASK)
-TYPES = {"keys": np.uint64, "hashes": np.uint64, "docs": np.int64, "crcs": np.uint16, "places": np.uint32, "counts": np.uint8}
+TYPES = {"keys": np.uint64, "hashes": np.uint64, "more": np.uint64, "docs": np.int64, "rows": np.int64, "places": np.uint32, "counts": np.uint8}
 _U = np.uint64
 Arrays = dict[str, np.ndarray]
 
 
-def node(doc_id: str = "doc_id") -> Column:
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """A stored table (row, id, text, n_bytes) of all rows, and a number of buckets in which texts take some megabytes.
+
+    ``row`` is unique; ``id`` is doc_id, the least number for null; null texts are empty.
+    """
+    text = shared.whole_text()
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    table = shared.stored(docs.select(F.monotonically_increasing_id().alias("row"), id_.alias("id"), text.alias("text"), F.octet_length(text).alias("n_bytes")), "numbered")
+    total = table.agg(F.sum(F.col("n_bytes").cast("long"))).collect()[0][0] or 0
+    return table, max(shared.shuffle_partitions(docs.sparkSession), total // GROUP_BYTES) | 1
+
+
+def digests(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of slices, as two columns of 64 bits."""
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), stops.tolist())]), "<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def ddl(columns: tuple[str, ...]) -> str:
@@ -49,20 +66,20 @@ def of_key(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return (((keys >> _U(32)) * _U(n_buckets)) >> _U(32)).astype(np.int32)
 
 
-def of_doc(docs: np.ndarray, n_buckets: int) -> np.ndarray:
-    u = docs.view(np.uint64)
+def of_row(rows: np.ndarray, n_buckets: int) -> np.ndarray:
+    u = rows.view(np.uint64)
     return ((u ^ (u >> _U(17)) ^ (u >> _U(31))).view(np.int64) % n_buckets).astype(np.int32)
 
 
-def bucket_of(doc: str, n_buckets: int) -> Column:
-    """of_doc as a column."""
-    folded = F.col(doc).bitwiseXOR(F.shiftrightunsigned(doc, 17)).bitwiseXOR(F.shiftrightunsigned(doc, 31))
+def bucket_of(row: str, n_buckets: int) -> Column:
+    """of_row as a column."""
+    folded = F.col(row).bitwiseXOR(F.shiftrightunsigned(row, 17)).bitwiseXOR(F.shiftrightunsigned(row, 31))
     return F.pmod(folded, F.lit(n_buckets)).cast("int")
 
 
 def pack(kind: int, arrays: Arrays, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows for the buckets that have entries; a bucket's entries keep their order."""
-    bucket = of_doc(arrays["docs"], n_buckets) if kind in BY_DOCUMENT else of_key(arrays["keys"], n_buckets)
+    bucket = of_row(arrays["rows"], n_buckets) if kind in BY_DOCUMENT else of_key(arrays["keys"], n_buckets)
     order = np.argsort(bucket, kind="stable")
     found, first = np.unique(bucket[order], return_index=True)
     ends = np.append(first[1:], len(order))
@@ -85,11 +102,11 @@ def take(arrays: Arrays, which) -> Arrays:
     return {c: a[which] for c, a in arrays.items()}
 
 
-def entries(docs: DataFrame, find: Callable, fold: Callable, n_buckets: int, columns: tuple[str, ...]) -> DataFrame:
-    """Packed entries of every text.
+def entries(table: DataFrame, find: Callable, fold: Callable, n_buckets: int, columns: tuple[str, ...]) -> DataFrame:
+    """Packed entries of every text of a :func:`numbered` table.
 
     find(data, offsets) gets the bytes of some texts and their n + 1 offsets; it returns the arrays of their entries
-    without docs and crcs, and the n + 1 offsets of each text's entries.  fold(arrays) returns (kind, arrays) pairs.
+    without docs and rows, and the n + 1 offsets of each text's entries.  fold(arrays) returns (kind, arrays) pairs.
     """
 
     def run(batches):
@@ -103,14 +120,12 @@ def entries(docs: DataFrame, find: Callable, fold: Callable, n_buckets: int, col
 
         size = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            data, offsets = flat(batch.column(1))
+            rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = flat(batch.column(2))
             for lo, hi in blocks(offsets):
-                block, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                found, cuts = find(block, at)
-                raw, n = memoryview(block), np.diff(cuts)
-                crcs = np.array([zlib.crc32(raw[at[k] : at[k + 1]]) & 0xFFFF for k in range(hi - lo)], np.uint16)
-                held.append({**found, "docs": np.repeat(ids[lo:hi], n), "crcs": np.repeat(crcs, n)})
+                found, cuts = find(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                n = np.diff(cuts)
+                held.append({**found, "docs": np.repeat(ids[lo:hi], n), "rows": np.repeat(rows[lo:hi], n)})
                 size += sum(TYPES[c](0).nbytes for c in columns) * int(cuts[-1])
                 if size > FLUSH_BYTES:
                     yield from flush()
@@ -118,31 +133,29 @@ def entries(docs: DataFrame, find: Callable, fold: Callable, n_buckets: int, col
         if held:
             yield from flush()
 
-    return docs.select(node().alias("id"), shared.whole_text().alias("text")).mapInArrow(run, ddl(columns))
+    return table.select("row", "id", "text").mapInArrow(run, ddl(columns))
 
 
-def with_texts(docs: DataFrame, packed: DataFrame, n_buckets: int, apply: Callable, out: str, columns: tuple[str, ...]) -> DataFrame:
-    """apply(doc_ids, texts, found) for buckets of documents, where found(id, text) gives the arrays packed for it.
+def with_texts(table: DataFrame, packed: DataFrame, n_buckets: int, apply: Callable, out: str, columns: tuple[str, ...]) -> DataFrame:
+    """apply(doc_ids, rows, texts, found) for buckets of documents, where found(row) gives the arrays packed for it.
 
-    A bucket's documents and what was found in them meet in one task; documents are spread evenly by their ids.
+    A bucket's documents and what was found in them meet in one task; documents are spread evenly by their numbers.
     """
 
     def run(table: pa.Table, marks: pa.Table) -> pa.Table:
         m = unpack(marks, columns)
-        order = np.lexsort((m["places"], m["crcs"], m["docs"]))
-        m = take(m, order)
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), (m["docs"][1:] != m["docs"][:-1]) | (m["crcs"][1:] != m["crcs"][:-1]))))
-        ends = np.append(first[1:], len(order))
-        index = {(d, c): (int(a), int(b)) for d, c, a, b in zip(m["docs"][first].tolist(), m["crcs"][first].tolist(), first, ends)}
-
-        def found(doc: int, text: bytes) -> Arrays:
-            lo, hi = index.get((doc, zlib.crc32(text) & 0xFFFF), (0, 0))
+        m = take(m, np.lexsort((m["places"], m["rows"])))
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(m["rows"])), bool), m["rows"][1:] != m["rows"][:-1])))
+        ends = np.append(first[1:], len(m["rows"]))
+        index = dict(zip(m["rows"][first].tolist(), zip(first.tolist(), ends.tolist())))
+
+        def found(row: int) -> Arrays:
+            lo, hi = index.get(row, (0, 0))
             return {c: a[lo:hi] for c, a in m.items()}
 
-        return apply(table["id"].to_pylist(), table["text"].to_pylist(), found)
+        return apply(table["id"].to_pylist(), table["row"].to_pylist(), table["text"].to_pylist(), found)
 
-    texts = docs.select(node().alias("id"), shared.whole_text().cast("binary").alias("text"))
-    texts = texts.select(bucket_of("id", n_buckets).alias("bucket"), "id", "text")
+    texts = table.select(bucket_of("row", n_buckets).alias("bucket"), "row", "id", F.col("text").cast("binary").alias("text"))
     return texts.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(run, out)
 
 

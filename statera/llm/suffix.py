@@ -1,127 +1,159 @@
-"""Suffix arrays of many short strings at once by induced sorting, and their permuted common prefixes, in numpy.
+"""Suffix arrays of many strings at once by induced sorting, and their permuted common prefixes, in numpy.
 
 Strings are the rows ("lanes") of a matrix.  Suffix array construction by induced sorting is a scan that cannot be
 vectorised along a string, but lanes are independent, so each step of a scan handles one position of every lane.  Rows
 are padded in front with a symbol above all others; the suffixes that start there are dropped at the end.
+
+Inside, position ``i`` of lane ``k`` is number ``i * lanes + k``, so that a step of a scan reads neighbours in memory.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .textblocks import mix, powers
-
-_U = np.uint64
-
 
 def suffix_arrays(text: np.ndarray, n_symbols: int) -> np.ndarray:
     """Suffix arrays of all rows of ``text`` (symbols 1 .. n_symbols - 1, and 0 in the last column only)."""
-    lanes, n = text.shape
+    return np.ascontiguousarray(_suffix_arrays(np.ascontiguousarray(text.T), n_symbols).T)
+
+
+def _suffix_arrays(text: np.ndarray, n_symbols: int) -> np.ndarray:
+    n, lanes = text.shape
     if n == 1:
-        return np.zeros((lanes, 1), np.int32)
+        return np.zeros((1, lanes), np.int32)
     # classify: a suffix is small if it is less than the next one; equal symbols take the type of what follows
-    change = np.sign(text[:, 1:].astype(np.int32) - text[:, :-1])
-    at = np.where(change != 0, np.arange(n - 1, dtype=np.int32), n - 2)
-    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
-    small = np.ones((lanes, n), bool)
-    small[:, :-1] = np.take_along_axis(change, at, 1) > 0
-    lms = np.zeros((lanes, n), bool)
-    lms[:, 1:] = small[:, 1:] & ~small[:, :-1]
-    slot = (np.arange(lanes, dtype=np.int64) * n_symbols)[:, None] + text  # bucket of each position
-    size = np.bincount(slot.reshape(-1), minlength=lanes * n_symbols).reshape(lanes, n_symbols)
-    end = np.cumsum(size, axis=1)
-    base = (np.arange(lanes, dtype=np.int64) * n)[:, None]
-    tail, head = (end + base).reshape(-1), (end - size + base).reshape(-1)
-    flat_slot, flat_small = slot.reshape(-1), small.reshape(-1)
+    small = np.ones((n, lanes), bool)
+    for i in range(n - 2, -1, -1):
+        np.less(text[i], text[i + 1], out=small[i])
+        same = text[i] == text[i + 1]
+        small[i] |= same & small[i + 1]
+    lms = np.zeros((n, lanes), bool)
+    lms[1:] = small[1:] & ~small[:-1]
+    slot = (text.astype(np.int64) * lanes + np.arange(lanes)).reshape(-1)  # bucket of each position
+    size = np.bincount(slot, minlength=lanes * n_symbols).reshape(n_symbols, lanes)
+    end = np.cumsum(size, axis=0)
+    lane = np.arange(lanes)
+    tail, head = (end * lanes + lane).reshape(-1), ((end - size) * lanes + lane).reshape(-1)
     # the position before each one if it has the type in question, else -1; the last element answers for an empty slot
-    before = np.arange(-1, lanes * n, dtype=np.int64)
-    before[:-1:n] = before[-1] = -1
-    large_before, small_before = (np.where((before >= 0) & (np.append(flat_small, False)[before] == t), before, -1) for t in (False, True))
+    before = np.arange(-lanes, (n - 1) * lanes + 1, dtype=np.int64)
+    before[-1] = -1
+    large_before, small_before = before.copy(), before
+    large_before[:lanes] = small_before[:lanes] = -1
+    large_before[lanes:-1][small[:-1].reshape(-1)] = -1
+    small_before[lanes:-1][~small[:-1].reshape(-1)] = -1
 
-    def induced(row: np.ndarray, where: np.ndarray) -> np.ndarray:
-        """Sort all suffixes from leftmost-smaller ones given in order (lane and position, each lane ascending)."""
-        sa = np.full(lanes * n, -1, np.int64)
-        bucket = flat_slot[row * n + where]
+    def induced(at: np.ndarray) -> np.ndarray:
+        """Sort all suffixes from the leftmost-smaller ones, given in their order in each lane."""
+        sa = np.full(n * lanes, -1, np.int64)
+        bucket = slot[at]
         order = np.argsort(bucket, kind="stable")
         b = bucket[order]
         first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
         count = np.diff(np.append(first, len(b)))
         rank = np.arange(len(b)) - np.repeat(first, count)
-        sa[tail[b] - np.repeat(count, count) + rank] = (row * n + where)[order]
-        columns = np.arange(lanes, dtype=np.int64) * n
+        sa[tail[b] + (rank - np.repeat(count, count)) * lanes] = at[order]
+        rows = sa.reshape(n, lanes)
         place = head.copy()
-        for i in range(n):
-            p = large_before[sa[columns + i]]
+        for row in rows:
+            p = large_before[row]
             p = p[p >= 0]
-            s = flat_slot[p]
+            s = slot[p]
             to = place[s]
             sa[to] = p
-            place[s] = to + 1
+            to += lanes
+            place[s] = to
         place = tail.copy()
-        for i in range(n - 1, -1, -1):
-            p = small_before[sa[columns + i]]
+        for row in rows[::-1]:
+            p = small_before[row]
             p = p[p >= 0]
-            s = flat_slot[p]
-            to = place[s] - 1
+            s = slot[p]
+            to = place[s]
+            to -= lanes
             sa[to] = p
             place[s] = to
         return sa
 
-    row, where = np.nonzero(lms)
-    row, where = row.astype(np.int64), where.astype(np.int64)
-    sa = induced(row, where)
-    # name the leftmost-smaller substrings in the order found; equal ones, by hash and length, get one name
-    up, down = powers(n + 1)
-    code = mix(text.astype(np.uint64) * _U(2) + small)
-    total = np.zeros((lanes, n + 1), np.uint64)
-    np.cumsum(code * up[None, :n], axis=1, out=total[:, 1:])
+    # leftmost-smaller positions lane by lane, in text order
+    who, where = np.nonzero(lms.T)
+    sa = induced(where * lanes + who)
+    # in the order found, neighbours that are the same leftmost-smaller substring get one name
+    by_lane = np.flatnonzero(lms.reshape(-1)[sa])
+    by_lane = by_lane[np.argsort(by_lane % lanes, kind="stable")]
+    found = sa[by_lane]
     stop = np.append(where[1:], n - 1)
-    stop[np.append(row[1:] != row[:-1], True)] = n - 1
-    digest = np.zeros(lanes * n, np.uint64)
-    digest[row * n + where] = mix((total[row, stop + 1] - total[row, where]) * down[where] + (stop - where).astype(np.uint64))
-    sorted_lms = sa[lms.reshape(-1)[sa]]
-    lane = sorted_lms // n
-    new_lane = np.concatenate(([True], lane[1:] != lane[:-1]))
-    fresh = np.concatenate(([True], digest[sorted_lms][1:] != digest[sorted_lms][:-1])) | new_lane
-    name = np.cumsum(fresh) - 1
-    name -= np.repeat(name[new_lane], np.diff(np.append(np.flatnonzero(new_lane), len(lane))))
-    named = np.zeros(lanes * n, np.int64)
-    named[sorted_lms] = name
-    counts = np.bincount(row, minlength=lanes)
-    if name.max() + 1 < counts.max() or not fresh.all():
+    stop[np.append(who[1:] != who[:-1], True)] = n - 1
+    length = np.zeros(n * lanes, np.int32)
+    length[where * lanes + who] = stop - where
+    new = np.concatenate(([True], found[1:] % lanes != found[:-1] % lanes))
+    a, b = found[:-1], found[1:]
+    live = np.flatnonzero(~new[1:])
+    same = length[a[live]] == length[b[live]]
+    new[1:][live[~same]] = True
+    live = live[same]
+    flat = text.reshape(-1)
+    k = 0
+    while len(live):
+        # symbols alike, and neither the end nor unlike: the types of alike substrings are alike where their ends are
+        same = flat[a[live] + k * lanes] == flat[b[live] + k * lanes]
+        new[1:][live[~same]] = True
+        live = live[same]
+        k += 1
+        live = live[length[a[live]] >= k]
+    first = np.flatnonzero(np.concatenate(([True], found[1:] % lanes != found[:-1] % lanes)))
+    name = np.cumsum(new) - 1
+    name -= np.repeat(name[first], np.diff(np.append(first, len(found))))
+    if new.all():
+        sa = induced(found)  # all names differ, so their order is that of the suffixes
+    else:
+        named = np.zeros(n * lanes, np.int64)
+        named[found] = name
+        counts = np.bincount(who, minlength=lanes)
         m = int(counts.max())
         pad = m - counts
-        reduced = np.full((lanes, m), int(name.max()) + 1, np.int32)
-        column = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(pad, counts)
-        reduced[row, column] = named[row * n + where]
-        position = np.zeros((lanes, m), np.int64)
-        position[row, column] = where
-        inner = suffix_arrays(reduced, int(name.max()) + 2)
-        real = inner >= pad[:, None]
-        ordered = np.take_along_axis(position, inner.astype(np.int64), 1)[real]
-        order_row = np.repeat(np.arange(lanes, dtype=np.int64), counts)
-        sa = induced(order_row, ordered)
-    return (sa.reshape(lanes, n) - base).astype(np.int32)
+        top = int(name.max())
+        reduced = np.full((m, lanes), top + 1, np.int32)
+        place = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(pad, counts)
+        reduced[place, who] = named[where * lanes + who]
+        position = np.zeros((m, lanes), np.int64)
+        position[place, who] = where
+        inner = _suffix_arrays(reduced, top + 2)
+        real = (inner >= pad).T
+        ordered = np.take_along_axis(position, inner.astype(np.int64), 0).T[real]
+        sa = induced(ordered * lanes + np.repeat(lane, counts))
+    return (sa.reshape(n, lanes) // lanes).astype(np.int32)
 
 
-def common_prefix_at_least(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """In text order (permuted): whether the suffix and the one before it in its suffix array share ``length`` symbols.
+def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """In text order: how many symbols each suffix shares with the one before it in its suffix array.
 
-    ``text`` are bytes; suffixes with fewer symbols left share none.  Words of eight bytes are compared, and only the
-    pairs that are equal so far are compared further.
+    ``text`` are bytes and ``sa`` holds every position of a lane.  Where a suffix and its predecessor follow the same
+    symbol, it shares one symbol less than the suffix before it in the text (the linear recurrence), so only the others
+    are compared, word by word.
     """
     lanes, n = text.shape
-    out = np.zeros((lanes, n), bool)
-    if n < length:
-        return out
-    row = np.repeat(np.arange(lanes, dtype=np.int64) * n, n - 1)
-    here, before = sa[:, 1:].reshape(-1).astype(np.int64), sa[:, :-1].reshape(-1).astype(np.int64)
-    fits = np.maximum(here, before) + length <= n
-    here, before = (row + here)[fits], (row + before)[fits]
-    data = np.concatenate([text.reshape(-1), np.zeros(8, np.uint8)])
+    base = (np.arange(lanes, dtype=np.int64) * n)[:, None]
+    flat_sa = sa.astype(np.int64) + base
+    before = np.full(lanes * n, -1, np.int64)  # the predecessor of each position, none for the least suffix
+    before[flat_sa[:, 1:].reshape(-1)] = flat_sa[:, :-1].reshape(-1)
+    flat = text.reshape(-1)
+    here = np.arange(lanes * n, dtype=np.int64)
+    starts = here % n == 0
+    free = (before < 0) | starts | (before % n == 0) | (flat[here - 1] != flat[np.maximum(before - 1, 0)])
+    out = np.zeros(lanes * n, np.int64)
+    at = np.flatnonzero(free & (before >= 0))
+    data = np.concatenate([flat, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(data, 8)
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        same = (words[here + at] == words[before + at]).all(1)
-        here, before = here[same], before[same]
-    out.reshape(-1)[here] = True
-    return out
+    a, b = at, before[at]
+    room = n - np.maximum(a % n, b % n)
+    live = np.arange(len(at))
+    shared = np.zeros(len(at), np.int64)
+    while len(live):
+        x, y = words[a[live] + shared[live]].view("<u8")[:, 0], words[b[live] + shared[live]].view("<u8")[:, 0]
+        x ^= y
+        same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
+        shared[live] += same
+        live = live[(same == 8) & (shared[live] < room[live])]
+    out[at] = np.minimum(shared, room)
+    # the others: one less for each step from the last compared position
+    last = np.maximum.accumulate(np.where(free, here, 0))
+    return np.maximum(out[last] - (here - last), 0).reshape(lanes, n)

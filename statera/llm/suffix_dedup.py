@@ -2,24 +2,25 @@
 
 Two equal 100-byte strings have equal 32-byte strings of least hash at the same place inside (leftmost on ties).  That
 anchor names the only strings a given one can equal, so each text is cut into stretches of neighbouring 100-byte
-windows with one anchor, at most 69 windows a stretch, and stretches meet by their anchor's digest:
+windows with one anchor, at most 69 windows a stretch, and stretches are routed by their anchor's digest:
 
-1. Stretches travel as digests.  Of equal stretches (anchor, length and a 64-bit digest of all their bytes) all but the
-   first are repeats from end to end.  Of anchors with several different stretches, the first of each is asked for.
-2. The bytes asked for are fetched from the texts.  The stretches of an anchor form one shard string; suffix arrays of
-   all shards of a task are built by induced sorting (``suffix``), permuted common prefixes tell which neighbours share
-   100 bytes, and of the windows that are equal, the first stays.
+1. Stretches travel as places with digests of their bytes; those whose anchor no other stretch has are done.
+2. Of the others the bytes are fetched from the texts and laid side by side, anchor after anchor, in shards.  Suffix
+   arrays of all lanes of a shard are built by induced sorting (``suffix``), permuted common prefixes tell which
+   neighbours share 100 bytes, and of the windows that are equal, the first stays.
 3. A text loses the union of the repeated windows' bytes.
 
-Anchors with very many different stretches (a common line in ever new surroundings) would make one long shard.  Their
-windows are spread out instead, each by the digest of its own 100 bytes, and settled by sorting those digests.  Tasks
-that find an anchor in more than ``HOT`` different stretches among what they hold ask for its windows at once and send
-one marker to the anchor's bucket, upon which the other tasks' stretches of that anchor are spread as well.
+Anchors with more than ``whole`` bytes of stretches (many copies) send one stretch of each kind: those with equal
+128-bit digests of all their bytes are repeats from end to end.  Anchors with more than ``shard`` bytes of different
+stretches (a common line in ever new surroundings) have their windows routed one by one, by 128-bit digests of their
+100 bytes, and settled by sorting those.  Tasks that find an anchor in more than ``hot`` stretches among what they hold
+do both at once; where that leaves more than ``hot`` different ones, they send one marker to the anchor's bucket, upon
+which the other tasks' stretches of that anchor are spread as well.
 
 Defined results: texts are compared as UTF-8 bytes, nulls are empty, matches never cross texts, texts of fewer than
-100 bytes lose nothing; earlier means smaller doc_id (null first), then CRC of the text, then place; rows that repeat
-both id and text are one document and get equal results; what is left of a text may cut characters apart, so it is
-binary; an empty table gives an empty result; other columns are ignored.
+100 bytes lose nothing; earlier means smaller doc_id (null first), then number of the row (rows of one id, repeated
+ones too, are documents of their own, in the order in which they are read), then place; what is left of a text may cut
+characters apart, so it is binary; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,41 +28,32 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 from . import shared, spread
 from .chunks import gear_hash, split_repeats
-from .suffix import common_prefix_at_least, suffix_arrays
-from .textblocks import BYTE_CODE, mix, powers
+from .suffix import permuted_common_prefixes, suffix_arrays
 
 LENGTH = 100
 ANCHOR = 32
 WIDE = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 HOT = 64
-SHARD_BYTES = 2048
-COLUMNS = ("keys", "hashes", "docs", "crcs", "places", "counts")
+WHOLE_BYTES = 1024
+SHARD_BYTES = 4096
+LANES_BYTES = 1 << 20  # of the lanes that are sorted side by side
+COLUMNS = ("keys", "hashes", "more", "docs", "rows", "places", "counts")
 FETCHED = (*COLUMNS, "bytes")
 #: kinds besides spread.MARK (repeated windows) and spread.ENTRY (stretches); what is asked for is by document
 WINDOW, ASK, BYTES = 2, spread.ASK, 4
 _U = np.uint64
 
 
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * powers(len(data) + 1)[0][: len(data)], out=total[1:])
-    return total
-
-
-def digests(total: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return mix((total[stop] - total[start]) * powers(len(total))[1][start] + (stop - start).astype(np.uint64))
-
-
 def stretches(data: np.ndarray, offsets: np.ndarray):
-    """keys (of the anchor), hashes (of all bytes), places and counts of windows, and each text's offsets."""
+    """keys (of the anchor), hashes and more (of all bytes), places and counts of windows, and each text's offsets."""
     n = len(data)
-    none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return {"keys": none.astype(np.uint64), "hashes": none.astype(np.uint64), "places": none, "counts": none}, np.zeros(len(offsets), np.int64)
+        return {c: np.zeros(0, np.int64) for c in ("keys", "hashes", "more", "places", "counts")}, np.zeros(len(offsets), np.int64)
     # least hash and, in the low half, leftmost position of the anchors in each window, by doubling
     least = (gear_hash(data)[ANCHOR - 1 :].astype(np.uint64) << _U(32)) | np.arange(n - ANCHOR + 1, dtype=np.uint64)
     width = 1
@@ -78,11 +70,13 @@ def stretches(data: np.ndarray, offsets: np.ndarray):
     turn = np.concatenate(([True], anchor[1:] != anchor[:-1], [True]))
     first = np.flatnonzero(valid[1:-1] & (turn[:-1] | ~valid[:-2]))
     last = np.flatnonzero(valid[1:-1] & (turn[1:] | ~valid[2:]))
-    total = byte_sums(data)
     at = anchor[first]
     cuts = np.searchsorted(first, offsets)
     owner = np.repeat(offsets[:-1], np.diff(cuts))
-    return {"keys": digests(total, at, at + ANCHOR), "hashes": digests(total, first, last + LENGTH), "places": first - owner, "counts": last - first + 1}, cuts
+    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    keys = np.array([digest(raw[a : a + ANCHOR]) for a in at.tolist()], np.uint64)
+    hashes, more = spread.digests(raw, first, last + LENGTH)
+    return {"keys": keys, "hashes": hashes, "more": more, "places": first - owner, "counts": last - first + 1}, cuts
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,29 +85,36 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(values)))
 
 
-def by_anchor(e: spread.Arrays) -> tuple[spread.Arrays, spread.Arrays, np.ndarray]:
-    """First stretches of each kind and repeated ones (all their windows repeat); for the first, how many kinds share the anchor."""
-    e = spread.take(e, np.lexsort((e["places"], e["crcs"], e["docs"], e["counts"], e["hashes"], e["keys"])))
-    n = len(e["keys"])
-    new = np.ones(n, bool)
-    new[1:] = (e["keys"][1:] != e["keys"][:-1]) | (e["hashes"][1:] != e["hashes"][:-1]) | (e["counts"][1:] != e["counts"][:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    again = (e["docs"] != e["docs"][head]) | (e["crcs"] != e["crcs"][head]) | (e["places"] != e["places"][head])
-    heads = spread.take(e, new)
-    _, length = runs(heads["keys"])
-    return heads, spread.take(e, again), np.repeat(length, length)
+def by_anchor(e: spread.Arrays) -> tuple[spread.Arrays, np.ndarray]:
+    """Entries by anchor, equal stretches side by side in the order of the corpus; which are the first of their kind."""
+    order = np.argsort(e["keys"])
+    _, length = runs(e["keys"][order])
+    shared_by = np.repeat(length > 1, length)
+    some = order[shared_by]  # most anchors have one entry and need no further keys
+    order[shared_by] = some[np.lexsort([e[c][some] for c in ("places", "rows", "docs", "counts", "more", "hashes", "keys")])]
+    e = spread.take(e, order)
+    new = np.ones(len(e["keys"]), bool)
+    new[1:] = np.any([e[c][1:] != e[c][:-1] for c in ("keys", "hashes", "more", "counts")], 0)
+    return e, new
+
+
+def per_anchor(e: spread.Arrays, *values: np.ndarray) -> list[np.ndarray]:
+    """For each entry the sum of each of the values over its anchor."""
+    first, length = runs(e["keys"])
+    return [np.repeat(np.add.reduceat(v.astype(np.int64), first), length) if len(first) else np.zeros(0, np.int64) for v in values]
 
 
 def _fold(limit: int):
     def fold(e: spread.Arrays):
-        """What one task holds: its repeats are marked, anchors in more than ``limit`` stretches are asked for as windows."""
-        heads, again, kinds = by_anchor(e)
-        hot = kinds > limit
-        marker = spread.take(heads, hot)
+        """What one task holds: anchors with more than ``limit`` entries keep one of each kind, or ask for windows."""
+        e, new = by_anchor(e)
+        n, kinds = per_anchor(e, np.ones(len(new)), new)
+        many, hot = n > limit, kinds > limit
+        marker = spread.take(e, hot)
         marker = spread.take(marker, runs(marker["keys"])[0])
-        marker = {**marker, "hashes": np.zeros_like(marker["hashes"]), "counts": np.zeros_like(marker["counts"])}
-        entries = {c: np.concatenate([a, marker[c]]) for c, a in spread.take(heads, ~hot).items()}
-        return [(spread.ENTRY, entries), (spread.MARK, again), (ASK, asked(spread.take(heads, hot), windows=True))]
+        marker = {**marker, "hashes": np.zeros_like(marker["hashes"]), "more": np.zeros_like(marker["more"]), "counts": np.zeros_like(marker["counts"])}
+        entries = {c: np.concatenate([a, marker[c]]) for c, a in spread.take(e, ~hot & (new | ~many)).items()}
+        return [(spread.ENTRY, entries), (spread.MARK, spread.take(e, many & ~new)), (ASK, asked(spread.take(e, hot & new), windows=True))]
 
     return fold
 
@@ -123,21 +124,19 @@ def asked(e: spread.Arrays, windows: bool) -> spread.Arrays:
     return {**e, "hashes": np.full(len(e["keys"]), int(windows), np.uint64)}
 
 
-def _settle(n_buckets: int, shard_bytes: int):
+def _settle(n_buckets: int, whole_bytes: int, shard_bytes: int):
     def run(table: pa.Table) -> pa.Table:
-        """The stretches of a bucket's anchors: repeats are marked, different ones asked for; other rows pass through."""
-        heads, again, kinds = by_anchor(spread.unpack(spread.of_kind(table, spread.ENTRY), COLUMNS))
-        windows = np.zeros(len(kinds), bool)
-        first, length = runs(heads["keys"])
-        if len(first):
-            size = np.add.reduceat(heads["counts"].astype(np.int64) + LENGTH - 1, first)
-            marked = np.minimum.reduceat(heads["counts"], first) == 0
-            windows = np.repeat(marked | ((length > 1) & (size > shard_bytes)), length)
-        real = heads["counts"] > 0
+        """The stretches of a bucket's anchors are asked for as bytes or windows; other rows pass through."""
+        e, new = by_anchor(spread.unpack(spread.of_kind(table, spread.ENTRY), COLUMNS))
+        size = np.where(e["counts"] > 0, e["counts"].astype(np.int64) + LENGTH - 1, 0)
+        n, kinds, total, different, marked = per_anchor(e, np.ones(len(new)), new, size, size * new, e["counts"] == 0)
+        whole = (n > 1) & (marked == 0) & (total <= whole_bytes)
+        windows = ~whole & ((marked > 0) | (kinds > 1) & (different > shard_bytes))
+        real = e["counts"] > 0
         parts = [
-            (spread.MARK, spread.take(again, again["counts"] > 0)),
-            (ASK, asked(spread.take(heads, (kinds > 1) & ~windows), windows=False)),
-            (ASK, asked(spread.take(heads, windows & real), windows=True)),
+            (spread.MARK, spread.take(e, real & ~whole & ~new)),
+            (ASK, asked(spread.take(e, whole | ~windows & (kinds > 1) & new), windows=False)),
+            (ASK, asked(spread.take(e, windows & real & new), windows=True)),
         ]
         made = [b for kind, part in parts for b in spread.pack(kind, part, n_buckets)]
         out = spread.schema(COLUMNS)
@@ -147,16 +146,15 @@ def _settle(n_buckets: int, shard_bytes: int):
     return run
 
 
-def _fetch(n_documents: int, n_buckets: int):
+def _fetch(n_buckets: int):
     """What was asked for of a bucket's texts: the bytes of stretches and the digests of windows, packed by key."""
 
-    def run(ids, texts, found) -> pa.Table:
-        stretch, pieces, window, seen = [], [], [], set()
-        for doc, text in zip(ids, texts):
-            e = found(doc, text)
-            if not len(e["keys"]) or (doc, text) in seen:  # rows that repeat id and text are one document
+    def run(ids, rows, texts, found) -> pa.Table:
+        stretch, pieces, window = [], [], []
+        for row, text in zip(rows, texts):
+            e = found(row)
+            if not len(e["keys"]):
                 continue
-            seen.add((doc, text))
             spread_out = e["hashes"] == 1
             plain = spread.take(e, ~spread_out)
             stretch.append(plain)
@@ -165,13 +163,13 @@ def _fetch(n_documents: int, n_buckets: int):
             if len(e["keys"]):
                 n = e["counts"].astype(np.int64)
                 at = np.repeat(e["places"].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                keys = digests(byte_sums(np.frombuffer(text, np.uint8)), at, at + LENGTH)
-                window.append({"keys": keys, "hashes": np.zeros_like(keys), "docs": np.repeat(e["docs"], n), "crcs": np.repeat(e["crcs"], n), "places": at.astype(np.uint32), "counts": np.ones(len(at), np.uint8)})
+                keys, more = spread.digests(text, at, at + LENGTH)
+                window.append({"keys": keys, "hashes": np.zeros_like(keys), "more": more, "docs": np.repeat(e["docs"], n), "rows": np.repeat(e["rows"], n), "places": at.astype(np.uint32), "counts": np.ones(len(at), np.uint8)})
         out = spread.schema(FETCHED)
         made = []
         if window:
             first, again = split_repeats({c: np.concatenate([w[c] for w in window]) for c in COLUMNS})
-            made += [b for kind, part, n in ((WINDOW, first, n_buckets), (spread.MARK, again, n_documents)) for b in spread.pack(kind, part, n)]
+            made += [b for kind, part in ((WINDOW, first), (spread.MARK, again)) for b in spread.pack(kind, part, n_buckets)]
         made = [pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(b), pa.binary())], schema=out) for b in made]
         if pieces:
             e = {c: np.concatenate([x[c] for x in stretch]) for c in COLUMNS}
@@ -184,57 +182,79 @@ def _fetch(n_documents: int, n_buckets: int):
     return run
 
 
-def shard_repeats(text: list[bytes], counts: np.ndarray, order: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of stretches that repeat one of an earlier stretch of the same shard: (stretch, window) pairs.
+def lanes_of(size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lane and place of each of some strings, laid one after another into lanes of ``length``; none is longer."""
+    lane, place, k, at = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), 0, 0
+    for j, n in enumerate(size.tolist()):
+        if at + n > length:
+            k, at = k + 1, 0
+        lane[j], place[j] = k, at
+        at += n
+    return lane, place
+
 
-    ``shard`` numbers the shard of each stretch, ascending; ``order`` ranks the stretches by place in the corpus.
+def shard_repeats(text: list[bytes], counts: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of stretches that repeat one of an earlier stretch of the same anchor: (stretch, window) pairs.
+
+    ``shard`` numbers the anchor of each stretch, ascending; stretches of an anchor are in the order of the corpus.
+    Windows of different anchors differ, so any anchors may share a lane.
     """
     first, length = runs(shard)
     size = np.array([len(t) for t in text], np.int64)
     total = np.add.reduceat(size, first) if len(first) else np.zeros(0, np.int64)
-    by_size = np.argsort(total, kind="stable")
     out_stretch, out_window = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    lo = 0
-    while lo < len(by_size):  # shards of like length side by side
-        least = int(total[by_size[lo]])
-        hi = int(np.searchsorted(total[by_size], max(least * 5 // 4, least + 64), "right"))
-        hi = min(hi, lo + max(1, (4 << 20) // (2 * least)))
-        some = by_size[lo:hi]
-        n = int(total[some].max())
-        data = np.zeros((len(some), n), np.uint8)
-        symbols = np.full((len(some), n + 1), 257, np.int32)
-        symbols[:, n] = 0
-        lanes, places, members = [], [], []
-        for lane, k in enumerate(some.tolist()):
-            mine = range(first[k], first[k] + length[k])
-            at = n - int(total[k])
-            data[lane, at:] = np.frombuffer(b"".join(text[m] for m in mine), np.uint8)
-            symbols[lane, at:n] = data[lane, at:].astype(np.int32) + 1
-            for m in mine:
-                lanes.append(lane)
-                places.append(at)
-                members.append(m)
-                at += int(size[m])
-        sa = suffix_arrays(symbols, 258)[:, 1:]
-        same = common_prefix_at_least(data, sa, LENGTH)
-        flat_sa = (sa + (np.arange(len(some), dtype=np.int64) * n)[:, None]).reshape(-1)
-        group = np.empty(len(flat_sa), np.int64)
-        group[flat_sa] = np.cumsum(~same.reshape(-1)[flat_sa])
-        members = np.array(members)
-        windows = counts[members].astype(np.int64)
-        inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-        where = np.repeat(np.array(lanes, np.int64) * n + np.array(places), windows) + inner
-        member = np.repeat(members, windows)
-        by = np.lexsort((inner, order[member], group[where]))
-        g = group[where][by]
-        again = by[np.flatnonzero(np.concatenate(([False], g[1:] == g[:-1])))]
-        out_stretch.append(member[again])
-        out_window.append(inner[again])
-        lo = hi
+    for lower, upper in ((0, SHARD_BYTES // 2), (SHARD_BYTES // 2, int(max(total, default=0)))):
+        some = np.flatnonzero((total > lower) & (total <= upper))
+        if not len(some):
+            continue
+        # lanes are short where there is little to sort, so that a step of the scan has many of them
+        n = max(int(total[some].max()), min(SHARD_BYTES // 2, int(total[some].sum()) // 512))
+        lane, place = lanes_of(total[some], n)
+        per = max(1, LANES_BYTES // n)
+        for lo in range(0, int(lane[-1]) + 1, per):
+            mine = (lane >= lo) & (lane < lo + per)
+            again = _repeats(text, counts, size, first[some[mine]], length[some[mine]], lane[mine] - lo, place[mine], n)
+            out_stretch.append(again[0])
+            out_window.append(again[1])
     return np.concatenate(out_stretch), np.concatenate(out_window)
 
 
-def _resolve(n_documents: int):
+def _repeats(text, counts, size, first, length, lane, place, n) -> tuple[np.ndarray, np.ndarray]:
+    """shard_repeats of the anchors with these first stretches and numbers of stretches, at these places of lanes."""
+    data = np.zeros((int(lane.max()) + 1, n), np.uint8)
+    used = np.zeros(len(data), np.int64)
+    members = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    before = np.cumsum(size[members]) - size[members]
+    start = np.repeat(lane * n + place - before[np.cumsum(length) - length], length) + before
+    blob = np.frombuffer(b"".join([text[k] for k in members.tolist()]), np.uint8)
+    n_bytes = size[members]
+    data.reshape(-1)[np.repeat(start - before, n_bytes) + np.arange(len(blob))] = blob
+    np.maximum.at(used, np.repeat(lane, length), start + n_bytes - np.repeat(lane, length) * n)
+    # strings end their lanes: the padding is in front
+    shift = n - used
+    rolled = np.zeros_like(data)
+    symbols = np.full((len(data), n + 1), 257, np.int32)
+    symbols[:, n] = 0
+    for k, by in enumerate(shift.tolist()):
+        rolled[k, by:] = data[k, : n - by]
+        symbols[k, by:n] = rolled[k, by:].astype(np.int32) + 1
+    start = start + shift[np.repeat(lane, length)]
+    sa = suffix_arrays(symbols, 258)[:, 1:]
+    same = permuted_common_prefixes(rolled, sa) >= LENGTH
+    flat_sa = (sa + (np.arange(len(data), dtype=np.int64) * n)[:, None]).reshape(-1)
+    group = np.empty(len(flat_sa), np.int64)
+    group[flat_sa] = np.cumsum(~same.reshape(-1)[flat_sa])
+    windows = counts[members].astype(np.int64)
+    inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    where = np.repeat(start, windows) + inner
+    member = np.repeat(members, windows)
+    by = np.lexsort((inner, member, group[where]))
+    g = group[where][by]
+    again = by[np.flatnonzero(np.concatenate(([False], g[1:] == g[:-1])))]
+    return member[again], inner[again]
+
+
+def _resolve(n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         _, again = split_repeats(spread.unpack(spread.of_kind(table, WINDOW), COLUMNS))
         parts = [again]
@@ -243,12 +263,12 @@ def _resolve(n_documents: int):
         if len(e["keys"]):
             blob = b"".join(some["bytes"].to_pylist())
             ends = np.cumsum(e["counts"].astype(np.int64) + LENGTH - 1)
-            order = np.lexsort((e["places"], e["crcs"], e["docs"], e["keys"]))
+            order = np.lexsort((e["places"], e["rows"], e["docs"], e["keys"]))
             stops = ends[order].tolist()
             text = [blob[b - c - LENGTH + 1 : b] for b, c in zip(stops, e["counts"][order].tolist())]
             e = spread.take(e, order)
             first, length = runs(e["keys"])
-            stretch, window = shard_repeats(text, e["counts"], np.arange(len(text)), np.repeat(np.arange(len(first)), length))
+            stretch, window = shard_repeats(text, e["counts"], np.repeat(np.arange(len(first)), length))
             by = np.lexsort((window, stretch))
             stretch, window = stretch[by], window[by]
             begin, count = runs(stretch * 256 + window - np.arange(len(stretch)))
@@ -256,16 +276,16 @@ def _resolve(n_documents: int):
             parts.append({**marks, "places": marks["places"] + window[begin].astype(np.uint32), "counts": count.astype(np.uint8)})
         out = spread.schema(COLUMNS)
         passed = spread.of_kind(table, spread.MARK).select(out.names)
-        made = [b for part in parts for b in spread.pack(spread.MARK, part, n_documents)]
+        made = [b for part in parts for b in spread.pack(spread.MARK, part, n_buckets)]
         return pa.concat_tables([passed.cast(out), pa.Table.from_batches(made, out)])
 
     return run
 
 
-def _cut(ids, texts, found) -> pa.Table:
+def _cut(ids, rows, texts, found) -> pa.Table:
     spans = []
-    for doc, text in zip(ids, texts):
-        e = found(doc, text)
+    for row in rows:
+        e = found(row)
         if not len(e["places"]):
             spans.append([])
             continue
@@ -276,20 +296,19 @@ def _cut(ids, texts, found) -> pa.Table:
     return spread.without(ids, texts, spans)
 
 
-def deduplicate(docs: DataFrame, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def deduplicate(docs: DataFrame, hot: int = HOT, whole: int = WHOLE_BYTES, shard: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges), kept (the remaining bytes) of every row.
 
-    ``hot`` and ``shard_bytes`` decide where windows are settled, not which: results do not depend on them.
+    ``hot``, ``whole`` and ``shard`` decide where windows are settled, not which: results do not depend on them.
     """
-    partitions = shared.shuffle_partitions(docs.sparkSession)
-    n, n_shards = 4 * partitions | 1, partitions | 1
-    met = spread.entries(docs, stretches, _fold(hot), n, COLUMNS).groupBy("bucket").applyInArrow(_settle(n, shard_bytes), spread.ddl(COLUMNS))
+    table, n = spread.numbered(docs)
+    met = spread.entries(table, stretches, _fold(hot), n, COLUMNS).groupBy("bucket").applyInArrow(_settle(n, whole, shard), spread.ddl(COLUMNS))
     met = shared.stored(met, "stretches")
-    fetched = spread.with_texts(docs, met.where(f"kind = {ASK}"), n, _fetch(n, n_shards), spread.ddl(FETCHED), COLUMNS)
+    fetched = spread.with_texts(table, met.where(f"kind = {ASK}"), n, _fetch(n), spread.ddl(FETCHED), COLUMNS)
     # marks among what was fetched are by document already; they only pass through
     settled = shared.stored(fetched.groupBy("bucket").applyInArrow(_resolve(n), spread.ddl(COLUMNS)), "windows")
     marks = met.where(f"kind = {spread.MARK}").unionByName(settled)
-    return spread.to_documents(spread.with_texts(docs, marks, n, _cut, spread.REMOVED, COLUMNS))
+    return spread.to_documents(spread.with_texts(table, marks, n, _cut, spread.REMOVED, COLUMNS))
 
 
 def op4_suffix_array(spark, sf_dir: str) -> DataFrame:

@@ -110,48 +110,102 @@ def test_word_hashes_follow_words():
     assert [len(s) for s in shingle_sets(pa.array(["a b c d e f", "a b", ""]))] == [2, 1, 0]
 
 
+def in_order(texts):
+    """Indexes of (id, text) pairs as the operators order them, null ids first; rows of one id keep their order."""
+    return sorted(range(len(texts)), key=lambda k: (texts[k][0] is not None, texts[k][0] or 0))
+
+
 def windows_removed(texts, length=100):
     seen, out = {}, []
-    order = sorted(range(len(texts)), key=lambda k: (texts[k][0] is not None, texts[k][0] or 0))
-    for k in order:
+    for k in in_order(texts):
         i, t = texts[k]
         b = t.encode()
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - length + 1):
-            first = seen.setdefault(b[p : p + length], (i, p))
-            if first != (i, p):
+            if seen.setdefault(b[p : p + length], (k, p)) != (k, p):
                 gone[p : p + length] = True
         runs = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(int)))) == 1))
         out.append((str(i), len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot, shard", [(64, 2048), (0, 2048), (1, 200)])
-def test_suffix_dedup(docs, texts, none, hot, shard):
-    found = spread.digest_columns(suffix_dedup.deduplicate(docs, hot, shard)).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == windows_removed(texts)
+def digests(found):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in spread.digest_columns(found).collect())
+
+
+@pytest.mark.parametrize("hot, whole, shard", [(64, 1024, 4096), (0, 0, 0), (1, 300, 200), (2, 0, 4096), (64, 4096, 4096)])
+def test_suffix_dedup(docs, texts, none, hot, whole, shard):
+    assert digests(suffix_dedup.deduplicate(docs, hot, whole, shard)) == windows_removed(texts)
     if shard == 200:
         assert suffix_dedup.deduplicate(none).count() == 0
 
 
+def shared_id_rows():
+    """1,500 rows without an id, two texts of one id, repeated rows, and a line in many surroundings."""
+    line = "this line of more than a hundred letters stands in very many texts of this corpus, in ever new surroundings of words"
+    rows = [(None, prose(k, 6) + " " + line + " " + prose(k + 5000, 6)) for k in range(1500)]
+    rows += [(7, prose(1, 60)), (7, prose(2, 60)), (8, prose(2, 60) + " x"), (9, prose(3, 40)), (9, prose(3, 40)), (9, prose(3, 40))]
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_rows_that_share_an_id_are_told_apart(spark, parts):
+    rows = shared_id_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame = frame.coalesce(1) if parts == 1 else frame.repartition(parts)
+    # which row of an id comes first follows from where it is read
+    read = [(r.doc_id, r.text) for r in frame.collect()]
+    assert digests(suffix_dedup.deduplicate(frame)) == windows_removed(read)
+    found = chunks.deduplicate(frame).collect()
+    assert sorted((str(r.doc_id), [(s.start, s.stop) for s in r.spans]) for r in found) == chunks_removed(read)
+
+
+def test_arrays_decide_what_is_fetched():
+    """Windows of many anchors in shared lanes, whatever their sizes."""
+    r = random.Random(5)
+    text, counts, shard = [], [], []
+    for k in range(60):
+        base = prose(k, 40).encode()
+        for _ in range(r.randint(2, 12)):
+            a, n = r.randint(0, 20), r.randint(1, 69)
+            text.append(base[a : a + n + 99])
+            counts.append(n)
+            shard.append(k)
+    found = set(zip(*(x.tolist() for x in suffix_dedup.shard_repeats(text, np.array(counts, np.uint8), np.array(shard)))))
+    seen, want = set(), set()
+    for k, (t, n) in enumerate(zip(text, counts)):
+        for p in range(n):
+            (want if t[p : p + 100] in seen else set()).add((k, p))
+            seen.add(t[p : p + 100])
+    assert found == want
+
+
 def test_suffix_arrays():
     r = np.random.default_rng(0)
-    for lanes, n, k in [(1, 1, 3), (30, 30, 2), (20, 120, 3), (7, 300, 20)]:
+    for lanes, n, k in [(1, 1, 3), (30, 30, 2), (20, 120, 3), (7, 300, 20), *[(1, n, k) for n in range(2, 18) for k in (1, 2, 3)]]:
         t = np.zeros((lanes, n + 1), np.int32)
         t[:, :n] = r.integers(1, k + 1, (lanes, n))
-        t[0, :n] = 1
-        sa = suffix.suffix_arrays(t, k + 1)
+        t[0, :n] = 1 if lanes > 1 else t[0, :n]
+        t[-1, : n // 4] = k + 1  # padding
+        sa = suffix.suffix_arrays(t, k + 2)
         for row, found in zip(t.tolist(), sa.tolist()):
-            assert found == sorted(range(n + 1), key=lambda i: row[i:])
+            assert found == sorted(range(n + 1), key=lambda i: row[i:])  # noqa: B023
+    assert suffix.suffix_arrays(np.array([[2, 1, 2, 1, 2, 0]], np.int32), 3).tolist() == [[5, 3, 1, 4, 2, 0]]
 
 
-def test_common_prefix():
-    text = np.frombuffer(b"abcdefghijklm" * 3 + b"x", np.uint8)[None]
-    sa = np.array([sorted(range(text.shape[1]), key=lambda i: text[0, i:].tobytes())], np.int32)
-    same = suffix.common_prefix_at_least(text, sa, 13)[0]
-    for k in range(1, text.shape[1]):
-        a, b = int(sa[0, k]), int(sa[0, k - 1])
-        assert same[a] == (text[0, a : a + 13].tobytes() == text[0, b : b + 13].tobytes() and max(a, b) + 13 <= text.shape[1])
+def test_permuted_common_prefixes():
+    r = np.random.default_rng(1)
+    for lanes, n, k in [(1, 40, 1), (6, 150, 2), (4, 90, 5)]:
+        text = r.integers(1, k + 1, (lanes, n)).astype(np.uint8)
+        text[0, 50:80] = text[0, 5:35] if n > 80 else text[0, 50:80]
+        sa = np.array([sorted(range(n), key=lambda i: row[i:].tobytes()) for row in text], np.int32)  # noqa: B023
+        found = suffix.permuted_common_prefixes(text, sa)
+        for lane in range(lanes):
+            for a, b in zip(sa[lane, 1:].tolist(), sa[lane, :-1].tolist()):
+                same = 0
+                while max(a, b) + same < n and text[lane, a + same] == text[lane, b + same]:
+                    same += 1
+                assert found[lane, a] == same
 
 
 def scalar_cuts(b):
@@ -176,21 +230,26 @@ def scalar_cuts(b):
     return out + [len(b)] * (len(b) > lo)
 
 
-def test_chunks(docs, texts, none):
+def chunks_removed(texts):
     seen, want = {}, []
-    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0)):
+    for n in in_order(texts):
+        i, t = texts[n]
         b = t.encode()
         ends = scalar_cuts(b)
         starts = [0, *ends[:-1]]
-        again = [seen.setdefault(b[s:e], (i, s)) != (i, s) for s, e in zip(starts, ends)]
+        again = [seen.setdefault(b[s:e], (n, s)) != (n, s) for s, e in zip(starts, ends)]
         spans = []
-        for dup, run in itertools.groupby(range(len(ends)), key=lambda k: again[k]):
+        for dup, run in itertools.groupby(range(len(ends)), key=lambda k: again[k]):  # noqa: B023
             run = list(run)
-            if dup and ends[run[-1]] - starts[run[0]] >= chunks.RUN:
+            if dup:
                 spans.append((starts[run[0]], ends[run[-1]]))
         want.append((str(i), spans))
+    return sorted(want)
+
+
+def test_chunks(docs, texts, none):
     found = chunks.deduplicate(docs).collect()
-    assert sorted((str(r.doc_id), [(s.start, s.stop) for s in r.spans]) for r in found) == sorted(want)
+    assert sorted((str(r.doc_id), [(s.start, s.stop) for s in r.spans]) for r in found) == chunks_removed(texts)
     assert all(r.kept.decode() is not None for r in found)
     assert chunks.deduplicate(none).count() == 0
 
