@@ -13,13 +13,17 @@ most 255; a card's 12 to 19 digits pass Luhn; a phone has 9 to 15 digits) are dr
 the plain ones with possessive repeats and, where a match can only begin at the start of a run of characters, a look
 back that says so, which keeps them linear on long runs.
 
+Constants that shape the extra spans: ``ROUNDS`` of scoring, ``LEAST_SUPPORT`` distinct personal instances and a grade
+of ``LEAST_SCORE`` for a pattern, whose support is smoothed by ``SMOOTH``; shapes of words are cut to 24 characters.
+Words are taken as instances whatever their length; what surrounds their letters and digits is left off.
+
 Defined results: null and empty texts have no spans; positions count code points; repeated rows get equal results; an
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -42,6 +46,7 @@ LAST_TWO = rf"(?<!{_W})(?:{_W}++{_S}++)?{_W}++{_S}*+\z"
 LOOKS = rf"(?<!{_W}){_W}*?[0-9@]{_W}*+"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+EDGE = "\u0001"  # set around matches; one that a text holds counts as the next character, which no pattern tells from it
 
 
 def _digits(match: Column) -> Column:
@@ -69,50 +74,44 @@ BASE = (
 )
 
 
-def _walk(text: Column, pattern: str, may: Column, kind: str, add, more=lambda found, gaps, i: ()) -> Column:
-    """add(found, start, match, gap before, number) folded over the matches; empty where the text may have none."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"), F.get(gaps, i + 1).alias("n"), *more(found, gaps, i)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + F.char_length(s["g"])
-        return F.struct((begin + F.char_length(s["m"])).alias("at"), add(acc["out"], begin, s).alias("out"))
-
-    return F.when(may, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
-
-
-def base_spans(text: Column) -> Column:
-    """All seeds as an array of (start, kind, end), by start, then kind."""
+def _cut(text: Column, pattern: str, may: Column) -> Column:
+    """The text cut at the ends of its matches: gaps and matches by turns, beginning with a gap; empty without a match.
 
-    def of(kind, pattern, may, check):
-        def add(out, begin, s):
-            span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + F.char_length(s["m"])).alias("end"))
-            return F.when(check(s["m"]), F.array_append(out, span)).otherwise(out)
+    A gap is its length, its leading white space and its last two words; a match is kept whole.
+    """
+    parts = F.split(F.regexp_replace(F.translate(text, EDGE, "\u0002"), pattern, EDGE + "$0" + EDGE), EDGE, -1)
 
-        return _walk(text, pattern, may(text), SPAN, add)
+    def piece(x: Column, i: Column) -> Column:
+        match = i % 2 == 1
+        head, tail = F.regexp_extract(x, rf"^{_S}*+", 0), F.regexp_extract(x, LAST_TWO, 0)
+        return F.struct(F.char_length(x).alias("n"), F.when(match, x).alias("match"), F.when(~match, head).alias("head"), F.when(~match, tail).alias("tail"))
 
-    return F.array_sort(F.concat(*[of(*b) for b in BASE]))
+    return F.transform(F.when(may, parts).otherwise(F.array().cast("array<string>")), piece)
 
 
-WORDS = "array<struct<start:int,word:string,before:string,after:string>>"
-
-
-def identifier_words(text: Column) -> Column:
-    """Words with a digit or an at sign: start, word, the two words before it, whatever they hold, and the character after it."""
+def pieces(docs: DataFrame) -> DataFrame:
+    """row_id, doc_id and cuts, (kind, parts) of each kind with a match; kind 4 are words with a digit or an at sign."""
+    text = shared.whole_text()
+    cut = [(kind, _cut(text, pattern, may(text))) for kind, pattern, may, _ in BASE] + [(4, _cut(text, LOOKS, text.rlike("[0-9@]")))]
+    cuts = F.array(*[F.struct(F.lit(kind).alias("kind"), parts.alias("parts")) for kind, parts in cut])
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.filter(cuts, lambda c: F.size(c["parts"]) > 1).alias("cuts"))
 
-    def before(found, gaps, i):
-        # a gap has words without digits only, so the two words are in these four pieces
-        last = lambda k: F.regexp_extract(F.coalesce(F.get(gaps, k), F.lit("")), LAST_TWO, 0)
-        space = lambda k: F.regexp_extract(F.coalesce(F.get(gaps, k), F.lit("")), rf"^{_S}*+", 0)
-        word = lambda k: F.coalesce(F.get(found, k), F.lit(""))
-        return (F.concat(word(i - 2), space(i - 1), last(i - 1), word(i - 1), space(i), last(i)).alias("b"),)
 
-    def add(out, begin, s):
-        return F.array_append(out, F.struct(begin.alias("start"), s["m"].alias("word"), F.regexp_extract(s["b"], LAST_TWO, 0).alias("before"), F.left(s["n"], F.lit(1)).alias("after")))
+def matches(cuts: DataFrame) -> DataFrame:
+    """row_id, kind, start, end, match, and the two words before it, of every match that passes the check of its kind.
 
-    return _walk(text, LOOKS, text.rlike("[0-9@]"), WORDS, add, before)
+    Starts are running sums over the pieces of a text, so the work is in proportion to them however long the text is.
+    """
+    rows = cuts.select("row_id", F.explode("cuts").alias("c")).select("row_id", "c.kind", F.posexplode("c.parts").alias("i", "p")).select("row_id", "kind", "i", "p.*")
+    order = Window.partitionBy("row_id", "kind").orderBy("i")
+    back = lambda c, k: F.coalesce(F.lag(c, k).over(order), F.lit(""))
+    before = F.concat(back("match", 4), back("head", 3), back("tail", 3), back("match", 2), back("head", 1), back("tail", 1))
+    rows = rows.repartition("row_id").select("row_id", "kind", "i", "n", "match", F.sum("n").over(order).alias("end"), F.when(F.col("kind") == 4, before).alias("before"))
+    ok = F.lit(True)
+    for kind, _, _, check in BASE:
+        ok = F.when(F.col("kind") == kind, check(F.col("match"))).otherwise(ok)
+    rows = rows.where(F.col("match").isNotNull()).where(ok)
+    return rows.select("row_id", "kind", (F.col("end") - F.col("n")).cast("int").alias("start"), F.col("end").cast("int").alias("end"), "match", F.regexp_extract("before", LAST_TWO, 0).alias("before"))
 
 
 def _shape(word: Column) -> Column:
@@ -122,22 +121,28 @@ def _shape(word: Column) -> Column:
 
 
 def instances(found: DataFrame) -> DataFrame:
-    """One row per identifier-like word: row_id, start, end, instance, patterns, seed.  Words inside a seed are left out."""
-    w = found.select("row_id", "base", F.explode("words").alias("w")).select("row_id", "base", "w.*")
-    core = F.regexp_extract("word", r"^[^A-Za-z0-9+@]*(.*?)[^A-Za-z0-9]*$", 1)
-    lead = F.char_length(F.regexp_extract("word", r"^([^A-Za-z0-9+@]*)", 1))
-    w = w.select("row_id", "base", (F.col("start") + lead).cast("int").alias("start"), core.alias("instance"), F.lower(F.regexp_replace("before", rf"{_S}++\z", "")).alias("before"))
-    w = w.where("instance != ''").withColumn("end", (F.col("start") + F.char_length("instance")).cast("int"))
-    begins = F.exists("base", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end")))
-    inside = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    first = F.regexp_extract("before", rf"({_W}+)$", 1)
-    two = F.regexp_extract("before", rf"({_W}+{_S}+{_W}+)$", 1)
+    """``found`` with patterns and seed: words lose what surrounds their letters and digits; those inside a seed are left out."""
+    word = F.col("kind") == 4
+    body = F.regexp_replace(F.when(F.col("match").rlike("[A-Za-z0-9]"), F.col("match")).otherwise(""), "^[^A-Za-z0-9+@]++", "")
+    core = F.regexp_replace(body, "(?<=[A-Za-z0-9])[^A-Za-z0-9]++$", "")
+    lead = F.char_length("match") - F.char_length(body)
+    rows = found.select("row_id", "kind", F.when(word, F.col("start") + lead).otherwise(F.col("start")).alias("start"), "end", F.when(word, core).alias("instance"), F.lower(F.regexp_replace("before", rf"(?<={_W}){_S}++\z", "")).alias("before"))
+    rows = rows.where(~word | (F.col("instance") != "")).withColumn("end", F.when(word, F.col("start") + F.char_length("instance")).otherwise(F.col("end")))
+    # the nearest seeds on either side; of equal starts, the word comes first in one order and last in the other
+    up = Window.partitionBy("row_id").orderBy("start", F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("row_id").orderBy(F.desc("start"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    seed = lambda c: F.when(F.col("kind") < 4, F.col(c))
+    rows = rows.withColumn("upto", F.max(seed("end")).over(up)).withColumn("next", F.min(seed("start")).over(down))
+    begins = F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    inside = F.coalesce(F.col("upto") > F.col("start"), F.lit(False))
+    first = F.regexp_extract("before", rf"(?<!{_W})({_W}++)\z", 1)
+    two = F.regexp_extract("before", rf"(?<!{_W})({_W}++{_S}++{_W}++)\z", 1)
     keys = F.array(F.when(two != "", F.concat(F.lit("2 "), two)), F.when(first != "", F.concat_ws(" ", F.lit("1"), first, _shape(F.col("instance")))))
-    return w.where(begins | ~inside).select("row_id", "start", "end", "instance", F.array_compact(keys).alias("patterns"), begins.alias("seed"))
+    return rows.where(~word | begins | ~inside).select("row_id", "kind", "start", "end", "instance", F.when(word, F.array_compact(keys)).alias("patterns"), F.when(word, begins).alias("seed"))
 
 
 def patterns(words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score) of the patterns that are trusted; ``words`` is a stored table of :func:`instances`."""
+    """(pattern, score) of the patterns that are trusted; ``words`` are the rows of kind 4 of a stored table of :func:`instances`."""
     edges = words.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     # a pattern with few distinct instances can never be trusted: it takes no part in any round
     support = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SUPPORT)
@@ -155,15 +160,17 @@ def patterns(words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, base and extra (arrays of start, kind, end) of every row."""
-    text = shared.whole_text()
-    found = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", base_spans(text).alias("base"), identifier_words(text).alias("words"))
-    found = shared.stored(found, "entities")
-    words = shared.stored(instances(found), "instances")
+    cuts = shared.stored(pieces(docs), "pieces")
+    found = shared.stored(instances(matches(cuts)), "instances")
+    words = found.where("kind = 4")
     trusted = patterns(words)
-    new = words.where("NOT seed").select("row_id", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
-    new = new.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("extra"))
-    new = shared.stored(new, "discovered")
-    return found.select("row_id", "doc_id", "base").join(new, "row_id", "left").select("row_id", "doc_id", "base", F.coalesce("extra", F.array().cast(SPAN)).alias("extra"))
+    new = words.where("NOT seed").select("row_id", "kind", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
+    span, kept = F.struct("start", "kind", "end"), found.where("kind < 4").select("row_id", "kind", "start", "end").unionByName(new.select("row_id", "kind", "start", "end"))
+    spans = kept.groupBy("row_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") < 4, span))).alias("base"), F.array_sort(F.collect_set(F.when(F.col("kind") == 4, span))).alias("extra")
+    )
+    out = cuts.select("row_id", "doc_id").join(shared.stored(spans, "spans"), "row_id", "left")
+    return out.select("row_id", "doc_id", *[F.coalesce(c, F.array()).cast(SPAN).alias(c) for c in ("base", "extra")])
 
 
 def listed(spans: Column) -> Column:

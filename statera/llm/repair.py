@@ -1,11 +1,12 @@
 """Token ids in Re-Pair compressed shards.
 
-Texts are encoded in ascending ``doc_id`` order and cut into shards of about ``SHARD_TOKENS`` ids.  Inside a shard the
-most frequent pairs of neighbouring ids are replaced by new symbols, round after round, until no pair is frequent
-enough; the rules and the number of ids that each symbol expands to are stored with the shortened sequence, so any run
-of ids can be decoded without decoding what stands before it.  Many pairs are replaced in one round: they are chosen
-so that each symbol is the left of chosen pairs or the right of chosen pairs, never both, hence no two occurrences
-overlap and each round is a few numpy passes.
+Texts are encoded in ascending ``doc_id`` order and cut into shards of about ``SHARD_TOKENS`` ids.  Inside a shard
+frequent pairs of neighbouring ids are replaced by new symbols, round after round, until no pair occurs ``LEAST`` times
+(occurrences that overlap, as in a run of one symbol, count once); the rules and the number of ids that each symbol
+expands to are stored with the shortened sequence, so any run of ids can be decoded without decoding what stands before
+it.  A round counts all pairs exactly and ranks them by count: an occurrence is taken where its pair ranks above those
+that overlap it, so the most frequent pair gets all of its occurrences and many pairs are replaced at once.  Later
+rounds look only at pairs that were frequent before or hold a symbol of the round before.
 
 A shard is one row of a Parquet table (the format below), written by Spark's committer: a task that is lost writes its
 shards again, and readers see whole shards only.
@@ -17,13 +18,14 @@ rules: binary                  uint32 LE pairs, rule k is symbol BASE + k
 lengths: binary                uint32 LE, ids that symbol BASE + k expands to
 docs: array<struct<doc_id, n_tokens>>  the documents of the shard in order
 
-Defined results: null and empty texts are only the end id; rows are ordered by doc_id (null first), then text, so
-repeated ids stand next to each other; a text of any length is in one shard; an empty table writes no shard; other
+Defined results: null and empty texts are only the end id; rows are ordered by doc_id (null first), then a hash of the
+text, then text, so repeated rows stand next to each other; a text of any length is in one shard; an empty table writes no shard; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -33,101 +35,98 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .textblocks import BYTE_CODE, blocks, flat, mix, powers
+from .textblocks import blocks, flat, mix
 
 END = 0
 BASE = 1 << 17  # the first symbol of a rule; every vocabulary here is smaller
 SHARD_TOKENS = 1 << 19
-LEAST = 128  # a pair is replaced while it occurs so often in a shard
-HASH_BITS = 16
+LEAST = 4  # a pair is replaced while it occurs so often in a shard
 PIECES = 1_500_000
+LONG_PIECES = 200_000
 SLOT_BITS = 22
 TEXT_BYTES = 1 << 18  # a block of texts for the encoder; its arrays take some 100 times that
 SLOTS = 1 << SLOT_BITS
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _U = np.uint64
 
 SHARD_DDL = "shard int, part int, symbols binary, rules binary, lengths binary, docs array<struct<doc_id:long,n_tokens:long>>"
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, lengths) of a sequence of ids below BASE.
-
-    Pairs are counted by a hash small enough for the cache.  Of pairs that share a slot, the one met last stands for it
-    and is counted by itself before it is replaced; the others wait for a round in which the symbols have changed.  Once
-    such a round finds nothing, the pairs of the full slots are counted exactly, until none is frequent.
-    """
-    seq = ids.astype(np.uint32)
+    """(symbols, rules, lengths) of a sequence of ids below BASE; the sequence is a linked list while it shrinks."""
+    n = len(ids)
+    seq, after, before = ids.astype(np.int64), np.arange(1, n + 2), np.arange(-1, n)
+    rank, taken, gone = np.zeros(n + 1, np.int64), np.zeros(n + 1, bool), np.zeros(n, bool)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
-    exact = False
-    while len(seq) > least:
-        slot = seq[:-1] * np.uint32(0x9E3779B1)
-        slot += seq[1:] * np.uint32(0x85EBCA77)
-        slot >>= np.uint32(32 - HASH_BITS)
-        slot = slot.astype(np.uint16)
-        seen = np.bincount(slot, minlength=1 << HASH_BITS)
-        hot = np.flatnonzero(seen >= least)
-        if not len(hot):
+    at = np.arange(max(n - 1, 0))  # left ends of the pairs that may be replaced
+    while len(at) >= least:
+        right = after[at]
+        a, b = seq[at], seq[right]
+        alike = _alike((a.astype(np.uint64) << _U(32)) | b.astype(np.uint64))
+        once = np.ones(len(at), bool)
+        run = np.flatnonzero(a == b)
+        if len(run):  # every second occurrence in a run of one symbol overlaps the one before it
+            run = run[np.argsort(at[run])]
+            step = np.arange(len(run))
+            goes_on = np.append(False, right[run[:-1]] == at[run[1:]])
+            once[run] = (step - np.maximum.accumulate(np.where(goes_on, 0, step))) % 2 == 0
+        weight = np.bincount(alike[once], minlength=len(at))[alike]
+        often = np.flatnonzero(weight >= least)
+        if not len(often):
             break
-        if exact:
-            full = np.flatnonzero((seen >= least)[slot])
-            pair = (seq[full].astype(np.uint64) << _U(32)) | seq[full + 1]
-            found, of, weight = np.unique(pair, return_inverse=True, return_counts=True)
-            often = weight >= least
-            if not often.any():
+        at, right, pair = at[often], right[often], alike[often]
+        left = before[at]
+        score = np.where(once[often], (weight[often] << 32) | pair, 0)
+        chosen, open_score = np.zeros(len(at), bool), score
+        for _ in range(3):  # what is left after that waits for the next round
+            rank[at] = open_score
+            best = (open_score > rank[left]) & (open_score > rank[right])
+            if not best.any():
                 break
-            left, right, weight = (found[often] >> _U(32)).astype(np.uint32), found[often].astype(np.uint32), weight[often]
-            take, equal = _sides(left, right, weight)
-            rule_of = np.full(len(found), -1, np.int32)
-            rule_of[np.flatnonzero(often)[take]] = np.arange(int(take.sum()), dtype=np.int32)
-            left, right, rule = left[take], right[take], rule_of[of]
-            where, rule = full[rule >= 0], rule[rule >= 0]
+            chosen |= best
+            taken[at[best]] = True
+            open_score = np.where(chosen | taken[left] | taken[right], 0, score)
+        rank[at] = 0
+        count = np.bincount(pair[chosen], minlength=len(a))
+        taken[at[chosen]] = False
+        chosen &= count[pair] >= least
+        taken[at[chosen]] = True
+        free = at[~(chosen | taken[left] | taken[right])]
+        taken[at[chosen]] = False
+        new = np.flatnonzero(count >= least)
+        number = np.zeros(len(a), np.int64)
+        number[new] = BASE + len(lengths) + np.arange(len(new))
+        first, second = at[chosen], right[chosen]
+        seq[first], gone[second] = number[pair[chosen]], True
+        after[first] = after[second]
+        before[after[first]] = first
+        rule = np.stack([a[new], b[new]], 1).astype(np.uint32)
+        fresh = BASE + len(lengths)
+        rules.append(rule)
+        lengths = np.concatenate([lengths, expansion(rule[:, 0], lengths) + expansion(rule[:, 1], lengths)])
+        left = before[first]
+        left = left[left >= 0]
+        at = np.concatenate([free, first[after[first] < n], left[seq[left] < fresh]])
+    return seq[~gone].astype(np.uint32), np.concatenate(rules), lengths
+
+
+def _alike(pair: np.ndarray, turn: int = 0) -> np.ndarray:
+    """For each value the index of an equal one, the same for all equal ones; by a table of hashes, exactly."""
+    n = len(pair)
+    bits = max(8, n.bit_length() + 1)
+    slot = (pair * _U(MULTIPLIERS[turn]) >> _U(64 - bits)).astype(np.int64)
+    one = np.empty(1 << bits, np.int32)
+    one[slot] = np.arange(n, dtype=np.int32)
+    out = one[slot]
+    rest = np.flatnonzero(pair[out] != pair)
+    if len(rest):
+        if turn + 1 < len(MULTIPLIERS):
+            inner = _alike(pair[rest], turn + 1)
         else:
-            # any occurrence tells what a slot stands for; a frequent pair is nearly always met early
-            one = np.full(1 << HASH_BITS, -1, np.int32)
-            early = min(len(slot), 1 << HASH_BITS)
-            one[slot[:early]] = np.arange(early, dtype=np.int32)
-            if (one[hot] < 0).any():
-                one[slot[early:]] = np.arange(early, len(slot), dtype=np.int32)
-            left, right, weight = seq[one[hot]], seq[one[hot] + 1], seen[hot]
-            take, equal = _sides(left, right, weight)
-            hot, left, right = hot[take], left[take], right[take]
-            rule_of = np.full(1 << HASH_BITS, -1, np.int32)
-            rule_of[hot] = np.arange(len(hot), dtype=np.int32)
-            rule = rule_of[slot]
-            where = np.flatnonzero(rule >= 0)
-            rule = rule[where]
-            true = (seq[where] == left[rule]) & (seq[where + 1] == right[rule])
-            where, rule = where[true], rule[true]
-            often = np.bincount(rule, minlength=len(left)) >= least
-            if not often.any():
-                exact = True
-                continue
-            if not often.all():
-                true = often[rule]
-                where, rule = where[true], (np.cumsum(often) - 1)[rule[true]]
-                left, right = left[often], right[often]
-        if equal and left[0] == right[0]:
-            step = np.arange(len(where))
-            run = step - np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, step, 0))
-            where, rule = where[run % 2 == 0], rule[run % 2 == 0]
-        seq[where] = (BASE + len(lengths) + rule).astype(np.uint32)
-        stay = np.ones(len(seq), bool)
-        stay[where + 1] = False
-        seq = seq[stay]
-        rules.append(np.stack([left, right], 1))
-        lengths = np.concatenate([lengths, expansion(left, lengths) + expansion(right, lengths)])
-    return seq, np.concatenate(rules), lengths
-
-
-def _sides(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Which pairs can be taken together, and whether there is but one: a symbol takes the side on which its pairs weigh more."""
-    top = int(max(left.max(), right.max())) + 1
-    leans = np.bincount(left, weight, top) >= np.bincount(right, weight, top)
-    take = leans[left] & ~leans[right]
-    equal = not take.any()
-    if equal:  # every frequent pair has both symbols on one side: the most frequent goes, leftmost occurrences first
-        take[weight.argmax()] = True
-    return take, equal
+            _, first, of = np.unique(pair[rest], return_index=True, return_inverse=True)
+            inner = first[of]
+        out[rest] = rest[inner]
+    return out
 
 
 def expansion(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -185,13 +184,20 @@ def decode(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: i
     return expand(symbols[lo:hi], rules, lengths)[start - skipped : stop - skipped]
 
 
+SHORT = 16  # bytes of a piece that is known by two words
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct piece once.
 
     The byte-level tokenizer splits a text before each white space that stands alone between other characters, and
-    between a Latin letter or ASCII digit and the ASCII punctuation that follows.  Pieces between such
-    places are known by a 64-bit hash of their bytes in an open-addressing table; unknown ones are encoded, joined to
-    one text, and their ids kept.  Texts with other white space or with an added token's content are encoded whole.
+    between a Latin letter or ASCII digit and the ASCII punctuation that follows.  Pieces between such places are
+    known by their bytes: those of up to 16 bytes by two words, found in an open-addressing table of hashes and compared
+    as words, longer ones as keys of a dictionary; unknown ones are encoded, joined to one text, and their ids kept.
+    Texts with other white space or with an added token's content are encoded whole.
+
+    Only byte-level tokenizers of that kind with at most 65,536 ids are taken.
     """
 
     def __init__(self, path: str):
@@ -199,6 +205,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+        if not plain or self.tokenizer.get_vocab_size(True) > 1 << 16:
+            raise ValueError("a byte-level tokenizer with the usual split, no normalizer and at most 65,536 ids is needed")
         self.added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values() if token.content]
         self.tokenizer.model._resize_cache(0)  # pieces that it sees are new by construction
         # in a byte-level vocabulary a character stands for a byte
@@ -209,9 +220,10 @@ class Encoder:
 
     def forget(self) -> None:
         self.hashes, self.numbers = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.ids, self.ends, self.known = np.zeros(1 << 18, np.uint16), np.zeros(1 << 18, np.int64), 0
-        self.spans = np.zeros(1 << 18, np.int64)  # begin << 20 | ids, of each piece
-        self.uses = np.zeros(0, np.uint8)  # blocks of texts that had the piece, up to 2
+        self.ids, self.used, self.known = np.zeros(1 << 18, np.uint16), 0, 0
+        # of each piece: begin << 20 | number of ids, hash, bytes as two words, number of bytes (0: it is in the dictionary)
+        self.piece = {c: np.zeros(1 << 18, t) for c, t in (("span", np.int64), ("hash", np.uint64), ("low", np.uint64), ("high", np.uint64), ("size", np.uint8), ("uses", np.uint8))}
+        self.long: dict[bytes, int] = {}
 
     def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
         """Numbers of the texts that hold the content of an added token (or seem to, across the end of a text)."""
@@ -258,72 +270,89 @@ class Encoder:
         ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), stops, "left") + 1
         return ids, np.stack([np.concatenate(([0], ends[:-1])) + bare, ends], 1)
 
-    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes], **columns: np.ndarray) -> None:
+        """Encode pieces; ``columns`` has hash, low, high and size of those at the front, the others are long."""
         ids, spans = self._encoded(pieces)
         size = spans[:, 1] - spans[:, 0]
         ids = ids[np.repeat(spans[:, 0] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        used = int(self.ends[self.known])
-        if used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint16)])
-        if self.known + len(h) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(h)), np.int64)])
-        self.ids[used : used + len(ids)] = ids
-        if self.known + len(h) > len(self.spans):
-            self.spans = np.concatenate([self.spans, np.zeros(max(len(self.spans), len(h)), np.int64)])
-        ends = used + np.cumsum(size)
-        self.ends[self.known + 1 : self.known + 1 + len(h)] = ends
-        self.spans[self.known : self.known + len(h)] = ((ends - size) << 20) | size
-        self._insert(h, np.arange(self.known, self.known + len(h), dtype=np.int32))
-        self.known += len(h)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.known + len(pieces) > len(self.piece["span"]):
+            self.piece = {c: np.concatenate([a, np.zeros_like(a)]) for c, a in self.piece.items()}
+        self.ids[self.used : self.used + len(ids)] = ids
+        part = slice(self.known, self.known + len(pieces))
+        self.piece["span"][part] = ((self.used + np.cumsum(size) - size) << 20) | size
+        n_short = len(columns["hash"])
+        for c, values in columns.items():
+            self.piece[c][self.known : self.known + n_short] = values
+            self.piece[c][self.known + n_short : part.stop] = 0
+        self.piece["uses"][part] = 0
+        self._insert(columns["hash"], np.arange(self.known, self.known + n_short, dtype=np.int32))
+        self.long.update(zip(pieces[n_short:], range(self.known + n_short, part.stop)))
+        self.used, self.known = self.used + len(ids), part.stop
 
     def _shrink(self) -> None:
         """Forget the pieces met in one block only; all of them where that leaves too many."""
-        keep = np.flatnonzero(self.uses[: self.known] > 1)
-        keep = keep if len(keep) < PIECES // 2 else keep[:0]
-        h = np.zeros(self.known, np.uint64)
-        full = self.hashes != 0
-        h[self.numbers[full]] = self.hashes[full]
-        size = np.diff(self.ends[: self.known + 1])
-        ids = self.ids[: self.ends[self.known]][np.repeat(np.isin(np.arange(self.known), keep), size)]
+        keep = np.flatnonzero(self.piece["uses"][: self.known] > 1)
+        keep = keep if len(keep) < PIECES // 2 and len(self.long) < LONG_PIECES // 2 else keep[:0]
+        old, ids, long = {c: a[keep] for c, a in self.piece.items()}, self.ids, self.long
         self.forget()
-        self.known = len(keep)
-        self.ids = np.concatenate([ids, self.ids])
-        self.ends = np.concatenate(([0], np.cumsum(size[keep]), self.ends))
-        self.spans = np.concatenate([(self.ends[: len(keep)] << 20) | size[keep], self.spans])
-        self._insert(h[keep], np.arange(len(keep), dtype=np.int32))
+        begin, size = old["span"] >> 20, old["span"] & 0xFFFFF
+        used, self.known = int(size.sum()), len(keep)
+        ids = ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(used)]
+        self.ids, self.used = np.concatenate([ids, self.ids]), used
+        old["span"] = ((np.cumsum(size) - size) << 20) | size
+        self.piece = {c: np.concatenate([old[c], a]) for c, a in self.piece.items()}
+        short = np.flatnonzero(old["size"] > 0)
+        self._insert(old["hash"][short], short.astype(np.int32))
+        moved = dict(zip(keep.tolist(), range(len(keep))))
+        self.long = {piece: moved[k] for piece, k in long.items() if k in moved}
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each piece, and which have another piece's: two short pieces with one hash."""
+        size = stop - start
+        words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(16, np.uint8)]), 8)
+        low = words[start].view("<u8")[:, 0] & _MASK[np.minimum(size, 8)]
+        high = words[start + 8].view("<u8")[:, 0] & _MASK[np.clip(size - 8, 0, 8)]
+        h = mix(low ^ mix(high + size.astype(np.uint64) * _U(MULTIPLIERS[1]))) | _U(1)
+        number = self._find(h)
+        long, raw = np.flatnonzero(size > SHORT), data.tobytes()
+        text = [raw[a:b] for a, b in zip(start[long].tolist(), stop[long].tolist())]
+        number[long] = [self.long.get(t, -1) for t in text]
+        new = np.flatnonzero((number < 0) & (size <= SHORT))
+        new_long = dict.fromkeys(t for t, k in zip(text, number[long].tolist()) if k < 0)
+        if len(new) or new_long:
+            at = new[np.unique(h[new], return_index=True)[1]]
+            self._learn([*(raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())), *new_long], hash=h[at], low=low[at], high=high[at], size=size[at])
+            number[new] = self._find(h[new])
+            number[long] = [self.long[t] for t in text]
+        known = self.piece
+        other = (known["low"][number] != low) | (known["high"][number] != high) | (known["size"][number] != size)
+        return number, other & (size <= SHORT)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data``, each text followed by the end id, and the n + 1 offsets of their ids."""
         n = len(offsets) - 1
-        if self.known > PIECES:
+        if self.known > PIECES or len(self.long) > LONG_PIECES:
             self._shrink()
         odd = odd_texts(data, offsets) | (np.diff(offsets) >= 1 << 20)  # a piece must have fewer ids than that
         odd[self._with_added(data, offsets)] = True
-        whole = [bytes(data[offsets[k] : offsets[k + 1]]).decode() for k in np.flatnonzero(odd)]
-        whole = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else []
         begins = piece_starts(data, offsets)
-        if len(whole):
+        if odd.any():
             begins &= np.repeat(~odd, np.diff(offsets))
         start = np.flatnonzero(begins)
         owner = np.repeat(np.arange(n), np.diff(np.searchsorted(start, offsets)))
         # a piece ends where the next begins, or with its text
         stop = np.minimum(np.append(start[1:], len(data))[: len(start)], offsets[owner + 1])
-        total = np.zeros(len(data) + 1, np.uint64)
-        up, down = powers(len(data) + 1)
-        np.cumsum(BYTE_CODE[data] * up[: len(data)], out=total[1:])
-        h = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)) | _U(1)
-        number = self._find(h)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            some, first = np.unique(h[new], return_index=True)
-            raw = data.tobytes()
-            at = new[first]
-            self._learn(some, [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())])
-            number[new] = self._find(h[new])
-        if len(self.uses) < self.known:
-            self.uses = np.concatenate([self.uses, np.zeros(self.known, np.uint8)])
-        self.uses[number] = np.minimum(self.uses[number], 1) + 1
-        span = self.spans[number]
+        number, other = self._numbers(data, start, stop)
+        if other.any():
+            odd[owner[other]] = True
+            stays = ~odd[owner]
+            start, owner, number = start[stays], owner[stays], number[stays]
+        whole = [bytes(data[offsets[k] : offsets[k + 1]]).decode() for k in np.flatnonzero(odd)]
+        whole = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else []
+        self.piece["uses"][number] = np.minimum(self.piece["uses"][number], 1) + 1
+        span = self.piece["span"][number]
         begin, size = span >> 20, span & 0xFFFFF
         tokens = np.bincount(owner, size, n).astype(np.int64) + 1
         tokens[odd] += np.array([len(e.ids) for e in whole], np.int64)
@@ -374,10 +403,12 @@ def odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     filled = offsets[:-1] < offsets[1:]
     bad[offsets[:-1][filled]] |= space[offsets[:-1][filled]]
     bad[offsets[1:][filled] - 1] |= space[offsets[1:][filled] - 1]
-    for k in np.flatnonzero(_ODD[data]).tolist():
-        a, b, c = (int(data[j]) if j < n else 0 for j in (k, k + 1, k + 2))
-        bad[k] |= a < 0x20 or (a == 0xC2 and b in (0x85, 0xA0)) or (a == 0xE1 and b == 0x9A and c == 0x80) or (a == 0xE3 and b == 0x80 and c == 0x80)
-        bad[k] |= a == 0xE2 and (b == 0x80 and (0x80 <= c <= 0x8A or c in (0xA8, 0xA9, 0xAF)) or b == 0x81 and c == 0x9F)
+    k = np.flatnonzero(_ODD[data])
+    padded = np.concatenate([data, np.zeros(2, np.uint8)])
+    a, b, c = padded[k], padded[k + 1], padded[k + 2]
+    wide = (a == 0xE2) & (((b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | np.isin(c, (0xA8, 0xA9, 0xAF)))) | ((b == 0x81) & (c == 0x9F)))
+    wide |= ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    bad[k] |= (a < 0x20) | ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | wide
     odd[np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1] = True
     return odd
 
@@ -427,7 +458,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = N
     """Encode ``docs`` and write their shards to ``path``; numbers of shards ascend with doc_id."""
     n = partitions or shared.shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")  # rows of one id, or without any, are spread too
+    rows = rows.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     # the symbols are already short; a codec only takes the slack of their fixed width
     rows.mapInArrow(_shards(tokenizer), SHARD_DDL).write.option("compression", "zstd").parquet(path)
 

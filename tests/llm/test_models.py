@@ -24,10 +24,38 @@ def encoder():
     return repair.Encoder(tokenizers.path("byte_bpe_50k.json"))
 
 
+def twins():
+    """Thue-Morse texts and their complements, which hashes that are sums of powers do not tell apart."""
+    for n in (1024, 2048, 4096):
+        bits = [bin(k).count("1") & 1 for k in range(n)]
+        yield from ("".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits))
+
+
+def test_encoder_tells_pieces_of_one_hash_apart(encoder, monkeypatch):
+    one = repair.Encoder(tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(repair, "mix", lambda x: x & np.uint64(7))
+    texts = [prose(k, 30) for k in range(40)]
+    for _ in range(2):
+        ids, at = one(*flat(pa.array(texts)))
+        for k, e in enumerate(one.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert ids[at[k] : at[k + 1]].tolist() == e.ids + [0]
+
+
+def test_encoder_refuses_other_tokenizers(tmp_path):
+    import json
+
+    with open(tokenizers.path("byte_bpe_50k.json")) as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        repair.Encoder(str(tmp_path / "other.json"))
+
+
 def test_encoder_equals_whole_texts(encoder):
     r = random.Random(1)
-    letters = list("ab.,;!? \n'stéÿ»×3÷中—’\t \x1c-_$*()@#/rev")
-    texts = ["", " ", "\n", "a  b", "it's. 's 'll", "<|endoftext|> x", *["".join(r.choice(letters) for _ in range(r.randint(1, 30))) for _ in range(1500)], prose(1, 400)]
+    letters = list("ab.,;!? \n'stéÿ»×3÷中—’\t \x1c-_$*()@#/rev\u3000\u2003\u00a0\x85\u1680\u2028")
+    texts = [*twins(), "日本語の文章です。" * 40, "ключ " * 30 + "ОченьДлинноеСловоБезПробелов" * 3, "a" * 16, "a" * 17, "a" * 15 + "\0", "a" * 15,"", " ", "\n", "a  b", "it's. 's 'll", "<|endoftext|> x", *["".join(r.choice(letters) for _ in range(r.randint(1, 30))) for _ in range(1500)], prose(1, 400)]
     data, offsets = flat(pa.array(texts))
     for _ in range(2):  # the second time all pieces are known
         ids, at = encoder(data, offsets)
@@ -60,7 +88,20 @@ def test_compression_round_trip(least):
             assert len(symbols) < 30
 
 
-@pytest.mark.parametrize("least", [4, 64, repair.LEAST])
+def uses(symbols, rules):
+    """How often each rule occurs where it was made: in the sequence or in later rules, as often as those occur."""
+    counts = dict.fromkeys(range(len(rules)), 0)
+    for s in symbols.tolist():
+        if s >= repair.BASE:
+            counts[s - repair.BASE] += 1
+    for k in range(len(rules) - 1, -1, -1):
+        for s in rules[k].tolist():
+            if s >= repair.BASE:
+                counts[s - repair.BASE] += counts[k]
+    return counts
+
+
+@pytest.mark.parametrize("least", [2, 4, 64])
 def test_compression_leaves_no_frequent_pair(least):
     r = np.random.default_rng(least)
     passages = [r.integers(0, 50_000, int(r.integers(5, 60))) for _ in range(6)]
@@ -68,8 +109,12 @@ def test_compression_leaves_no_frequent_pair(least):
         ids = ids.astype(np.uint32)
         symbols, rules, lengths = repair.compress(ids, least)
         assert (repair.expand(symbols, rules, lengths) == ids).all()
-        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        assert not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < least
+        counts, last = {}, {}
+        for k, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+            if pair[0] != pair[1] or last.get(pair) != k - 1:  # overlapping ones count once
+                counts[pair], last[pair] = counts.get(pair, 0) + 1, k
+        assert max(counts.values(), default=0) < least
+        assert all(n >= least for n in uses(symbols, rules).values())
 
 
 def test_shards(spark, docs, texts, none, encoder):

@@ -3,7 +3,7 @@
 import hashlib
 import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -129,7 +129,7 @@ def test_personal_discovers_in_lists_and_short_identifiers(spark):
     filler = "word " * 40
     new = [(100, "7 then 8 jdoe@corp"), (101, "7 then 8 A1"), (102, "7 then 8 48213 x"), (103, "12345678 87654321 2024-05-01 AB-123"), (104, "unrelated words A1"), (105, filler + "then 8 B-7")]
     frame = spark.createDataFrame(seeds + new, "doc_id long, text string")
-    words = {r.doc_id: [(w.word, w.before) for w in r.w] for r in frame.select("doc_id", personal.identifier_words(F.col("text")).alias("w")).collect()}
+    words = identifier_words(frame)
     assert words[103] == [("12345678", ""), ("87654321", "12345678 "), ("2024-05-01", "12345678 87654321 "), ("AB-123", "87654321 2024-05-01 ")]
     assert words[101] == [("7", ""), ("8", "7 then "), ("A1", "then 8 ")]
     found = {r.doc_id: [(s.start, s.end) for s in r.extra] for r in personal.find(frame).collect()}
@@ -137,10 +137,98 @@ def test_personal_discovers_in_lists_and_short_identifiers(spark):
     assert found[100] == [(9, 18)]
 
 
+def identifier_words(frame):
+    """doc_id: the words with a digit or an at sign, each with what stands before it, in order."""
+    cuts = personal.pieces(frame)
+    rows = personal.matches(cuts).where("kind = 4").join(cuts.select("row_id", "doc_id"), "row_id").orderBy("doc_id", "start").collect()
+    out = defaultdict(list)
+    for r in rows:
+        out[r.doc_id].append((r.match, r.before))
+    return out
+
+
 def test_personal_context_of_long_words(spark):
     text = "a" * 200 + "  \n" + "b" * 100 + "\t1\n\n2 " + "c" * 90 + " 3"
-    row = spark.createDataFrame([(text,)], "text string").select(personal.identifier_words(F.col("text")).alias("w")).collect()[0]
-    assert [w.before for w in row.w] == ["a" * 200 + "  \n" + "b" * 100 + "\t", "b" * 100 + "\t1\n\n", "2 " + "c" * 90 + " "]
+    words = identifier_words(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1))
+    assert [w for _, w in words[1]] == ["a" * 200 + "  \n" + "b" * 100 + "\t", "b" * 100 + "\t1\n\n", "2 " + "c" * 90 + " "]
+
+
+def test_personal_is_linear_in_a_text(spark):
+    """A text of 100,000 numbers and one of punctuation; a walk that is quadratic would take hours."""
+    rows = [(1, " ".join(str(k) for k in range(100_000))), (2, "." * 300_000 + " 1 " + "-" * 300_000 + "@"), (3, "a@b.co " * 30_000), (4, "\u0001 a@b.co\u0001 1.2.3.4")]
+    found = {r.doc_id: r for r in personal.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found[3].base) == 30_000 and (found[3].base[-1].start, found[3].base[-1].end) == (29_999 * 7, 29_999 * 7 + 6)
+    assert [(s.start, s.kind, s.end) for s in found[4].base] == [(2, 0, 8), (10, 1, 17)]
+
+
+def brute_all(texts):
+    """Base and extra spans of each text, by loops."""
+    words, spans = [], [brute(t) for t in texts]
+    for k, t in enumerate(texts):
+        all_words = list(WORDS.finditer(t))
+        for j, m in enumerate(all_words):
+            if not re.search("[0-9@]", m.group()) or not re.search("[A-Za-z0-9]", m.group()):
+                continue
+            body = re.sub("^[^A-Za-z0-9+@]+", "", m.group())
+            core = re.sub("[^A-Za-z0-9]+$", "", body)
+            start = m.end() - len(body)
+            end = start + len(core)
+            seed = any(start <= a < end for a, _, _ in spans[k])
+            if not seed and any(a < end and b > start for a, _, b in spans[k]):
+                continue
+            shape = re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]+", "0", core)))[:24]
+            keys = []
+            if j >= 2:
+                keys.append("2 " + t[all_words[j - 2].start() : all_words[j - 1].end()].lower())
+            if j >= 1:
+                keys.append(f"1 {all_words[j - 1].group().lower()} {shape}")
+            words.append((k, start, end, core, keys, seed))
+    edges = {}
+    for _, _, _, core, keys, seed in words:
+        for key in keys:
+            edges[key, core] = edges.get((key, core), False) or seed
+    n = Counter(key for key, _ in edges)
+    edges = {e: float(s) for e, s in edges.items() if n[e[0]] >= personal.LEAST_SUPPORT}
+    seeds, score = {e for e, s in edges.items() if s}, dict(edges)
+    for _ in range(personal.ROUNDS):
+        total, support = Counter(), Counter()
+        for (key, _), s in score.items():
+            total[key] += s
+            support[key] += s > 0.5
+        grade = {key: total[key] / (n[key] + personal.SMOOTH) for key in total}
+        none = defaultdict(lambda: 1.0)
+        for key, core in edges:
+            none[core] *= 1 - (grade[key] if support[key] >= personal.LEAST_SUPPORT else 0.0)
+        score = {(key, core): 1.0 if (key, core) in seeds else 1 - none[core] for key, core in edges}
+    trusted = {key for key in grade if support[key] >= personal.LEAST_SUPPORT and grade[key] >= personal.LEAST_SCORE}
+    extra = [set() for _ in texts]
+    for k, start, end, _, keys, seed in words:
+        if not seed and trusted & set(keys):
+            extra[k].add((start, 4, end))
+    return spans, [sorted(x) for x in extra]
+
+
+def test_personal_query(spark, tmp_path):
+    """All columns of the query against loops over the same texts."""
+    import random
+
+    r = random.Random(11)
+    lead = ["contact me", "reach us", "card no", "server at", "call", "ticket ref", "order", "see page"]
+    texts = []
+    for k in range(300):
+        what = r.choice([f"user{k}@mail{k % 40}.example.com", f"10.0.{k % 250}.7", "4111 1111 1111 1111", f"+1 555 01{k:04d}", f"QX-{k}77", f"{k}", f"jdoe{k}@corp", f"({k})"])
+        texts.append(" ".join(r.choice(["we", "noted,", "that", "7th"]) for _ in range(r.randint(0, 4))) + f" {r.choice(lead)} {what}{r.choice(['', '.', ' ', ' today 12'])}")
+    texts += ["", None, "x" * 3000 + " 1", "4111111111111111 4111-1111-1111-1112"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = personal.op10_contextual_pii(spark, str(tmp_path)).collect()
+    base, extra = brute_all([t or "" for t in texts])
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts))) and sum(map(len, extra)) > 20
+    text = lambda spans: ",".join(f"{personal.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    for r in rows:
+        k = r.doc_id
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[1] == kind for s in base[k]) for kind in range(4))
+        assert r.base_sha256 == hashlib.sha256(text(base[k]).encode()).hexdigest()
+        assert r.spans == text(sorted(base[k] + extra[k]))
 
 
 def test_listed(spark):
