@@ -77,8 +77,9 @@ def deduplicate(docs: DataFrame, tracked: int = TRACKED) -> DataFrame:
     row = shared.fresh("row_id", docs)
     tagged = shared.stored(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
     narrow = shared.stored(digests(tagged, row), "digests")
-    kept = decide(narrow, tracked).where("kept").select(F.col("row_id").alias(row))
-    return tagged.join(kept, row, "left_semi").select(*docs.columns)
+    # what goes is narrow and rarely much, so texts stay where they are unless it is too much to broadcast
+    dropped = shared.stored(decide(narrow, tracked).where("NOT kept").select(F.col("row_id").alias(row)), "dropped")
+    return tagged.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     s = s.select(
         "*",
         (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("left"),
-        F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)).alias("open_weight"),
+        (F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("open_weight"),
     )
     fits = F.col("left").cast("decimal(38,0)") * F.col("weight") <= F.col("cap").cast("decimal(38,0)") * F.col("open_weight")
     level = lambda c: F.first(F.when(fits, F.col(c)), ignorenulls=True).over(
@@ -68,8 +68,6 @@ def plan(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
     ranges = max(1, sized.count() // ROWS_PER_RANGE)
     digits = max(2, len(f"{ranges - 1:x}"))
     keyed = sized.where("size > 0").select("source", key().alias("key"), "doc_id", "size").withColumn("part", F.substring("key", 1, digits))
-    rows = keyed.groupBy("source", "part", "key", "doc_id", "size").agg(F.count("*").alias("copies"))
-    words = F.col("size") * F.col("copies")
     parts = keyed.groupBy("source", "part").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source", "part", "words", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
@@ -80,9 +78,11 @@ def plan(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
     )
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "size")
     cut = (
-        rows.alias("r")
+        keyed.alias("r")
         .join(open_parts.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.part") == F.col("o.part")))
-        .select("r.source", "key", "doc_id", "size", "copies", "left", words.alias("words"))
+        .groupBy("r.source", "key", "doc_id", "size", "left")
+        .agg(F.count("*").alias("copies"))
+        .withColumn("words", F.col("size") * F.col("copies"))
         .withColumn("upto", F.sum("words").over(inside))
         .where("upto >= left AND upto - words < left")
         .select(

@@ -34,7 +34,7 @@ from .components import components
 from .textblocks import mix, shingle_sets
 
 WIDTH = 5
-BUCKETS_PER_PARTITION = 2
+BUCKET_BYTES = 1 << 20  # text whose slices make about as many bytes; a task gets several such buckets
 FLUSH_BYTES = 48 << 20
 BLOCK = 1024
 NULL_ID = -(2**63)
@@ -230,12 +230,22 @@ def _close(percent: int):
     return run
 
 
+def shingles(text: bytes, width: int) -> set[tuple[bytes, ...]]:
+    """The set itself; ASCII capitals count as small, and words end at the same bytes as everywhere here."""
+    words = text.lower().split()
+    return set(zip(*(words[j:] for j in range(width)))) if len(words) >= width else {tuple(words)} - {()}
+
+
 def _verify(width: int, percent: int):
     def run(batches):
+        """The pairs whose sets of words, compared as bytes, are similar enough."""
         for batch in batches:
-            keep = []
-            for x, y in zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            keep, last, x = [], None, set()
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if a != last:  # pairs of one star tend to follow each other
+                    last, x = a, shingles(a, width)
+                y = shingles(b, width)
+                both = len(x & y)
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -279,9 +289,10 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``: components of the links of similarity 0.8 or more."""
     percent = 80  # slices() and schemes() are derived from it
     node, text = F.coalesce("doc_id", F.lit(NULL_ID)), shared.whole_text()
-    n_buckets = BUCKETS_PER_PARTITION * shared.shuffle_partitions(docs.sparkSession)
     whole = docs.select(node.alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    narrow = shared.stored(whole.select("id", "digest", F.col("text").rlike(shared.WORD).alias("words")), "digests")
+    narrow = shared.stored(whole.select("id", "digest", F.col("text").rlike(shared.WORD).alias("words"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    total = narrow.agg(F.sum("n_bytes")).collect()[0][0] or 0
+    n_buckets = max(4 * shared.shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES)
     # aggregates are stored before they are joined: a digest with very many copies then is a skewed join that Spark splits
     heads = shared.stored(narrow.where("words").groupBy("digest").agg(F.min("id").alias("head")), "heads")
     copies = shared.stored(narrow.where("words").join(heads, "digest").where("id != head").select("id", "head"), "copies")
@@ -305,7 +316,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         ids = shared.stored(ids.repartitionByRange(1 + shared.shuffle_partitions(docs.sparkSession) // 16, "id").sortWithinPartitions("id"), "ids")
         texts = shared.stored(whole.select("id", "text").join(ids, "id", "left_semi"), "texts")
-        x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(c + "_text")) for c in "ab")
+        x, y = (texts.select(F.col("id").alias(c), F.col("text").cast("binary").alias(c + "_text")) for c in "ab")
         full = pairs.join(x, "a").join(y, "b").select("a", "b", "a_text", "b_text")
         return shared.stored(full.mapInArrow(_verify(width, percent), "a long, b long"), "verified")
 
@@ -331,7 +342,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         members = members.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("other")).join(sketches, "id")
         members = members.select(
             "grp", "id", "label", "size", "sketch", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), (F.col("home") > F.col("other")).cast("int").alias("side")
-        ).withColumn("bucket", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(8 * n_buckets)))
+        ).withColumn("bucket", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(4 * n_buckets)))
         near = members.groupBy("bucket").applyInArrow(_near(percent), "a long, b long").distinct()
         label = components(links.union(same).union(linked(near)))
 

@@ -8,7 +8,7 @@ and every whole text is scored as a sparse dot product.
 
 Defined results: null and empty texts have the constant only and get the score of the bias; labelled rows without a
 text or without a label are not trained on, labels that disagree on an id count as the lower one; without any usable
-label all weights are 0 and all scores 0.5; repeated rows get equal scores; a null ``doc_id`` hashes as the empty
+label all weights are 0 and all scores 0.5; of several texts of a labelled id the least is learnt; repeated rows get equal scores; a null ``doc_id`` hashes as the empty
 string; other columns are ignored by :func:`score` and carried by :func:`keep_good`.
 """
 
@@ -107,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> n
     share = min(1.0, train_rows / max(rows, 1))
     sample = usable.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20))).select("doc_id", F.col("label").cast("int"), order.alias("order"))
     sample = shared.stored(sample, "sample")  # about train_rows narrow rows at most, so it may be broadcast
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "order", "text")
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "label", "order").agg(F.min("text").alias("text"))  # one row of an id that many rows have
     found = texts.groupBy((F.col("order") * 0).alias("all")).applyInArrow(lambda _, t: _train(t), "weights binary").collect()
     return np.frombuffer(found[0]["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 

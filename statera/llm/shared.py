@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +15,24 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one where all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
+_made: list[str] = []  # paths of stored tables, oldest first
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; Hadoop removes it when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    _made.append(path)
     return path
 
 
@@ -37,12 +44,15 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`stored` once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Store what ``make`` returns, then remove the tables that it stored on the way."""
+    first = len(_made)
+    out = stored(make(), name)
+    for path in _made[first:-1]:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    del _made[first:-1]
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -64,7 +74,7 @@ def n_words(text: Column | str = "text") -> Column:
 
 
 def word_crc(doc_id: Column | str = "doc_id") -> Column:
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string"))
+    return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")))
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

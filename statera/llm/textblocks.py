@@ -10,7 +10,6 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULT, -1, 1 << 64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,18 +27,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_MULT, _INVERSE)):
-            steps = np.full(max(n, BLOCK_BYTES * 2), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def powers(n: int) -> np.ndarray:
+    """The first n powers of the multiplier, modulo 2^64."""
+    steps = np.full(n, _MULT, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +71,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     first[n] = False
     starts = np.flatnonzero(inside[1:-1] & (edge[:-1] | first[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (edge[1:] | np.append(first[1:-1], True)))
-    up, down = powers(n + 1)
+    # a word's hash is a sum of codes of its bytes and their places in it, which no pattern of bytes makes equal
+    at = np.zeros(n, np.int64)
+    at[starts] = starts
+    place = np.arange(n) - np.maximum.accumulate(at)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODE[LOWER[data] if lower else data] * up[:n], out=total[1:])
-    words = mix((total[ends + 1] - total[starts]) * down[starts])
+    codes = (LOWER[data] if lower else data).astype(np.uint64) + (place.astype(np.uint64) << _U(8))
+    np.cumsum(mix((codes + _U(1)) * _U(_MULT)), out=total[1:])
+    words = mix(total[ends + 1] - total[starts] + (ends - starts).astype(np.uint64))
     return words, np.searchsorted(starts, offsets)
 
 
@@ -91,7 +87,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     if not len(words):
         return words
     k = min(width, len(words))
-    steps = powers(k + 1)[0]
+    steps = powers(k + 1)
     out = words[: len(words) - k + 1] * steps[1]
     for j in range(1, k):
         out = out + words[j : len(words) - k + 1 + j] * steps[j + 1]

@@ -199,6 +199,70 @@ def test_classifier(spark, docs, none):
     assert quality.score(none, weights).count() == 0
 
 
+def test_updates_follow_the_formula():
+    """Weights against follow-the-regularised-leader written out for one slot at a time."""
+    import math
+
+    rows = [(k % 2, k, prose(k, 12) + (" good sound text" if k % 2 else " BUY now!! now")) for k in range(30)]
+    table = pa.table({"label": pa.array([r[0] for r in rows], pa.int32()), "order": pa.array([r[1] for r in rows], pa.int64()), "text": [r[2] for r in rows]})
+    found = np.frombuffer(quality._train(table)["weights"][0].as_py(), np.float32)
+    z, n = {}, {}
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= quality.L1 else -(zi - math.copysign(quality.L1, zi)) / ((quality.BETA + math.sqrt(ni)) / quality.ALPHA + quality.L2)
+
+    vectors = [list(zip(i.tolist(), x.tolist())) for i, x in quality.features(table["text"].combine_chunks())]
+    for _ in range(quality.EPOCHS):
+        for (label, _, _), vector in zip(rows, vectors):
+            p = 1 / (1 + math.exp(-sum(weight(i) * x for i, x in vector)))
+            for i, x in vector:
+                g, w = (p - label) * x, weight(i)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA * w
+                n[i] = n.get(i, 0.0) + g * g
+    want = np.zeros(len(found))
+    for i in z:
+        want[i] = weight(i)
+    assert np.count_nonzero(want) > 100 and np.allclose(found, want, atol=1e-5)
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, docs, tmp_path_factory):
+    """Driver tables of the fixture's rows: null and repeated ids, null, empty and long texts, clashing names."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels = [(k, k % 2, 0) for k in range(1, 19)] + [(None, 1, 0), (13, 0, 0), (7, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+@pytest.fixture(scope="module")
+def empty_tables(spark, none, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("empty"))
+    none.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_queries_over_odd_rows(spark, odd_tables, empty_tables, texts):
+    from statera.llm import registry
+
+    for name, query in registry.QUERIES.items():
+        rows = query(spark, odd_tables).collect()
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in texts), name
+        assert query(spark, empty_tables).count() == 0, name
+
+
+def test_pipeline_over_odd_rows(spark, odd_tables, empty_tables):
+    import corpus_pipeline as p
+
+    columns = ["doc_id", "n_tokens", "bucket", "padded_length", "batch", "slot"]
+    found = p.run(spark, odd_tables)
+    assert found.columns == columns and {r.doc_id for r in found.collect()} <= {None, *range(1, 19)}
+    empty = p.run(spark, empty_tables)
+    assert empty.columns == columns and empty.count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 def test_pipeline(spark):
     import corpus_pipeline as p

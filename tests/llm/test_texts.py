@@ -97,6 +97,21 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_words_of_patterns_do_not_link(spark):
+    """Thue-Morse words and their complements, alike to hashes that are sums of powers, are different words."""
+    def word(n, letters):
+        return "".join(letters[bin(k).count("1") & 1] for k in range(n))
+
+    rows = [(1, word(2048, "ab")), (2, word(2048, "ba")), (3, word(4096, "ab") + " x"), (4, word(4096, "ba") + " x"), (5, word(2048, "AB"))]
+    found = {r.doc_id: r.component_id for r in parity_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_sets_of_words():
+    for t in ("", "  ", "A b", "a b c d e", "a b c d e\tF\x0bg  é É", "x " * 20):
+        assert parity_join.shingles(t.encode(), 5) == {tuple(w.encode() for w in s) for s in shingles(t)}
+
+
 def test_word_hashes_follow_words():
     texts = ["Ab  cD\te", "", "ab cd e ", None, "x" * 3000, "é É"]
     data, offsets = flat(pa.array(texts))
