@@ -75,22 +75,22 @@ def starts(ends: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-COLUMNS = ("keys", "more", "docs", "rows", "places")
+COLUMNS = ("keys", "hashes", "docs", "rows", "places")
 
 
 def chunk_keys(data: np.ndarray, offsets: np.ndarray):
     """Digest (keys) and number (places) of every chunk of every text, and the n + 1 offsets of each text's chunks."""
     ends, at = cuts(data, offsets)
     begins = starts(ends, at, offsets)
-    keys, more = spread.digests(data.tobytes(), begins, ends)
-    return {"keys": keys, "more": more, "places": np.arange(len(ends)) - np.repeat(at[:-1], np.diff(at))}, at
+    keys, hashes = spread.digests(data.tobytes(), begins, ends)
+    return {"keys": keys, "hashes": hashes, "places": np.arange(len(ends)) - np.repeat(at[:-1], np.diff(at))}, at
 
 
 def split_repeats(e: spread.Arrays) -> tuple[spread.Arrays, spread.Arrays]:
-    """The first entry of each digest (keys and more), and the others but for repeats of the very same place."""
-    e = spread.take(e, np.lexsort((e["places"], e["rows"], e["docs"], e["more"], e["keys"])))
+    """The first entry of each digest (keys and hashes), and the others but for repeats of the very same place."""
+    e = spread.take(e, np.lexsort((e["places"], e["rows"], e["docs"], e["hashes"], e["keys"])))
     n = len(e["keys"])
-    new = np.concatenate((np.ones(min(1, n), bool), (e["keys"][1:] != e["keys"][:-1]) | (e["more"][1:] != e["more"][:-1])))
+    new = np.concatenate((np.ones(min(1, n), bool), (e["keys"][1:] != e["keys"][:-1]) | (e["hashes"][1:] != e["hashes"][:-1])))
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     again = (e["rows"] != e["rows"][head]) | (e["places"] != e["places"][head])
     return spread.take(e, new), spread.take(e, again)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,15 @@ def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str)
     return out
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    The cleaner follows the garbage collections of the driver's JVM, which on a quiet driver may be half an hour apart.
+    """
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

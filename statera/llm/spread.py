@@ -30,7 +30,7 @@ NULL_ID = -(2**63)
 #: kinds of rows: those in BY_DOCUMENT are packed by document, all others by key
 MARK, ENTRY, ASK = 0, 1, 3
 BY_DOCUMENT = (MARK, ASK)
-TYPES = {"keys": np.uint64, "hashes": np.uint64, "more": np.uint64, "docs": np.int64, "rows": np.int64, "places": np.uint32, "counts": np.uint8}
+TYPES = {"keys": np.uint64, "hashes": np.uint64, "docs": np.int64, "rows": np.int64, "places": np.uint32, "counts": np.uint8}
 _U = np.uint64
 Arrays = dict[str, np.ndarray]
 

@@ -10,8 +10,8 @@ windows with one anchor, at most 69 windows a stretch, and stretches are routed
    neighbours share 100 bytes, and of the windows that are equal, the first stays.
 3. A text loses the union of the repeated windows' bytes.
 
-Anchors with more than ``whole`` bytes of stretches (many copies) send one stretch of each kind: those with equal
-128-bit digests of all their bytes are repeats from end to end.  Anchors with more than ``shard`` bytes of different
+Anchors with more than ``whole`` bytes of stretches (many copies) send one stretch of each kind: those of one anchor
+with equal length and equal 64-bit digests of all their bytes are repeats from end to end.  Anchors with more than ``shard`` bytes of different
 stretches (a common line in ever new surroundings) have their windows routed one by one, by 128-bit digests of their
 100 bytes, and settled by sorting those.  Tasks that find an anchor in more than ``hot`` stretches among what they hold
 do both at once; where that leaves more than ``hot`` different ones, they send one marker to the anchor's bucket, upon
@@ -39,10 +39,10 @@ LENGTH = 100
 ANCHOR = 32
 WIDE = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 HOT = 64
-WHOLE_BYTES = 1024
+WHOLE_BYTES = 512
 SHARD_BYTES = 4096
 LANES_BYTES = 1 << 20  # of the lanes that are sorted side by side
-COLUMNS = ("keys", "hashes", "more", "docs", "rows", "places", "counts")
+COLUMNS = ("keys", "hashes", "docs", "rows", "places", "counts")
 FETCHED = (*COLUMNS, "bytes")
 #: kinds besides spread.MARK (repeated windows) and spread.ENTRY (stretches); what is asked for is by document
 WINDOW, ASK, BYTES = 2, spread.ASK, 4
@@ -50,10 +50,10 @@ _U = np.uint64
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray):
-    """keys (of the anchor), hashes and more (of all bytes), places and counts of windows, and each text's offsets."""
+    """keys (of the anchor), hashes (of all bytes), places and counts of windows, and each text's offsets."""
     n = len(data)
     if n < LENGTH:
-        return {c: np.zeros(0, np.int64) for c in ("keys", "hashes", "more", "places", "counts")}, np.zeros(len(offsets), np.int64)
+        return {c: np.zeros(0, np.int64) for c in ("keys", "hashes", "places", "counts")}, np.zeros(len(offsets), np.int64)
     # least hash and, in the low half, leftmost position of the anchors in each window, by doubling
     least = (gear_hash(data)[ANCHOR - 1 :].astype(np.uint64) << _U(32)) | np.arange(n - ANCHOR + 1, dtype=np.uint64)
     width = 1
@@ -75,8 +75,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray):
     owner = np.repeat(offsets[:-1], np.diff(cuts))
     raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
     keys = np.array([digest(raw[a : a + ANCHOR]) for a in at.tolist()], np.uint64)
-    hashes, more = spread.digests(raw, first, last + LENGTH)
-    return {"keys": keys, "hashes": hashes, "more": more, "places": first - owner, "counts": last - first + 1}, cuts
+    hashes = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist())], np.uint64)
+    return {"keys": keys, "hashes": hashes, "places": first - owner, "counts": last - first + 1}, cuts
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +91,10 @@ def by_anchor(e: spread.Arrays) -> tuple[spread.Arrays, np.ndarray]:
     _, length = runs(e["keys"][order])
     shared_by = np.repeat(length > 1, length)
     some = order[shared_by]  # most anchors have one entry and need no further keys
-    order[shared_by] = some[np.lexsort([e[c][some] for c in ("places", "rows", "docs", "counts", "more", "hashes", "keys")])]
+    order[shared_by] = some[np.lexsort([e[c][some] for c in ("places", "rows", "docs", "counts", "hashes", "keys")])]
     e = spread.take(e, order)
     new = np.ones(len(e["keys"]), bool)
-    new[1:] = np.any([e[c][1:] != e[c][:-1] for c in ("keys", "hashes", "more", "counts")], 0)
+    new[1:] = np.any([e[c][1:] != e[c][:-1] for c in ("keys", "hashes", "counts")], 0)
     return e, new
 
 
@@ -112,7 +112,7 @@ def _fold(limit: int):
         many, hot = n > limit, kinds > limit
         marker = spread.take(e, hot)
         marker = spread.take(marker, runs(marker["keys"])[0])
-        marker = {**marker, "hashes": np.zeros_like(marker["hashes"]), "more": np.zeros_like(marker["more"]), "counts": np.zeros_like(marker["counts"])}
+        marker = {**marker, "hashes": np.zeros_like(marker["hashes"]), "counts": np.zeros_like(marker["counts"])}
         entries = {c: np.concatenate([a, marker[c]]) for c, a in spread.take(e, ~hot & (new | ~many)).items()}
         return [(spread.ENTRY, entries), (spread.MARK, spread.take(e, many & ~new)), (ASK, asked(spread.take(e, hot & new), windows=True))]
 
@@ -163,8 +163,8 @@ def _fetch(n_buckets: int):
             if len(e["keys"]):
                 n = e["counts"].astype(np.int64)
                 at = np.repeat(e["places"].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                keys, more = spread.digests(text, at, at + LENGTH)
-                window.append({"keys": keys, "hashes": np.zeros_like(keys), "more": more, "docs": np.repeat(e["docs"], n), "rows": np.repeat(e["rows"], n), "places": at.astype(np.uint32), "counts": np.ones(len(at), np.uint8)})
+                keys, hashes = spread.digests(text, at, at + LENGTH)
+                window.append({"keys": keys, "hashes": hashes, "docs": np.repeat(e["docs"], n), "rows": np.repeat(e["rows"], n), "places": at.astype(np.uint32), "counts": np.ones(len(at), np.uint8)})
         out = spread.schema(FETCHED)
         made = []
         if window:
@@ -304,9 +304,12 @@ def deduplicate(docs: DataFrame, hot: int = HOT, whole: int = WHOLE_BYTES, shard
     table, n = spread.numbered(docs)
     met = spread.entries(table, stretches, _fold(hot), n, COLUMNS).groupBy("bucket").applyInArrow(_settle(n, whole, shard), spread.ddl(COLUMNS))
     met = shared.stored(met, "stretches")
+    shared.release(table)
     fetched = spread.with_texts(table, met.where(f"kind = {ASK}"), n, _fetch(n), spread.ddl(FETCHED), COLUMNS)
     # marks among what was fetched are by document already; they only pass through
     settled = shared.stored(fetched.groupBy("bucket").applyInArrow(_resolve(n), spread.ddl(COLUMNS)), "windows")
+    del fetched
+    shared.release(table)
     marks = met.where(f"kind = {spread.MARK}").unionByName(settled)
     return spread.to_documents(spread.with_texts(table, marks, n, _cut, spread.REMOVED, COLUMNS))
 
