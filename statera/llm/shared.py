@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,10 +38,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
+
+    Once it is written, Spark deletes the shuffle files of this one execution.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,15 +64,6 @@ def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str)
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
-
-    The cleaner follows the garbage collections of the driver's JVM, which on a quiet driver may be half an hour apart.
-    """
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -304,12 +304,9 @@ def deduplicate(docs: DataFrame, hot: int = HOT, whole: int = WHOLE_BYTES, shard
     table, n = spread.numbered(docs)
     met = spread.entries(table, stretches, _fold(hot), n, COLUMNS).groupBy("bucket").applyInArrow(_settle(n, whole, shard), spread.ddl(COLUMNS))
     met = shared.stored(met, "stretches")
-    shared.release(table)
     fetched = spread.with_texts(table, met.where(f"kind = {ASK}"), n, _fetch(n), spread.ddl(FETCHED), COLUMNS)
     # marks among what was fetched are by document already; they only pass through
     settled = shared.stored(fetched.groupBy("bucket").applyInArrow(_resolve(n), spread.ddl(COLUMNS)), "windows")
-    del fetched
-    shared.release(table)
     marks = met.where(f"kind = {spread.MARK}").unionByName(settled)
     return spread.to_documents(spread.with_texts(table, marks, n, _cut, spread.REMOVED, COLUMNS))
 
