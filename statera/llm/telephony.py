@@ -3,8 +3,10 @@
 Audio is stored as WAV files in a binary column, 8 kHz mono, in one of three formats.  Decoding is vectorised over all
 files of an Arrow batch: mu-law and A-law codes index a table of 256 samples; ADPCM blocks, which are independent of
 each other, are decoded side by side, one numpy step per nibble position for all blocks at once.  :func:`decode` returns
-PCM at another rate (linear interpolation), :func:`store_pcm` writes it; memory is bounded by the decoding of about
-``textblocks.BLOCK_BYTES`` of codes, or of one file where that is longer.
+PCM at another rate (means of whole groups of samples where the rate goes down by a whole factor, else linear
+interpolation) and :func:`store_pcm` writes it; memory is bounded by the decoding of about ``textblocks.BLOCK_BYTES`` of
+codes, or of one file where that is longer.  The query stores files and PCM at ``LOW_RATE`` and computes features of the
+PCM that it reads back; at 8 kHz or more the PCM alone would be two to eight times the text.
 
 Defined results: null and empty payloads are padded like any other; a null or malformed WAV has no PCM (null), and
 ``codec`` null; repeated rows give equal rows; an empty table gives an empty table; other columns are ignored.
@@ -25,6 +27,7 @@ from . import shared
 from .textblocks import blocks, flat
 
 RATE = 8000
+LOW_RATE = 2000
 BLOCK = 192  # payload bytes of an ADPCM block; its header has four more
 CODECS = ("mulaw", "alaw", "adpcm")
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
@@ -139,7 +142,10 @@ def decode_files(files: list[tuple[str, memoryview]]) -> list[np.ndarray]:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation; n samples become n * to // rate, whole multiples of the rate by shifts only."""
+    """n samples become n * to // rate: means where ``to`` divides the rate, else linear interpolation."""
+    if rate % to == 0:
+        k = rate // to
+        return (pcm[: len(pcm) // k * k].reshape(-1, k).sum(1, dtype=np.int32) // k).astype(np.int16)
     if to == 2 * rate:
         out = np.empty(2 * len(pcm), np.int16)
         out[0::2] = pcm
@@ -214,25 +220,39 @@ def store_pcm(media: DataFrame, path: str, rate: int = 16_000) -> None:
     decode(media, rate).write.option("compression", "zstd").parquet(path)
 
 
-def describe(media: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Payload digests and features of the resampled PCM of each file, without moving the PCM."""
+def with_pcm(media: DataFrame, rate: int = LOW_RATE) -> DataFrame:
+    """``media`` (doc_id, n_bytes, media) with codec and pcm, as :func:`decode` makes them."""
 
     def run(batches):
         for batch in batches:
-            rows = [
-                x and (len(x[1]), hashlib.sha256(x[1]).hexdigest(), zlib.crc32(x[1][-16:]), features(x[0], x[2], rate))
-                for x in _decoded(batch.column(3), rate)
-            ]
+            found = [x and (x[0], x[2].astype("<i2", copy=False).tobytes()) for x in _decoded(batch.column(2), rate)]
+            codec, pcm = ([x and x[k] for x in found] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(codec, pa.string()), pa.array(pcm, pa.binary())], names=["doc_id", "n_bytes", "media", "codec", "pcm"])
+
+    inner = media.select("doc_id", "n_bytes", "media")
+    return inner.mapInArrow(run, f"doc_id {dict(inner.dtypes)['doc_id']}, n_bytes long, media binary, codec string, pcm binary")
+
+
+def describe(stored: DataFrame, rate: int = LOW_RATE) -> DataFrame:
+    """Payload digests of each file and features of the PCM beside it, both as stored by :func:`with_pcm`."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for file, codec, pcm in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist()):
+                read = read_wav(file)
+                body = payload(*read) if read else None
+                rows.append(read and (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), features(codec, np.frombuffer(pcm, "<i2"), rate)))
             size, sha, tail, text = ([x and x[k] for x in rows] for k in range(4))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(tail, pa.int64()), batch.column(2), batch.column(4), pa.array(text, pa.string())],
                 names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    inner = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), "media", F.sha2("media", 256).alias("media_sha256"))
+    inner = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), "media", F.sha2("media", 256).alias("media_sha256"), "codec", "pcm")
     kind = dict(inner.dtypes)["doc_id"]
     return inner.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op5_telephony(spark, sf_dir: str) -> DataFrame:
-    return describe(shared.stored(encode(shared.documents(spark, sf_dir)), "media"))
+    return describe(shared.stored(with_pcm(encode(shared.documents(spark, sf_dir))), "media"))

@@ -154,12 +154,17 @@ def test_audio_decoders():
     assert len(set(telephony.ALAW.tolist())) == 256
     pcm = np.array([0, 100, -100, 7], np.int16)
     assert telephony.resample(pcm, 8000, 16000).tolist() == [0, 50, 100, 0, -100, -47, 7, 7]
+    assert telephony.resample(pcm, 8000, 4000).tolist() == [50, -47]
     assert len(telephony.resample(pcm, 8000, 6000)) == 3 and telephony.read_wav(b"RIFFxxxxWAVEjunk") is None and telephony.read_wav(None) is None
 
 
 def test_telephony(spark, docs, texts, none):
-    media = shared.stored(telephony.encode(docs), "media")
+    media = shared.stored(telephony.with_pcm(telephony.encode(docs)), "media")
     rows = telephony.describe(media).collect()
+    for r in media.collect():  # the PCM that is stored is that of the file, decoded and resampled
+        codec, data = telephony.read_wav(bytes(r.media))
+        (pcm,) = telephony.decode_files([(codec, data)])
+        assert r.codec == codec and np.frombuffer(r.pcm, "<i2").tolist() == [int(np.floor(pcm[k : k + 4].astype(int).sum() / 4)) for k in range(0, len(pcm) // 4 * 4, 4)]
     assert len(rows) == len(texts)
     want = {}
     for i, t in texts:
