@@ -213,6 +213,84 @@ def parsed_band(raw: Column) -> tuple[Column, Column]:
     return F.when(low <= high, low), F.when(low <= high, high)
 
 
-def first_cadence(text: Column) -> Column:
-    """Cadence word and leading year of an income line, as a struct."""
-    return F.struct(F.lower(F.regexp_extract(text, r"(?i)\b(monatlich|jährlich|einmalig|vierteljährlich)\b", 1)).alias("word"), F.regexp_extract(text, r"^\s*((?:19|20)\d\d)\b", 1).try_cast("int").alias("year"))
+# Cadence words of German income lines, and the word that marks a supplement.
+CADENCE_WORDS = ("monatlich", "jährlich", "einmalig", "vierteljährlich", "halbjährlich")
+SUPPLEMENT = "zuzüglich"
+
+
+def income_split(text: Column) -> Column:
+    """Role and income of a line, as a struct: the income begins at the first cadence word after a comma, or is the whole line."""
+    words = "|".join(CADENCE_WORDS)
+    cut = F.regexp_instr(text, F.lit(f", ({words})"))
+    whole = text.rlike(f"^({words}|{SUPPLEMENT})")
+    role = F.when(whole, "").when(cut > 0, F.trim(F.substring(text, F.lit(1), cut - 1))).otherwise(F.trim(text))
+    return F.struct(role.alias("role"), F.when(whole, text).when(cut > 0, F.trim(F.substring(text, cut + 2, F.char_length(text)))).alias("income"))
+
+
+def income_parts(income: Column) -> Column:
+    """period, year and amount of an income, as a struct; a leading year makes it a single payment."""
+    text = F.trim(income)
+    year = F.nullif(F.regexp_extract(text, "^([0-9]{4})(?![0-9])", 1), F.lit(""))
+    period = F.when(F.startswith(text, F.lit("monatlich")), "monthly").when(F.startswith(text, F.lit("jährlich")), "annual").when(F.startswith(text, F.lit("einmalig")) | year.isNotNull(), "one_off")
+    return F.struct(period.alias("period"), year.cast("int").alias("year"), first_euro_amount(text).alias("amount"))
+
+
+def first_euro_amount(text: Column) -> Column:
+    """The number right before the first EUR or Euro, as written in German; null without one."""
+    before = F.regexp_extract(text, "(?s)^(?:(?!EUR|Euro).)*?([0-9.,]*) *(?:EUR|Euro)", 1)
+    return comma_decimal(before)
+
+
+# Month names of received stamps.
+STAMP_MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+
+
+def stamp_date(raw: Column) -> Column:
+    """A received stamp, year, month name and day, whose single digits follow a hyphen; null for anything else."""
+    part = lambda k: F.regexp_extract(raw, r"^\s*([0-9]{4})\s+([A-Z]{3})\s+-*([0-9]{1,2})\s*$", k)
+    month = F.array_position(F.array(*map(F.lit, STAMP_MONTHS)), part(2))
+    return F.when(month > 0, F.try_to_date(F.concat_ws("-", part(1), month.cast("string"), part(3)), "yyyy-M-d"))
+
+
+def source_date(raw: Column) -> Column:
+    """Month first with slashes, or a received stamp."""
+    return F.coalesce(us_date(raw), stamp_date(raw))
+
+
+def change_date(line: Column) -> Column:
+    """The date after ``Date of change:``, year first with slashes; null if the line has none."""
+    return F.try_to_date(F.nullif(F.regexp_extract(line, r"^Date of change:\s*(\S+)", 1), F.lit("")), "yyyy/M/d")
+
+
+def stamped_day(raw: Column) -> Column:
+    """Day first with slashes, whatever follows the first white space."""
+    return F.try_to_date(F.regexp_extract(raw, r"^\s*(\S+)", 1), "d/M/yyyy")
+
+
+def days_text(seconds: Column) -> Column:
+    """A duration in days with one decimal, a dash where it is unknown."""
+    return F.coalesce(F.concat(F.round(seconds.cast("decimal(20,3)") / 86400, 1).cast("decimal(20,1)").cast("string"), F.lit("d")), F.lit("—"))
+
+
+def age_text(at: Column, now: Column) -> Column:
+    """How long ago: minutes below an hour, hours below two days, then days; never negative."""
+    minutes = F.greatest(F.floor((F.unix_micros(now) - F.unix_micros(at)) / 60_000_000), F.lit(0)).cast("long")
+    hours, days = F.floor(minutes / 60).cast("long"), F.floor(minutes / 1440).cast("long")
+    return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"))).when(hours < 48, F.concat(hours.cast("string"), F.lit("h"))).otherwise(F.concat(days.cast("string"), F.lit("d")))
+
+
+def share_text(share: Column) -> Column:
+    return F.concat(F.floor(share * 100 + 0.5).cast("long").cast("string"), F.lit("%"))
+
+
+def count_text(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def minute_text(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd HH:mm 'UTC'")
+
+
+def before(as_of: Column, hours: int = 0, months: int = 0) -> Column:
+    """A stated instant minus an interval; the clock is never read."""
+    return as_of - F.make_interval(months=F.lit(months), hours=F.lit(hours))

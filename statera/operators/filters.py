@@ -18,6 +18,7 @@ class RecordFilter:
     record_type: str | None = None
     asset_class: str | None = None
     politician: str | None = None
+    instrument: str | None = None
     event_from: dt.date | None = None
     event_to: dt.date | None = None
     min_cents: int | None = None
@@ -30,7 +31,7 @@ class RecordFilter:
             raise ValueError("min_cents exceeds max_cents")
 
     def column(self) -> Column:
-        clauses = [F.col(c) == v for c, v in (("record_type", self.record_type), ("asset_class", self.asset_class), ("politician_id", self.politician), ("verification_state", self.verification_state)) if v is not None]
+        clauses = [F.col(c) == v for c, v in (("record_type", self.record_type), ("asset_class", self.asset_class), ("politician_id", self.politician), ("instrument_id", self.instrument), ("verification_state", self.verification_state)) if v is not None]
         if self.event_from is not None:
             clauses.append(F.col("event_date") >= F.lit(self.event_from))
         if self.event_to is not None:
@@ -70,6 +71,12 @@ def contains_text(column: str | Column, needle: str) -> Column:
     return F.contains(F.lower(F.col(column) if isinstance(column, str) else column), F.lit(needle.lower()))
 
 
+def documents_of(filings: DataFrame, documents: DataFrame, records: DataFrame, reader: RecordFilter) -> DataFrame:
+    """Filings with their archived document, those only of which the reader sees a record."""
+    seen = reader.apply(records).select(F.col("filing_id").alias("id"))
+    return filings.join(seen, "id", "left_semi").join(documents.withColumnRenamed("id", "raw_document_id"), "raw_document_id")
+
+
 def name_or_alias(politicians: DataFrame, aliases: DataFrame, needle: str) -> DataFrame:
     """Entities whose name or any alias contains the needle, each once."""
     hit = aliases.where(contains_text("alias", needle)).select(F.col("politician_id").alias("id"), F.lit(True).alias("by_alias")).distinct()

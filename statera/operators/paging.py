@@ -29,17 +29,27 @@ def next_cursor(found: list, limit: int, key: str = "id") -> str | None:
     return found[limit - 1][key] if len(found) > limit else None
 
 
+def anchor(rows: DataFrame, cursor: str, columns: list[str], key: str = "id") -> dict:
+    """The row that a cursor names; an unknown cursor is the caller's mistake."""
+    found = rows.where(F.col(key) == cursor).select(*columns).limit(1).collect()
+    if not found:
+        raise ValueError(f"unknown cursor: {cursor}")
+    return found[0].asDict()
+
+
 def mixed_page(rows: DataFrame, order: list[tuple[str, bool]], anchor: dict | None, limit: int | None = None) -> DataFrame:
-    """A page over keys of mixed direction, (name, descending) each, after the row with the anchor's keys.
+    """A page over keys of mixed direction, (name, descending) each, nulls last, after the row with the anchor's keys.
 
     Row values cannot be compared in mixed directions, so the bound is the disjunction over the first differing key.
     """
     if anchor is not None:
-        arms: list[Column] = []
+        types, arms = dict(rows.dtypes), [F.lit(False)]
+        at = {n: F.lit(anchor[n]).cast(types[n]) for n, _ in order}
         for k, (name, descending) in enumerate(order):
-            same = [F.col(n) == F.lit(anchor[n]) for n, _ in order[:k]]
-            past = F.col(name) < F.lit(anchor[name]) if descending else F.col(name) > F.lit(anchor[name])
-            arms.append(reduce(lambda a, b: a & b, same, past))
+            if anchor[name] is None:
+                continue  # nothing comes after a null but by the keys that follow
+            past = F.col(name).isNull() | (F.col(name) < at[name] if descending else F.col(name) > at[name])
+            arms.append(reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(at[n]) for n, _ in order[:k]], past))
         rows = rows.where(reduce(lambda a, b: a | b, arms))
     keys = [F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_last() for n, d in order]
     return rows.orderBy(*keys).limit(limit_of(limit) + 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +45,11 @@ def review_reasons(rules: list[tuple[Column, str]]) -> Column:
 
 
 def resolve(mentions: DataFrame, aliases: DataFrame, key: list[str], span: int = 65) -> DataFrame:
-    """The one entity a mention can mean, else null: equal key, equal id where both have one, else years within ``span``."""
+    """The one entity a mention can mean, else null: equal key, equal id where both have one, else years within ``span``; a mention without a year may mean any."""
     m, a = mentions.alias("m"), aliases.alias("a")
     on = [F.col(f"m.{k}") == F.col(f"a.{k}") for k in key]
     both = F.col("m.identifier").isNotNull() & F.col("a.identifier").isNotNull()
-    fits = F.when(both, F.col("m.identifier") == F.col("a.identifier")).otherwise(F.abs(F.col("m.year") - F.col("a.first_year")) <= span)
+    fits = F.when(both, F.col("m.identifier") == F.col("a.identifier")).otherwise(F.col("m.year").isNull() | (F.abs(F.col("m.year") - F.col("a.first_year")) <= span))
     hits = m.join(a, on).where(fits).select("m.mention_id", "a.entity_id").distinct()
     one = hits.groupBy("mention_id").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id"))
     out = mentions.join(one, "mention_id", "left")
@@ -68,6 +70,29 @@ def fold_verdicts(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     return out.select("id", F.when(F.col("verification_state") == "unverified", F.coalesce(moved, F.col("verification_state"))).otherwise(F.col("verification_state")).alias("state"))
 
 
+def verdict_audit(records: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row per attempt: applied for the first verdict on an unverified record, already_decided, or unknown_record."""
+    first = verdicts.groupBy("record_id").agg(F.min(F.struct("at", "verdict_id")).alias("first"))
+    out = verdicts.join(first, "record_id").join(records.select(F.col("id").alias("record_id"), "verification_state"), "record_id", "left")
+    applied = (F.col("verification_state") == "unverified") & (F.struct("at", "verdict_id") == F.col("first"))
+    return out.select("verdict_id", "record_id", "verdict", F.when(F.col("verification_state").isNull(), "unknown_record").when(applied, "applied").otherwise("already_decided").alias("outcome"))
+
+
+def corrections(audit: DataFrame, edits: DataFrame) -> DataFrame:
+    """Rows to append for applied edits: ``edits`` (verdict_id and the corrected columns) with the record they supersede."""
+    applied = audit.where("outcome = 'applied' AND verdict = 'edit'").select("verdict_id", F.col("record_id").alias("supersedes_record_id"))
+    return applied.join(edits, "verdict_id")
+
+
+def shared_identifiers(entities: DataFrame, filings: DataFrame, documents: DataFrame, staged: DataFrame) -> DataFrame:
+    """Entities whose documents name more than one identifier: the identifiers, sorted, and how many."""
+    f = filings.select(F.col("politician_id").alias("id"), "raw_document_id").distinct()
+    s = staged.where("identifier IS NOT NULL").select("raw_document_id", "identifier").distinct()
+    pairs = f.join(documents.select(F.col("id").alias("raw_document_id")), "raw_document_id", "left_semi").join(s, "raw_document_id").select("id", "identifier").distinct()
+    found = pairs.groupBy("id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("identifier")).alias("identifiers")).where("n > 1")
+    return entities.select("id", "canonical_name").join(found, "id")
+
+
 def open_once(tasks: DataFrame, proposed: DataFrame, key: list[str]) -> DataFrame:
     return proposed.dropDuplicates(key).join(tasks.where("status = 'open'").select(*key), key, "left_anti")
 
@@ -98,21 +123,36 @@ def budget_gate(diff: DataFrame, budget: int = 500) -> DataFrame:
     ).withColumn("proceed", F.col("record_delta") <= budget)
 
 
+# Codes and scores of the kinds of drift, worst first, and which of them stop publication.
+DRIFT_SCORES = {"layout_shift": 100, "count_zero": 90, "regime_change": 80, "status_error": 70, "probe_error": 60, "count_delta": 30}
+FREEZING = ("layout_shift", "count_zero", "regime_change")
+
+
 def drift(status: Column, markers: Column, count: Column, layout: Column, base_count: Column, base_layout: Column) -> Column:
-    """Kind of drift of a probe against the baseline, the first that applies."""
-    based = base_count.isNotNull()
+    """Kind of drift of a probe against the baseline, the first that applies, or none; each part of a baseline may be missing."""
     return (
-        F.when(status.isNull(), "transport")
+        F.when(status.isNull(), "probe_error")
         .when(status == 304, "none")
-        .when((status < 200) | (status > 299), "http_status")
-        .when(~markers, "markers_missing")
-        .when(based & (count == 0), "count_zero")
-        .when(based & (layout != base_layout), "layout_changed")
-        .when(based & (count * 2 < base_count), "count_shrunk")
+        .when((status < 200) | (status > 299), "status_error")
+        .when(~markers, "regime_change")
+        .when((count == 0) & (base_count > 0), "count_zero")
+        .when(layout != base_layout, "layout_shift")
+        .when((count >= 0) & (count < base_count), "count_delta")
         .otherwise("none")
     )
 
 
+def drift_report(kind: Column, source: Column, status: Column, layout: Column) -> list[Column]:
+    """score, freeze and dedup_key of a drift; the key holds what was seen, so one drift is reported once."""
+    score = F.element_at(F.create_map(*[F.lit(x) for kv in DRIFT_SCORES.items() for x in kv]), kind)
+    fixed = {"probe_error": "transport", "regime_change": "markers", "count_zero": "zero", "count_delta": "shrink"}
+    seen = F.when(kind == "status_error", status.cast("string")).when(kind == "layout_shift", layout.cast("string"))
+    for name, signature in fixed.items():
+        seen = seen.when(kind == name, signature)
+    drifts = kind != "none"
+    return [F.when(drifts, score).alias("score"), F.when(drifts, kind.isin(*FREEZING)).alias("freeze"), F.when(drifts, F.concat_ws(":", source, kind, seen)).alias("dedup_key")]
+
+
 def deliveries(matches: DataFrame) -> DataFrame:
     """One delivery per rule, record and channel; the key makes a second run insert nothing."""
     out = matches.select("rule_id", "record_id", F.explode("channels").alias("channel"))
@@ -145,9 +185,9 @@ def over_quota(events: DataFrame, quota: int) -> DataFrame:
 
 
 def split_identity(records: DataFrame) -> DataFrame:
-    """Entities with exactly two identifiers: which one moves away (fewer records, then fewer filings, then the larger identifier)."""
+    """Entities with exactly two identifiers: which one moves away (fewer records, then fewer filings, then the identifier that is less as text)."""
     groups = records.groupBy("entity_id", "identifier").agg(F.count("*").alias("records"), F.count_distinct("filing_id").alias("filings"))
-    both = groups.groupBy("entity_id").agg(F.count("*").alias("identifiers"), F.min_by(F.struct("identifier", "records", "filings"), F.struct("records", "filings", F.expr("-cast(identifier AS bigint)"))).alias("m"))
+    both = groups.groupBy("entity_id").agg(F.count("*").alias("identifiers"), F.min_by(F.struct("identifier", "records", "filings"), F.struct("records", "filings", "identifier")).alias("m"))
     return both.where("identifiers = 2").select("entity_id", F.col("m.identifier").alias("moves"), F.col("m.records").alias("records"), F.col("m.filings").alias("filings"))
 
 
@@ -168,19 +208,49 @@ def last_healthy(passes: DataFrame) -> DataFrame:
     return passes.withColumn("baseline", F.last(F.when(F.col("healthy"), F.col("count")), ignorenulls=True).over(w))
 
 
-def contract(details: Column, required: list[str], allowed: list[str]) -> Column:
-    """The first breach of a details contract (not_an_object, missing:<key>, unknown:<key>), or ok."""
+@dataclass(frozen=True)
+class Contract:
+    """What the details of one record type of one regime must look like."""
+
+    required: tuple[str, ...] = ()
+    allowed: tuple[str, ...] = ()
+    types: dict[str, str] = field(default_factory=dict)  #: JSON type of a key's value: string, number, boolean, array, object
+    enums: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+
+def contract(details: Column, rule: Contract) -> Column:
+    """The first breach of a contract (not_an_object, then missing, unknown, type, enum or range with the key), or ok."""
     keys = F.json_object_keys(details)
-    missing = F.array_except(F.array(*map(F.lit, required)), keys)
-    unknown = F.array_sort(F.array_except(keys, F.array(*map(F.lit, allowed))))
-    return F.when(keys.isNull(), "not_an_object").when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.get(missing, 0))).when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), F.get(unknown, 0))).otherwise("ok")
+    missing = F.array_except(F.array(*map(F.lit, rule.required)), keys)
+    unknown = F.array_sort(F.array_except(keys, F.array(*map(F.lit, rule.allowed))))
+    out = F.when(keys.isNull(), "not_an_object").when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.get(missing, 0))).when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), F.get(unknown, 0)))
+    there = lambda key: F.array_contains(keys, key)
+    value = lambda key: F.get_json_object(details, f"$.{key}")
+    names = {"string": "STRING", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
+    for key, kind in rule.types.items():
+        found = F.schema_of_variant(F.try_variant_get(F.try_parse_json(details), f"$.{key}", "variant"))
+        out = out.when(there(key) & ~F.coalesce(found.rlike(f"^({names[kind]})$"), F.lit(False)), f"type:{key}")
+    for key, values in rule.enums.items():
+        out = out.when(there(key) & ~F.coalesce(value(key).isin(*values), F.lit(False)), f"enum:{key}")
+    for key, (low, high) in rule.ranges.items():
+        out = out.when(there(key) & ~F.coalesce(value(key).try_cast("double").between(low, high), F.lit(False)), f"range:{key}")
+    return out.otherwise("ok")
+
+
+def registered_contract(rules: dict[tuple[str, str], Contract], regime: Column, record_type: Column, details: Column) -> Column:
+    """contract() by (regime, record type); a pair without a contract is a breach."""
+    out = F.lit("unregistered")
+    for (code, kind), rule in rules.items():
+        out = F.when((regime == code) & (record_type == kind), contract(details, rule)).otherwise(out)
+    return out
 
 
 def drift_state(passes: DataFrame) -> DataFrame:
-    """Per source after all passes: open drift of the last pass that is not healthy since the last healthy one, and how often it was seen."""
+    """Per source after all passes: the drift of its last pass since the last healthy one, how often and since when drift was seen, and whether any of it stops publication; a healthy pass clears all."""
     healthy = passes.where("kind = 'none'").groupBy("source").agg(F.max("pass").alias("recovered"))
     open_ = passes.where("kind <> 'none'").join(healthy, "source", "left").where("recovered IS NULL OR pass > recovered")
-    return open_.groupBy("source").agg(F.max_by("kind", "pass").alias("kind"), F.count("*").alias("detections"), F.min("pass").alias("since"))
+    return open_.groupBy("source").agg(F.max_by("kind", "pass").alias("kind"), F.count("*").alias("detections"), F.min("pass").alias("since"), F.bool_or(F.col("kind").isin(*FREEZING)).alias("frozen"))
 
 
 def zero_rows(documents: DataFrame, policy: DataFrame) -> DataFrame:

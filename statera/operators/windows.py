@@ -13,12 +13,14 @@ def occurrence(rows: DataFrame, document: str, keys: list[str], order: list[str]
 
 
 def seeded_sample(rows: DataFrame, by: str, key: str, n: int, seed: int) -> DataFrame:
-    """Per group the n rows whose keyed digest ranks first; the same rows on every run and in any input order.
+    """Per group the n rows whose digest of the seed (8 bytes, big-endian), a colon and the key ranks first.
+
+    The same rows on every run and in any input order.
 
     The digest's bytes are a random key, so each group is first cut down by leading hex digits of it in parallel: the
     rank is only taken among the n smallest of each of 256 slices.
     """
-    digest = F.sha2(F.concat(F.lit(f"{seed:016x}:"), F.col(key)), 256)
+    digest = F.sha2(F.concat(F.lit(seed.to_bytes(8, "big") + b":"), F.col(key).cast("binary")), 256)
     rows = rows.withColumn("_digest", digest).withColumn("_slice", F.substring("_digest", 3, 2))
     inner = Window.partitionBy(by, "_slice").orderBy("_digest", key)
     outer = Window.partitionBy(by).orderBy("_digest", key)

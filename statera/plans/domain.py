@@ -40,7 +40,7 @@ VIEWS = {
     "line": """
         SELECT concat(lpad(cast(l_orderkey AS string), 10, '0'), lpad(cast(rn AS string), 3, '0')) AS id,
                lpad(cast(l_orderkey AS string), 10, '0') AS filing_id, cast(rn AS int) AS ordinal,
-               concat('asset ', cast(l_partkey AS string)) AS asset_description_raw,
+               concat('asset ', cast(l_partkey AS string)) AS asset_description_raw, lpad(cast(l_partkey AS string), 8, '0') AS instrument_id,
                CASE l_linenumber % 4 WHEN 0 THEN 'holding' WHEN 1 THEN 'interest' WHEN 2 THEN 'change_notification'
                     ELSE 'transaction' END AS record_type,
                concat('class', cast(l_partkey % 9 AS string)) AS asset_class,

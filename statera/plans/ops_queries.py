@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import aggregates as A
-from ..operators import exports, idempotent, joins, trust, windows
+from ..operators import consensus, exports, idempotent, joins, publish, trust, windows
 from .catalog import query
 
 AS_OF = "2024-01-31"
@@ -198,7 +199,7 @@ def w2(d):
 
 @query(
     "w3_sample",
-    """SELECT regime_id, id FROM (SELECT regime_id, id, row_number() OVER (PARTITION BY regime_id ORDER BY sha256('000000000000002a:' || id), id) AS r FROM filing) WHERE r <= 20""",
+    """SELECT regime_id, id FROM (SELECT regime_id, id, row_number() OVER (PARTITION BY regime_id ORDER BY sha256(unhex('000000000000002a') || encode(':' || id)), id) AS r FROM filing) WHERE r <= 20""",
 )
 def w3(d):
     return windows.seeded_sample(d.filing.select("regime_id", "id"), "regime_id", "id", 20, 42)
@@ -277,6 +278,67 @@ def r2(d):
     return d.line.groupBy("record_type", trust.verdict(checks).alias("verdict")).agg(F.count("*").alias("n"))
 
 
+PUBLISH_SQL = """c AS (
+  SELECT l.filing_id, l.ordinal - 1 AS ordinal, l.asset_class, CASE CAST(f.regime_id AS INTEGER) % 5 WHEN 0 THEN 'fr_hatvp_dia' WHEN 1 THEN 'us_senate' WHEN 2 THEN 'br' WHEN 3 THEN 'ca' ELSE 'uk' END AS regime_code,
+         l.ordinal % 4 = 0 AS dsp, CAST(l.filing_id AS BIGINT) % 3 = 0 AS known, l.asset_class = 'class8' AND l.ordinal = 2 AS bad, l.low_cents IS NULL AS no_value, l.owner IS NULL AS no_owner
+  FROM line l JOIN filing f ON l.filing_id = f.id WHERE f.status = 'P'),
+b AS (SELECT *, regime_code = 'fr_hatvp_dia' AND dsp AS held, bool_or(bad AND NOT (regime_code = 'fr_hatvp_dia' AND dsp)) OVER (PARTITION BY filing_id) AS rejected FROM c),
+o AS (SELECT *, CASE WHEN regime_code = 'ca' THEN 'frozen' WHEN rejected THEN 'filing_rejected' WHEN held THEN 'suppressed' WHEN known THEN 'replay' ELSE 'inserted' END AS outcome FROM b)"""
+
+
+def _published(d):
+    code = F.get(F.array(*map(F.lit, ("fr_hatvp_dia", "us_senate", "br", "ca", "uk"))), F.col("regime_id").cast("int") % 5)
+    f = d.filing.where("status = 'P'").select(F.col("id").alias("filing_id"), code.alias("regime_code"), (F.col("priority") == "1-URGENT").alias("backfill"))
+    declared = F.when(F.col("ordinal") % 4 == 0, "DSPM").otherwise("DIA")
+    details = F.create_map(F.lit("type_declaration"), declared, F.lit("declarant_address"), F.lit("x"), F.lit("counsel_name"), F.lit("y"), F.lit("last_updated_time_raw"), F.col("id"))
+    columns = ["record_type", "asset_class", "asset_description_raw", "low_cents", "high_cents", "owner", "side"]
+    c = d.line.join(f, "filing_id").select("filing_id", (F.col("ordinal") - 1).alias("ordinal"), "regime_code", "backfill", details.alias("details"), *columns)
+    checks = [(~((F.col("asset_class") == "class8") & (F.col("ordinal") == 1)), "not_of_this_class")]
+    reviews = [(F.col("low_cents").isNull(), "value_missing"), (F.col("owner").isNull(), "owner_missing")]
+    frozen = c.where("regime_code = 'ca'").select("regime_code").distinct()
+    earlier = c.where("CAST(filing_id AS BIGINT) % 3 = 0").withColumn("details", publish.public_details())
+    known = earlier.select(S.fingerprint(F.col("filing_id"), F.col("ordinal"), publish.content(columns)).alias("fingerprint"))
+    return publish.publish(c, columns, frozen, known, checks, reviews)
+
+
+@query(
+    "r2_publish",
+    f"""WITH {PUBLISH_SQL} SELECT filing_id, count(*) AS candidates, count(*) FILTER (WHERE outcome = 'inserted') AS gold_inserted, count(*) FILTER (WHERE outcome = 'inserted') AS outbox_written,
+        CAST(sum(CASE outcome WHEN 'inserted' THEN no_value::INTEGER + no_owner::INTEGER WHEN 'suppressed' THEN 1 ELSE 0 END) AS BIGINT) AS review_tasks,
+        count(*) FILTER (WHERE outcome = 'suppressed') AS suppressed, count(*) FILTER (WHERE outcome = 'replay') AS replayed FROM o GROUP BY filing_id""",
+)
+def r2_publish(d):
+    return _published(d).counters
+
+
+@query(
+    "r2_reviews",
+    f"""WITH {PUBLISH_SQL} SELECT target_kind, reason, count(*) AS n FROM (
+          SELECT 'disclosure_record' AS target_kind, 'value_missing' AS reason FROM o WHERE outcome = 'inserted' AND no_value
+          UNION ALL SELECT 'disclosure_record', 'owner_missing' FROM o WHERE outcome = 'inserted' AND no_owner
+          UNION ALL SELECT 'filing', 'redaction_fr_patrimony_unrepublishable' FROM o WHERE outcome = 'suppressed'
+          UNION ALL SELECT DISTINCT 'regime', 'publish_blocked_frozen' FROM o WHERE outcome = 'frozen') GROUP BY 1, 2""",
+)
+def r2_reviews(d):
+    return _published(d).reviews.groupBy("target_kind", "reason").agg(F.count("*").alias("n"))
+
+
+@query("t7_backfill_events", f"WITH {PUBLISH_SQL} SELECT f.priority = '1-URGENT' AS suppressed, count(*) AS n FROM o JOIN filing f ON f.id = o.filing_id WHERE outcome = 'inserted' GROUP BY 1")
+def t7(d):
+    """Events of backfilled filings are written as sent already, so no alert follows."""
+    return _published(d).events.groupBy("suppressed").agg(F.count("*").alias("n"))
+
+
+@query(
+    "f3_fingerprint_content",
+    "SELECT id, sha256(encode(filing_id) || unhex('00') || unhex(lpad(hex(ordinal), 8, '0')) || unhex('00') || encode('{\"asset_class\":\"' || asset_class || '\",\"details\":{' || CASE WHEN ordinal % 2 = 0 THEN '' ELSE '\"last_updated_time_raw\":\"' || id || '\",' END || '\"z\":\"1\"}}')) AS fingerprint FROM line",
+)
+def f3(d):
+    details = F.create_map(F.lit("z"), F.lit("1"), F.lit("last_updated_time_raw"), F.col("id"))
+    rows = d.line.select("id", "filing_id", "ordinal", "asset_class", details.alias("details"), F.when(F.col("ordinal") % 2 == 0, "br").otherwise("uk").alias("regime_code"))
+    return rows.select("id", S.fingerprint(F.col("filing_id"), F.col("ordinal"), publish.content(["asset_class"])).alias("fingerprint"))
+
+
 @query("r3_redaction", "SELECT id, CAST(NULL AS VARCHAR) AS owner, record_type FROM line WHERE NOT starts_with(lower(asset_description_raw), 'asset 1')")
 def r3(d):
     return trust.redact(d.line, "asset_description_raw", "ASSET 1", ["owner"]).select("id", "owner", "record_type")
@@ -285,13 +347,13 @@ def r3(d):
 @query(
     "r5_resolve",
     """SELECT m.mention_id, CASE WHEN count(DISTINCT e.entity_id) = 1 THEN min(e.entity_id) END AS entity_id, count(DISTINCT e.entity_id) AS candidates
-       FROM (SELECT id AS mention_id, body, regime_id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN identifier END AS identifier, birth_year + 30 AS year FROM politician) m
+       FROM (SELECT id AS mention_id, body, regime_id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN identifier END AS identifier, CASE WHEN CAST(id AS BIGINT) % 7 <> 0 THEN birth_year + 30 END AS year FROM politician) m
        LEFT JOIN (SELECT id AS entity_id, body, regime_id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN identifier END AS identifier, birth_year AS first_year FROM politician) e
-         ON m.body = e.body AND m.regime_id = e.regime_id AND (CASE WHEN m.identifier IS NOT NULL AND e.identifier IS NOT NULL THEN m.identifier = e.identifier ELSE abs(m.year - e.first_year) <= 3 END) GROUP BY 1""",
+         ON m.body = e.body AND m.regime_id = e.regime_id AND (CASE WHEN m.identifier IS NOT NULL AND e.identifier IS NOT NULL THEN m.identifier = e.identifier ELSE m.year IS NULL OR abs(m.year - e.first_year) <= 3 END) GROUP BY 1""",
 )
 def r5(d):
     number = F.col("id").cast("long")
-    mentions = d.politician.select(F.col("id").alias("mention_id"), "body", "regime_id", F.when(number % 3 == 0, F.col("identifier")).alias("identifier"), (F.col("birth_year") + 30).alias("year"))
+    mentions = d.politician.select(F.col("id").alias("mention_id"), "body", "regime_id", F.when(number % 3 == 0, F.col("identifier")).alias("identifier"), F.when(number % 7 != 0, F.col("birth_year") + 30).alias("year"))
     entities = d.politician.select(F.col("id").alias("entity_id"), "body", "regime_id", F.when(number % 2 == 0, F.col("identifier")).alias("identifier"), F.col("birth_year").alias("first_year"))
     return trust.resolve(mentions, entities, ["body", "regime_id"], 3)
 
@@ -312,6 +374,80 @@ def r7(d):
     return trust.fold_verdicts(d.line, verdicts)
 
 
+VERDICTS = "SELECT target_id, id AS verdict_id, created_at, CASE priority WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' ELSE 'edit' END AS verdict, row_number() OVER (PARTITION BY target_id ORDER BY created_at, id) AS n FROM review_task WHERE target_kind = 'disclosure_record'"
+
+
+def _audit(d):
+    kind = F.when(F.col("priority") == 0, "confirm").when(F.col("priority") == 1, "reject").otherwise("edit")
+    verdicts = d.review_task.where("target_kind = 'disclosure_record'").select(F.col("target_id").alias("record_id"), kind.alias("verdict"), F.col("created_at").alias("at"), F.col("id").alias("verdict_id"))
+    return trust.verdict_audit(d.line, verdicts)
+
+
+@query(
+    "r7_audit",
+    f"SELECT verdict_id, target_id AS record_id, verdict, CASE WHEN l.id IS NULL THEN 'unknown_record' WHEN n = 1 AND l.verification_state = 'unverified' THEN 'applied' ELSE 'already_decided' END AS outcome FROM ({VERDICTS}) v LEFT JOIN line l ON l.id = v.target_id",
+)
+def r7_audit(d):
+    return _audit(d)
+
+
+@query(
+    "r7_corrections",
+    f"SELECT verdict_id, target_id AS supersedes_record_id, sha256(encode('correction:' || target_id) || unhex('00') || unhex('00000000') || unhex('00') || encode('{{\"owner\":\"self\"}}')) AS fingerprint FROM ({VERDICTS}) v JOIN line l ON l.id = v.target_id WHERE n = 1 AND verdict = 'edit' AND l.verification_state = 'unverified'",
+)
+def r7_corrections(d):
+    """Rows that applied edits append, each with a fingerprint in the scope of the record it supersedes."""
+    edits = d.review_task.select(F.col("id").alias("verdict_id"), F.lit('{"owner":"self"}').alias("body"))
+    out = trust.corrections(_audit(d), edits)
+    return out.select("verdict_id", "supersedes_record_id", publish.correction_fingerprint(F.col("supersedes_record_id"), S.canonical_json(F.col("body"))).alias("fingerprint"))
+
+
+@query(
+    "j12_identity_sweep",
+    """SELECT p.id, p.canonical_name, count(DISTINCT s.identifier) AS n, array_to_string(list_sort(list(DISTINCT s.identifier)), ',') AS identifiers FROM politician p JOIN filing f ON f.politician_id = p.id JOIN raw_document r ON r.id = f.raw_document_id
+       JOIN (SELECT raw_document_id, CASE WHEN status = 'P' THEN substr(priority, 1, 1) END AS identifier FROM filing) s ON s.raw_document_id = r.id WHERE s.identifier IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT s.identifier) > 1""",
+)
+def j12(d):
+    staged = d.filing.select("raw_document_id", F.when(F.col("status") == "P", F.left("priority", F.lit(1))).alias("identifier"))
+    out = trust.shared_identifiers(d.politician, d.filing, d.raw_document, staged)
+    return out.select("id", "canonical_name", "n", F.array_join("identifiers", ",").alias("identifiers"))
+
+
+@query(
+    "r23_row_keys",
+    """SELECT id, coalesce('"' || asset_class || '"', 'null') || chr(31) || coalesce('"' || owner || '"', 'null') || chr(31) || 'null' AS row_key,
+              row_number() OVER (PARTITION BY filing_id, asset_class, owner ORDER BY ordinal) - 1 AS occurrence FROM line""",
+)
+def r23(d):
+    payload = F.to_json(F.struct("asset_class", "owner", "ordinal"))
+    rows = consensus.row_keys(d.line.select("id", "filing_id", "ordinal", payload.alias("payload")), "filing_id", "payload", ["asset_class", "owner", "absent"], ["ordinal"])
+    return rows.select("id", "row_key", F.col("occurrence").cast("long").alias("occurrence"))
+
+
+@query(
+    "r23_confidence",
+    "SELECT id, CASE WHEN owner IS NOT NULL AND low_cents IS NOT NULL THEN 0.9 WHEN owner IS NOT NULL THEN 0.79 WHEN ordinal = 1 THEN 0.75 END::DOUBLE AS confidence FROM line",
+)
+def r23_confidence(d):
+    return d.line.select("id", consensus.confidence(F.col("owner").isNotNull(), F.col("low_cents").isNotNull(), F.col("ordinal") == 1).alias("confidence"))
+
+
+@query(
+    "r24_differing_paths",
+    """SELECT id, CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN '' WHEN 1 THEN '$.k' WHEN 2 THEN '$.a.length,$.m' ELSE '$.a[1].x' END AS paths FROM pipeline_run""",
+)
+def r24(d):
+    k, n = F.get_json_object("stats", "$.k"), F.col("id").cast("long") % 4
+    left = F.concat(F.lit('{"a":[1,{"x":2}],"k":'), k, F.lit("}"))
+    right = (
+        F.when(n == 0, F.concat(F.lit('{"k":'), k, F.lit(', "a":[1,{"x":2}]}')))
+        .when(n == 1, F.concat(F.lit('{"a":[1,{"x":2}],"k":"'), k, F.lit('"}')))
+        .when(n == 2, F.concat(F.lit('{"a":[1],"m":0,"k":'), k, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"a":[1,{"x":3}],"k":'), k, F.lit("}")))
+    )
+    return d.pipeline_run.select("id", F.array_join(consensus.differing_paths(left, right), ",").alias("paths"))
+
+
 @query("r8_open_once", "SELECT DISTINCT target_kind, target_id, reason FROM review_task WHERE priority = 1 AND (target_id || reason) NOT IN (SELECT target_id || reason FROM review_task WHERE status = 'open' AND priority = 2)")
 def r8(d):
     proposed = d.review_task.where("priority = 1").select("target_kind", "target_id", "reason")
@@ -355,22 +491,31 @@ def r11(d):
     return trust.budget_gate(_diff(d))
 
 
+DRIFT_SQL = """d AS (
+  SELECT id, regime_id, http, n % 29 AS layout, CASE WHEN http IS NULL THEN 'probe_error' WHEN http = 304 THEN 'none' WHEN http < 200 OR http > 299 THEN 'status_error' WHEN n % 17 = 0 THEN 'regime_change'
+         WHEN base IS NOT NULL AND k = 0 AND base > 0 THEN 'count_zero' WHEN base_layout IS NOT NULL AND n % 29 <> base_layout THEN 'layout_shift' WHEN base IS NOT NULL AND k >= 0 AND k < base THEN 'count_delta' ELSE 'none' END AS kind
+  FROM (SELECT id, regime_id, n, CASE WHEN n % 13 = 0 THEN NULL WHEN n % 7 = 0 THEN 304 WHEN n % 11 = 0 THEN 500 ELSE 200 END AS http, k - 1 AS k,
+               CASE WHEN n % 5 <> 0 THEN lag(k) OVER w END AS base, CASE WHEN n % 3 = 0 THEN lag(n % 29) OVER w END AS base_layout
+        FROM (SELECT id, regime_id, CAST(id AS BIGINT) // 5 AS n, CAST(json_extract_string(stats, '$.k') AS BIGINT) AS k FROM pipeline_run) WINDOW w AS (PARTITION BY regime_id ORDER BY id)))"""
+
+
 @query(
     "r12_drift",
-    """SELECT id, CASE WHEN http IS NULL THEN 'transport' WHEN http = 304 THEN 'none' WHEN http < 200 OR http > 299 THEN 'http_status' WHEN NOT marks THEN 'markers_missing'
-              WHEN base IS NOT NULL AND k = 0 THEN 'count_zero' WHEN base IS NOT NULL AND layout <> base_layout THEN 'layout_changed' WHEN base IS NOT NULL AND k * 2 < base THEN 'count_shrunk' ELSE 'none' END AS kind
-       FROM (SELECT id, CASE WHEN n % 13 = 0 THEN NULL WHEN n % 7 = 0 THEN 304 WHEN n % 11 = 0 THEN 500 ELSE 200 END AS http, n % 17 <> 0 AS marks, k, n % 29 AS layout, lag(k) OVER w AS base, lag(n % 29) OVER w AS base_layout
-             FROM (SELECT id, regime_id, CAST(id AS BIGINT) // 5 AS n, CAST(json_extract_string(stats, '$.k') AS BIGINT) AS k FROM pipeline_run) WINDOW w AS (PARTITION BY regime_id ORDER BY id))""",
+    f"""WITH {DRIFT_SQL} SELECT id, kind, CASE kind WHEN 'layout_shift' THEN 100 WHEN 'count_zero' THEN 90 WHEN 'regime_change' THEN 80 WHEN 'status_error' THEN 70 WHEN 'probe_error' THEN 60 WHEN 'count_delta' THEN 30 END AS score,
+        CASE WHEN kind <> 'none' THEN kind IN ('layout_shift', 'count_zero', 'regime_change') END AS freeze,
+        CASE WHEN kind <> 'none' THEN regime_id || ':' || kind || ':' || CASE kind WHEN 'probe_error' THEN 'transport' WHEN 'status_error' THEN CAST(http AS VARCHAR) WHEN 'regime_change' THEN 'markers' WHEN 'count_zero' THEN 'zero' WHEN 'layout_shift' THEN CAST(layout AS VARCHAR) ELSE 'shrink' END END AS dedup_key FROM d""",
 )
 def r12(d):
+    """Probes with partly missing baselines."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("regime_id").orderBy("id")
     n = F.col("n")
     runs = d.pipeline_run.select("id", "regime_id", F.expr("CAST(id AS BIGINT) DIV 5").alias("n"), F.get_json_object("stats", "$.k").cast("long").alias("k"))
-    runs = runs.select("*", F.lag("k").over(w).alias("base"), F.lag(n % 29).over(w).alias("base_layout"))
+    runs = runs.select("*", F.when(n % 5 != 0, F.lag("k").over(w)).alias("base"), F.when(n % 3 == 0, F.lag(n % 29).over(w)).alias("base_layout"))
     http = F.when(n % 13 == 0, None).when(n % 7 == 0, 304).when(n % 11 == 0, 500).otherwise(200)
-    return runs.select("id", trust.drift(http, n % 17 != 0, F.col("k"), n % 29, F.col("base"), F.col("base_layout")).alias("kind"))
+    runs = runs.withColumn("kind", trust.drift(http, n % 17 != 0, F.col("k") - 1, n % 29, F.col("base"), F.col("base_layout")))
+    return runs.select("id", "kind", *trust.drift_report(F.col("kind"), F.col("regime_id"), http, n % 29))
 
 
 SETTLE = "SELECT id, CAST(CAST(json_extract_string(stats, '$.k') AS BIGINT) % 6 AS INTEGER) AS attempts, CASE status WHEN 'succeeded' THEN CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 'sent' ELSE 'retryable' END WHEN 'failed' THEN 'terminal' ELSE 'retryable' END AS outcome FROM pipeline_run"
@@ -405,11 +550,11 @@ def r18(d):
 
 @query(
     "r20_split",
-    """SELECT entity_id, first(identifier ORDER BY records, filings, -CAST(identifier AS BIGINT)) AS moves, first(records ORDER BY records, filings, -CAST(identifier AS BIGINT)) AS records, first(filings ORDER BY records, filings, -CAST(identifier AS BIGINT)) AS filings
-       FROM (SELECT politician_id AS entity_id, CAST(CAST(raw_document_id AS INTEGER) % 3 AS VARCHAR) AS identifier, count(*) AS records, count(DISTINCT id) AS filings FROM filing WHERE status = 'P' AND priority <> '5-LOW' GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = 2""",
+    """SELECT entity_id, last(identifier ORDER BY records DESC, filings DESC, identifier DESC) AS moves, last(records ORDER BY records DESC, filings DESC, identifier DESC) AS records, last(filings ORDER BY records DESC, filings DESC, identifier DESC) AS filings
+       FROM (SELECT politician_id AS entity_id, 'A' || CAST(CAST(raw_document_id AS INTEGER) % 3 AS VARCHAR) AS identifier, count(*) AS records, count(DISTINCT id) AS filings FROM filing WHERE status = 'P' AND priority <> '5-LOW' GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = 2""",
 )
 def r20(d):
-    rows = d.filing.where("status = 'P' AND priority <> '5-LOW'").select(F.col("politician_id").alias("entity_id"), (F.col("raw_document_id").cast("int") % 3).cast("string").alias("identifier"), F.col("id").alias("filing_id"))
+    rows = d.filing.where("status = 'P' AND priority <> '5-LOW'").select(F.col("politician_id").alias("entity_id"), F.concat(F.lit("A"), (F.col("raw_document_id").cast("int") % 3).cast("string")).alias("identifier"), F.col("id").alias("filing_id"))
     return trust.split_identity(rows)
 
 
@@ -438,28 +583,31 @@ def t5(d):
 
 @query(
     "r4_details_contract",
-    """SELECT id, CASE WHEN stage = 'parse' THEN 'missing:stage' WHEN stage = 'fetch' THEN 'unknown:extra' WHEN stage = 'publish' THEN 'not_an_object' ELSE 'ok' END AS breach FROM pipeline_run""",
+    """SELECT id, CASE WHEN stage = 'discover' THEN 'unregistered' ELSE CASE CAST(id AS BIGINT) % 8 WHEN 0 THEN 'missing:stage' WHEN 1 THEN 'unknown:extra' WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'type:k' WHEN 4 THEN 'enum:stage'
+              WHEN 5 THEN 'range:k' WHEN 6 THEN 'type:note' ELSE 'ok' END END AS breach FROM pipeline_run""",
 )
 def r4(d):
-    k = F.get_json_object("stats", "$.k")
-    details = (
-        F.when(F.col("stage") == "parse", F.concat(F.lit('{"k":'), k, F.lit("}")))
-        .when(F.col("stage") == "fetch", F.concat(F.lit('{"k":'), k, F.lit(',"stage":1,"extra":2}')))
-        .when(F.col("stage") == "publish", F.lit("[1]"))
-        .otherwise(F.concat(F.lit('{"stage":1,"k":'), k, F.lit("}")))
-    )
-    return d.pipeline_run.select("id", trust.contract(details, ["k", "stage"], ["k", "stage", "note"]).alias("breach"))
+    k, n = F.get_json_object("stats", "$.k"), F.col("id").cast("long") % 8
+    text = lambda form: F.format_string(form, k)
+    shapes = ('{"k":%s}', '{"k":%s,"stage":"a","extra":2}', "[%s]", '{"k":"%s","stage":"a"}', '{"k":%s,"stage":"c"}', '{"k":1%s000,"stage":"b"}', '{"k":%s,"stage":"b","note":7}', '{"k":%s,"stage":"a","note":"n"}')
+    details = text(shapes[-1])
+    for at, shape in enumerate(shapes[:-1]):
+        details = F.when(n == at, text(shape)).otherwise(details)
+    rule = trust.Contract(required=("k", "stage"), allowed=("k", "stage", "note"), types={"k": "number", "note": "string"}, enums={"stage": ("a", "b")}, ranges={"k": (0, 999)})
+    registry = {("run", stage): rule for stage in ("fetch", "parse", "normalize", "publish")}
+    return d.pipeline_run.select("id", trust.registered_contract(registry, F.lit("run"), F.col("stage"), details).alias("breach"))
 
 
 @query(
     "r13_drift_state",
-    """SELECT source, max_by(kind, pass) AS kind, count(*) AS detections, min(pass) AS since FROM (
-         SELECT adapter || regime_id AS source, id AS pass, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'none' ELSE stage END AS kind,
-                max(CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN id END) OVER (PARTITION BY adapter || regime_id) AS recovered FROM pipeline_run)
+    """SELECT source, max_by(kind, pass) AS kind, count(*) AS detections, min(pass) AS since, bool_or(kind IN ('layout_shift', 'count_zero', 'regime_change')) AS frozen FROM (
+         SELECT source, pass, kind, max(CASE WHEN kind = 'none' THEN pass END) OVER (PARTITION BY source) AS recovered FROM (
+           SELECT adapter || regime_id AS source, id AS pass, ['none', 'count_delta', 'probe_error', 'layout_shift', 'status_error', 'count_zero', 'probe_error'][CAST(CAST(id AS BIGINT) % 7 AS INTEGER) + 1] AS kind FROM pipeline_run))
        WHERE kind <> 'none' AND (recovered IS NULL OR pass > recovered) GROUP BY source""",
 )
 def r13(d):
-    kind = F.when(F.col("id").cast("long") % 3 == 0, "none").otherwise(F.col("stage"))
+    kinds = ("none", "count_delta", "probe_error", "layout_shift", "status_error", "count_zero", "probe_error")
+    kind = F.get(F.array(*map(F.lit, kinds)), (F.col("id").cast("long") % 7).cast("int"))
     return trust.drift_state(d.pipeline_run.select(F.concat("adapter", "regime_id").alias("source"), F.col("id").alias("pass"), kind.alias("kind")))
 
 

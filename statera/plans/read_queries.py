@@ -27,6 +27,22 @@ def p1(d):
     return f.apply(d.record, d.regime).select("id", "politician_id", "record_type", "event_date", "low_cents", "high_cents")
 
 
+@query("p1_instrument", "SELECT id, instrument_id, record_type FROM record WHERE instrument_id = '00000077' AND event_date >= DATE '1994-01-01'")
+def p1_instrument(d):
+    f = filters.RecordFilter(instrument="00000077", event_from=dt.date(1994, 1, 1))
+    return f.apply(d.record).select("id", "instrument_id", "record_type")
+
+
+@query(
+    "api_filing_document",
+    f"""SELECT f.id, r.url, r.sha FROM filing f JOIN raw_document r ON f.raw_document_id = r.id
+        WHERE EXISTS (SELECT 1 FROM record e WHERE e.filing_id = f.id AND e.verification_state = 'verified' AND e.discovered_at <= {BOUND})""",
+)
+def api_filing_document(d):
+    reader = filters.RecordFilter(verification_state="verified", visible_until=AS_OF)
+    return filters.documents_of(d.filing, d.raw_document, d.record, reader).select("id", "url", "sha")
+
+
 @query("p2_value_overlap", "SELECT id, low_cents, high_cents FROM record WHERE low_cents IS NOT NULL AND (high_cents IS NULL OR high_cents >= 5000000) AND low_cents <= 6000000")
 def p2(d):
     return d.line.where(filters.at_least(5_000_000) & filters.at_most(6_000_000)).select("id", "low_cents", "high_cents")
@@ -101,16 +117,33 @@ def o2(d):
 
 @query(
     "o3_mixed_keyset",
-    """SELECT id, priority, created_at FROM review_task t, (SELECT priority AS p, created_at AS c, id AS i FROM review_task WHERE id = '0000000500') a
-       WHERE status = 'open' AND (priority < p OR (priority = p AND created_at > c) OR (priority = p AND created_at = c AND id > i))
-       ORDER BY priority DESC, created_at, id LIMIT 51""",
+    """SELECT id, hours, created_at FROM (SELECT id, hours, created_at, row_number() OVER (ORDER BY hours DESC NULLS LAST, created_at, id) AS n FROM review_task) t,
+         (SELECT n AS m FROM (SELECT id, row_number() OVER (ORDER BY hours DESC NULLS LAST, created_at, id) AS n FROM review_task) WHERE id = '0000000500') a
+       WHERE n > m AND n <= m + 51""",
 )
 def o3(d):
-    anchor = d.review_task.where("id = '0000000500'").select("priority", "created_at", "id").collect()[0].asDict()
-    rows = d.review_task.where("status = 'open'").select("id", "priority", "created_at")
-    order = [("priority", True), ("created_at", False), ("id", False)]
-    anchor["created_at"] = str(anchor["created_at"])
-    return paging.mixed_page(rows.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")), order, anchor, 50)
+    order = [("hours", True), ("created_at", False), ("id", False)]
+    rows = d.review_task.select("id", "hours", "created_at")
+    return paging.mixed_page(rows, order, paging.anchor(rows, "0000000500", [n for n, _ in order]), 50)
+
+
+@query(
+    "o3_null_anchor",
+    """SELECT id, hours, created_at FROM (SELECT id, hours, created_at, row_number() OVER (ORDER BY hours DESC NULLS LAST, created_at, id) AS n FROM review_task) t,
+         (SELECT n AS m FROM (SELECT id, row_number() OVER (ORDER BY hours DESC NULLS LAST, created_at, id) AS n FROM review_task) WHERE id = '0000000501') a
+       WHERE n > m AND n <= m + 51""",
+)
+def o3_null(d):
+    """A page after a row without the first key."""
+    order = [("hours", True), ("created_at", False), ("id", False)]
+    rows = d.review_task.select("id", "hours", "created_at")
+    return paging.mixed_page(rows, order, paging.anchor(rows, "0000000501", [n for n, _ in order]), 50)
+
+
+@query("o6_null_year", "SELECT id, year FROM (SELECT id, CASE WHEN status <> 'O' THEN CAST(year(filed_date) AS INTEGER) END AS year FROM filing WHERE priority = '1-URGENT' AND regime_id = '3') ORDER BY year NULLS LAST, id DESC LIMIT 200")
+def o6(d):
+    rows = d.filing.where("priority = '1-URGENT' AND regime_id = '3'").select("id", F.when(F.col("status") != "O", F.year("filed_date")).alias("year"))
+    return paging.top(rows, 200, F.asc_nulls_last("year"), F.desc("id"))
 
 
 @query("o4_topk", "SELECT id, seconds FROM pipeline_run WHERE status = 'failed' ORDER BY seconds DESC, id LIMIT 25")
@@ -163,10 +196,16 @@ def j6(d):
     return d.regime.join(having, "id", "left_semi").select("id", "code")
 
 
-@query("j7_anti", "SELECT id, url FROM raw_document r WHERE NOT EXISTS (SELECT 1 FROM filing f WHERE f.raw_document_id = r.id AND f.priority = '1-URGENT' AND f.status = 'P')")
+@query(
+    "j7_anti",
+    """SELECT id, url FROM (SELECT id, url, CASE WHEN CAST(id AS BIGINT) % 5 <> 0 THEN id END AS bridge FROM raw_document) r
+       WHERE bridge IS NULL OR NOT EXISTS (SELECT 1 FROM filing f WHERE f.raw_document_id = r.bridge AND f.priority = '1-URGENT' AND f.status = 'P')""",
+)
 def j7(d):
-    bridged = d.filing.where("priority = '1-URGENT' AND status = 'P'").select(F.col("raw_document_id").alias("id"))
-    return d.raw_document.join(bridged, "id", "left_anti").select("id", "url")
+    """Documents without a bridge key or whose key leads nowhere; a null key meets nothing, so one anti join keeps both."""
+    bridged = d.filing.where("priority = '1-URGENT' AND status = 'P'").select(F.col("raw_document_id").alias("bridge"))
+    rows = d.raw_document.select("id", "url", F.when(F.col("id").cast("long") % 5 != 0, F.col("id")).alias("bridge"))
+    return rows.join(bridged, "bridge", "left_anti").select("id", "url")
 
 
 @query(
@@ -301,12 +340,23 @@ CHAIN = "c AS (SELECT id, supersedes_record_id FROM record)"
 @query(
     "u3_chain_up",
     f"""WITH {CHAIN}, up AS (
-         SELECT id AS start_id, id, supersedes_record_id AS parent, 0 AS depth FROM c WHERE id LIKE '%5'
+         SELECT id AS start_id, id, supersedes_record_id AS parent, 0 AS depth FROM c
          UNION ALL SELECT up.start_id, c.id, c.supersedes_record_id, up.depth + 1 FROM up JOIN c ON c.id = up.parent)
        SELECT start_id, id, depth FROM up""",
 )
 def u3(d):
-    return chains.chain_up(d.record, d.record.where("id LIKE '%5'"))
+    return chains.chain_up(d.record, d.record)
+
+
+@query(
+    "u5_visible_chain",
+    f"""WITH {CHAIN}, up AS (
+         SELECT id AS start_id, id, supersedes_record_id AS parent, 0 AS depth FROM c
+         UNION ALL SELECT up.start_id, c.id, c.supersedes_record_id, up.depth + 1 FROM up JOIN c ON c.id = up.parent)
+       SELECT start_id, up.id, depth FROM up JOIN record e ON e.id = up.id WHERE depth > 0 AND e.discovered_at <= {BOUND} AND e.verification_state = 'verified'""",
+)
+def u5(d):
+    return chains.visible(chains.chain_up(d.record, d.record), d.record, filters.RecordFilter(visible_until=AS_OF, verification_state="verified"))
 
 
 @query(
@@ -337,6 +387,16 @@ def u7(d):
     return new.agg(F.count("*").alias("new_records"))
 
 
+@query("j2_inner", f"SELECT r.rule_id, m.record_id, p.canonical_name FROM ({MATCHES_SQL}) m JOIN {RULES_SQL} r ON r.rule_id = m.rule_id JOIN record e ON e.id = m.record_id JOIN politician p ON p.id = e.politician_id WHERE r.asset_class = 'class3'")
+def j2(d):
+    """Matches with their rule, record and filer."""
+    some = rules(d.record.sparkSession).where("asset_class = 'class3'")
+    matched = joins.match_rules(d.record, some, RECORD_TYPES)
+    records = d.record.select(F.col("id").alias("record_id"), "politician_id")
+    people = d.politician.select(F.col("id").alias("politician_id"), "canonical_name")
+    return matched.join(records, "record_id").join(people, "politician_id").select("rule_id", "record_id", "canonical_name")
+
+
 @query(
     "r30_record_summary",
     "SELECT l.id, p.canonical_name, g.code, f.filed_date FROM line l JOIN filing f ON l.filing_id = f.id JOIN politician p ON f.politician_id = p.id JOIN regime g ON f.regime_id = g.id WHERE l.ordinal = 1",

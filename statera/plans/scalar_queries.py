@@ -162,9 +162,15 @@ def r22(d):
     return rows.where("stored <> mime AND mime = 'application/octet-stream'").select("doc_id", "mime")
 
 
-@query("s13_hrefs", "SELECT DISTINCT id, unnest(regexp_extract_all(body, 'href=[\"'']([^\"'']+)', 1)) AS href FROM raw_document")
+@query(
+    "s13_hrefs",
+    """SELECT id, stem, arg_min(href, pos) AS href FROM (
+         SELECT id, h AS href, pos, regexp_extract(regexp_extract(h, '^[^?#]*'), '([^/]+)e$', 1) AS stem FROM (
+           SELECT id, unnest(hs) AS h, generate_subscripts(hs, 1) AS pos FROM (SELECT id, regexp_extract_all(body, 'href="([^"]*)"', 1) AS hs FROM raw_document)) WHERE contains(h, '/'))
+       WHERE stem <> '' GROUP BY id, stem""",
+)
 def s13(d):
-    return scans.links(d.raw_document, "body").select("id", "href")
+    return scans.document_links(d.raw_document.select("id", "body"), "body", "/", "e").select("id", "stem", "href")
 
 
 @query("s18_source_sniff", "SELECT id, CASE WHEN starts_with(left(body, 8192), '%PDF-') THEN 'eu' WHEN contains(left(body, 8192), '<declaration') THEN 'fr' WHEN contains(lower(left(body, 8192)), '<html') THEN 'de' END AS source FROM raw_document")
@@ -186,12 +192,66 @@ def f13(d):
     return d.pipeline_run.where("stage = 'publish'").select("id", F.get_json_object("stats", "$.k").alias("k"), F.get_json_object("stats", "$.none").isNotNull().alias("has_none"))
 
 
-@query("f21_cadence_split", "SELECT id, CASE WHEN ordinal % 2 = 0 THEN 'monatlich' ELSE '' END AS word, CASE WHEN ordinal % 3 = 0 THEN 2000 + ordinal END AS year FROM line")
+LINES = [
+    ("Rat, monatlich, 1.250,43 EUR", "Rat", "monatlich, 1.250,43 EUR", "monthly", None, "1250.43"),
+    ("Rat, Ort, 2021, 5.400 Euro", "Rat, Ort, 2021, 5.400 Euro", None, None, None, None),
+    ("jährlich, 900 EUR, zuzüglich 10 EUR", "", "jährlich, 900 EUR, zuzüglich 10 EUR", "annual", None, "900.00"),
+    ("zuzüglich 5 EUR", "", "zuzüglich 5 EUR", None, None, "5.00"),
+    ("Rat, halbjährlich, ohne Angabe", "Rat", "halbjährlich, ohne Angabe", None, None, None),
+    ("Vorstand ,  einmalig, 12..5 EUR", "Vorstand ,  einmalig, 12..5 EUR", None, None, None, None),
+    ("Beirat, einmalig, 7.000,5 EUR, jährlich, 3 EUR", "Beirat", "einmalig, 7.000,5 EUR, jährlich, 3 EUR", "one_off", None, "7000.50"),
+]
+
+
+@query(
+    "f21_cadence_split",
+    "SELECT l.id, v.role, v.income, v.period, CAST(v.amount AS DECIMAL(16,2)) AS amount FROM line l JOIN (VALUES "
+    + ", ".join("(" + ", ".join([str(k), *("NULL" if x is None else f"'{x}'" for x in (r[1], r[2], r[3], r[5]))]) + ")" for k, r in enumerate(LINES))
+    + f") AS v(k, role, income, period, amount) ON v.k = l.ordinal % {len(LINES)}",
+)
 def f21(d):
-    lead = F.when(F.col("ordinal") % 3 == 0, F.concat((F.col("ordinal") + 2000).cast("string"), F.lit(": "))).otherwise("")
-    tail = F.when(F.col("ordinal") % 2 == 0, " Monatlich, 5 EUR").otherwise(" gelegentlich")
-    found = S.first_cadence(F.concat(lead, F.lit("Rat,"), tail))
-    return d.line.select("id", found["word"].alias("word"), found["year"].alias("year"))
+    text = F.get(F.array(*[F.lit(r[0]) for r in LINES]), F.col("ordinal") % len(LINES))
+    found = d.line.select("id", S.income_split(text).alias("s")).select("id", "s.*").withColumn("p", S.income_parts(F.col("income")))
+    return found.select("id", "role", "income", "p.period", "p.amount")
+
+
+DATES = [
+    ("05/06/2026", "2026-05-06", "2026-06-05", None), ("2026 MAY -6", "2026-05-06", None, None), ("2026 MAY 16", "2026-05-16", None, None), ("2026 FEB 30", None, None, None),
+    ("2026 MAI 6", None, None, None), ("13/02/2024 10:11:12", None, "2024-02-13", None), ("02/30/2024", None, None, None), ("Date of change: 2024/03/09 (late)", None, None, "2024-03-09"),
+    ("Date of change: none", None, None, None), ("", None, None, None), ("7/4/2021", "2021-07-04", "2021-04-07", None),
+]
+
+
+@query(
+    "f17_source_dates",
+    "SELECT l.id, CAST(v.a AS DATE) AS source_date, CAST(v.b AS DATE) AS stamped_day, CAST(v.c AS DATE) AS change_date FROM line l JOIN (VALUES "
+    + ", ".join("(" + ", ".join([str(k), *("NULL" if x is None else f"'{x}'" for x in r[1:])]) + ")" for k, r in enumerate(DATES))
+    + f") AS v(k, a, b, c) ON v.k = l.ordinal % {len(DATES)}",
+)
+def f17_source(d):
+    """Written dates, malformed ones among them, by every parser of the sources."""
+    raw = F.get(F.array(*[F.lit(r[0]) for r in DATES]), F.col("ordinal") % len(DATES))
+    return d.line.select("id", S.source_date(raw).alias("source_date"), S.stamped_day(raw).alias("stamped_day"), S.change_date(raw).alias("change_date"))
+
+
+@query(
+    "f31_display",
+    """SELECT id, coalesce(CAST(CAST(round(CAST(CASE WHEN CAST(id AS BIGINT) % 7 <> 0 THEN CAST(id AS BIGINT) * 977 END AS DECIMAL(20,3)) / 86400, 1) AS DECIMAL(20,1)) AS VARCHAR) || 'd', '—') AS took,
+              CASE WHEN m < 60 THEN m || 'm' WHEN m // 60 < 48 THEN (m // 60) || 'h' ELSE (m // 1440) || 'd' END AS age, format('{:,}', CAST(id AS BIGINT) * 1234) AS n,
+              strftime(started_at, '%Y-%m-%d %H:%M UTC') AS at FROM (SELECT *, greatest(epoch_us(TIMESTAMP '2024-01-20 12:00:00') - epoch_us(started_at), 0) // 60000000 AS m FROM pipeline_run)""",
+)
+def f31(d):
+    n = F.col("id").cast("long")
+    now = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    at = F.col("started_at").cast("timestamp")
+    return d.pipeline_run.select("id", S.days_text(F.when(n % 7 != 0, n * 977)).alias("took"), S.age_text(at, now).alias("age"), S.count_text(n * 1234).alias("n"), S.minute_text(at).alias("at"))
+
+
+@query("f12_interval", "SELECT count(*) FILTER (WHERE started_at >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 36 HOUR) AS recent, count(*) FILTER (WHERE started_at < TIMESTAMP '2024-02-29 00:00:00' - INTERVAL 1 MONTH) AS old FROM pipeline_run")
+def f12(d):
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    c = F.col("started_at")
+    return d.pipeline_run.agg(F.count_if(c >= S.before(at("2024-01-20 00:00:00"), hours=36)).alias("recent"), F.count_if(c < S.before(at("2024-02-29 00:00:00"), months=1)).alias("old"))
 
 
 @query("f23_owner_precedence", "SELECT id, coalesce(owner, CASE WHEN ordinal % 2 = 0 THEN 'joint' END, 'self') AS owner, CASE WHEN owner IS NOT NULL THEN 'row' WHEN ordinal % 2 = 0 THEN 'vehicle' ELSE 'default' END AS origin FROM line")

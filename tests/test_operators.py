@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statera.functions import scalar as S
-from statera.operators import aggregates, chains, exports, filters, idempotent, paging, trust, windows
+from statera.operators import aggregates, chains, consensus, exports, filters, idempotent, paging, publish, trust, windows
 from statera.sources import adapters, scans
 
 
@@ -51,6 +51,23 @@ def test_mixed_pages_walk_all_rows(spark):
     assert seen == sorted((tuple(r) for r in rows.collect()), key=lambda r: (-r[0], r[1], r[2]))
 
 
+def test_mixed_pages_walk_rows_without_keys(spark):
+    rows = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate([(1, None), (None, 2), (None, None), (1, 5), (2, None), (2, 1), (None, 1), (1, None)])], "id int, p int, c int")
+    order = [("p", True), ("c", False), ("id", False)]
+    for size in (1, 3):
+        seen, anchor = [], None
+        while True:
+            found = paging.mixed_page(rows, order, anchor, size).collect()
+            seen += [r.id for r in found[:size]]
+            if len(found) <= size:
+                break
+            anchor = paging.anchor(rows, found[size - 1].id, ["p", "c", "id"])
+        none_last = lambda x, sign: (x is None, sign * (x or 0))
+        assert seen == [r.id for r in sorted(rows.collect(), key=lambda r: (none_last(r.p, -1), none_last(r.c, 1), r.id))]
+    with pytest.raises(ValueError):
+        paging.anchor(rows, 99, ["id"])
+
+
 def test_insert_twice_inserts_nothing(spark):
     target = spark.createDataFrame([(1, "a", 0)], "k int, v string, o int")
     batch = spark.createDataFrame([(1, "b", 1), (2, "d", 3), (2, "c", 2)], "k int, v string, o int")
@@ -82,6 +99,93 @@ def test_deep_chain(spark):
     assert chains.chain_down(rows, rows.where("id = '0'")).count() == 150
 
 
+def test_chains_branch_and_hide_members(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "b"), ("e", "gone"), ("f", "d")], "id string, supersedes_record_id string")
+    up = {(r.start_id, r.id, r.depth) for r in chains.chain_up(rows, rows.where("id IN ('f', 'e')")).collect()}
+    assert up == {("f", "f", 0), ("f", "d", 1), ("f", "b", 2), ("f", "a", 3), ("e", "e", 0)}
+    down = {(r.id, r.depth) for r in chains.chain_down(rows, rows.where("id = 'b'")).collect()}
+    assert down == {("b", 0), ("c", 1), ("d", 1), ("f", 2)}
+    seen = rows.withColumn("verification_state", F.when(F.col("id") == "b", "rejected").otherwise("verified"))
+    chain = chains.chain_up(rows, rows.where("id = 'f'"))
+    assert {(r.id, r.depth) for r in chains.visible(chain, seen, filters.RecordFilter(verification_state="verified")).collect()} == {("d", 1), ("a", 3)}
+
+
+def test_chains_refuse_cycles(spark):
+    rows = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", "a"), ("x", None), ("y", "x")], "id string, supersedes_record_id string")
+    with pytest.raises(ValueError, match="cycle"):
+        chains.chain_up(rows, rows)
+    with pytest.raises(ValueError, match="cycle"):
+        chains.chain_down(spark.createDataFrame([("a", "a")], rows.schema), rows)
+
+
+def test_chains_of_many_starts(spark):
+    """More rows than a recursive query may make."""
+    rows = spark.range(700_000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 > 0, (F.col("id") - 1).cast("string")).alias("supersedes_record_id"))
+    assert chains.chain_up(rows, rows).count() == sum(1 + k % 3 for k in range(700_000))
+
+
+def test_drift_by_cases(spark):
+    """Any shrinkage counts, to zero only from more; each part of a baseline may be missing."""
+    cases = [
+        (None, True, 1, "a", None, None, "probe_error"), (304, False, 0, "b", 9, "a", "none"), (503, True, 9, "a", 9, "a", "status_error"), (200, False, 9, "a", 9, "a", "regime_change"),
+        (200, True, 0, "b", 9, "a", "count_zero"), (200, True, 0, "a", 0, "a", "none"), (200, True, 8, "b", 9, "a", "layout_shift"), (200, True, 8, "a", 9, "a", "count_delta"),
+        (200, True, 8, "a", 9, None, "count_delta"), (200, True, 8, "b", None, "a", "layout_shift"), (200, True, -1, "a", 9, "a", "none"), (200, True, 12, "a", 9, "a", "none"), (200, True, 0, "z", None, None, "none"),
+    ]
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "id int, status int, markers boolean, n int, layout string, base int, base_layout string, want string")
+    c = F.col
+    kind = trust.drift(c("status"), c("markers"), c("n"), c("layout"), c("base"), c("base_layout"))
+    found = rows.select("*", kind.alias("kind")).select("*", *trust.drift_report(c("kind"), F.lit("r"), c("status"), c("layout"))).collect()
+    assert [r.kind for r in found] == [r.want for r in found]
+    assert {r.dedup_key for r in found} == {None, "r:probe_error:transport", "r:status_error:503", "r:regime_change:markers", "r:count_zero:zero", "r:layout_shift:b", "r:count_delta:shrink"}
+    assert {r.kind: r.freeze for r in found if r.freeze} == {"regime_change": True, "count_zero": True, "layout_shift": True}
+
+
+def test_sample_ranks_by_seed_bytes(spark):
+    import hashlib
+
+    ids = [f"rec{k}" for k in range(40)]
+    want = sorted(ids, key=lambda i: (hashlib.sha256((7).to_bytes(8, "big") + b":" + i.encode()).digest(), i))[:5]
+    rows = spark.createDataFrame([("g", i) for i in ids], "g string, id string")
+    assert {r.id for r in windows.seeded_sample(rows, "g", "id", 5, 7).collect()} == set(want)
+
+
+def test_a_mention_without_a_year_may_mean_any(spark):
+    ddl = "mention_id int, name string, identifier string, year int"
+    mentions = spark.createDataFrame([(1, "n", None, None), (2, "n", "x", None), (3, "n", None, 1990), (4, "m", None, None)], ddl)
+    aliases = spark.createDataFrame([("e1", "n", "y", 1900), ("e2", "m", None, 1800), ("e3", "m", None, 2000)], "entity_id string, name string, identifier string, first_year int")
+    assert {r.mention_id: (r.entity_id, r.candidates) for r in trust.resolve(mentions, aliases, ["name"]).collect()} == {1: ("e1", 1), 2: (None, 0), 3: (None, 0), 4: (None, 2)}
+
+
+def test_on_a_tie_the_lesser_identifier_moves(spark):
+    rows = spark.createDataFrame([("e", "B9", "f1"), ("e", "A10", "f2"), ("g", "x", "f3"), ("g", "y", "f4"), ("g", "y", "f4"), ("h", "z", "f5")], "entity_id string, identifier string, filing_id string")
+    assert {r.entity_id: r.moves for r in trust.split_identity(rows).collect()} == {"e": "A10", "g": "x"}
+
+
+def test_a_broken_candidate_rejects_its_filing(spark):
+    ddl = "filing_id string, ordinal int, regime_code string, backfill boolean, details map<string,string>, v int"
+    rows = [("f1", 0, "uk", False, {"a": "1"}, 1), ("f1", 1, "uk", False, {}, None), ("f2", 0, "us_senate", True, {"counsel_name": "C", "k": "1"}, 2), ("f3", 0, "fr_hatvp_dia", False, {"type_declaration": "dspm2"}, None), ("f3", 1, "fr_hatvp_dia", False, {"type_declaration": "dia"}, 3), ("f4", 0, "ca", False, {}, 4)]
+    c = spark.createDataFrame(rows, ddl)
+    frozen, none = spark.createDataFrame([("ca",)], "regime_code string"), spark.createDataFrame([], "fingerprint string")
+    checks, reviews = [(F.col("v").isNotNull(), "no_value")], [(F.col("v") > 1, "large")]
+    out = publish.publish(c, ["v"], frozen, none, checks, reviews)
+    assert {(r.filing_id, r.ordinal): r.outcome for r in out.outcome.collect()} == {("f1", 0): "filing_rejected", ("f1", 1): "filing_rejected", ("f2", 0): "inserted", ("f3", 0): "suppressed", ("f3", 1): "inserted", ("f4", 0): "frozen"}
+    records = out.records.collect()
+    assert {r.filing_id: dict(r.details) for r in records} == {"f2": {"k": "1"}, "f3": {"type_declaration": "dia"}}
+    assert {(r.target_kind, r.reason) for r in out.reviews.collect()} == {("disclosure_record", "large"), ("filing", "redaction_fr_patrimony_unrepublishable"), ("regime", "publish_blocked_frozen")}
+    assert {r.filing_id: r.suppressed for r in out.events.collect()} == {"f2": True, "f3": False}
+    again = publish.publish(c, ["v"], frozen, out.records, checks, reviews)
+    assert again.records.count() == 0 and {r.filing_id: r.replayed for r in again.counters.collect()} == {"f1": 0, "f2": 1, "f3": 1, "f4": 0}
+
+
+def test_differing_paths_are_capped(spark):
+    import json
+
+    a, b = {f"k{k}": k for k in range(12)}, {f"k{k}": k + 1 for k in range(12)}
+    rows = spark.createDataFrame([(json.dumps(a), json.dumps(b)), ('{"a":{"b":[1,2]}}', '{"a":{"b":[1,3],"c":null}}'), ("no", "{}")], "a string, b string")
+    found = [r[0] for r in rows.select(consensus.differing_paths("a", "b")).collect()]
+    assert found == [["$.k0", "$.k1", "$.k10", "$.k11", "$.k2", "$.k3", "$.k4", "$.k5"], ["$.a.b[1]", "$.a.c"], None]
+
+
 def test_verdict_takes_the_first_failure_and_null_fails(spark):
     rows = spark.createDataFrame([(1, None), (2, 5), (3, -1)], "id int, v int")
     checks = [(F.col("v").isNotNull(), "missing"), (F.col("v") > 0, "negative")]
@@ -138,14 +242,46 @@ def test_brazil(spark):
     doc = '{"consulta_cand":{"SQ_CANDIDATO":"9","NM_CANDIDATO":"N","SG_UF":"AC","DT_ELEICAO":"02/10/2022","ANO_ELEICAO":"2022"},"bem_candidato":[{"NR_ORDEM_BEM_CANDIDATO":"3","CD_TIPO_BEM_CANDIDATO":"12","DS_BEM_CANDIDATO":"Casa","VR_BEM_CANDIDATO":"1.000,50"}]}'
     a = adapters.ADAPTERS["br"]
     row = a.normalize(a.parse(spark.createDataFrame([("s", doc)], "sha256 string, text string"))).collect()[0]
-    assert (row.asset_class, str(row.value_low), row.as_of_date, row.ordinal, row.filing_key) == ("real_estate", "1000.50", dt.date(2022, 10, 2), 3, "2022:9")
+    assert (row.asset_class, str(row.value_low), row.as_of_date, row.ordinal, row.filing_key) == ("real_estate", "1000.50", dt.date(2022, 10, 2), 3, "2022:AC:9")
 
 
 def test_united_kingdom(spark):
     doc = '{"id":7,"summary":"A gift","registrationDate":"2026-06-28","category":{"id":3,"number":"2","name":"D"},"member":{"id":1,"nameDisplayAs":"M"},"fields":[{"name":"Sole","type":"Boolean","value":true},{"name":"Value","type":"Decimal","typeInfo":{"currencyCode":"GBP"},"value":"3400.00"}]}'
     a = adapters.ADAPTERS["uk_commons_register"]
     row = a.normalize(a.parse(spark.createDataFrame([("s", doc)], "sha256 string, text string"))).collect()[0]
-    assert (row.filing_key, str(row.value_low), row.currency, row.notified_date) == ("7", "3400.00", "GBP", dt.date(2026, 6, 28))
+    assert (row.filing_key, str(row.value_low), row.currency, row.notified_date) == ("7@0", "3400.00", "GBP", dt.date(2026, 6, 28))
+
+
+def test_united_kingdom_values(spark):
+    import json
+
+    money = lambda v, c="GBP": {"name": "Value", "type": "Decimal", "typeInfo": {"currencyCode": c}, "value": v}
+    text = lambda v: {"name": "ShareholdingThreshold", "type": "String", "value": v}
+    donors = lambda *rows: {"name": "Donors", "type": "Donor[]", "values": [[{"name": "Name", "type": "String", "value": "D"}, *r] for r in rows]}
+    cases = {
+        "exact": (8, [text(adapters.PERCENTAGE), money("12.50")]),
+        "open": (8, [text(adapters.OPEN_ENDED)]),
+        "share": (8, [text(adapters.PERCENTAGE)]),
+        "other": (8, [text("(iii) more")]),
+        "bare": (8, []),
+        "visit": (5, [donors([money("100.25")], [money("0.75")], [])]),
+        "mixed": (5, [donors([money("1")], [money("1", "EUR")])]),
+        "free": (5, [donors([])]),
+        "donors elsewhere": (3, [donors([money("9")])]),
+    }
+    docs = [(k, json.dumps({"id": 1, "updatedDates": ["2026-01-01", "2026-02-01"], "category": {"id": c, "number": "1", "name": "n"}, "fields": f})) for k, (c, f) in cases.items()]
+    a = adapters.ADAPTERS["uk_commons_register"]
+    rows = a.normalize(a.parse(spark.createDataFrame(docs, "sha256 string, text string"))).collect()
+    plain = lambda v: None if v is None else str(v)
+    assert {r.filing_key for r in rows} == {"1@2"}
+    assert {r.sha256: (plain(r.value_low), plain(r.value_high), r.currency, r.value_source, r.rejected) for r in rows} == {
+        "exact": ("12.50", "12.50", "GBP", "value_field", False), "open": ("70000.00", None, "GBP", "shareholding_threshold", False),
+        "share": (None, None, None, "none", False), "other": (None, None, None, "none", True), "bare": (None, None, None, "none", True),
+        "visit": ("101.00", "101.00", "GBP", "sum_of_donors", False), "mixed": ("2.00", "2.00", "GBP", "sum_of_donors", True),
+        "free": (None, None, None, "none", False), "donors elsewhere": (None, None, None, "none", False),
+    }
+    with pytest.raises(Exception, match="unknown keys"):
+        a.parse(spark.createDataFrame([("s", '{"id":1,"news":2}')], "sha256 string, text string")).collect()
 
 
 def test_senate(spark):
