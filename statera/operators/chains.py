@@ -17,6 +17,7 @@ def jumps(records: DataFrame) -> list[tuple[int, DataFrame]]:
     Two narrow columns a table, and as many tables as the logarithm of the longest chain.  A record that supersedes
     itself through others is refused: its chain has no end.
     """
+    records = stored(records.select("id", "supersedes_record_id"), "links")
     ids = records.select(F.col("id").alias("to"))
     step = records.where("supersedes_record_id IS NOT NULL").select("id", F.col("supersedes_record_id").alias("to")).join(ids, "to", "left_semi").select("id", "to")
     out, steps = [], 1
@@ -33,7 +34,7 @@ def jumps(records: DataFrame) -> list[tuple[int, DataFrame]]:
 
 def _walk(records: DataFrame, starts: DataFrame, here: str, there: str) -> DataFrame:
     """(start_id, id, depth): members up to 2^k away are known after k joins; each adds those as far again."""
-    known = [starts.select(F.col("id").alias("start_id"), "id", F.lit(0).alias("depth"))]
+    known = [stored(starts.select(F.col("id").alias("start_id"), "id", F.lit(0).alias("depth")), "starts")]
     for steps, jump in jumps(records):
         jump = jump.select(F.col(here).alias("at"), F.col(there).alias("next"))
         so_far = reduce(DataFrame.unionByName, known)
