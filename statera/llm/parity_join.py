@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
-from .textblocks import mix, shingle_sets
+from .textblocks import keep_pages, mix, shingle_sets
 
 WIDTH = 5
 BUCKET_BYTES = 1 << 20  # text whose slices make about as many bytes; a task gets several such buckets
@@ -112,6 +112,7 @@ _PACKED_DDL = "bucket int, keys binary, ids binary, texts binary, who binary, si
 
 def _emit(n_buckets: int, width: int):
     def run(batches):
+        keep_pages()
         keys, ids, texts, who, sizes, sketches = [], [], [], [], [], []
 
         def flush():

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .textblocks import IS_SPACE, blocks, flat, mix, word_hashes
+from .textblocks import IS_SPACE, blocks, flat, keep_pages, word_hashes
 
 BITS = 18
 TRAIN_ROWS = 20_000
@@ -120,6 +120,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
     names = ["doc_id", *keep]
 
     def run(batches):
+        keep_pages()
         w = model.value.astype(np.float64)
         for batch in batches:
             logits = np.array([w[i] @ x for i, x in features(batch.column(len(names)))])

@@ -18,8 +18,8 @@ rules: binary                  uint32 LE pairs, rule k is symbol BASE + k
 lengths: binary                uint32 LE, ids that symbol BASE + k expands to
 docs: array<struct<doc_id, n_tokens>>  the documents of the shard in order
 
-Defined results: null and empty texts are only the end id; rows are ordered by doc_id (null first), then a hash of the
-text, then text, so repeated rows stand next to each other; a text of any length is in one shard; an empty table writes no shard; other
+Defined results: null and empty texts are only the end id; rows are ordered by doc_id (null first), then text (rows
+without an id by a hash of it before), so repeated rows stand next to each other; a text of any length is in one shard; an empty table writes no shard; other
 columns are ignored.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .textblocks import blocks, flat, mix
+from .textblocks import blocks, flat, keep_pages, mix
 
 END = 0
 BASE = 1 << 17  # the first symbol of a rule; every vocabulary here is smaller
@@ -59,62 +59,82 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
     rank, taken, gone = np.zeros(n + 1, np.int64), np.zeros(n + 1, bool), np.zeros(n, bool)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
     at = np.arange(max(n - 1, 0))  # left ends of the pairs that may be replaced
+    pair = (seq[:-1] << 32) | seq[1:]
     while len(at) >= least:
-        right = after[at]
-        a, b = seq[at], seq[right]
-        alike = _alike((a.astype(np.uint64) << _U(32)) | b.astype(np.uint64))
-        once = np.ones(len(at), bool)
-        run = np.flatnonzero(a == b)
+        may = _may_be_frequent(pair, least)
+        at, pair = at[may], pair[may]
+        alike = _alike(pair.view(np.uint64))
+        weight = np.bincount(alike, minlength=len(at))
+        run = np.flatnonzero(pair >> 32 == pair & 0xFFFFFFFF)
         if len(run):  # every second occurrence in a run of one symbol overlaps the one before it
             run = run[np.argsort(at[run])]
             step = np.arange(len(run))
-            goes_on = np.append(False, right[run[:-1]] == at[run[1:]])
-            once[run] = (step - np.maximum.accumulate(np.where(goes_on, 0, step))) % 2 == 0
-        weight = np.bincount(alike[once], minlength=len(at))[alike]
+            goes_on = np.append(False, after[at[run[:-1]]] == at[run[1:]])
+            run = run[(step - np.maximum.accumulate(np.where(goes_on, 0, step))) % 2 == 1]
+            np.subtract.at(weight, alike[run], 1)
+        weight = weight[alike]
+        score = (weight << 32) | alike
+        score[run] = 0
         often = np.flatnonzero(weight >= least)
         if not len(often):
             break
-        at, right, pair = at[often], right[often], alike[often]
-        left = before[at]
-        score = np.where(once[often], (weight[often] << 32) | pair, 0)
-        chosen, open_score = np.zeros(len(at), bool), score
-        for _ in range(3):  # what is left after that waits for the next round
-            rank[at] = open_score
-            best = (open_score > rank[left]) & (open_score > rank[right])
-            if not best.any():
+        found, at, kind, score = pair, at[often], alike[often], score[often]
+        left, right = before[at], after[at]
+        rank[at] = score
+        chosen = (score > rank[left]) & (score > rank[right])
+        taken[at[chosen]] = True
+        for _ in range(2):  # what is left after that waits for the next round
+            closed = chosen | taken[left] | taken[right]
+            rank[at[closed]] = 0
+            some = np.flatnonzero(~closed)
+            some = some[(score[some] > rank[left[some]]) & (score[some] > rank[right[some]])]
+            if not len(some):
                 break
-            chosen |= best
-            taken[at[best]] = True
-            open_score = np.where(chosen | taken[left] | taken[right], 0, score)
+            chosen[some] = True
+            taken[at[some]] = True
         rank[at] = 0
-        count = np.bincount(pair[chosen], minlength=len(a))
-        taken[at[chosen]] = False
-        chosen &= count[pair] >= least
-        taken[at[chosen]] = True
-        free = at[~(chosen | taken[left] | taken[right])]
-        taken[at[chosen]] = False
-        new = np.flatnonzero(count >= least)
-        number = np.zeros(len(a), np.int64)
-        number[new] = BASE + len(lengths) + np.arange(len(new))
+        first = at[chosen]
+        taken[first] = False
+        count = np.bincount(kind[chosen], minlength=len(found))
+        chosen &= count[kind] >= least
         first, second = at[chosen], right[chosen]
-        seq[first], gone[second] = number[pair[chosen]], True
-        after[first] = after[second]
-        before[after[first]] = first
-        rule = np.stack([a[new], b[new]], 1).astype(np.uint32)
+        taken[first] = True
+        free = np.flatnonzero(~(chosen | taken[left] | taken[right]))
+        taken[first] = False
+        new = np.flatnonzero(count >= least)
         fresh = BASE + len(lengths)
+        number = np.zeros(len(found), np.int64)
+        number[new] = fresh + np.arange(len(new))
+        third = after[second]
+        seq[first], gone[second] = number[kind[chosen]], True
+        after[first], before[third] = third, first
+        rule = np.stack([found[new] >> 32, found[new] & 0xFFFFFFFF], 1).astype(np.uint32)
         rules.append(rule)
         lengths = np.concatenate([lengths, expansion(rule[:, 0], lengths) + expansion(rule[:, 1], lengths)])
         left = before[first]
         left = left[left >= 0]
-        at = np.concatenate([free, first[after[first] < n], left[seq[left] < fresh]])
+        changed = np.concatenate([first[third < n], left[seq[left] < fresh]])
+        at = np.concatenate([at[free], changed])
+        pair = np.concatenate([found[kind[free]], (seq[changed] << 32) | seq[after[changed]]])
     return seq[~gone].astype(np.uint32), np.concatenate(rules), lengths
 
 
-def _alike(pair: np.ndarray, turn: int = 0) -> np.ndarray:
+def _slots(pair: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    return (pair * _U(MULTIPLIERS[turn]) >> _U(64 - bits)).view(np.int64)
+
+
+def _may_be_frequent(pair: np.ndarray, least: int) -> np.ndarray:
+    """Where the slots of a hash table are used so often; no pair that is frequent is missing."""
+    bits = max(8, len(pair).bit_length())
+    slot = _slots(pair.view(np.uint64), bits, 0)
+    return np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
+
+
+def _alike(pair: np.ndarray, turn: int = 1) -> np.ndarray:
     """For each value the index of an equal one, the same for all equal ones; by a table of hashes, exactly."""
     n = len(pair)
     bits = max(8, n.bit_length() + 1)
-    slot = (pair * _U(MULTIPLIERS[turn]) >> _U(64 - bits)).astype(np.int64)
+    slot = _slots(pair, bits, turn)
     one = np.empty(1 << bits, np.int32)
     one[slot] = np.arange(n, dtype=np.int32)
     out = one[slot]
@@ -184,7 +204,7 @@ def decode(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: i
     return expand(symbols[lo:hi], rules, lengths)[start - skipped : stop - skipped]
 
 
-SHORT = 16  # bytes of a piece that is known by two words
+SHORT = 15  # bytes of a piece that is known by two words, the last byte of which is its length
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
@@ -193,7 +213,7 @@ class Encoder:
 
     The byte-level tokenizer splits a text before each white space that stands alone between other characters, and
     between a Latin letter or ASCII digit and the ASCII punctuation that follows.  Pieces between such places are
-    known by their bytes: those of up to 16 bytes by two words, found in an open-addressing table of hashes and compared
+    known by their bytes: those of up to 15 bytes by two words, found in an open-addressing table of hashes and compared
     as words, longer ones as keys of a dictionary; unknown ones are encoded, joined to one text, and their ids kept.
     Texts with other white space or with an added token's content are encoded whole.
 
@@ -221,8 +241,8 @@ class Encoder:
     def forget(self) -> None:
         self.hashes, self.numbers = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.ids, self.used, self.known = np.zeros(1 << 18, np.uint16), 0, 0
-        # of each piece: begin << 20 | number of ids, hash, bytes as two words, number of bytes (0: it is in the dictionary)
-        self.piece = {c: np.zeros(1 << 18, t) for c, t in (("span", np.int64), ("hash", np.uint64), ("low", np.uint64), ("high", np.uint64), ("size", np.uint8), ("uses", np.uint8))}
+        # of each piece: begin << 20 | number of ids, hash (0: it is in the dictionary), bytes and length as two words
+        self.piece = {c: np.zeros(1 << 18, t) for c, t in (("span", np.int64), ("hash", np.uint64), ("low", np.uint64), ("high", np.uint64), ("uses", np.uint8))}
         self.long: dict[bytes, int] = {}
 
     def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
@@ -271,7 +291,7 @@ class Encoder:
         return ids, np.stack([np.concatenate(([0], ends[:-1])) + bare, ends], 1)
 
     def _learn(self, pieces: list[bytes], **columns: np.ndarray) -> None:
-        """Encode pieces; ``columns`` has hash, low, high and size of those at the front, the others are long."""
+        """Encode pieces; ``columns`` has hash, low and high of those at the front, the others are long."""
         ids, spans = self._encoded(pieces)
         size = spans[:, 1] - spans[:, 0]
         ids = ids[np.repeat(spans[:, 0] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
@@ -303,7 +323,7 @@ class Encoder:
         self.ids, self.used = np.concatenate([ids, self.ids]), used
         old["span"] = ((np.cumsum(size) - size) << 20) | size
         self.piece = {c: np.concatenate([old[c], a]) for c, a in self.piece.items()}
-        short = np.flatnonzero(old["size"] > 0)
+        short = np.flatnonzero(old["hash"] > 0)
         self._insert(old["hash"][short], short.astype(np.int32))
         moved = dict(zip(keep.tolist(), range(len(keep))))
         self.long = {piece: moved[k] for piece, k in long.items() if k in moved}
@@ -313,8 +333,10 @@ class Encoder:
         size = stop - start
         words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(16, np.uint8)]), 8)
         low = words[start].view("<u8")[:, 0] & _MASK[np.minimum(size, 8)]
-        high = words[start + 8].view("<u8")[:, 0] & _MASK[np.clip(size - 8, 0, 8)]
-        h = mix(low ^ mix(high + size.astype(np.uint64) * _U(MULTIPLIERS[1]))) | _U(1)
+        high = size.astype(np.uint64) << _U(56)
+        more = np.flatnonzero(size > 8)
+        high[more] |= words[start[more] + 8].view("<u8")[:, 0] & _MASK[np.minimum(size[more] - 8, 7)]
+        h = mix(low ^ mix(high)) | _U(1)
         number = self._find(h)
         long, raw = np.flatnonzero(size > SHORT), data.tobytes()
         text = [raw[a:b] for a, b in zip(start[long].tolist(), stop[long].tolist())]
@@ -323,11 +345,11 @@ class Encoder:
         new_long = dict.fromkeys(t for t, k in zip(text, number[long].tolist()) if k < 0)
         if len(new) or new_long:
             at = new[np.unique(h[new], return_index=True)[1]]
-            self._learn([*(raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())), *new_long], hash=h[at], low=low[at], high=high[at], size=size[at])
+            self._learn([*(raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())), *new_long], hash=h[at], low=low[at], high=high[at])
             number[new] = self._find(h[new])
             number[long] = [self.long[t] for t in text]
         known = self.piece
-        other = (known["low"][number] != low) | (known["high"][number] != high) | (known["size"][number] != size)
+        other = (known["low"][number] != low) | (known["high"][number] != high)
         return number, other & (size <= SHORT)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -420,6 +442,7 @@ def _shards(path: str):
     def run(batches):
         from pyspark import TaskContext
 
+        keep_pages()
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encode = _encoders[path]
@@ -458,7 +481,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = N
     """Encode ``docs`` and write their shards to ``path``; numbers of shards ascend with doc_id."""
     n = partitions or shared.shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text"))
-    tie = F.xxhash64("text")  # rows of one id, or without any, are spread too
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without an id are spread too
     rows = rows.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     # the symbols are already short; a codec only takes the slack of their fixed width
     rows.mapInArrow(_shards(tokenizer), SHARD_DDL).write.option("compression", "zstd").parquet(path)
@@ -485,6 +508,7 @@ def checksums(shards: DataFrame) -> DataFrame:
     """shard, part, doc_id, offset in the shard, n_tokens and CRC of the ids of each document, decoded from the shards."""
 
     def run(batches):
+        keep_pages()
         for batch in batches:
             for row in batch.to_pylist():
                 symbols, rules, lengths = (np.frombuffer(row[c], "<u4") for c in ("symbols", "rules", "lengths"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 import xxhash
 
 from . import shared
-from .textblocks import blocks, flat
+from .textblocks import blocks, flat, keep_pages
 
 FLUSH_BYTES = 48 << 20
 GROUP_BYTES = 4 << 20  # text of a bucket of documents; its entries take about as much
@@ -110,6 +110,7 @@ def entries(table: DataFrame, find: Callable, fold: Callable, n_buckets: int, co
     """
 
     def run(batches):
+        keep_pages()
         held: list[Arrays] = []
 
         def flush():
@@ -143,6 +144,7 @@ def with_texts(table: DataFrame, packed: DataFrame, n_buckets: int, apply: Calla
     """
 
     def run(table: pa.Table, marks: pa.Table) -> pa.Table:
+        keep_pages()
         m = unpack(marks, columns)
         m = take(m, np.lexsort((m["places"], m["rows"])))
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(m["rows"])), bool), m["rows"][1:] != m["rows"][:-1])))

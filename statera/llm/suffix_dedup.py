@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from . import shared, spread
 from .chunks import gear_hash, split_repeats
 from .suffix import permuted_common_prefixes, suffix_arrays
+from .textblocks import keep_pages
 
 LENGTH = 100
 ANCHOR = 32
@@ -127,6 +128,7 @@ def asked(e: spread.Arrays, windows: bool) -> spread.Arrays:
 def _settle(n_buckets: int, whole_bytes: int, shard_bytes: int):
     def run(table: pa.Table) -> pa.Table:
         """The stretches of a bucket's anchors are asked for as bytes or windows; other rows pass through."""
+        keep_pages()
         e, new = by_anchor(spread.unpack(spread.of_kind(table, spread.ENTRY), COLUMNS))
         size = np.where(e["counts"] > 0, e["counts"].astype(np.int64) + LENGTH - 1, 0)
         n, kinds, total, different, marked = per_anchor(e, np.ones(len(new)), new, size, size * new, e["counts"] == 0)
@@ -256,6 +258,7 @@ def _repeats(text, counts, size, first, length, lane, place, n) -> tuple[np.ndar
 
 def _resolve(n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        keep_pages()
         _, again = split_repeats(spread.unpack(spread.of_kind(table, WINDOW), COLUMNS))
         parts = [again]
         some = spread.of_kind(table, BYTES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def keep_pages() -> None:
+    """Let malloc keep the pages of arrays that are freed, up to some hundred megabytes, for those that follow.
+
+    Tasks here make and drop arrays of megabytes all the time; by default each is mapped anew and its pages are faulted
+    in one by one.  Another C library than glibc may not know the call; nothing depends on it.
+    """
+    mmap_threshold, trim_threshold = -3, -1  # names of parameters in malloc.h
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(mmap_threshold, 32 << 20)
+        mallopt(trim_threshold, 256 << 20)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit integers (the splitmix64 finaliser)."""
     x = x ^ (x >> _U(30))
