@@ -34,7 +34,7 @@ from .components import components
 from .textblocks import keep_pages, mix, shingle_sets
 
 WIDTH = 5
-BUCKET_BYTES = 1 << 20  # text whose slices make about as many bytes; a task gets several such buckets
+BUCKET_BYTES = 2 << 20  # text whose slices make about as many bytes; a task gets several such buckets
 FLUSH_BYTES = 48 << 20
 BLOCK = 1024
 NULL_ID = -(2**63)
@@ -293,7 +293,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     whole = docs.select(node.alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     narrow = shared.stored(whole.select("id", "digest", F.col("text").rlike(shared.WORD).alias("words"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     total = narrow.agg(F.sum("n_bytes")).collect()[0][0] or 0
-    n_buckets = max(4 * shared.shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES)
+    n_buckets = max(2 * shared.shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES)
     # aggregates are stored before they are joined: a digest with very many copies then is a skewed join that Spark splits
     heads = shared.stored(narrow.where("words").groupBy("digest").agg(F.min("id").alias("head")), "heads")
     copies = shared.stored(narrow.where("words").join(heads, "digest").where("id != head").select("id", "head"), "copies")
@@ -343,7 +343,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         members = members.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("other")).join(sketches, "id")
         members = members.select(
             "grp", "id", "label", "size", "sketch", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), (F.col("home") > F.col("other")).cast("int").alias("side")
-        ).withColumn("bucket", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(4 * n_buckets)))
+        ).withColumn("bucket", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(2 * n_buckets)))
         near = members.groupBy("bucket").applyInArrow(_near(percent), "a long, b long").distinct()
         label = components(links.union(same).union(linked(near)))
 
