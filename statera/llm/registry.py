@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, exact_dedup, mixing, packing, parity_join, personal, quality, repair, suffix_dedup, telephony
+from . import chunks, conversations, divergence, exact_dedup, language, mixing, packing, parity_join, personal, quality, repair, suffix_dedup, telephony
 
 QUERIES = {
     "op1_repair": repair.op1_repair,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_gear_chunks": chunks.op9_gear_chunks,
     "op10_contextual_pii": personal.op10_contextual_pii,
+    "op11_language_kernel": language.op11_language_kernel,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_length_buckets": packing.OP3_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
+    "op12_divergence": divergence.OP12_SQL,
 }
