@@ -1,11 +1,14 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the 32 bytes before each position; where its top bits are zero, and a character begins, a text
-may be cut, so cuts depend on content alone and an insertion moves only the chunks it touches.  Chunks have at least
-``LEAST`` and at most ``MOST`` bytes.  Their 128-bit digests travel packed; the first chunk with a digest, by document
-and position, stays, later ones are repeats.  A document loses all of them, however short.
-
-Defined results: null counts as empty, and an empty text has no chunk; a text shorter than ``LEAST`` is one chunk;
+A gear hash rolls over the 16 bytes before each position.  A text is cut after a position whose scrambled hash is above
+those of the ``REACH`` positions before it and not below those of the ``REACH`` after it, where a character begins.
+Cuts thus depend on nothing but the bytes within ``REACH + WINDOW`` of them: an insertion moves only the chunks it
+touches, and two texts that share a passage cut it alike from its second chunk on, with no search for a common cut.
+Chunks have more than ``REACH`` bytes and about twice as many; runs without a cut are cut every ``MOST`` bytes.  Their
+128-bit digests travel packed; the first chunk with a digest, by document and position, stays, later ones are repeats.
+A document loses all of them.
+
+Defined results: null counts as empty, and an empty text has no chunk; a short text is one chunk;
 order is by doc_id (null first), then the number of the row (rows of one id are documents of their own, in the order
 in which they are read), then position; an empty table gives an empty result; other columns are ignored.
 """
@@ -19,47 +22,53 @@ from pyspark.sql import DataFrame
 from . import shared, spread
 from .textblocks import blocks, mix
 
-WINDOW = 32
-TOP_BITS = 4
-LEAST, MOST = 16, 256
-GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+WINDOW = 16
+REACH = 48
+MOST = 512
+GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
+#: the order in which hashes are compared: 1 and more, so that 0 is left for places that cannot be cut
+ORDER = (mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
-    """At each byte, the sum of the codes of the last 32 bytes, each shifted by its distance; by doubling."""
+    """At each byte, the sum of the codes of the last 16 bytes, each shifted by its distance; by doubling."""
     h = GEAR[data]
     width = 1
     while width < WINDOW:
-        h[width:] = h[width:] + (h[:-width] << np.uint32(width))
+        h[width:] = h[width:] + (h[:-width] << np.uint16(width))
         width *= 2
     return h
 
 
+def sliding_max(x: np.ndarray, width: int) -> np.ndarray:
+    """The largest of ``width`` values from each place on, or of those that are left; by doubling."""
+    x, n = x.copy(), 1
+    while n < width:
+        step = min(n, width - n)
+        x[:-step] = np.maximum(x[:-step], x[step:])
+        n += step
+    return x
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of all chunks (positions in ``data``) and the n + 1 offsets of each text's chunks."""
     inside = (data & 0xC0) == 0x80  # bytes that continue a character
-    may = np.flatnonzero((gear_hash(data)[:-1] >> np.uint32(32 - TOP_BITS) == 0) & ~inside[1:]) + 1 if len(data) else np.zeros(0, np.int64)
-    first, last = np.searchsorted(may, offsets[:-1] + WINDOW), np.searchsorted(may, offsets[1:])
-    ends: list[int] = []
-    counts = []
-    for lo, hi, a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), first.tolist(), last.tolist()):
-        before = len(ends)
-        for cut in may[a:b].tolist():
-            if cut - lo < LEAST:
-                continue
-            while cut - lo > MOST:
-                lo = _back(inside, lo + MOST)
-                ends.append(lo)
-            if cut - lo >= LEAST:
-                ends.append(cut)
-                lo = cut
+    value = ORDER[gear_hash(data)]
+    value[:-1][inside[1:]] = 0
+    before = sliding_max(np.concatenate((np.zeros(REACH, np.uint32), value)), REACH)[: len(data)]
+    may = np.flatnonzero(((value > before) & (value == sliding_max(value, REACH + 1)))[:-1]) + 1
+    text = np.searchsorted(offsets, may, "right") - 1
+    may = may[(may - offsets[text] >= REACH + WINDOW) & (offsets[text + 1] - may >= REACH)]
+    ends = np.sort(np.concatenate((may, offsets[1:][offsets[1:] > offsets[:-1]])))
+    begins = np.concatenate((np.zeros(min(1, len(ends)), np.int64), ends[:-1]))
+    forced = []
+    for k in np.flatnonzero(ends - begins > MOST).tolist():
+        lo, hi = int(begins[k]), int(ends[k])
         while hi - lo > MOST:
             lo = _back(inside, lo + MOST)
-            ends.append(lo)
-        if hi > lo:
-            ends.append(hi)
-        counts.append(len(ends) - before)
-    return np.array(ends, np.int64), np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+            forced.append(lo)
+    ends = np.sort(np.concatenate((ends, np.array(forced, np.int64))))
+    return ends, np.searchsorted(ends, offsets, "right")
 
 
 def _back(inside: np.ndarray, at: int) -> int:

@@ -19,7 +19,8 @@ reads texts emits a text once, under a key of the text that all its copies share
 Defined results: null, empty and blank texts have no shingles and link with nothing, not even each other; fewer than
 five words form one shingle; rows that share a ``doc_id`` are one node of the graph (a null ``doc_id`` too, its
 component_id is null as it counts as the smallest id); an empty table gives an empty
-result; other columns are ignored by :func:`classes` and carried by :func:`keep_one`.
+result; other columns are ignored by :func:`classes` and carried by :func:`keep_one`, which judges every row by itself;
+ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -118,20 +119,18 @@ def _emit(n_buckets: int, width: int):
         def flush():
             k = np.concatenate([np.zeros(0, np.uint64), *keys])
             i, t = (np.repeat(np.array(x, np.int64), [len(x) for x in keys]) for x in (ids, texts))
-            bucket = (((k >> _U(32)) * _U(n_buckets)) >> _U(32)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            k, i, t, cuts = k[order], i[order], t[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             # a text's size and sketch go to the bucket of its key, where those from other tasks meet them
             w, n = np.array(who, np.int64), np.array(sizes, np.int64)
-            own_bucket = (((w.view(np.uint64) >> _U(32)) * _U(n_buckets)) >> _U(32)).astype(np.int32)
-            own_order = np.argsort(own_bucket, kind="stable")
-            own_cuts = np.searchsorted(own_bucket[own_order], np.arange(n_buckets + 1))
+            bucket, own_bucket = (((x >> _U(32)) * _U(n_buckets) >> _U(32)).astype(np.int32) for x in (k, w.view(np.uint64)))
+            order, own_order = np.argsort(bucket, kind="stable"), np.argsort(own_bucket, kind="stable")
+            k, i, t, bucket, own_bucket = k[order], i[order], t[order], bucket[order], own_bucket[own_order]
+            there = np.unique(np.concatenate((bucket, own_bucket)))  # however many buckets there are, only these get rows
+            lows, highs = np.searchsorted(bucket, there), np.searchsorted(bucket, there, "right")
+            own_lows, own_highs = np.searchsorted(own_bucket, there), np.searchsorted(own_bucket, there, "right")
             rows = []
-            for b in range(n_buckets):
-                own = own_order[own_cuts[b] : own_cuts[b + 1]]
-                if cuts[b] < cuts[b + 1] or len(own):
-                    part = slice(cuts[b], cuts[b + 1])
-                    rows.append((b, k[part].tobytes(), i[part].tobytes(), t[part].tobytes(), w[own].tobytes(), n[own].tobytes(), b"".join(sketches[j] for j in own.tolist())))
+            for b, lo, hi, own_lo, own_hi in zip(*(x.tolist() for x in (there, lows, highs, own_lows, own_highs))):
+                own = own_order[own_lo:own_hi]
+                rows.append((b, k[lo:hi].tobytes(), i[lo:hi].tobytes(), t[lo:hi].tobytes(), w[own].tobytes(), n[own].tobytes(), b"".join(sketches[j] for j in own.tolist())))
             for held in (keys, ids, texts, who, sizes, sketches):
                 held.clear()
             for lo in range(0, len(rows), 64):
@@ -354,10 +353,20 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` without those that have a smaller doc_id in their component, with all their columns."""
-    found = classes(docs, width)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(shared.stored(dropped, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without those that link to a row that stays, with all their columns.
+
+    Rows are told apart by a number of their own, so rows that share a ``doc_id``, or have none, are judged each by its
+    text; of a component of rows the one with the smallest ``doc_id`` stays (null last, then the row read first).
+    """
+    row = shared.fresh("row", docs)
+    rows = shared.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = classes(rows.select(F.col(row).alias("doc_id"), "text"), width)
+    members = found.where("doc_id <> component_id").select(F.col("doc_id").alias("node"), "component_id")
+    members = shared.stored(members.union(members.select("component_id", "component_id").distinct()), "members")
+    named = members.join(rows.select(F.col(row).alias("node"), F.col("doc_id").alias("own_id")), "node")
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull(), "own_id", "node")).alias("least"))
+    dropped = members.join(stays.select(F.col("least.node").alias("node")), "node", "left_anti").select(F.col("node").alias(row))
+    return rows.join(shared.stored(dropped, "dropped"), row, "left_anti").select(*docs.columns)
 
 
 def op6_parity_join(spark, sf_dir: str) -> DataFrame:
