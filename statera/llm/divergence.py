@@ -39,7 +39,8 @@ TEXT_BYTES = 4 << 20  # of a text that are split into terms at once
 BUCKET_BYTES = 8 << 20  # text whose terms meet in one bucket, on average
 #: bytes as they separate terms: space for all ASCII but letters
 APART = bytes(i if i >= 0x80 or 0x41 <= i <= 0x5A or 0x61 <= i <= 0x7A else 0x20 for i in range(256))
-PACKED = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("terms", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+PACKED = pa.schema([("bucket", pa.int64()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+PACKED_DDL = "bucket long, langs array<string>, sources array<string>, sizes array<long>, terms array<binary>, n array<long>, docs array<long>"
 COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("lang_n", pa.int64()), ("first", pa.bool_())])
 
 
@@ -61,19 +62,33 @@ def packed_counts(docs: DataFrame, buckets: int) -> DataFrame:
         held: dict[tuple, tuple[Counter, Counter]] = {}
 
         def flush():
-            for (lang, source), (n, d) in held.items():
-                keys = list(n)
-                salt = zlib.crc32((lang + "\0").encode())
-                bucket = np.array([zlib.crc32(k, salt) for k in keys], np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                found, first = np.unique(bucket[order], return_index=True)
-                offsets = pa.array(np.append(first, len(keys)), pa.int32())
-                if not keys:  # a (lang, source) without terms is known all the same
-                    found, offsets = np.array([salt % buckets]), pa.array([0, 0], pa.int32())
-                columns = (pa.array(keys, pa.binary()), pa.array(n.values(), pa.int64()), pa.array([d[k] for k in keys], pa.int64()))
-                lists = [pa.ListArray.from_arrays(offsets, c.take(pa.array(order))) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([lang] * len(found), pa.string()), pa.array([source] * len(found), pa.string()), *lists], schema=PACKED)
+            """A row a bucket: its (lang, source) pairs, how many terms of each, and those terms one pair after the other."""
+            if not held:
+                return
+            pairs = list(held)
+            keys, salts = [], [zlib.crc32((lang + "\0").encode()) for lang, _ in pairs]
+            bucket, pair = [], []
+            for k, (n, _) in enumerate(held.values()):
+                keys += n
+                bucket.append(np.array([zlib.crc32(t, salts[k]) for t in n], np.int64) % buckets)
+                pair.append(np.full(len(n), k))
+            bucket, pair = np.concatenate(bucket), np.concatenate(pair)
+            order = np.lexsort((pair, bucket))
+            bucket, pair, taken = bucket[order], pair[order], pa.array(order)
+            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1]))))
+            quiet = np.array([k for k, (n, _) in enumerate(held.values()) if not n], np.int64)  # known all the same
+            of, run = np.append(pair[new], quiet), np.append(bucket[new], np.array(salts, np.int64)[quiet] % buckets)
+            sizes = np.append(np.diff(np.append(new, len(order))), np.zeros(len(quiet), np.int64))
+            runs = np.argsort(run, kind="stable")
+            of, run, sizes = of[runs], run[runs], sizes[runs]
+            found, first = np.unique(run, return_index=True)
+            by_run = pa.array(np.append(first, len(run)), pa.int32())
+            by_term = pa.array(np.concatenate(([0], np.cumsum(sizes)))[np.append(first, len(run))], pa.int32())
+            names = [pa.array([p[j] for p in pairs], pa.string()).take(pa.array(of)) for j in (0, 1)]
+            values = [pa.array(keys, pa.binary()), pa.array([c for n, _ in held.values() for c in n.values()], pa.int64()), pa.array([d[t] for n, d in held.values() for t in n], pa.int64())]
+            lists = [pa.ListArray.from_arrays(by_run, c) for c in (*names, pa.array(sizes))] + [pa.ListArray.from_arrays(by_term, c.take(taken)) for c in values]
             held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(found), *lists], schema=PACKED)
 
         size = 0
         for batch in batches:
@@ -93,21 +108,21 @@ def packed_counts(docs: DataFrame, buckets: int) -> DataFrame:
 
     empty = F.lit("")
     rows = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), shared.whole_text().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "bucket long, lang string, source string, terms array<binary>, n array<long>, docs array<long>")
+    return rows.mapInArrow(run, PACKED_DDL)
 
 
 def _counted(table: pa.Table, least: int) -> pa.Table:
     """The kept terms of a bucket with their counts in each (lang, source) and in the language; a null term for each (lang, source)."""
     table = table.combine_chunks()
-    lists = {c: table[c].combine_chunks() for c in ("terms", "n", "docs")}
-    of = np.repeat(np.arange(len(table)), pc.list_value_length(lists["terms"]).to_numpy())
-    flat = pa.table({"lang": table["lang"].take(pa.array(of)), "source": table["source"].take(pa.array(of)), "term": lists["terms"].flatten(), "n": lists["n"].flatten(), "docs": lists["docs"].flatten()})
+    langs, sources, sizes, words, n, docs = (table[c].combine_chunks().flatten() for c in PACKED.names[1:])
+    of = pa.array(np.repeat(np.arange(len(langs)), sizes.to_numpy()))
+    flat = pa.table({"lang": langs.take(of), "source": sources.take(of), "term": words, "n": n, "docs": docs})
     each = flat.group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
     whole = each.group_by(["lang", "term"]).aggregate([("n_sum", "sum"), ("docs_sum", "sum"), ("source", "min")])
     whole = whole.filter(pc.greater_equal(whole["docs_sum_sum"], least))
     kept = each.join(whole, ["lang", "term"], join_type="inner")
     columns = [kept["lang"], kept["source"], kept["term"], kept["n_sum"], kept["n_sum_sum"], pc.equal(kept["source"], kept["source_min"])]
-    groups = table.select(["lang", "source"]).group_by(["lang", "source"]).aggregate([])
+    groups = pa.table({"lang": langs, "source": sources}).group_by(["lang", "source"]).aggregate([])
     zeros = pa.array(np.zeros(len(groups), np.int64))
     marks = [groups["lang"], groups["source"], pa.nulls(len(groups), pa.binary()), zeros, zeros, pa.array(np.zeros(len(groups), bool))]
     return pa.concat_tables([pa.Table.from_arrays(c, schema=COUNTED) for c in (columns, marks)])
@@ -116,7 +131,7 @@ def _counted(table: pa.Table, least: int) -> pa.Table:
 def counts(docs: DataFrame, least: int) -> DataFrame:
     """lang, source, term, n, lang_n, first (once a term) for every term in ``least`` documents of its language; null terms name the sources."""
     total = docs.agg(F.sum(F.octet_length(shared.whole_text()).cast("long"))).collect()[0][0] or 0
-    buckets = max(shared.shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES) | 1
+    buckets = max(16, total // BUCKET_BYTES) | 1
     return packed_counts(docs, buckets).groupBy("bucket").applyInArrow(lambda t: _counted(t, least), "lang string, source string, term binary, n long, lang_n long, `first` boolean")
 
 
