@@ -20,13 +20,6 @@ def percent(part: str | Column, total: str | Column) -> Column:
     return F.try_divide(F.lit(100.0) * part, F.nullif(F.col(total) if isinstance(total, str) else total, F.lit(0)))
 
 
-def percentiles(rows: DataFrame, by: list[str], value: str, points=(0.5, 0.95), where: str | None = None) -> DataFrame:
-    """Interpolated percentiles, exact, optionally of the rows that satisfy ``where`` only."""
-    f = f" FILTER (WHERE {where})" if where else ""
-    cols = [F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY {value}){f}").alias(f"p{int(p * 100)}") for p in points]
-    return rows.groupBy(*by).agg(*cols)
-
-
 def distinct_values(column: str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(column)), ",")
 

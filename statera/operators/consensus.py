@@ -28,8 +28,7 @@ def confidence(agreed: Column, sane: Column, escalated: Column) -> Column:
 
 
 def _paths(a, b, at: str):
-    if a == b and isinstance(a, bool) == isinstance(b, bool):
-        return
+    """Depth first; values of different JSON types differ: 1 is neither 1.0 nor true."""
     if isinstance(a, dict) and isinstance(b, dict):
         for key in sorted(a.keys() | b.keys()):
             if key in a and key in b:
@@ -39,8 +38,10 @@ def _paths(a, b, at: str):
     elif isinstance(a, list) and isinstance(b, list) and len(a) == len(b):
         for k, (x, y) in enumerate(zip(a, b)):
             yield from _paths(x, y, f"{at}[{k}]")
-    else:
-        yield f"{at}.length" if isinstance(a, list) and isinstance(b, list) else at
+    elif isinstance(a, list) and isinstance(b, list):
+        yield f"{at}.length"
+    elif type(a) is not type(b) or a != b:
+        yield at
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

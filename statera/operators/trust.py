@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import segments
+
 
 def claim(work: DataFrame, prior: DataFrame, key: str = "idempotency_key") -> DataFrame:
     """new, retry or replay for each unit of work, by the best earlier run of its key."""
@@ -62,28 +64,6 @@ def refuse_collisions(roster: DataFrame, keys: list[str]) -> DataFrame:
     return roster.join(single, keys, "left_semi")
 
 
-def fold_verdicts(records: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """State after verdicts: only an unverified record moves, and only by the first verdict on it."""
-    first = verdicts.groupBy("record_id").agg(F.min_by("verdict", F.struct("at", "verdict_id")).alias("verdict"))
-    out = records.join(first.withColumnRenamed("record_id", "id"), "id", "left")
-    moved = F.when(F.col("verdict") == "confirm", "verified").when(F.col("verdict") == "reject", "rejected").when(F.col("verdict") == "edit", "corrected")
-    return out.select("id", F.when(F.col("verification_state") == "unverified", F.coalesce(moved, F.col("verification_state"))).otherwise(F.col("verification_state")).alias("state"))
-
-
-def verdict_audit(records: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One row per attempt: applied for the first verdict on an unverified record, already_decided, or unknown_record."""
-    first = verdicts.groupBy("record_id").agg(F.min(F.struct("at", "verdict_id")).alias("first"))
-    out = verdicts.join(first, "record_id").join(records.select(F.col("id").alias("record_id"), "verification_state"), "record_id", "left")
-    applied = (F.col("verification_state") == "unverified") & (F.struct("at", "verdict_id") == F.col("first"))
-    return out.select("verdict_id", "record_id", "verdict", F.when(F.col("verification_state").isNull(), "unknown_record").when(applied, "applied").otherwise("already_decided").alias("outcome"))
-
-
-def corrections(audit: DataFrame, edits: DataFrame) -> DataFrame:
-    """Rows to append for applied edits: ``edits`` (verdict_id and the corrected columns) with the record they supersede."""
-    applied = audit.where("outcome = 'applied' AND verdict = 'edit'").select("verdict_id", F.col("record_id").alias("supersedes_record_id"))
-    return applied.join(edits, "verdict_id")
-
-
 def shared_identifiers(entities: DataFrame, filings: DataFrame, documents: DataFrame, staged: DataFrame) -> DataFrame:
     """Entities whose documents name more than one identifier: the identifiers, sorted, and how many."""
     f = filings.select(F.col("politician_id").alias("id"), "raw_document_id").distinct()
@@ -203,9 +183,8 @@ def usage_windows(events: DataFrame, length: str) -> DataFrame:
 
 
 def last_healthy(passes: DataFrame) -> DataFrame:
-    """Baseline before each pass: the value of the last healthy pass of the same source before it."""
-    w = Window.partitionBy("source").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
-    return passes.withColumn("baseline", F.last(F.when(F.col("healthy"), F.col("count")), ignorenulls=True).over(w))
+    """Baseline before each pass: the count of the last healthy pass of the same source that has one; sources of any length."""
+    return segments.carried(passes, "source", ["pass"], {"baseline": (F.col("count"), F.col("healthy") & F.col("count").isNotNull())})
 
 
 @dataclass(frozen=True)

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: closed vocabularies (fixed values of the domain)
 RECORD_TYPES = ("transaction", "holding", "interest", "change_notification")
-SIDES = ("purchase", "sale", "exchange")
-STATES = ("unverified", "verified", "corrected", "rejected")
+SIDES = ("buy", "sell", "exchange")
+STATES = ("unverified", "verified", "corrected", "disputed")
 
 VIEWS = {
     "jurisdiction": "SELECT cast(r_regionkey AS string) AS id, r_name AS name FROM {region}",
@@ -44,7 +44,7 @@ VIEWS = {
                CASE l_linenumber % 4 WHEN 0 THEN 'holding' WHEN 1 THEN 'interest' WHEN 2 THEN 'change_notification'
                     ELSE 'transaction' END AS record_type,
                concat('class', cast(l_partkey % 9 AS string)) AS asset_class,
-               CASE WHEN l_linenumber % 4 = 3 THEN CASE l_returnflag WHEN 'R' THEN 'sale' WHEN 'A' THEN 'purchase'
+               CASE WHEN l_linenumber % 4 = 3 THEN CASE l_returnflag WHEN 'R' THEN 'sell' WHEN 'A' THEN 'buy'
                     ELSE 'exchange' END END AS side,
                CASE WHEN l_linenumber % 4 = 3 THEN cast(l_shipdate AS date) END AS transaction_date,
                CASE WHEN l_linenumber % 4 = 0 THEN cast(l_shipdate AS date) END AS as_of_date,
@@ -53,7 +53,7 @@ VIEWS = {
                     CASE WHEN l_partkey % 7 = 0 THEN cents - cents % 100000 ELSE cents - cents % 100000 + 1500000 END END AS high_cents,
                CASE l_suppkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' WHEN 2 THEN 'USD' ELSE 'BRL' END AS currency,
                CASE l_suppkey % 5 WHEN 0 THEN 'self' WHEN 1 THEN 'spouse' WHEN 2 THEN 'child' WHEN 3 THEN 'joint' END AS owner,
-               CASE l_returnflag WHEN 'N' THEN 'unverified' WHEN 'A' THEN 'verified' ELSE 'rejected' END AS verification_state,
+               CASE l_returnflag WHEN 'N' THEN 'unverified' WHEN 'A' THEN 'verified' ELSE 'disputed' END AS verification_state,
                cast(round(l_discount * 100) AS int) AS confidence_loss
         FROM numbered_line""",
     "record": """
@@ -80,6 +80,12 @@ VIEWS = {
                CASE WHEN event_id % 5 < 2 THEN 'open' ELSE 'resolved' END AS status, ts AS created_at,
                CASE WHEN event_id % 5 >= 2 THEN cast(user_id % 96 AS int) END AS hours
         FROM {events}""",
+    "attempt": """
+        SELECT concat(id, '.1') AS attempt_id, id AS task_id, status AS task_status, target_id AS record_id, created_at AS at,
+               CASE priority WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' ELSE 'edit' END AS verdict, cast(id AS bigint) AS n
+        FROM review_task WHERE target_kind = 'disclosure_record'
+        UNION ALL SELECT concat(id, '.2'), id, status, target_id, created_at, CASE priority WHEN 2 THEN 'confirm' WHEN 3 THEN 'reject' ELSE 'edit' END, cast(id AS bigint) + 1
+        FROM review_task WHERE target_kind = 'disclosure_record' AND cast(id AS bigint) % 4 = 0""",
     "raw_document": """
         SELECT lpad(cast(page_id AS string), 6, '0') AS id, url, html AS body, sha256 AS sha FROM (
           SELECT page_id, url, html, {sha256}(html{bits}) AS sha256 FROM {pages}) p""",
@@ -104,7 +110,7 @@ class Domain:
 
     def _view(self, name: str) -> DataFrame:
         text = VIEWS[name].replace("{sha256}", "sha2").replace("{bits}", ", 256")
-        for inner in ("numbered_line", "line", "filing"):
+        for inner in ("numbered_line", "line", "filing", "review_task"):
             text = text.replace(f"FROM {inner}", f"FROM {{{inner}}}").replace(f"JOIN {inner} ", f"JOIN {{{inner}}} ")
         used = {t: getattr(self, t) for t in (*TABLES, *VIEWS) if f"{{{t}}}" in text}
         return self.spark.sql(text, **used)

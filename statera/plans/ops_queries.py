@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import aggregates as A
-from ..operators import consensus, exports, idempotent, joins, publish, trust, windows
+from ..operators import adjudicate, consensus, exports, idempotent, joins, publish, segments, selection, trust, windows
+from ..operators.staging import stored
 from .catalog import query
 
 AS_OF = "2024-01-31"
+#: groups of more rows than this are selected from by brackets here, so that these small tables show that path too
+BRACKETED = 1000
 
 
 @query("a1_summary", "SELECT count(*) AS n, min(event_date) AS first_date, max(event_date) AS last_date, CAST(sum(low_cents) AS BIGINT) AS cents FROM record WHERE politician_id = '00000077'")
@@ -41,13 +44,13 @@ def a4(d):
 
 @query("a5_percentiles", "SELECT stage, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY seconds), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY seconds), 6) AS p95 FROM pipeline_run GROUP BY stage")
 def a5(d):
-    out = A.percentiles(d.pipeline_run, ["stage"], "seconds")
+    out = selection.percentiles(d.pipeline_run, ["stage"], "seconds", most=BRACKETED)
     return out.select("stage", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("a6_percentile_filter", "SELECT adapter, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY seconds) FILTER (WHERE status = 'succeeded'), 6) AS p50, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY seconds) FILTER (WHERE status = 'succeeded'), 6) AS p90 FROM pipeline_run GROUP BY adapter")
 def a6(d):
-    out = A.percentiles(d.pipeline_run, ["adapter"], "seconds", (0.5, 0.9), "status = 'succeeded'")
+    out = selection.percentiles(d.pipeline_run, ["adapter"], "seconds", (0.5, 0.9), "status = 'succeeded'", most=BRACKETED)
     return out.select("adapter", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"))  # the last bit of an interpolation is the engine's own
 
 
@@ -94,17 +97,17 @@ def j4(d):
 
 @query(
     "j5_full_outer3",
-    """SELECT coalesce(coalesce(a.k, b.k), c.k) AS k, a.n AS rare_filings, b.n AS failed_runs, c.n AS drift_tasks
-       FROM (SELECT regime_id AS k, count(*) AS n FROM filing WHERE CAST(id AS BIGINT) % 997 = 5 GROUP BY 1) a
+    """SELECT coalesce(coalesce(a.k, b.k), c.k) AS k, a.n AS filings, b.n AS failed_runs, c.n AS drift_tasks
+       FROM (SELECT regime_id AS k, count(*) AS n FROM filing GROUP BY 1) a
        FULL OUTER JOIN (SELECT regime_id AS k, count(*) AS n FROM pipeline_run WHERE status = 'failed' AND seconds > 60 GROUP BY 1) b ON a.k = b.k
        FULL OUTER JOIN (SELECT split_part(target_id, ':', 1) AS k, count(*) AS n FROM review_task WHERE target_kind = 'regime' AND priority = 3 AND status = 'open' GROUP BY 1) c ON coalesce(a.k, b.k) = c.k""",
 )
 def j5(d):
     count = lambda df, key, n: df.groupBy(key.alias("k")).agg(F.count("*").alias(n))
-    rare = count(d.filing.where("CAST(id AS BIGINT) % 997 = 5"), F.col("regime_id"), "rare_filings")
+    filings = count(d.filing, F.col("regime_id"), "filings")
     failed = count(d.pipeline_run.where("status = 'failed' AND seconds > 60"), F.col("regime_id"), "failed_runs")
     tasks = count(d.review_task.where("target_kind = 'regime' AND priority = 3 AND status = 'open'"), F.split_part("target_id", F.lit(":"), F.lit(1)), "drift_tasks")
-    return joins.outer_chain("k", rare, failed, tasks)
+    return joins.outer_chain("k", filings, failed, tasks)
 
 
 @query(
@@ -119,7 +122,9 @@ def a12(d):
 @query("a13_two_level", "SELECT reason, count(*) AS n, percentile_cont(0.5) WITHIN GROUP (ORDER BY hours) AS median FROM (SELECT DISTINCT reason, target_id, hours FROM review_task WHERE status = 'resolved') GROUP BY reason")
 def a13(d):
     rows = d.review_task.where("status = 'resolved'").select("reason", "target_id", "hours").distinct()
-    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY hours)").alias("median"))
+    rows = stored(rows, "resolved")
+    medians = selection.percentiles(rows, ["reason"], "hours", (0.5,), most=BRACKETED).withColumnRenamed("p50", "median")
+    return rows.groupBy("reason").agg(F.count("*").alias("n")).join(medians, "reason")
 
 
 @query("a14_precision", "SELECT record_type, CASE WHEN count(*) FILTER (WHERE verification_state <> 'unverified') > 0 THEN (count(*) FILTER (WHERE verification_state = 'verified'))::DOUBLE / count(*) FILTER (WHERE verification_state <> 'unverified') END AS precision FROM line GROUP BY 1")
@@ -347,15 +352,16 @@ def r3(d):
 @query(
     "r5_resolve",
     """SELECT m.mention_id, CASE WHEN count(DISTINCT e.entity_id) = 1 THEN min(e.entity_id) END AS entity_id, count(DISTINCT e.entity_id) AS candidates
-       FROM (SELECT id AS mention_id, body, regime_id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN identifier END AS identifier, CASE WHEN CAST(id AS BIGINT) % 7 <> 0 THEN birth_year + 30 END AS year FROM politician) m
-       LEFT JOIN (SELECT id AS entity_id, body, regime_id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN identifier END AS identifier, birth_year AS first_year FROM politician) e
-         ON m.body = e.body AND m.regime_id = e.regime_id AND (CASE WHEN m.identifier IS NOT NULL AND e.identifier IS NOT NULL THEN m.identifier = e.identifier ELSE m.year IS NULL OR abs(m.year - e.first_year) <= 3 END) GROUP BY 1""",
+       FROM (SELECT id AS mention_id, body, substr(canonical_name, 1, 17) AS name, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN identifier END AS identifier, CASE WHEN CAST(id AS BIGINT) % 7 <> 0 THEN birth_year + 30 END AS year FROM politician) m
+       LEFT JOIN (SELECT id AS entity_id, body, substr(canonical_name, 1, 17) AS name, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN identifier END AS identifier, birth_year + 27 AS first_year FROM politician) e
+         ON m.body = e.body AND m.name = e.name AND (CASE WHEN m.identifier IS NOT NULL AND e.identifier IS NOT NULL THEN m.identifier = e.identifier ELSE m.year IS NULL OR abs(m.year - e.first_year) <= 3 END) GROUP BY 1""",
 )
 def r5(d):
-    number = F.col("id").cast("long")
-    mentions = d.politician.select(F.col("id").alias("mention_id"), "body", "regime_id", F.when(number % 3 == 0, F.col("identifier")).alias("identifier"), F.when(number % 7 != 0, F.col("birth_year") + 30).alias("year"))
-    entities = d.politician.select(F.col("id").alias("entity_id"), "body", "regime_id", F.when(number % 2 == 0, F.col("identifier")).alias("identifier"), F.col("birth_year").alias("first_year"))
-    return trust.resolve(mentions, entities, ["body", "regime_id"], 3)
+    """Mentions by body and name, which few people share, then by identifier or years in office."""
+    number, name = F.col("id").cast("long"), F.left("canonical_name", F.lit(17)).alias("name")
+    mentions = d.politician.select(F.col("id").alias("mention_id"), "body", name, F.when(number % 3 == 0, F.col("identifier")).alias("identifier"), F.when(number % 7 != 0, F.col("birth_year") + 30).alias("year"))
+    entities = d.politician.select(F.col("id").alias("entity_id"), "body", name, F.when(number % 2 == 0, F.col("identifier")).alias("identifier"), (F.col("birth_year") + 27).alias("first_year"))
+    return trust.resolve(mentions, entities, ["body", "name"], 3)
 
 
 @query("r6_refuse_collisions", "SELECT id FROM politician WHERE (body, regime_id, birth_year) IN (SELECT (body, regime_id, birth_year) FROM politician GROUP BY body, regime_id, birth_year HAVING count(*) = 1)")
@@ -363,43 +369,59 @@ def r6(d):
     return trust.refuse_collisions(d.politician, ["body", "regime_id", "birth_year"]).select("id")
 
 
-@query(
-    "r7_verdict_fold",
-    """SELECT l.id, CASE WHEN l.verification_state = 'unverified' THEN coalesce(CASE v.verdict WHEN 'confirm' THEN 'verified' WHEN 'reject' THEN 'rejected' WHEN 'edit' THEN 'corrected' END, 'unverified') ELSE l.verification_state END AS state
-       FROM line l LEFT JOIN (SELECT target_id, first(CASE priority WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' ELSE 'edit' END ORDER BY created_at, id) AS verdict FROM review_task WHERE target_kind = 'disclosure_record' GROUP BY 1) v ON v.target_id = l.id""",
-)
-def r7(d):
-    kind = F.when(F.col("priority") == 0, "confirm").when(F.col("priority") == 1, "reject").otherwise("edit")
-    verdicts = d.review_task.where("target_kind = 'disclosure_record'").select(F.col("target_id").alias("record_id"), kind.alias("verdict"), F.col("created_at").alias("at"), F.col("id").alias("verdict_id"))
-    return trust.fold_verdicts(d.line, verdicts)
-
-
-VERDICTS = "SELECT target_id, id AS verdict_id, created_at, CASE priority WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' ELSE 'edit' END AS verdict, row_number() OVER (PARTITION BY target_id ORDER BY created_at, id) AS n FROM review_task WHERE target_kind = 'disclosure_record'"
+# Attempts one after the other, as a reviewer would meet them: the state of the record and the tasks closed so far.
+_STEPS = """
+  numbered AS (SELECT a.*, row_number() OVER (PARTITION BY a.record_id ORDER BY a.at, a.attempt_id) AS k,
+      CASE WHEN n % 5 = 0 AND n % 2 = 0 THEN 'redaction_fr_patrimony_unrepublishable' WHEN n % 11 = 0 THEN 'no_owner' END AS bad FROM attempt a),
+  steps AS (
+    SELECT DISTINCT r.record_id, 0::BIGINT AS k, l.verification_state AS state, []::VARCHAR[] AS closed, NULL::VARCHAR AS attempt_id, NULL::VARCHAR AS verdict, NULL::VARCHAR AS task_id, NULL::BIGINT AS n, NULL::VARCHAR AS outcome, NULL::VARCHAR AS reason
+    FROM (SELECT DISTINCT record_id FROM attempt) r LEFT JOIN line l ON l.id = r.record_id
+    UNION ALL
+    SELECT record_id, k, CASE WHEN outcome = 'applied' AND verdict = 'confirm' THEN 'verified' WHEN outcome = 'applied' AND verdict = 'reject' THEN 'disputed' ELSE state END,
+           CASE WHEN outcome = 'applied' THEN list_append(closed, task_id) ELSE closed END, attempt_id, verdict, task_id, n, outcome,
+           CASE outcome WHEN 'conflict' THEN 'task_resolved' WHEN 'failed' THEN CASE WHEN state IS NULL THEN 'missing_record' WHEN verdict = 'edit' THEN bad ELSE 'not_unverified' END END
+    FROM (SELECT s.record_id, a.k, s.state, s.closed, a.attempt_id, a.verdict, a.task_id, a.n, a.bad,
+                 CASE WHEN a.task_status <> 'open' OR list_contains(s.closed, a.task_id) THEN 'conflict' WHEN s.state IS NULL THEN 'failed'
+                      WHEN a.verdict = 'edit' THEN CASE WHEN a.bad IS NULL THEN 'applied' ELSE 'failed' END WHEN s.state = 'unverified' THEN 'applied' ELSE 'failed' END AS outcome
+          FROM steps s JOIN numbered a ON a.record_id = s.record_id AND a.k = s.k + 1) q)"""
+
+
+def _adjudicated(d):
+    n = F.col("n")
+    attempts = d.attempt.select(
+        "attempt_id", "task_id", "task_status", "record_id", "at", "verdict", F.when(n % 5 == 0, "fr_hatvp_dia").otherwise("us_senate").alias("regime_code"),
+        F.when(n % 11 != 0, F.when(n % 2 == 0, "spouse").otherwise("self")).alias("owner"),
+        F.create_map(F.lit("type_declaration"), F.when(n % 2 == 0, "DSPfm").otherwise("dia"), F.lit("counsel_name"), F.lit("x")).alias("details"),
+    )
+    records = d.line.join(d.filing.select(F.col("id").alias("filing_id"), "politician_id", "regime_id"), "filing_id")
+    none = d.line.sparkSession.createDataFrame([], "fingerprint string")
+    return adjudicate.adjudicate(records, attempts, none, ["owner"], [(F.col("owner").isNotNull(), "no_owner")])
 
 
-def _audit(d):
-    kind = F.when(F.col("priority") == 0, "confirm").when(F.col("priority") == 1, "reject").otherwise("edit")
-    verdicts = d.review_task.where("target_kind = 'disclosure_record'").select(F.col("target_id").alias("record_id"), kind.alias("verdict"), F.col("created_at").alias("at"), F.col("id").alias("verdict_id"))
-    return trust.verdict_audit(d.line, verdicts)
+@query("r7_verdict_fold", f"WITH {_STEPS}, final AS (SELECT record_id, arg_max(state, k) AS state FROM steps GROUP BY 1) SELECT l.id, coalesce(f.state, l.verification_state) AS state FROM line l LEFT JOIN final f ON f.record_id = l.id")
+def r7(d):
+    """States of all records after all verdicts; an edit leaves its record as it is."""
+    return _adjudicated(d).states.withColumnRenamed("verification_state", "state")
 
 
-@query(
-    "r7_audit",
-    f"SELECT verdict_id, target_id AS record_id, verdict, CASE WHEN l.id IS NULL THEN 'unknown_record' WHEN n = 1 AND l.verification_state = 'unverified' THEN 'applied' ELSE 'already_decided' END AS outcome FROM ({VERDICTS}) v LEFT JOIN line l ON l.id = v.target_id",
-)
+@query("r7_audit", f"WITH {_STEPS} SELECT attempt_id, record_id, verdict, outcome, reason FROM steps WHERE k > 0")
 def r7_audit(d):
-    return _audit(d)
+    return _adjudicated(d).audit.drop("task_id")
 
 
 @query(
     "r7_corrections",
-    f"SELECT verdict_id, target_id AS supersedes_record_id, sha256(encode('correction:' || target_id) || unhex('00') || unhex('00000000') || unhex('00') || encode('{{\"owner\":\"self\"}}')) AS fingerprint FROM ({VERDICTS}) v JOIN line l ON l.id = v.target_id WHERE n = 1 AND verdict = 'edit' AND l.verification_state = 'unverified'",
+    f"""WITH {_STEPS}, rows AS (SELECT s.record_id, s.task_id, s.attempt_id, s.k, f.id AS filing_id, f.politician_id, f.regime_id, CASE WHEN s.n % 2 = 0 THEN 'spouse' ELSE 'self' END AS owner,
+               '{{' || CASE WHEN s.n % 5 = 0 THEN '"counsel_name":"x",' ELSE '' END || '"type_declaration":"' || CASE WHEN s.n % 2 = 0 THEN 'DSPfm' ELSE 'dia' END || '"}}' AS details
+               FROM steps s JOIN line l ON l.id = s.record_id JOIN filing f ON f.id = l.filing_id WHERE s.k > 0 AND s.outcome = 'applied' AND s.verdict = 'edit'),
+        printed AS (SELECT *, sha256(encode('correction:' || record_id) || unhex('00') || unhex('00000000') || unhex('00')
+               || encode('{{"details":' || details || ',"filing_id":"' || filing_id || '","owner":"' || owner || '","politician_id":"' || politician_id || '","regime_id":"' || regime_id || '"}}')) AS fingerprint FROM rows)
+        SELECT arg_min(task_id, k) AS task_id, record_id AS supersedes_record_id, any_value(filing_id) AS filing_id, any_value(owner) AS owner, any_value(details) AS details, fingerprint, 'corrected' AS verification_state FROM printed GROUP BY record_id, fingerprint""",
 )
 def r7_corrections(d):
-    """Rows that applied edits append, each with a fingerprint in the scope of the record it supersedes."""
-    edits = d.review_task.select(F.col("id").alias("verdict_id"), F.lit('{"owner":"self"}').alias("body"))
-    out = trust.corrections(_audit(d), edits)
-    return out.select("verdict_id", "supersedes_record_id", publish.correction_fingerprint(F.col("supersedes_record_id"), S.canonical_json(F.col("body"))).alias("fingerprint"))
+    """Rows that applied edits append: identity from the record they supersede, details redacted, fingerprints of their own scope."""
+    out = _adjudicated(d).corrections
+    return out.select("task_id", "supersedes_record_id", "filing_id", "owner", S.canonical_json(F.to_json("details")).alias("details"), "fingerprint", "verification_state")
 
 
 @query(
@@ -434,17 +456,14 @@ def r23_confidence(d):
 
 @query(
     "r24_differing_paths",
-    """SELECT id, CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN '' WHEN 1 THEN '$.k' WHEN 2 THEN '$.a.length,$.m' ELSE '$.a[1].x' END AS paths FROM pipeline_run""",
+    """SELECT id, CASE CAST(id AS BIGINT) % 8 WHEN 0 THEN '' WHEN 1 THEN '$.k' WHEN 2 THEN '$.a.length,$.m' WHEN 3 THEN '$.a[1].x' WHEN 4 THEN '$.a[0],$.a[1].x' WHEN 5 THEN '$.k' WHEN 6 THEN '$.a' ELSE '$' END AS paths FROM pipeline_run""",
 )
 def r24(d):
-    k, n = F.get_json_object("stats", "$.k"), F.col("id").cast("long") % 4
+    """Where two documents differ; values of other types are other values, however alike."""
+    k, n = F.get_json_object("stats", "$.k"), F.col("id").cast("long") % 8
+    texts = ['{"k":%, "a":[1,{"x":2}]}', '{"a":[1,{"x":2}],"k":"%"}', '{"a":[1],"m":0,"k":%}', '{"a":[1,{"x":3}],"k":%}', '{"a":[true,{"x":2.0}],"k":%}', '{"a":[1,{"x":2}],"k":%.0}', '{"a":{"0":1},"k":%}', "[%]"]
     left = F.concat(F.lit('{"a":[1,{"x":2}],"k":'), k, F.lit("}"))
-    right = (
-        F.when(n == 0, F.concat(F.lit('{"k":'), k, F.lit(', "a":[1,{"x":2}]}')))
-        .when(n == 1, F.concat(F.lit('{"a":[1,{"x":2}],"k":"'), k, F.lit('"}')))
-        .when(n == 2, F.concat(F.lit('{"a":[1],"m":0,"k":'), k, F.lit("}")))
-        .otherwise(F.concat(F.lit('{"a":[1,{"x":3}],"k":'), k, F.lit("}")))
-    )
+    right = F.replace(F.get(F.array(*map(F.lit, texts)), n.cast("int")), F.lit("%"), k)
     return d.pipeline_run.select("id", F.array_join(consensus.differing_paths(left, right), ",").alias("paths"))
 
 
@@ -507,12 +526,10 @@ DRIFT_SQL = """d AS (
 )
 def r12(d):
     """Probes with partly missing baselines."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("regime_id").orderBy("id")
     n = F.col("n")
     runs = d.pipeline_run.select("id", "regime_id", F.expr("CAST(id AS BIGINT) DIV 5").alias("n"), F.get_json_object("stats", "$.k").cast("long").alias("k"))
-    runs = runs.select("*", F.when(n % 5 != 0, F.lag("k").over(w)).alias("base"), F.when(n % 3 == 0, F.lag(n % 29).over(w)).alias("base_layout"))
+    runs = segments.carried(runs, "regime_id", ["id"], {"before": (F.col("k"), F.lit(True)), "layout": (n % 29, F.lit(True))})
+    runs = runs.select("*", F.when(n % 5 != 0, F.col("before")).alias("base"), F.when(n % 3 == 0, F.col("layout")).alias("base_layout"))
     http = F.when(n % 13 == 0, None).when(n % 7 == 0, 304).when(n % 11 == 0, 500).otherwise(200)
     runs = runs.withColumn("kind", trust.drift(http, n % 17 != 0, F.col("k") - 1, n % 29, F.col("base"), F.col("base_layout")))
     return runs.select("id", "kind", *trust.drift_report(F.col("kind"), F.col("regime_id"), http, n % 29))

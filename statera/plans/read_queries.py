@@ -228,7 +228,7 @@ def j9(d):
 
 
 RULES = [
-    (k, RECORD_TYPES[k % 4] if k % 3 else None, f"class{k % 9}" if k % 2 else None, ("verified", "rejected")[k % 2] if k % 5 == 0 else None, 1_000_000 * k if k % 4 else None, 9_000_000 if k % 7 == 0 else None, dt.date(1995 + k % 6, 1, 1), None if k % 3 else dt.date(2001, 12, 31))
+    (k, RECORD_TYPES[k % 4] if k % 3 else None, f"class{k % 9}" if k % 2 else None, ("verified", "disputed")[k % 2] if k % 5 == 0 else None, 1_000_000 * k if k % 4 else None, 9_000_000 if k % 7 == 0 else None, dt.date(1995 + k % 6, 1, 1), None if k % 3 else dt.date(2001, 12, 31))
     for k in range(1, 31)
 ]
 

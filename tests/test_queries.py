@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from statera.plans import catalog, ops_queries, read_queries, scalar_queries  # noqa: F401
+from statera.plans import catalog, ops_queries, read_queries, report_queries, scalar_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
