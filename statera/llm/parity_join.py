@@ -355,18 +355,27 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` without those that link to a row that stays, with all their columns.
 
-    Rows are told apart by a number of their own, so rows that share a ``doc_id``, or have none, are judged each by its
-    text; of a component of rows the one with the smallest ``doc_id`` stays (null last, then the row read first).
+    Rows that share a ``doc_id``, or have none, are told apart by numbers of their own, so each is judged by its own text; of a component of rows the one with the smallest ``doc_id`` stays (null last, then the row read first).
     """
-    row = shared.fresh("row", docs)
-    rows = shared.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = classes(rows.select(F.col(row).alias("doc_id"), "text"), width)
+    node = shared.fresh("node", docs)
+    repeated = docs.groupBy(F.col("doc_id").alias("own_id")).agg(F.count("*").alias("n")).where("n > 1 OR own_id IS NULL")
+    repeated = shared.stored(repeated.select("own_id", F.lit(True).alias("again")), "repeated")
+    if repeated.isEmpty():
+        rows = docs.withColumn(node, F.col("doc_id").cast("long"))
+    else:  # rows whose id is not theirs alone get numbers above all ids
+        most = docs.agg(F.max(F.col("doc_id").cast("long"))).collect()[0][0]
+        row, again = shared.fresh("row", docs), shared.fresh("again", docs)
+        numbered = shared.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        marked = numbered.join(repeated.withColumnRenamed("again", again), numbered["doc_id"].eqNullSafe(repeated["own_id"]), "left")
+        number = F.when(F.col(again), F.lit(max(most or 0, 0) + 1) + F.col(row)).otherwise(F.col("doc_id").cast("long"))
+        rows = shared.stored(marked.select(*docs.columns, number.alias(node)), "nodes")
+    found = classes(rows.select(F.col(node).alias("doc_id"), "text"), width)
     members = found.where("doc_id <> component_id").select(F.col("doc_id").alias("node"), "component_id")
     members = shared.stored(members.union(members.select("component_id", "component_id").distinct()), "members")
-    named = members.join(rows.select(F.col(row).alias("node"), F.col("doc_id").alias("own_id")), "node")
+    named = members.join(rows.select(F.col(node).alias("node"), F.col("doc_id").alias("own_id")), "node")
     stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull(), "own_id", "node")).alias("least"))
-    dropped = members.join(stays.select(F.col("least.node").alias("node")), "node", "left_anti").select(F.col("node").alias(row))
-    return rows.join(shared.stored(dropped, "dropped"), row, "left_anti").select(*docs.columns)
+    dropped = members.join(stays.select(F.col("least.node").alias("node")), "node", "left_anti").select(F.col("node").alias(node))
+    return rows.join(shared.stored(dropped, "dropped"), node, "left_anti").select(*docs.columns)
 
 
 def op6_parity_join(spark, sf_dir: str) -> DataFrame:
