@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.details import CONTRACTS
 from ..operators import aggregates as A
-from ..operators import adjudicate, consensus, exports, idempotent, joins, publish, segments, selection, trust, windows
+from ..operators import adjudicate, consensus, contracts, drift, exports, idempotent, joins, publish, segments, selection, trust, windows
 from ..operators.staging import stored
 from .catalog import query
 
@@ -615,6 +616,48 @@ def r4(d):
     return d.pipeline_run.select("id", trust.registered_contract(registry, F.lit("run"), F.col("stage"), details).alias("breach"))
 
 
+def _example(schema: dict) -> str:
+    """JSON that keeps a contract, as a pattern: %s a text, %d a number from 1 to 7."""
+    kind = schema.get("type")
+    if "enum" in schema:
+        return f'"{schema["enum"][0]}"'
+    if "anyOf" in schema or isinstance(kind, list):
+        return "null"
+    if kind == "object":
+        members = [f'"{k}":{_example(v)}' for k, v in schema.get("properties", {}).items()]
+        return "{" + ",".join(members or ['"any":"%s"']) + "}"
+    return {"string": '"%s"', "boolean": "true", "array": "[]", "integer": "%d"}.get(kind, "0")
+
+
+def _cases() -> list[tuple[str, str, str, str]]:
+    """(regime, type, pattern, breach): for each contract one that keeps it and one of each kind that does not."""
+    out = []
+    for (code, kind), schema in CONTRACTS.items():
+        members = {k: _example(v) for k, v in schema["properties"].items()}
+        text = lambda m: "{" + ",".join(f'"{k}":{v}' for k, v in m.items()) + "}"
+        number = next(k for k, v in schema["properties"].items() if v.get("type") == "integer" and "minimum" in v)
+        least = schema["properties"][number]["minimum"]
+        needed = schema["required"][-1]
+        out += [
+            (code, kind, text(members), "ok"), (code, kind, text({k: v for k, v in members.items() if k != needed}), f"$.{needed} required"), (code, kind, text(members | {number: '"%d"'}), f"$.{number} type"),
+            (code, kind, text(members | {number: str(least - 1)}), f"$.{number} minimum"), (code, kind, f"[{text(members)}]", "$ type"),
+        ]
+    return out + [("us_house", "holding", "{}", "unregistered"), ("br", "holding", "{", "$ json")]
+
+
+CASES = _cases()
+
+
+@query("r4_contracts", f"SELECT l.id, v.regime_code, v.breach FROM line l JOIN (VALUES {', '.join(f'({k}, {c!r}, {b!r})' for k, (c, _, _, b) in enumerate(CASES))}) AS v(k, regime_code, breach) ON v.k = CAST(l.filing_id AS BIGINT) % {len(CASES)}")
+def r4_contracts(d):
+    """Details of every record against the contract of its regime and type."""
+    at = F.pmod(F.col("filing_id").cast("long"), F.lit(len(CASES))).cast("int")
+    pick = lambda k: F.get(F.array(*[F.lit(c[k]) for c in CASES]), at)
+    details = F.replace(F.replace(pick(2), F.lit("%s"), F.col("asset_description_raw")), F.lit("%d"), (1 + F.col("ordinal") % 7).cast("string"))
+    rows = d.line.select("id", pick(0).alias("regime_code"), pick(1).alias("kind"), details.alias("details"))
+    return rows.select("id", "regime_code", contracts.checked(CONTRACTS, F.col("regime_code"), F.col("kind"), F.col("details")).alias("breach"))
+
+
 @query(
     "r13_drift_state",
     """SELECT source, max_by(kind, pass) AS kind, count(*) AS detections, min(pass) AS since, bool_or(kind IN ('layout_shift', 'count_zero', 'regime_change')) AS frozen FROM (
@@ -628,6 +671,41 @@ def r13(d):
     return trust.drift_state(d.pipeline_run.select(F.concat("adapter", "regime_id").alias("source"), F.col("id").alias("pass"), kind.alias("kind")))
 
 
+_PASSES = """SELECT adapter || regime_id AS source, CAST(id AS BIGINT) AS pass, CASE WHEN n % 13 = 0 THEN NULL WHEN n % 7 = 0 THEN 304 WHEN n % 11 = 0 THEN 500 ELSE 200 END AS status, n % 17 <> 0 AS markers,
+      CASE WHEN n % 29 = 0 THEN 0 WHEN n % 19 = 0 THEN 3 ELSE 5 + n // 4000 END AS entries, CASE WHEN n % 23 < 2 THEN 'b' ELSE 'a' END AS layout FROM (SELECT *, CAST(id AS BIGINT) // 3 AS n FROM pipeline_run) q"""
+# pass after pass, with the baseline as it stands
+_WATCHED = f"""p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pass) AS k FROM ({_PASSES}) x),
+  w AS (
+    SELECT DISTINCT source, 0::BIGINT AS k, NULL::BIGINT AS pass, NULL::VARCHAR AS kind, NULL::VARCHAR AS mark, NULL::VARCHAR AS base_layout, NULL::BIGINT AS base_entries FROM p
+    UNION ALL
+    SELECT source, k, pass, kind, mark, CASE WHEN kind = 'none' AND status = 200 THEN layout ELSE base_layout END, CASE WHEN kind = 'none' AND status = 200 THEN entries ELSE base_entries END
+    FROM (SELECT w.source, p.k, p.pass, w.base_layout, w.base_entries, p.layout, p.entries, p.status,
+            CASE WHEN p.status IS NULL THEN 'probe_error' WHEN p.status = 304 THEN 'none' WHEN p.status <> 200 THEN 'status_error' WHEN NOT p.markers THEN 'regime_change'
+                 WHEN p.entries = 0 AND w.base_entries > 0 THEN 'count_zero' WHEN p.layout <> w.base_layout THEN 'layout_shift' WHEN p.entries < w.base_entries THEN 'count_delta' ELSE 'none' END AS kind,
+            CASE WHEN p.status IS NULL THEN 'transport' WHEN p.status <> 200 THEN CAST(p.status AS VARCHAR) WHEN NOT p.markers THEN 'markers' WHEN p.entries = 0 AND w.base_entries > 0 THEN 'zero'
+                 WHEN p.layout <> w.base_layout THEN p.layout ELSE 'shrink' END AS mark
+          FROM w JOIN p ON p.source = w.source AND p.k = w.k + 1) z)"""
+
+
+def watched_passes(d):
+    n = F.expr("CAST(id AS BIGINT) DIV 3")
+    return d.pipeline_run.select(
+        F.concat("adapter", "regime_id").alias("source"), F.col("id").cast("long").alias("pass"), F.when(n % 13 == 0, None).when(n % 7 == 0, 304).when(n % 11 == 0, 500).otherwise(200).alias("status"), (n % 17 != 0).alias("markers"),
+        F.when(n % 29 == 0, F.lit(0)).when(n % 19 == 0, 3).otherwise(5 + F.expr("CAST(id AS BIGINT) DIV 3 DIV 4000")).cast("long").alias("entries"), F.when(n % 23 < 2, "b").otherwise("a").alias("layout"),
+    )
+
+
+@query(
+    "r13_drift_reports",
+    f"""WITH {_WATCHED}, seen AS (SELECT *, kind IN ('layout_shift', 'count_zero', 'regime_change') AS frz, (SELECT min(h.pass) FROM w h WHERE h.source = w.source AND h.kind = 'none' AND h.k > w.k) AS next_healthy FROM w WHERE k > 0 AND kind <> 'none')
+        SELECT source, source || ':' || kind || ':' || mark AS dedup_key, min(pass) AS opened, any_value(kind) AS kind, any_value(frz) AS "freeze", count(*) AS detections, CASE WHEN any_value(frz) THEN coalesce(any_value(next_healthy), max(pass)) ELSE max(pass) END AS last_pass, CASE WHEN any_value(frz) THEN any_value(next_healthy) END AS resolved
+        FROM seen GROUP BY source, kind, mark, CASE WHEN frz THEN coalesce(next_healthy, -1) END""",
+)
+def r13_reports(d):
+    """Reports over all passes: opened, seen again, and resolved by a healthy pass where they froze publication."""
+    return drift.reports(watched_passes(d)).drop("score")
+
+
 @query(
     "r25_zero_rows",
     """SELECT f.id, CASE WHEN count(l.id) > 0 OR CAST(f.regime_id AS INTEGER) % 5 = 1 THEN 'accept' ELSE 'reject' END AS outcome FROM filing f

@@ -1,6 +1,7 @@
 """Streams give what their batch functions give, and a second run adds nothing."""
 
 import datetime as dt
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -47,3 +48,82 @@ def test_watch_equals_batch(spark, tmp_path):
     found = {(r.source, r["pass"]): r.baseline for r in spark.sql("SELECT * FROM watch").collect()}
     batch = trust.last_healthy(passes.withColumnRenamed("count_seen", "count"))
     assert found == {(r.source, r["pass"]): r.baseline for r in batch.collect()}
+
+
+def watched(n):
+    import random
+
+    r = random.Random(n)
+    return [
+        (f"s{k % 3}", k, r.choice([200, 200, 200, 200, 304, 500, None]), r.random() > 0.1, r.choice([0, 5, 5 + k // 20, 4]), r.choice(["a", "a", "a", "a", "b"]))
+        for k in range(n)
+    ]
+
+
+PASS = "source string, pass long, status int, markers boolean, entries long, layout string"
+
+
+def test_drift_reports_equal_a_plain_loop(spark):
+    from statera.operators import drift
+
+    want, base, held = [], {}, {}
+    for source, number, status, markers, entries, layout in watched(400):
+        b = base.get(source)
+        if status is None:
+            kind, mark = "probe_error", "transport"
+        elif status == 304:
+            kind = "none"
+        elif status == 500:
+            kind, mark = "status_error", "500"
+        elif not markers:
+            kind, mark = "regime_change", "markers"
+        elif b and entries == 0 < b[1]:
+            kind, mark = "count_zero", "zero"
+        elif b and layout != b[0]:
+            kind, mark = "layout_shift", layout
+        elif b and entries < b[1]:
+            kind, mark = "count_delta", "shrink"
+        else:
+            kind = "none"
+        if kind == "none":
+            if status == 200:
+                base[source] = (layout, entries)
+            for key in [k for k in held if k[0] == source and trust.DRIFT_SCORES[k[1]] >= 80]:
+                want.append((*held.pop(key), number))
+        else:
+            opened, seen, _, _ = held.get((source, kind, mark), (number, 0, None, None))
+            held[source, kind, mark] = (opened, seen + 1, f"{source}:{kind}:{mark}", number)
+    want += [(*r, None) for r in held.values()]
+    for ranges in (None, 9):
+        frame = spark.createDataFrame(watched(400), PASS).repartition(ranges or 2)
+        found = drift.reports(frame).collect()
+        assert sorted((r.opened, r.detections, r.dedup_key, str(r.resolved)) for r in found) == sorted((o, n, k, str(x)) for o, n, k, _, x in want)
+        assert all(r.freeze == (r.score >= 80) and r.last_pass == (r.resolved or r.last_pass) for r in found)
+    assert any(x is not None for *_, x in want) and len(want) > 30
+
+
+def test_drift_stream_equals_batch(spark, tmp_path):
+    from statera.operators import drift
+    from statera.streaming import watch
+
+    rows = watched(240)
+    for part in range(4):
+        spark.createDataFrame(rows[60 * part : 60 * part + 60], PASS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/p{part}")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        last = {}
+        for part in range(4):  # each run goes on from the state of the one before
+            shutil.copytree(f"{tmp_path}/in/p{part}", f"{tmp_path}/seen", dirs_exist_ok=True)
+            stream = spark.readStream.schema(PASS).parquet(f"{tmp_path}/seen")
+
+            def keep(batch, number):
+                for r in batch.collect():
+                    last[r.source, r.dedup_key, r.opened] = tuple(r)
+
+            q = watch.drift_reports(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+            q.awaitTermination(180)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    batch = drift.reports(spark.createDataFrame(rows, PASS)).collect()
+    assert {tuple(map(str, r)) for r in last.values()} == {tuple(map(str, r)) for r in batch}
