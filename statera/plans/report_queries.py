@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import stitch
+from ..sources import declarations
 from .catalog import query
 
 # Both engines take the paragraphs of a page as assets of a report: what a row says follows from its page and number.
@@ -82,3 +83,50 @@ def w7(d):
 def w7_rejected(d):
     """Every report with a fault, and the first thing wrong with it."""
     return stitch.rejected(report_lines(d))
+
+
+# Declarations: a section for each line of a filing, with one entry or two; filings of some numbers have a fault.
+_READ = [k for k, v in declarations.PRIMARY.items() if v]
+XML_FAULTS = {3: "unknown_section:autreDto", 5: "malformed", 7: "no_general", 9: "nested_field", 11: "unreadable_year", 13: "no_name"}
+_ENTRIES_SQL = f"""SELECT l.filing_id AS document, l.ordinal, k, CAST(l.filing_id AS BIGINT) AS n, ({_READ!r})[l.ordinal % {len(_READ)} + 1] AS section, l.asset_description_raw || ' & co' || CASE WHEN k = 1 THEN ' again' ELSE '' END AS name,
+       l.currency, '00' || l.ordinal AS code, l.ordinal % 2 = 0 AS paid FROM line l, (VALUES (0), (1)) AS t(k) WHERE k = 0 OR l.ordinal % 3 = 0"""
+
+
+def declaration_xml(d) -> DataFrame:
+    """document and xml: the lines of each filing as a nested declaration."""
+    n, ordinal = F.col("filing_id").cast("long"), F.col("ordinal")
+    at = (ordinal % len(_READ)).cast("int")
+    section = F.get(F.array(*map(F.lit, _READ)), at)
+    field = F.get(F.array(*[F.lit(declarations.PRIMARY[k]) for k in _READ]), at)
+    fault = lambda k: (n % 16 == k) & (ordinal == 1)
+    tag = lambda name, text: F.concat(F.lit("<"), name, F.lit(">"), text, F.lit("</"), name, F.lit(">"))
+    year = F.when(fault(11), "MMXX").otherwise("2020")
+    pay = F.concat(F.lit("<remuneration><brutNet> Net </brutNet><montant><montant><annee>"), year, F.lit("</annee><montant>1  200</montant></montant><montant><annee>2021</annee><montant>"), ordinal.cast("string"), F.lit("</montant></montant></montant></remuneration>"))
+    entry = lambda again: tag(F.lit("items"), F.concat(
+        F.lit("<motif><id>"), "currency", F.lit("</id><label>x</label></motif><code>00"), ordinal.cast("string"), F.lit("</code><empty/>"), F.when(fault(13), "").otherwise(tag(field, F.concat(F.lit("  "), F.replace("asset_description_raw", F.lit(" "), F.lit("  ")), F.lit(" &amp; co"), F.lit(again)))),
+        F.when(fault(9), "<inner><x>1</x></inner>").otherwise(""), F.when((ordinal % 2 == 0) | fault(11), pay).otherwise(""),
+    ))
+    both = F.concat(entry(""), F.when(ordinal % 3 == 0, entry(" again")).otherwise(""))
+    xml = F.concat(tag(section, F.concat(tag(F.lit("items"), both), F.lit("<neant>false</neant>"))), F.when(fault(3), "<autreDto><neant>true</neant></autreDto>").otherwise("<observationInteretDto/>"))
+    parts = d.line.select("filing_id", "ordinal", xml.alias("xml")).groupBy(F.col("filing_id").alias("document")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "xml"))), lambda x: x.xml), "\n").alias("body"))
+    of = F.col("document").cast("long") % 16
+    general = F.when(of == 7, "").otherwise("<general><organe>o</organe></general>")
+    return parts.select("document", F.concat(F.lit('<?xml version="1.0"?>\n<!-- made --><declaration>'), general, "body", F.when(of == 5, "").otherwise("</declaration>")).alias("xml"))
+
+
+@query(
+    "s10_sections",
+    f"""SELECT document, row_number() OVER (PARTITION BY document ORDER BY ordinal, k) AS row, section, name, currency AS motif, code, CASE WHEN paid THEN 'Net' ELSE '' END AS gross_or_net,
+               CASE WHEN paid THEN '2020:1 200,2021:' || ordinal END AS pays FROM ({_ENTRIES_SQL}) e WHERE n % 16 NOT IN ({', '.join(map(str, XML_FAULTS))})""",
+)
+def s10(d):
+    """Entries of all declarations in document order."""
+    out = declarations.sections(declaration_xml(d))
+    pays = F.array_join(F.transform("pays", lambda p: F.concat_ws(":", p.year.cast("string"), p.amount)), ",")
+    return out.select("document", "row", "section", "name", "motif", F.col("fields")["code"].alias("code"), "gross_or_net", pays.alias("pays"))
+
+
+@query("s10_rejected", f"SELECT DISTINCT document, CASE n % 16 {' '.join(f'WHEN {k} THEN {v!r}' for k, v in XML_FAULTS.items())} END AS reason FROM ({_ENTRIES_SQL}) e WHERE n % 16 IN ({', '.join(map(str, XML_FAULTS))})")
+def s10_rejected(d):
+    """Declarations with a fault, and why they are rejected whole."""
+    return declarations.rejected(declaration_xml(d))
