@@ -69,7 +69,8 @@ def cadence(raw: Column) -> Column:
 
 
 def asset_class(code: Column) -> Column:
-    return mapped(code, inverted(ASSET_CLASSES), "other")
+    """Class of an asset code; null for a code that is not in the legend, which callers file under other, at a loss of confidence."""
+    return mapped(code, inverted(ASSET_CLASSES))
 
 
 def band_table(spark: SparkSession) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from . import trust
+from .staging import stored
 
 # Keys of details that are not published, by regime; prefixes of a key's value that keep a record back,
 # and the reason noted for it; keys that a fingerprint leaves out.
@@ -78,7 +79,7 @@ def publish(candidates: DataFrame, columns: list[str], frozen: DataFrame, known:
     bad = c.groupBy("filing_id").agg(F.count("breach").alias("breaches"))
     c = c.join(bad, "filing_id").join(known.select("fingerprint").distinct().withColumn("known", F.lit(True)), "fingerprint", "left")
     outcome = F.when(F.col("frozen"), "frozen").when(F.col("breaches") > 0, "filing_rejected").when(F.col("suppress").isNotNull(), "suppressed").when(F.col("known"), "replay").otherwise("inserted")
-    c = c.withColumn("outcome", outcome)
+    c = stored(c.withColumn("outcome", outcome), "published")  # read by all five outputs
     inserted = c.where("outcome = 'inserted'")
     noted = inserted.select(F.lit("disclosure_record").alias("target_kind"), F.col("fingerprint").alias("target_id"), F.explode(trust.review_reasons(reviews)).alias("reason"))
     held = c.where("outcome = 'suppressed'").select(F.lit("filing").alias("target_kind"), F.col("filing_id").alias("target_id"), F.col("suppress").alias("reason"))

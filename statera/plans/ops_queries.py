@@ -9,6 +9,7 @@ from ..functions.details import CONTRACTS
 from ..operators import aggregates as A
 from ..operators import adjudicate, consensus, contracts, drift, exports, idempotent, joins, publish, segments, selection, trust, windows
 from ..operators.staging import stored
+from ..streaming import queue
 from .catalog import query
 
 AS_OF = "2024-01-31"
@@ -593,6 +594,27 @@ def t6(d):
     return trust.usage_windows(events, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+_ATTEMPTS = """SELECT concat('d', CAST(id AS BIGINT) // 6) AS dedup_key, CAST(id AS BIGINT) % 6 + 1 AS attempt, started_at AS at, CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'sent' WHEN CAST(id AS BIGINT) % 17 = 0 THEN 'terminal' ELSE 'retryable' END AS outcome
+      FROM pipeline_run WHERE CAST(id AS BIGINT) % 11 <> 3"""
+
+
+@query(
+    "t3_queue",
+    f"""WITH tries AS ({_ATTEMPTS}), walk AS (SELECT DISTINCT dedup_key, 0::BIGINT AS n, NULL::VARCHAR AS outcome, NULL::TIMESTAMP AS tried FROM tries
+          UNION ALL SELECT w.dedup_key, w.n + 1, e.outcome, e.at FROM walk w JOIN tries e ON e.dedup_key = w.dedup_key AND e.attempt = w.n + 1 WHERE coalesce(w.outcome, 'retryable') = 'retryable' AND w.n < 5),
+        ends AS (SELECT dedup_key, max(n) AS n, arg_max(outcome, n) AS outcome, arg_max(tried, n) AS tried FROM walk GROUP BY dedup_key),
+        told AS (SELECT *, CASE WHEN outcome = 'sent' THEN 'sent' WHEN outcome = 'terminal' OR n >= 5 THEN 'dead' ELSE 'pending' END AS status FROM ends)
+        SELECT dedup_key, status, n::INTEGER AS attempts, CASE WHEN status = 'pending' THEN CASE n WHEN 0 THEN 0 ELSE 500 * 2 ** (n - 1) END END::BIGINT AS wait_ms, CASE WHEN status = 'pending' AND n > 0 THEN epoch_us(tried) + (500000 * 2 ** (n - 1))::BIGINT END AS due_us FROM told""",
+)
+def t3(d):
+    """States of deliveries after all their attempts, some of which are told twice and some not at all."""
+    n = F.col("id").cast("long")
+    outcome = F.when(n % 5 == 0, "sent").when(n % 17 == 0, "terminal").otherwise("retryable")
+    tries = d.pipeline_run.where(n % 11 != 3).select(F.concat(F.lit("d"), F.expr("CAST(id AS BIGINT) DIV 6").cast("string")).alias("dedup_key"), (n % 6 + 1).alias("attempt"), F.col("started_at").alias("at"), outcome.alias("outcome"), n.alias("n"))
+    told = tries.union(tries.where("n % 7 = 0")).drop("n")
+    return queue.states(told).select("dedup_key", "status", "attempts", "wait_ms", F.unix_micros("due").alias("due_us"))
+
+
 @query("t5_minute_counters", "SELECT user_id, time_bucket(INTERVAL '1 minute', \"at\") AS start, count(*) AS calls FROM usage_event WHERE \"at\" >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1, 2")
 def t5(d):
     events = d.usage_event.where("at >= TIMESTAMP_NTZ '2024-01-20 00:00:00'").withColumn("at", F.col("at").cast("timestamp"))

@@ -114,11 +114,11 @@ def f20(d):
     return d.line.select("id", S.cadence(raw).alias("cadence"))
 
 
-@query("f22_code_maps", "SELECT id, CASE ordinal % 4 WHEN 0 THEN 'equity' WHEN 1 THEN 'fund' WHEN 2 THEN 'real_estate' ELSE 'other' END AS class, CASE ordinal % 3 WHEN 0 THEN 'spouse' WHEN 1 THEN 'joint' END AS owner FROM line")
+@query("f22_code_maps", "SELECT id, CASE ordinal % 4 WHEN 0 THEN 'equity' WHEN 1 THEN 'fund' WHEN 2 THEN 'real_estate' ELSE 'other' END AS class, ordinal % 4 = 3 AS unknown_code, CASE ordinal % 3 WHEN 0 THEN 'spouse' WHEN 1 THEN 'joint' END AS owner FROM line")
 def f22(d):
     code = F.get(F.array(*map(F.lit, ("ST", "5P", "RP", "??"))), F.col("ordinal") % 4)
     owner = F.get(F.array(*map(F.lit, ("SP", "JT", "ZZ"))), F.col("ordinal") % 3)
-    return d.line.select("id", S.asset_class(code).alias("class"), S.mapped(owner, S.OWNER_CODES).alias("owner"))
+    return d.line.select("id", F.coalesce(S.asset_class(code), F.lit("other")).alias("class"), S.asset_class(code).isNull().alias("unknown_code"), S.mapped(owner, S.OWNER_CODES).alias("owner"))
 
 
 @query("f25_confidence", "SELECT id, CAST(greatest(least(CASE WHEN low_cents IS NULL THEN (CASE WHEN owner IS NULL THEN 1.0::FLOAT - 0.1::FLOAT ELSE 1.0::FLOAT END) - 0.05::FLOAT ELSE (CASE WHEN owner IS NULL THEN 1.0::FLOAT - 0.1::FLOAT ELSE 1.0::FLOAT END) END, 1.0::FLOAT), 0.0::FLOAT) AS DOUBLE) AS confidence FROM line")
@@ -170,7 +170,7 @@ def r22(d):
        WHERE stem <> '' GROUP BY id, stem""",
 )
 def s13(d):
-    return scans.document_links(d.raw_document.select("id", "body"), "body", "/", "e").select("id", "stem", "href")
+    return scans.document_links(d.raw_document, "id", "body", "/", "e").select("id", "stem", "href")
 
 
 @query("s18_source_sniff", "SELECT id, CASE WHEN starts_with(left(body, 8192), '%PDF-') THEN 'eu' WHEN contains(left(body, 8192), '<declaration') THEN 'fr' WHEN contains(lower(left(body, 8192)), '<html') THEN 'de' END AS source FROM raw_document")

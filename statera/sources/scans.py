@@ -71,14 +71,16 @@ def strict_json(text: Column, schema: str, keys: list[str]) -> Column:
     return F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown keys: "), F.array_join(unknown, ",")))).otherwise(F.from_json(text, schema, {"mode": "FAILFAST"}))
 
 
-def document_links(pages: DataFrame, html: str = "html", folder: str = "/Register/", suffix: str = ".pdf") -> DataFrame:
-    """(…, href, stem) of each page's links into ``folder`` to files with ``suffix``: the first of each file name without it."""
+def document_links(pages: DataFrame, key: str, html: str = "html", folder: str = "/Register/", suffix: str = ".pdf") -> DataFrame:
+    """key, href and stem of each page's links into ``folder`` to files with ``suffix``: the first of each file name without it.
+
+    ``key`` tells pages apart; nothing else of a page goes along with its links.
+    """
     found = F.regexp_extract_all(html, F.lit("href=([\"'])(.*?)\\1"), F.lit(2))
-    rows = pages.select("*", F.posexplode(found).alias("position", "href")).where(F.contains("href", F.lit(folder)))
+    rows = pages.select(key, F.posexplode(found).alias("position", "href")).where(F.contains("href", F.lit(folder)))
     file = F.element_at(F.split(F.regexp_extract("href", "^[^?#]*", 0), "/"), -1)
     rows = rows.withColumn("stem", F.when(F.endswith(file, F.lit(suffix)), F.substring(file, F.lit(1), F.char_length(file) - len(suffix)))).where("stem <> ''")
-    one = rows.groupBy(*pages.columns, "stem").agg(F.min_by("href", "position").alias("href"))
-    return one.select(*pages.columns, "href", "stem")
+    return rows.groupBy(key, "stem").agg(F.min_by("href", "position").alias("href")).select(key, "href", "stem")
 
 
 class _Cells(HTMLParser):

@@ -127,3 +127,51 @@ def test_drift_stream_equals_batch(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     batch = drift.reports(spark.createDataFrame(rows, PASS)).collect()
     assert {tuple(map(str, r)) for r in last.values()} == {tuple(map(str, r)) for r in batch}
+
+
+def test_queue_equals_batch_over_replays_and_late_files(spark, tmp_path):
+    import random
+
+    from statera.streaming import queue
+
+    r = random.Random(6)
+    events = []
+    for k in range(40):
+        for n in range(1, 7):
+            outcome = r.choice(["retryable", "retryable", "retryable", "sent", "terminal"])
+            events.append((f"k{k}", n, outcome, DAY + dt.timedelta(seconds=100 * k + n)))
+            if outcome != "retryable" or r.random() < 0.1:
+                break
+    events += [("gap", 2, "sent", DAY), ("late", 1, "retryable", DAY), ("late", 1, "terminal", DAY + dt.timedelta(seconds=9))]
+    ddl = "dedup_key string, attempt int, outcome string, at timestamp"
+    r.shuffle(events)
+    parts = [events[k::3] for k in range(3)]
+    parts[2] += parts[0][:20]  # replayed
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    last = {}
+
+    def keep(batch, _):
+        for row in batch.collect():
+            last[row.dedup_key] = (row.status, row.attempts, row.wait_ms, row.due)
+
+    sink = f"file://{tmp_path}/sink"
+    try:
+        for k, part in enumerate(parts):
+            spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in")
+            queue.settled(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(60)
+            if k == 2:  # from the start, twice: the second run has lost its state
+                for again in range(2):
+                    queue.run(spark.readStream.schema(ddl).parquet(f"{tmp_path}/in"), sink, f"{tmp_path}/again{again}").start().awaitTermination(60)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    batch = {row.dedup_key: (row.status, row.attempts, row.wait_ms, row.due) for row in queue.states(spark.createDataFrame(events, ddl)).collect()}
+    assert last == batch and {s for s, *_ in batch.values()} == {"sent", "dead", "pending"}
+    assert batch["gap"] == ("pending", 0, 0, None) and batch["late"][:3] == ("pending", 1, 500)
+    states = queue.states(spark.createDataFrame(events, ddl))
+    assert {x.dedup_key for x in queue.claimable(states, F.lit(DAY + dt.timedelta(seconds=2000)).cast("timestamp")).collect()} == {k for k, (s, n, _, at) in batch.items() if s == "pending" and (at is None or at <= DAY + dt.timedelta(seconds=2000))}
+    written = [tuple(x) for x in spark.read.parquet(sink).collect()]
+    assert sorted(written) == sorted((k, s, n) for k, (s, n, *_) in batch.items() if s != "pending")
+    kept = queue.unsettled(spark.createDataFrame(events, ddl), spark.read.parquet(sink))
+    assert {x.dedup_key for x in kept.collect()} == {k for k, (s, *_) in batch.items() if s == "pending"}
