@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import chains, filters, joins, paging, trust
+from ..operators import chains, filters, joins, paging, reads, trust
 from .catalog import query
 from .domain import RECORD_TYPES
 
@@ -410,3 +410,49 @@ def r30(d):
 @query("r14_deliveries", f"SELECT rule_id, record_id, channel, concat_ws(':', CAST(rule_id AS VARCHAR), record_id, channel) AS dedup_key, CASE channel WHEN 'digest' THEN 'pending_digest' ELSE 'pending' END AS status FROM (SELECT *, unnest(CASE rule_id % 3 WHEN 0 THEN ['email', 'digest'] WHEN 1 THEN ['webhook'] ELSE ['digest'] END) AS channel FROM ({MATCHES_SQL}) m)")
 def r14(d):
     return trust.deliveries(joins.match_rules(d.record, rules(d.record.sparkSession), RECORD_TYPES))
+
+
+@query(
+    "api_record_detail",
+    f"""WITH {CHAIN}, seen AS (SELECT * FROM record WHERE politician_id < '00000100' AND discovered_at <= {BOUND} AND verification_state = 'verified'),
+         up AS (SELECT id AS start_id, id, supersedes_record_id AS parent, 0 AS depth FROM seen UNION ALL SELECT up.start_id, c.id, c.supersedes_record_id, up.depth + 1 FROM up JOIN c ON c.id = up.parent),
+         down AS (SELECT id AS start_id, id, 0 AS depth FROM seen UNION ALL SELECT down.start_id, c.id, down.depth + 1 FROM down JOIN c ON c.supersedes_record_id = down.id),
+         shown AS (SELECT id FROM record WHERE discovered_at <= {BOUND} AND verification_state = 'verified')
+       SELECT s.id, s.filing_id, f.filed_date, d.sha, g.code, coalesce((SELECT string_agg(u.id, ',' ORDER BY depth) FROM up u JOIN shown USING (id) WHERE u.start_id = s.id AND depth > 0), '') AS supersedes,
+              coalesce((SELECT string_agg(u.id, ',' ORDER BY depth) FROM down u JOIN shown USING (id) WHERE u.start_id = s.id AND depth > 0), '') AS superseded_by
+       FROM seen s JOIN filing f ON f.id = s.filing_id JOIN raw_document d ON d.id = f.raw_document_id JOIN regime g ON g.id = s.regime_id""",
+)
+def api_record_detail(d):
+    """Some politicians' records as a reader bound to a date sees them, with provenance and both sides of their chains."""
+    reader = filters.RecordFilter(visible_until=AS_OF, verification_state="verified")
+    documented = d.filing.join(d.raw_document.select(F.col("id").alias("raw_document_id")), "raw_document_id", "left_semi").select(F.col("id").alias("filing_id"))
+    starts = d.record.where("politician_id < '00000100'").join(documented, "filing_id", "left_semi")  # these tables lack some documents
+    out = reads.record_details(d.record, starts, d.filing, d.raw_document, d.regime, reader)
+    ids = lambda c: F.array_join(F.transform(c, lambda m: m.id), ",").alias(c)
+    return out.select("id", "filing_id", "filing.filed_date", "document.sha", "regime.code", ids("supersedes"), ids("superseded_by"))
+
+
+@query(
+    "api_politicians",
+    """SELECT p.id, p.canonical_name, coalesce(a.aliases, '') AS aliases, coalesce(f.n, 0) AS filings, f.last_filed, coalesce(r.n, 0) AS records FROM politician p
+       LEFT JOIN (SELECT politician_id, string_agg(DISTINCT alias, ',' ORDER BY alias) AS aliases FROM politician_alias GROUP BY 1) a ON a.politician_id = p.id
+       LEFT JOIN (SELECT politician_id, count(*) AS n, max(filed_date) AS last_filed FROM filing GROUP BY 1) f ON f.politician_id = p.id
+       LEFT JOIN (SELECT politician_id, count(*) AS n FROM record GROUP BY 1) r ON r.politician_id = p.id""",
+)
+def api_politicians(d):
+    out = reads.profiles(d.politician, d.politician_alias, d.filing, d.record)
+    return out.select("id", "canonical_name", F.array_join("aliases", ",").alias("aliases"), "filings", "last_filed", "records")
+
+
+@query(
+    "api_review_queue",
+    """SELECT t.id, t.priority, t.target_kind, coalesce(f.regime_id, CASE WHEN t.target_kind = 'regime' THEN split_part(t.target_id, ':', 1) END) AS regime_id, g.code AS regime_code
+       FROM (SELECT * FROM review_task WHERE status = 'open' AND (priority < 3 OR (priority = 3 AND (created_at > TIMESTAMP '2024-01-02 00:00:00' OR (created_at = TIMESTAMP '2024-01-02 00:00:00' AND id > '')))) ORDER BY priority DESC, created_at, id LIMIT 101) t
+       LEFT JOIN line l ON t.target_kind = 'disclosure_record' AND l.id = t.target_id LEFT JOIN filing f ON f.id = CASE WHEN t.target_kind = 'filing' THEN t.target_id ELSE l.filing_id END
+       LEFT JOIN regime g ON g.id = coalesce(f.regime_id, CASE WHEN t.target_kind = 'regime' THEN split_part(t.target_id, ':', 1) END)""",
+)
+def api_review_queue(d):
+    """The page of open tasks after a cursor, with the regimes they concern."""
+    lines = d.line.join(d.filing.select(F.col("id").alias("filing_id"), "regime_id"), "filing_id")
+    out = reads.review_queue(d.review_task, lines, d.filing, d.regime, 100, (3, "2024-01-02 00:00:00", ""))
+    return out.select("id", "priority", "target_kind", "regime_id", "regime_code")

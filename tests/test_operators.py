@@ -322,3 +322,23 @@ def test_signature_is_hmac(spark):
 
     found = spark.createDataFrame([("payload é",)], "p string").select(exports.signed(F.col("p"), "secret")).collect()[0][0]
     assert found == hmac.new(b"secret", "payload é".encode(), hashlib.sha256).hexdigest()
+
+
+def test_record_details_compose(spark):
+    from statera.operators import filters, reads
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(f"r{k}", f"r{k - 1}" if k % 4 else None, "verified" if k != 2 else "unverified", day + dt.timedelta(days=k), "f", "g") for k in range(8)]
+    records = spark.createDataFrame(rows, "id string, supersedes_record_id string, verification_state string, discovered_at timestamp, filing_id string, regime_id string")
+    filings = spark.createDataFrame([("f", day.date(), "d")], "id string, filed_date date, raw_document_id string")
+    documents, regimes = spark.createDataFrame([("d", "u", "s")], "id string, url string, sha string"), spark.createDataFrame([("g", "c")], "id string, code string")
+    reader = filters.RecordFilter(verification_state="verified")
+    out = {r.id: r for r in reads.record_details(records, records.where("id IN ('r1', 'r2', 'r3', 'r4')"), filings, documents, regimes, reader).collect()}
+    chains_of = {k: ([m.id for m in r.supersedes], [m.id for m in r.superseded_by]) for k, r in out.items()}
+    assert chains_of == {"r1": (["r0"], ["r3"]), "r3": (["r1", "r0"], []), "r4": ([], ["r5", "r6", "r7"])}  # r2 is hidden and walked through
+    assert out["r1"].filing.filed_date == day.date() and out["r1"].document.sha == "s" and out["r1"].regime.code == "c"
+    with pytest.raises(Exception, match="record without provenance"):
+        reads.record_details(records, records, filings.limit(0), documents, regimes, reader).collect()
+    circle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "id string, supersedes_record_id string")
+    with pytest.raises(ValueError, match="comes back"):
+        reads.chain_of_few(circle, circle.where("id = 'a'"))
