@@ -49,6 +49,7 @@ def routed(targets: DataFrame, routes: dict[str, tuple[DataFrame, str]]) -> Data
 
 #: rows of a rule index that may be broadcast (some 100 bytes each); larger ones are joined by a shuffle on spread keys
 INDEX_ROWS = 200_000
+FEW_RULES = 256  # so few are checked one by one against each record of their type: that costs less than looking slots up
 SALTS = 16
 MONTHS = 36
 
@@ -80,7 +81,7 @@ def rule_index(rules: DataFrame, record_types: tuple[str, ...]) -> DataFrame:
     return rules.withColumn("kind", F.explode(kinds)).withColumn("arm", arm).withColumn("slot", F.explode(slots))
 
 
-def match_rules(records: DataFrame, rules: DataFrame, record_types: tuple[str, ...], index_rows: int = INDEX_ROWS) -> DataFrame:
+def match_rules(records: DataFrame, rules: DataFrame, record_types: tuple[str, ...], index_rows: int = INDEX_ROWS, few_rules: int = FEW_RULES) -> DataFrame:
     """(rule_id, record_id, channels) of every rule a record satisfies; unset rule columns match everything.
 
     Records look rules up by slot and check the clauses of those few.  The index is counted: a small one is broadcast, so
@@ -92,9 +93,13 @@ def match_rules(records: DataFrame, rules: DataFrame, record_types: tuple[str, .
     bits = F.when(F.col("low_cents").isNotNull() & (low <= high), F.transform(F.sequence(low, high), lambda x: x.cast("string"))).otherwise(F.array().cast("array<string>"))
     entry = lambda arm, slots: F.transform(slots, lambda s: F.struct(F.lit(arm).alias("arm"), s.alias("slot")))
     index = rule_index(rules, record_types)
+    if len(rules.select("rule_id").limit(few_rules + 1).collect()) <= few_rules:
+        index = index.withColumns({"arm": F.lit("any"), "slot": F.lit("")}).dropDuplicates(["rule_id", "kind"])
     arms = {row["arm"]: row["count"] for row in index.groupBy("arm").count().collect()}  # five at most
     slots = {"months": F.array(_month(F.col("event_date")).cast("string")), "value": bits, "class": F.array("asset_class"), "state": F.array("verification_state"), "any": F.array(F.lit(""))}
     looked = F.explode(F.concat(*[entry(a, slots[a]) for a in slots if a in arms] or [F.array().cast("array<struct<arm:string,slot:string>>")]))
+    if set(arms) <= {"any"}:
+        looked = F.struct(F.lit("any").alias("arm"), F.lit("").alias("slot"))
     records = records.withColumn("at", looked).withColumn("low_bits", low)
     keys = [r("kind") == c("record_type"), r("arm") == c("at.arm"), r("slot") == c("at.slot")]
     if sum(arms.values()) <= index_rows:

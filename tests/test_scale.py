@@ -87,8 +87,8 @@ def test_rule_index_equals_all_pairs(spark):
     right = spark.createDataFrame(rules, "rule_id int, record_type string, asset_class string, verification_state string, min_cents long, max_cents long, event_from date, event_to date").withColumn("channels", F.array(F.lit("email")))
     want = sorted((u[0], e[0]) for u in rules for e in records if matches(e, u))
     assert len(want) > 200
-    for most in (10**6, 1):  # broadcast, and joined on salted keys
-        found = joins.match_rules(left, right, ("x", "y", "z"), most)
+    for most, few in ((10**6, 0), (1, 0), (10**6, 1000)):  # broadcast, joined on salted keys, and rules checked one by one
+        found = joins.match_rules(left, right, ("x", "y", "z"), most, few)
         assert sorted((row.rule_id, row.record_id) for row in found.collect()) == want
     plan = joins.match_rules(left, right, ("x", "y", "z"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "CartesianProduct" not in plan
