@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import stitch
-from ..sources import declarations
+from ..sources import archives, declarations
 from .catalog import query
 
 # Both engines take the paragraphs of a page as assets of a report: what a row says follows from its page and number.
@@ -130,3 +136,73 @@ def s10(d):
 def s10_rejected(d):
     """Declarations with a fault, and why they are rejected whole."""
     return declarations.rejected(declaration_xml(d))
+
+
+# Archives: the lines of a thousand filings each, by state, in the headers of two eras; some archives have a fault.
+_ARCHIVE_LINES = f"""SELECT CAST(l.filing_id AS BIGINT) // 1000 AS archive, ({list(archives.STATES)!r})[CAST(f.regime_id AS INTEGER) + 1] AS uf, l.filing_id, l.ordinal, l.asset_description_raw,
+       l.low_cents, f.filed_date FROM line l JOIN filing f ON l.filing_id = f.id"""
+ARCHIVE_FAULTS = {3: "width", 6: "columns"}
+
+
+def _archive(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One archive of at most a thousand filings: a table for each state, one for all of them, and a note."""
+    number, out = int(key[0]), io.BytesIO()
+    header = [names[-1] if number % 2 else names[0] for names in archives.ASSETS.values()]
+    if number % 8 == 6:
+        header[7] = "DS_OUTRO"
+
+    def table(part: pd.DataFrame, torn: bool) -> bytes:
+        text = io.StringIO()
+        lines = csv.writer(text, delimiter=";", quoting=csv.QUOTE_ALL if number % 3 else csv.QUOTE_MINIMAL)
+        lines.writerow(header)
+        for r in part.sort_values(["filing_id", "ordinal"]).itertuples():
+            cells = [r.filing_id, r.uf, r.day, r.day[6:], str(r.ordinal), "12", "Imóvel", r.words, r.value, r.day, "12:00:00"]
+            lines.writerow(cells[:-1] if torn else cells)
+            torn = False
+        return text.getvalue().encode("latin-1")
+
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
+        made.writestr("leiame.pdf", b"%PDF-")
+        made.writestr("bem_candidato_BRASIL.csv", table(rows, False))
+        for k, (uf, part) in enumerate(rows.groupby("uf")):
+            made.writestr(f"bem_candidato_{uf}.csv", table(part, k == 0 and number % 8 == 3))
+    return pd.DataFrame({"path": [str(number)], "content": [out.getvalue()]})
+
+
+def asset_archives(d) -> DataFrame:
+    """path and content of archives of declared assets."""
+    lines = d.line.join(d.filing.select(F.col("id").alias("filing_id"), "regime_id", "filed_date"), "filing_id")
+    cents = F.col("low_cents")
+    value = F.coalesce(F.concat(F.expr("low_cents div 100").cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0")), F.lit(""))
+    words = F.concat(F.lit('ação "'), "asset_description_raw", F.lit('"; lote\n'), F.col("ordinal").cast("string"))
+    rows = lines.select(
+        F.floor(F.col("filing_id").cast("long") / 1000).cast("long").alias("archive"), F.get(F.array(*map(F.lit, archives.STATES)), F.col("regime_id").cast("int")).alias("uf"),
+        "filing_id", "ordinal", words.alias("words"), value.alias("value"), F.date_format("filed_date", "dd/MM/yyyy").alias("day"),
+    )
+    return rows.groupBy("archive").applyInPandas(_archive, "path string, content binary")
+
+
+@query(
+    "s12_archives",
+    f"""SELECT archive, uf, filing_id AS candidate, CAST(ordinal AS INTEGER) AS ordinal, 'ação "' || asset_description_raw || '"; lote' || chr(10) || ordinal AS description, low_cents AS cents, filed_date AS elected
+        FROM ({_ARCHIVE_LINES}) q WHERE archive % 8 NOT IN ({', '.join(map(str, ARCHIVE_FAULTS))})""",
+)
+def s12(d):
+    """Declared assets of the states' tables, in the headers of both eras; archives with a fault are left out whole."""
+    rows = archives.sound(archives.declared_assets(asset_archives(d)))
+    cents = (S.comma_decimal(F.col("VR_BEM_CANDIDATO")) * 100).cast("long")
+    return rows.select(
+        F.col("path").cast("long").alias("archive"), F.col("SG_UF").alias("uf"), F.col("SQ_CANDIDATO").alias("candidate"), F.col("NR_ORDEM_BEM_CANDIDATO").cast("int").alias("ordinal"),
+        F.col("DS_BEM_CANDIDATO").alias("description"), cents.alias("cents"), S.day_first_date(F.col("DT_ELEICAO")).alias("elected"),
+    )
+
+
+@query(
+    "s12_rejected",
+    f"""SELECT archive, fault, count(*) AS n FROM (SELECT archive, uf, filing_id, ordinal, CASE archive % 8 {' '.join(f'WHEN {k} THEN {v!r}' for k, v in ARCHIVE_FAULTS.items())} END AS fault,
+               row_number() OVER (PARTITION BY archive ORDER BY uf, filing_id, ordinal) AS r FROM ({_ARCHIVE_LINES}) q) w WHERE fault = 'columns' OR fault = 'width' AND r = 1 GROUP BY 1, 2""",
+)
+def s12_rejected(d):
+    """Archives with a fault, and how many of their rows have it."""
+    rows = archives.declared_assets(asset_archives(d)).where("fault is not null")
+    return rows.groupBy(F.col("path").cast("long").alias("archive"), "fault").agg(F.count("*").alias("n"))
