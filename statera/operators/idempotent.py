@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +31,17 @@ def upsert_open(existing: DataFrame, detected: DataFrame, key: str) -> DataFrame
     return both.select(key, total.cast("long").alias("detections"), F.col("detections").isNull().alias("inserted"))
 
 
-def publish(tables: dict[str, DataFrame], root: str, batch: str) -> None:
+def publish(tables: dict[str, DataFrame], root: str, batch: str, check: Callable[[dict[str, DataFrame]], None] | None = None) -> None:
     """Write all tables under a batch folder, then point ``CURRENT`` at it by one replacing rename: readers see all or nothing.
 
-    One writer at a time is assumed.  A batch that is written again replaces its own folder only.
+    One writer at a time is assumed.  A batch that is written again replaces its own folder only.  ``check`` gets the
+    tables as they were written; what it raises leaves the pointer where it was.
     """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{batch}/{name}")
+    if check is not None:
+        check({name: spark.read.schema(df.schema).parquet(f"{root}/{batch}/{name}") for name, df in tables.items()})
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     draft, pointer = hadoop.Path(f"{root}/CURRENT.{batch}"), hadoop.Path(f"{root}/CURRENT")
     out = draft.getFileSystem(conf).create(draft, True)

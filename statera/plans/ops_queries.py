@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.details import CONTRACTS
 from ..operators import aggregates as A
-from ..operators import adjudicate, consensus, contracts, drift, exports, idempotent, joins, publish, segments, selection, trust, windows
+from ..operators import adjudicate, billing, consensus, contracts, drift, exports, idempotent, joins, publish, segments, selection, trust, windows
 from ..operators.staging import stored
 from ..streaming import queue
 from .catalog import query
@@ -562,6 +562,44 @@ def r17(d):
     return trust.usage_report(d.usage_event)
 
 
+# Billing at a cutoff: every third user has no customer id, every fourth no open subscription; a fifth of all events has a report.
+CUTOFF = "2024-01-20 12:00:00"
+_EVENTS_SQL = "SELECT id, user_id, \"at\", CASE WHEN billed THEN 'earlier' END AS report_id FROM usage_event"
+_REPORTS_SQL = f"""SELECT sha256(concat_ws(':', CAST(user_id AS VARCHAR), CAST(min(id) AS VARCHAR), CAST(max(id) AS VARCHAR))) AS report_id, user_id, min("at") AS period_start, max("at") AS period_end, count(*) AS quantity
+       FROM ({_EVENTS_SQL}) e WHERE report_id IS NULL AND "at" <= TIMESTAMP '{CUTOFF}' AND user_id % 3 <> 0 AND user_id % 4 <> 0 GROUP BY user_id"""
+
+
+def _billing(d):
+    events = d.usage_event.select("id", "user_id", "at", F.when(F.col("billed"), "earlier").alias("report_id"))
+    users = d.usage_event.select("user_id").distinct()
+    known = users.select("user_id", F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("cus_"), F.col("user_id").cast("string"))).alias("customer_id"))
+    subscriptions = users.select("user_id", F.element_at(F.array(*map(F.lit, ("ended", "active", "trialing", "active"))), (F.col("user_id") % 4 + 1).cast("int")).alias("status"))
+    cutoff = F.lit(CUTOFF).cast("timestamp_ntz")
+    return events, billing.reports(events, billing.billable_users(known, subscriptions), cutoff), cutoff
+
+
+@query("r17_reports", _REPORTS_SQL)
+def r17_reports(d):
+    """Reports of what billable users have not been billed for up to a cutoff."""
+    return _billing(d)[1]
+
+
+@query("r17_stamped", f"SELECT e.id, coalesce(e.report_id, r.report_id) AS report_id FROM ({_EVENTS_SQL}) e LEFT JOIN ({_REPORTS_SQL}) r ON e.user_id = r.user_id AND e.\"at\" <= TIMESTAMP '{CUTOFF}'")
+def r17_stamped(d):
+    """Every event with the report that counts it, if one does."""
+    events, made, cutoff = _billing(d)
+    return billing.stamped(events, made, cutoff).select("id", "report_id")
+
+
+@query("r17_pending", f"SELECT report_id, 'cus_' || user_id AS customer_id, quantity FROM ({_REPORTS_SQL}) r WHERE user_id % 5 <> 0 OR user_id % 10 = 0")
+def r17_pending(d):
+    """Reports to send again: every fifth user's was accepted, but for those whose acceptance has no time."""
+    made = _billing(d)[1].withColumn("reported_at", F.lit(None).cast("timestamp_ntz"))
+    accepted = made.where("user_id % 5 = 0").select("report_id", F.when(F.col("user_id") % 10 != 0, F.col("period_end")).alias("at"))
+    users = d.usage_event.select("user_id").distinct().withColumn("customer_id", F.concat(F.lit("cus_"), F.col("user_id").cast("string")))
+    return billing.pending(billing.settled(made, accepted), users)
+
+
 @query("r18_quota", 'SELECT user_id, CAST("at" AS DATE) AS day, count(*) AS calls, count(*) > 5 AS "over" FROM usage_event GROUP BY 1, 2')
 def r18(d):
     return trust.over_quota(d.usage_event, 5)
