@@ -185,9 +185,28 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def high_impact(low: Column, floor_cents: int = 50_000_100) -> Column:
-    """Aggregate: any value of the document reaches the floor; an unknown one counts as high."""
-    return F.bool_or(F.coalesce(low >= floor_cents, F.lit(True)))
+#: fixed values: named character references
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded once, from left to right; unknown names and numbers that are no character stay as they are."""
+    pieces = F.regexp_extract_all(text, F.lit("(?s)&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-z]{2,4});|[^&]++|&"), F.lit(0))
+
+    def decoded(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+        point = F.when(F.lower(F.left(piece, F.lit(3))) == "&#x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        valid = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point <= 0x10FFFF))
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, point).otherwise(F.lit(32)).cast("long")), 8, "0")), "UTF-32")
+        return F.coalesce(mapped(piece, ENTITIES), F.when(F.startswith(piece, F.lit("&#")) & valid, sign), piece)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
+
+
+def high_impact(low: Column, floor_cents: int = 50_000_100, watched: Column | None = None) -> Column:
+    """Aggregate: any value of the document reaches the floor, is unknown, or the filer is watched (null is not)."""
+    high = F.coalesce(low >= floor_cents, F.lit(True))
+    return F.bool_or(high if watched is None else high | F.coalesce(watched, F.lit(False)))
 
 
 def owner_of(row: Column, vehicle: Column) -> tuple[Column, Column]:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import stitch
-from ..sources import archives, declarations
+from ..operators import conformance, stitch
+from ..sources import archives, declarations, senate
+from ..sources.adapters import ADAPTERS
 from .catalog import query
 
 # Both engines take the paragraphs of a page as assets of a report: what a row says follows from its page and number.
@@ -206,3 +207,94 @@ def s12_rejected(d):
     """Archives with a fault, and how many of their rows have it."""
     rows = archives.declared_assets(asset_archives(d)).where("fault is not null")
     return rows.groupBy(F.col("path").cast("long").alias("archive"), "fault").agg(F.count("*").alias("n"))
+
+
+# Report pages: the transactions of a filing as rows of a page; pages of some numbers have a fault.
+_SEC_OWNERS, _SEC_SIDES = ("Self", "Spouse", "Child", "Joint"), ("Purchase", "Sale (Full)", "Sale (Partial)", "Exchange")
+PAGE_FAULTS = {2: "title", 4: "row 1: band", 6: "count", 8: "sequence", 10: "owners", 12: "row 1: width"}
+_PAGE_ROWS = """SELECT filing_id AS page, CAST(filing_id AS BIGINT) AS n, row_number() OVER (PARTITION BY filing_id ORDER BY ordinal) AS row, ordinal, asset_description_raw, low_cents, transaction_date
+       FROM line WHERE record_type = 'transaction'"""
+
+
+def report_pages(d) -> DataFrame:
+    """sha256 (the filing) and text: each filing's transactions on a page of its own."""
+    rows = d.line.where("record_type = 'transaction'").groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "asset_description_raw", "low_cents", "transaction_date"))).alias("rows"))
+    n = F.col("filing_id").cast("long")
+    fault = lambda k: n % 16 == k
+    pick = lambda words, at: F.get(F.array(*map(F.lit, words)), at.cast("int"))
+    td = lambda *cells: F.concat(*[F.concat(F.lit("<td> "), c, F.lit("\n</td>")) for c in cells])
+
+    def line(r, k):
+        number = F.size("rows") - k + F.when(fault(8), 1).otherwise(0)
+        ticker = F.when(r.ordinal % 3 == 0, F.concat(F.lit('<a href="?q=1">T'), r.ordinal.cast("string"), F.lit("</a>"))).otherwise("--")
+        note = F.when(r.ordinal % 4 == 1, F.lit('<div class="small text-muted">Rate/Coupon:\n 5%</div>')).otherwise("")
+        band = F.when(fault(4), F.lit("$1 - $2")).when(r.low_cents.isNull(), "Over $50,000,000").otherwise("$1,001 - $15,000")
+        cells = [number.cast("string"), F.date_format(r.transaction_date, "MM/dd/yyyy"), pick(_SEC_OWNERS, r.ordinal % 4), ticker, F.concat(F.replace(r.asset_description_raw, F.lit(" "), F.lit(" &amp; ")), note), pick(("Stock", "Corporate Bond", "Other"), r.ordinal % 3), pick(_SEC_SIDES, r.ordinal % 4)]
+        return F.concat(F.lit("<tr>"), td(*cells, band), F.when(fault(12), "").otherwise(td(F.lit("--"))), F.lit("</tr>"))
+
+    body = F.array_join(F.transform("rows", line), "")
+    total = F.size("rows") + F.when(fault(6), 1).otherwise(0)
+    owners = F.transform("rows", lambda r: (r.ordinal % 4).cast("int"))
+    said = lambda k, label: F.concat(F.lit("<li>"), (F.size(owners) - F.size(F.array_remove(owners, k)) + F.when(fault(10), 1).otherwise(0)).cast("string"), F.lit(f" {label}</li>"))
+    summary = F.concat(F.lit("<li>("), total.cast("string"), F.when(total == 1, " transaction").otherwise(" transactions"), F.lit(" total)</li>"), said(0, "Self"), said(3, "Joint"), said(1, "Spouse"), said(2, "Dependent Child"))
+    title = F.when(fault(2), "Annual Report").otherwise(F.concat(F.lit("Periodic Transaction Report for 03/09/2024"), F.when(n % 3 == 0, " (Amendment 2)").otherwise("")))
+    text = F.concat(F.lit("<html><h1 class='mb-2'>"), title, F.lit("</h1><h2 class='filedReport'>A (B, C)</h2><p class='muted'><strong>Filed 03/09/2024 @ 1:23 PM</strong></p><section class='card'><ul>"), summary, F.lit('</ul></section><table class="table x"><thead><tr><th>#</th></tr></thead><tbody>'), body, F.lit("</tbody></table></html>"))
+    return rows.select(F.col("filing_id").alias("sha256"), text.alias("text"))
+
+
+@query(
+    "s7_report_pages",
+    f"""SELECT page, row, count(*) OVER (PARTITION BY page) - row + 1 AS printed, (['buy', 'sell', 'sell', 'exchange'])[ordinal % 4 + 1] AS side, (['self', 'spouse', 'dependent', 'joint'])[ordinal % 4 + 1] AS owner,
+               replace(asset_description_raw, ' ', ' & ') AS asset, (['equity', 'bond', 'other'])[ordinal % 3 + 1] AS class, transaction_date AS traded, CASE WHEN low_cents IS NULL THEN 5000000000 ELSE 100100 END AS low_cents,
+               CASE WHEN low_cents IS NOT NULL THEN 1500000 END AS high_cents, CASE WHEN ordinal % 3 = 0 THEN 'T' || ordinal END AS ticker, CASE WHEN ordinal % 4 = 1 THEN 'Rate/Coupon: 5%' END AS detail, CASE WHEN n % 3 = 0 THEN 2 END AS amendment,
+               ordinal % 4 = 2 AS partial, CAST(100 - CASE WHEN ordinal % 3 = 2 THEN 5 ELSE 0 END - CASE WHEN ordinal % 4 = 1 THEN 2 ELSE 0 END AS INTEGER) AS confidence
+        FROM ({_PAGE_ROWS}) r WHERE n % 16 NOT IN ({', '.join(map(str, PAGE_FAULTS))})""",
+)
+def s7(d):
+    """Gold rows of all report pages; pages with a fault give none."""
+    rows = ADAPTERS["us_senate"].normalize(ADAPTERS["us_senate"].parse(report_pages(d)))
+    part = lambda name, kind: F.from_json("details", f"{name} {kind}")[name]
+    return rows.select(
+        F.col("sha256").alias("page"), F.col("row_ordinal").cast("long").alias("row"), part("row_number", "string").cast("long").alias("printed"), "side", "owner", F.col("asset_description_raw").alias("asset"), F.col("asset_class").alias("class"), F.col("transaction_date").alias("traded"),
+        "low_cents", "high_cents", part("ticker", "string").alias("ticker"), part("asset_detail", "string").alias("detail"), part("amendment_number", "int").alias("amendment"), part("partial_sale", "boolean").alias("partial"), F.round(F.col("extraction_confidence") * 100).cast("int").alias("confidence"),
+    )
+
+
+@query("s7_rejected", f"SELECT DISTINCT page, CASE n % 16 {' '.join(f'WHEN {k} THEN {v!r}' for k, v in PAGE_FAULTS.items())} END AS reason FROM ({_PAGE_ROWS}) r WHERE n % 16 IN ({', '.join(map(str, PAGE_FAULTS))})")
+def s7_rejected(d):
+    """Report pages with a fault, and why they are rejected whole."""
+    return senate.rejected(report_pages(d)).select(F.col("sha256").alias("page"), "reason")
+
+
+# Conformance: declarations of each filing's holdings against the rows expected of them, of which some are wrong.
+_HOLDINGS = "SELECT filing_id, ordinal, CAST(filing_id AS BIGINT) + ordinal AS n, row_number() OVER (PARTITION BY filing_id ORDER BY ordinal) - 1 AS position FROM line WHERE record_type = 'holding'"
+
+
+def _holdings(d) -> DataFrame:
+    rows = d.line.where("record_type = 'holding'")
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("filing_id").orderBy("ordinal")) - 1).withColumn("n", F.col("filing_id").cast("long") + F.col("ordinal"))
+
+
+@query(
+    "x1_conformance",
+    f"""SELECT filing_id AS "case", 'silver' AS stage, position, CASE WHEN n % 11 = 3 THEN 'unexpected' WHEN n % 11 = 5 THEN 'missing' ELSE 'differs' END AS problem, CASE n % 11 WHEN 7 THEN '$.asset_description_raw' WHEN 9 THEN '$.asset_type_code_raw $.value_raw' ELSE '' END AS paths
+        FROM ({_HOLDINGS}) h WHERE n % 11 IN (3, 5, 7, 9)
+        UNION ALL SELECT filing_id, 'silver', NULL, 'zero_rows', '' FROM ({_HOLDINGS}) h GROUP BY filing_id HAVING bool_and(n % 11 = 5)""",
+)
+def x1(d):
+    """Where an adapter's rows are not as expected, with the paths that differ."""
+    held = _holdings(d)
+    words = F.concat(F.lit("Casa "), "asset_description_raw")
+    asset = F.struct(F.col("ordinal").cast("string").alias("NR_ORDEM_BEM_CANDIDATO"), F.lit("12").alias("CD_TIPO_BEM_CANDIDATO"), F.lit("Casa").alias("DS_TIPO_BEM_CANDIDATO"), words.alias("DS_BEM_CANDIDATO"), F.lit("1.000,50").alias("VR_BEM_CANDIDATO"), F.lit("02/10/2022").alias("DT_ULT_ATUAL_BEM_CANDIDATO"), F.lit("12:00:00").alias("HH_ULT_ATUAL_BEM_CANDIDATO"))
+    who = F.struct(F.col("filing_id").alias("SQ_CANDIDATO"), F.lit("N").alias("NM_CANDIDATO"), F.lit("AC").alias("SG_UF"), F.lit("02/10/2022").alias("DT_ELEICAO"), F.lit("2022").alias("ANO_ELEICAO"))
+    # a document has no row where one is missing; positions of those behind it are then its own
+    bronze = held.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("position", asset.alias("asset"), (F.col("n") % 11 == 5).alias("gone")))).alias("rows"))
+    bronze = bronze.select(F.col("filing_id").alias("sha256"), F.to_json(F.struct(who.alias("consulta_cand"), F.transform("rows", lambda r: F.when(~r.gone, r.asset)).alias("bem_candidato")), {"ignoreNullFields": "false"}).alias("text"))
+    adapter = ADAPTERS["br"]
+    got = adapter.parse(bronze).where("asset_description_raw IS NOT NULL")
+    n = F.col("n") % 11
+    wrong = {"asset_description_raw": F.when(n == 7, F.lit("?")).otherwise(words), "asset_type_code_raw": F.when(n == 9, F.lit("13")).otherwise("12"), "value_raw": F.when(n == 9, F.lit(None)).otherwise("1.000,50")}
+    given = {"sha256": F.col("filing_id"), "position": F.col("position"), "sq_candidato": F.col("filing_id"), "nm_candidato": F.lit("N"), "sg_uf": F.lit("AC"), "dt_eleicao_raw": F.lit("02/10/2022"), "election_year_raw": F.lit("2022"), "line_item_ordinal_raw": F.col("ordinal").cast("string"), "asset_type_label_raw": F.lit("Casa"), "last_updated_date_raw": F.lit("02/10/2022"), "last_updated_time_raw": F.lit("12:00:00")}
+    expected = held.where(n != 3).select(*[({**given, **wrong})[f.name].cast(f.dataType).alias(f.name) for f in got.schema])
+    report = conformance.differences(got, expected, "sha256", "position", "silver").unionByName(conformance.empty_cases(got, expected, "sha256"))
+    return report.select("case", "stage", "position", "problem", F.array_join("paths", " ").alias("paths"))

@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from abc import ABC, abstractmethod
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from . import scans
-
-
-class SourceAdapter(ABC):
-    """What a source has to say; scanning, writing and publishing are shared."""
-
-    regime: str
-    identity_columns: tuple[str, ...]
-    review_rules: tuple = ()
-
-    @abstractmethod
-    def parse(self, bronze: DataFrame) -> DataFrame:
-        """Silver rows of documents (sha256, text)."""
-
-    @abstractmethod
-    def normalize(self, silver: DataFrame) -> DataFrame:
-        """Gold candidates of silver rows."""
+from .base import SourceAdapter
+from .senate import Senate
 
 
 class Brazil(SourceAdapter):
@@ -55,22 +39,29 @@ class Brazil(SourceAdapter):
             F.col("b.DS_BEM_CANDIDATO").alias("asset_description_raw"),
             F.col("b.VR_BEM_CANDIDATO").alias("value_raw"),
             F.col("b.DT_ULT_ATUAL_BEM_CANDIDATO").alias("last_updated_date_raw"),
+            F.col("b.HH_ULT_ATUAL_BEM_CANDIDATO").alias("last_updated_time_raw"),
         )
 
     def normalize(self, silver: DataFrame) -> DataFrame:
         value = S.comma_decimal(F.col("value_raw"))
-        known = S.mapped(F.col("asset_type_code_raw"), S.BR_ASSET_CLASSES)
+        kind = S.mapped(F.col("asset_type_code_raw"), S.BR_ASSET_CLASSES, "other")
+        ordinal = F.col("line_item_ordinal_raw").try_cast("int")
+        details = F.struct(
+            "asset_type_code_raw", "asset_type_label_raw", kind.alias("asset_class"), "asset_description_raw", "value_raw", F.col("election_year_raw").try_cast("int").alias("election_year"), ordinal.alias("line_item_ordinal"),
+            "last_updated_date_raw", "last_updated_time_raw",
+        )
         return silver.select(
             "sha256",
             F.concat_ws(":", "election_year_raw", "sg_uf", "sq_candidato").alias("filing_key"),
             F.lit("holding").alias("record_type"),
-            F.coalesce(known, F.lit("other")).alias("asset_class"),
+            kind.alias("asset_class"),
             "asset_description_raw",
             S.day_first_date(F.col("dt_eleicao_raw")).alias("as_of_date"),
             value.alias("value_low"),
             value.alias("value_high"),
             F.lit("BRL").alias("currency"),
-            F.col("line_item_ordinal_raw").cast("int").alias("ordinal"),
+            ordinal.alias("ordinal"),
+            F.to_json(details, {"ignoreNullFields": "false"}).alias("details"),
         )
 
 
@@ -142,33 +133,4 @@ class UnitedKingdom(SourceAdapter):
         )
 
 
-class Senate(SourceAdapter):
-    """Periodic reports: one HTML page with a table of nine cells a row; two hyphens stand for nothing."""
-
-    regime = "us_senate"
-    identity_columns = ("sha256",)
-
-    def parse(self, bronze: DataFrame) -> DataFrame:
-        rows = bronze.select("sha256", F.posexplode(scans.table_rows("text")).alias("row_ordinal", "c")).where(F.size("c") == 9)
-        names = ("row_number_raw", "transaction_date_raw", "owner_raw", "ticker_raw", "asset_name_raw", "asset_type_raw", "transaction_type_raw", "amount_raw", "comment_raw")
-        return rows.select("sha256", "row_ordinal", *[F.nullif(F.col("c")[k], F.lit("--")).alias(n) for k, n in enumerate(names)])
-
-    def normalize(self, silver: DataFrame) -> DataFrame:
-        bands = S.band_table(silver.sparkSession).withColumnRenamed("band", "amount_raw")
-        owner = S.mapped(F.col("owner_raw"), S.OWNER_WORDS)
-        side = S.mapped(F.col("transaction_type_raw"), S.SIDES)
-        return silver.join(bands, "amount_raw", "left").select(
-            "sha256",
-            "row_ordinal",
-            F.lit("transaction").alias("record_type"),
-            F.col("asset_name_raw").alias("asset_description_raw"),
-            side.alias("side"),
-            owner.alias("owner"),
-            S.us_date(F.col("transaction_date_raw")).alias("transaction_date"),
-            "low_cents",
-            "high_cents",
-            (side.isNull() | owner.isNull() | F.col("low_cents").isNull()).alias("rejected"),
-        )
-
-
 ADAPTERS = {a.regime: a for a in (Brazil(), UnitedKingdom(), Senate())}

@@ -83,43 +83,6 @@ def document_links(pages: DataFrame, key: str, html: str = "html", folder: str =
     return rows.groupBy(key, "stem").agg(F.min_by("href", "position").alias("href")).select(key, "href", "stem")
 
 
-class _Cells(HTMLParser):
-    """Rows of cells of all table bodies; text of nested elements is joined."""
-
-    def __init__(self):
-        super().__init__()
-        self.rows, self.row, self.cell = [], None, None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.row = []
-        elif tag == "td" and self.row is not None:
-            self.cell = []
-
-    def handle_endtag(self, tag):
-        if tag == "td" and self.cell is not None:
-            self.row.append(" ".join("".join(self.cell).split()))
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            if self.row:
-                self.rows.append(self.row)
-            self.row = None
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def table_rows(html: pd.Series) -> pd.Series:
-    def cells(page):
-        parser = _Cells()
-        parser.feed(page or "")
-        return parser.rows
-
-    return html.map(cells)
-
-
 class _Fields(HTMLParser):
     """(section, term, text) of definition lists and list items; a heading holds until the next one."""
 

@@ -284,14 +284,6 @@ def test_united_kingdom_values(spark):
         a.parse(spark.createDataFrame([("s", '{"id":1,"news":2}')], "sha256 string, text string")).collect()
 
 
-def test_senate(spark):
-    page = "<table class='table'><tbody><tr>" + "".join(f"<td>{c}</td>" for c in ("1", "03/04/2024", "Spouse", "--", "<b>Acme</b> Inc", "Stock", "Sale (Partial)", "$1,001 - $15,000", "--")) + "</tr><tr><td>x</td></tr></tbody></table>"
-    a = adapters.ADAPTERS["us_senate"]
-    silver = a.parse(spark.createDataFrame([("s", page), ("n", None)], "sha256 string, text string"))
-    row = a.normalize(silver).collect()
-    assert [(r.side, r.owner, r.low_cents, r.rejected, r.asset_description_raw) for r in row] == [("sell", "spouse", 100100, False, "Acme Inc")]
-
-
 def test_listed_fields(spark):
     page = "<h2>Gifts</h2><dl><dt>From</dt><dd>A  B</dd></dl><h2>Posts</h2><ul><li>Chair</li></ul>"
     rows = spark.createDataFrame([(page,)], "t string").select(F.explode(scans.listed_fields("t")).alias("f")).select("f.*").collect()
