@@ -145,6 +145,26 @@ def f30(d):
     return d.filing.select("id", F.concat(F.lit("01ARZ3NDEKTSV4RRFFQ6"), tail).rlike(S.ULID).alias("valid"), F.concat(F.lit("81ARZ3NDEKTSV4RRFFQ6"), tail).rlike(S.ULID).alias("invalid"))
 
 
+@query("f33_watchlist", "SELECT l.filing_id, bool_or(coalesce(low_cents >= 8000000, TRUE)) OR bool_or(coalesce(CAST(f.politician_id AS BIGINT) % 10 = 3, FALSE)) AS high FROM line l JOIN filing f ON l.filing_id = f.id GROUP BY 1")
+def f33_watchlist(d):
+    """Filings with a high or unknown value, or of a filer on the watchlist."""
+    watched = d.politician.where("cast(id AS bigint) % 10 = 3").select(F.col("id").alias("politician_id"), F.lit(True).alias("watched"))
+    filer = d.filing.select(F.col("id").alias("filing_id"), "politician_id").join(watched, "politician_id", "left")
+    return d.line.select("filing_id", "low_cents").join(filer, "filing_id").groupBy("filing_id").agg(S.high_impact(F.col("low_cents"), 8000000, F.col("watched")).alias("high"))
+
+
+_MARKED = r"regexp_replace(body, '&(amp|lt|gt|quot|apos);', chr(1) || '\1;', 'g')"
+_ENTITIES = f"replace(replace(replace(replace(replace({_MARKED}, chr(1) || 'lt;', '<'), chr(1) || 'gt;', '>'), chr(1) || 'quot;', chr(34)), chr(1) || 'apos;', chr(39)), chr(1) || 'amp;', '&')"
+
+
+@query("f29_entities", f"SELECT id, sha256({_ENTITIES}) AS digest, len({_ENTITIES}) AS n FROM (SELECT id, replace(replace(body, '&', '&amp;'), '<', '&lt;') || ' &quot;' || id || '&apos; &gt;&amp;lt; &bogus; &' AS body FROM raw_document) q")
+def f29_entities(d):
+    """Escaped pages decoded once: what was escaped twice stays escaped once."""
+    body = F.concat(F.replace(F.replace("body", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(" &quot;"), "id", F.lit("&apos; &gt;&amp;lt; &bogus; &"))
+    text = d.raw_document.select("id", S.unescaped(body).alias("text"))
+    return text.select("id", F.sha2("text", 256).alias("digest"), F.char_length("text").cast("long").alias("n"))
+
+
 @query("f33_high_impact", "SELECT filing_id, bool_or(coalesce(low_cents >= 8000000, TRUE)) AS high FROM line GROUP BY 1")
 def f33(d):
     return d.line.groupBy("filing_id").agg(S.high_impact(F.col("low_cents"), 8_000_000).alias("high"))
