@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import stored
+
 #: a block ends with the record that reaches either
 BLOCK_CHARS, BLOCK_RECORDS = 1 << 20, 4096
 
@@ -134,7 +136,11 @@ def tables(files: DataFrame, member: str, columns: dict[str, tuple[str, ...]], e
 
 
 def sound(rows: DataFrame) -> DataFrame:
-    """Rows of archives without any fault: one bad row rejects its archive, so no part of a damaged table is filed."""
+    """Rows of archives without any fault: one bad row rejects its archive, so no part of a damaged table is filed.
+
+    The rows are stored, so archives are unpacked once.
+    """
+    rows = stored(rows, "archive_rows")
     return rows.join(rows.where("fault is not null").select("path").distinct(), "path", "left_anti").drop("fault")
 
 
