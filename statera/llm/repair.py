@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -41,6 +42,7 @@ END = 0
 BASE = 1 << 17  # the first symbol of a rule; every vocabulary here is smaller
 SHARD_TOKENS = 1 << 19
 LEAST = 4  # a pair is replaced while it occurs so often in a shard
+DENSE = 32  # a round sorts pairs and closes up the sequence while one in so many of its places may be replaced
 PIECES = 1_500_000
 LONG_PIECES = 200_000
 SLOT_BITS = 22
@@ -53,13 +55,25 @@ SHARD_DDL = "shard int, part int, symbols binary, rules binary, lengths binary,
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, lengths) of a sequence of ids below BASE; the sequence is a linked list while it shrinks."""
-    n = len(ids)
-    seq, after, before = ids.astype(np.int64), np.arange(1, n + 2), np.arange(-1, n)
-    rank, taken, gone = np.zeros(n + 1, np.int64), np.zeros(n + 1, bool), np.zeros(n, bool)
+    """(symbols, rules, lengths) of a sequence of ids below BASE.
+
+    While many places may be replaced, a round sorts their pairs and closes up the sequence; then it is a linked list
+    while it shrinks.
+    """
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
-    at = np.arange(max(n - 1, 0))  # left ends of the pairs that may be replaced
-    pair = (seq[:-1] << 32) | seq[1:]
+    seq = ids.astype(np.uint64)
+    at = np.arange(max(len(seq) - 1, 0))  # left ends of the pairs that may be replaced
+    while len(at) >= least and len(at) * DENSE > len(seq) and _bits(seq, lengths)[2] <= 64:
+        seq, at, rule = _replaced(seq, at, least, lengths)
+        rules.append(rule)
+        lengths = np.concatenate([lengths, expansion(rule[:, 0], lengths) + expansion(rule[:, 1], lengths)])
+    seq = seq.astype(np.int64)
+    if len(at) < least:
+        return seq.astype(np.uint32), np.concatenate(rules), lengths
+    n = len(seq)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    rank, taken, gone = np.zeros(n + 1, np.int64), np.zeros(n + 1, bool), np.zeros(n, bool)
+    pair = (seq[at] << 32) | seq[at + 1]
     while len(at) >= least:
         may = _may_be_frequent(pair, least)
         at, pair = at[may], pair[may]
@@ -119,6 +133,83 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
     return seq[~gone].astype(np.uint32), np.concatenate(rules), lengths
 
 
+def _bits(seq: np.ndarray, lengths: np.ndarray) -> tuple[int, int, int]:
+    """How many bits a symbol takes, a place, and two symbols with a place."""
+    symbol, place = (BASE + len(lengths)).bit_length(), len(seq).bit_length()
+    return symbol, place, 2 * symbol + place
+
+
+def _replaced(seq: np.ndarray, at: np.ndarray, least: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round over the pairs at ``at`` (ascending): the shorter sequence, the places left for a next round, the rules."""
+    n, fresh = len(seq), BASE + len(lengths)
+    symbol, place, _ = _bits(seq, lengths)
+    s, p = _U(symbol), _U(place)
+    first = seq[at]
+    second = seq[at + 1]
+    run = at[first == second]
+    where = (((first << s) | second) << p) | at.view(np.uint64)
+    where.sort()
+    pair = where >> p
+    edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    size = np.diff(np.append(edge, len(pair)))
+    pair, weight = pair[edge], size.copy()
+    if len(run):  # every second occurrence in a run of one symbol overlaps the one before it
+        step = np.arange(len(run))
+        goes_on = np.append(False, run[1:] == run[:-1] + 1)
+        run = run[(step - np.maximum.accumulate(np.where(goes_on, 0, step))) % 2 == 1]
+        np.subtract.at(weight, np.searchsorted(pair, (seq[run] << s) | seq[run]), 1)
+    often = weight >= least
+    where = (where[np.repeat(often, size)] & _U((1 << place) - 1)).view(np.int64)
+    pair, size, weight = pair[often], size[often], weight[often]
+    none = np.zeros((0, 2), np.uint32)
+    if not len(pair):
+        return seq, at[:0], none
+    # ranks from 1, so that the most frequent pair has the highest; rank[i + 1] is that of the pair at i
+    order = np.argsort(weight, kind="stable")
+    ordinal = np.empty(len(pair), np.int32)
+    ordinal[order] = np.arange(1, len(pair) + 1, dtype=np.int32)
+    rank = np.zeros(n + 1, np.int32)
+    rank[where + 1] = np.repeat(ordinal, size)
+    may = rank[1:-1] > 0
+    rank[run + 1] = 0
+    left = rank.copy()
+    chosen = (left[1:-1] > left[:-2]) & (left[1:-1] > left[2:])
+    for _ in range(2):  # what is left after that waits for the next round
+        left[1:-1] *= ~_near(chosen)
+        more = (left[1:-1] > left[:-2]) & (left[1:-1] > left[2:])
+        if not more.any():
+            break
+        chosen |= more
+    first = np.flatnonzero(chosen)
+    kind = rank[first + 1]
+    enough = np.bincount(kind, minlength=len(pair) + 1) >= least
+    stays = enough[kind]
+    chosen[first[~stays]] = False
+    first, kind = first[stays], kind[stays]
+    new = np.flatnonzero(enough)
+    number = np.zeros(len(enough), np.uint64)
+    number[new] = np.arange(fresh, fresh + len(new), dtype=np.uint64)
+    made = pair[order[new - 1]]
+    seq[first] = number[kind]
+    # pairs that were frequent and are untouched, and all with a new symbol
+    may &= ~_near(chosen)
+    may |= chosen
+    may[first[first > 0] - 1] = True
+    keep = np.ones(n, bool)
+    keep[first + 1] = False
+    at = np.flatnonzero(may[keep[:-1]])
+    seq = seq[keep]
+    return seq, at[at < len(seq) - 1], np.stack([made >> s, made & _U((1 << symbol) - 1)], 1).astype(np.uint32)
+
+
+def _near(chosen: np.ndarray) -> np.ndarray:
+    """Places that are chosen or stand next to one that is."""
+    out = chosen.copy()
+    out[1:] |= chosen[:-1]
+    out[:-1] |= chosen[1:]
+    return out
+
+
 def _slots(pair: np.ndarray, bits: int, turn: int) -> np.ndarray:
     return (pair * _U(MULTIPLIERS[turn]) >> _U(64 - bits)).view(np.int64)
 
@@ -204,6 +295,14 @@ def decode(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: i
     return expand(symbols[lo:hi], rules, lengths)[start - skipped : stop - skipped]
 
 
+#: a piece that the tokenizer's split leaves whole but for a line end in front: ASCII letters and U+00C0 to U+00FF, or digits
+ONE_WORD = re.compile(rb"[ \n]?(?:(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+|[0-9]+)").fullmatch
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+CHARS = np.zeros(256, "<u4")  # the character that stands for each byte in a byte-level vocabulary; a blank for 0xFF
+CHARS[_PRINTED] = _PRINTED
+CHARS[[k for k in range(256) if k not in _PRINTED]] = range(0x100, 0x200 - len(_PRINTED))
+CHARS[0xFF] = 0x20
+
 SHORT = 15  # bytes of a piece that is known by two words, the last byte of which is its length
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
@@ -223,6 +322,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
@@ -232,6 +332,8 @@ class Encoder:
             raise ValueError("a byte-level tokenizer with the usual split, no normalizer and at most 65,536 ids is needed")
         self.added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values() if token.content]
         self.tokenizer.model._resize_cache(0)  # pieces that it sees are new by construction
+        self.of_words = Tokenizer(self.tokenizer.model)  # for pieces whose split is known, in the vocabulary's characters
+        self.of_words.pre_tokenizer = CharDelimiterSplit(" ")
         # in a byte-level vocabulary a character stands for a byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(True), np.int64)
         for token, k in self.tokenizer.get_vocab(True).items():
@@ -280,7 +382,27 @@ class Encoder:
             h, number, slot = h[left], number[left], (slot[left] + 1) & (SLOTS - 1)
 
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces and where those of each begin and end; encoded as one text, cut where their bytes end."""
+        """Ids of all pieces and where those of each begin and end; those of one word go past the library's own split."""
+        word = np.array([ONE_WORD(p) is not None for p in pieces])
+        ids, spans = np.zeros(0, np.uint16), np.zeros((len(pieces), 2), np.int64)
+        for encode, mine in ((self._words, np.flatnonzero(word)), (self._others, np.flatnonzero(~word))):
+            if len(mine):
+                found, cuts = encode([pieces[k] for k in mine.tolist()])
+                spans[mine] = cuts + len(ids)
+                ids = np.concatenate([ids, found])
+        return ids, spans
+
+    def _words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """_encoded of pieces of one word; 0xFF is no byte of UTF-8 and sets them and line ends off."""
+        chars = CHARS[np.frombuffer(b"\xff".join(pieces).replace(b"\n", b"\n\xff"), np.uint8)]
+        found = self.of_words.encode_batch_fast([chars.tobytes().decode("utf-32-le")], add_special_tokens=False)
+        ids = np.array(found[0].ids, np.uint16)
+        stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), stops, "left") + 1
+        return ids, np.stack([np.concatenate(([0], ends[:-1])), ends], 1)
+
+    def _others(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """_encoded of any pieces, as one text that is cut where their bytes end."""
         # a piece without white space in front of it is set off by a line end, whose id is left out again
         bare = np.array([p[0] != 32 and p[0] != 10 for p in pieces])
         joined = b"".join([b"\n" + p if b else p for p, b in zip(pieces, bare.tolist())])

@@ -117,6 +117,37 @@ def test_compression_leaves_no_frequent_pair(least):
         assert all(n >= least for n in uses(symbols, rules).values())
 
 
+@pytest.mark.parametrize("dense", [0, 3, 1 << 40])
+def test_sorted_and_linked_rounds_compress_alike(dense, monkeypatch):
+    monkeypatch.setattr(repair, "DENSE", dense)
+    for least in (2, 4, 64):
+        test_compression_leaves_no_frequent_pair(least)
+        test_compression_round_trip(least)
+
+
+def test_half_a_million_ids_take_few_linked_rounds(monkeypatch):
+    """The rounds over most of a shard sort its pairs; the hash tables of the others see a small rest of it."""
+    seen, may = [], repair._may_be_frequent
+    monkeypatch.setattr(repair, "_may_be_frequent", lambda pair, least: (seen.append(len(pair)), may(pair, least))[1])
+    ids = (np.random.default_rng(5).pareto(0.4, 1 << 17) % 50_000).astype(np.uint32)
+    symbols, rules, lengths = repair.compress(ids)
+    assert (repair.expand(symbols, rules, lengths) == ids).all()
+    assert sum(seen) < len(ids) // 4
+
+
+def test_pieces_of_one_word_go_past_the_split(encoder, monkeypatch):
+    one = repair.Encoder(tokenizers.path("byte_bpe_50k.json"))
+    split = []
+    others = one._others
+    monkeypatch.setattr(one, "_others", lambda pieces: (split.extend(pieces), others(pieces))[1])
+    texts = ["Straßenübung naïveté zzyzx\nQwertyuiop 1234567\n99 Ævar x", "a1b2 ключ it's 5×6 ÷ x² ªº ĸ \x00q qé́"]
+    ids, at = one(*flat(pa.array(texts)))
+    for k, e in enumerate(encoder.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == e.ids + [0]
+    assert not {p.strip() for p in split} & {w.encode() for w in texts[0].split()}
+    assert {" ключ".encode(), b" a1b2", " 5×6".encode()} <= {b" " + p.strip() for p in split}
+
+
 def test_shards(spark, docs, texts, none, encoder):
     path = shared.new_path(spark, "ids")
     repair.write(docs, path, tokenizers.path("byte_bpe_50k.json"), 3)
