@@ -2,7 +2,9 @@
 
 Strings are the rows ("lanes") of a matrix.  Suffix array construction by induced sorting is a scan that cannot be
 vectorised along a string, but lanes are independent, so each step of a scan handles one position of every lane.  Rows
-are padded in front with a symbol above all others; the suffixes that start there are dropped at the end.
+are padded in front with a symbol above all others; the suffixes that start there are dropped at the end.  The
+leftmost-smaller suffixes, from which all others are induced in one scan each way, need no scan: their substrings are
+named by sorting packed words of symbols, in all lanes at once, and their order follows from names by doubling.
 
 Inside, position ``i`` of lane ``k`` is number ``i * lanes + k``, so that a step of a scan reads neighbours in memory.
 """
@@ -45,9 +47,7 @@ def _suffix_arrays(text: np.ndarray, n_symbols: int) -> np.ndarray:
     def induced(at: np.ndarray) -> np.ndarray:
         """Sort all suffixes from the leftmost-smaller ones, given in their order in each lane."""
         sa = np.full(n * lanes, -1, np.int64)
-        bucket = slot[at]
-        order = np.argsort(bucket, kind="stable")
-        b = bucket[order]
+        b, order = _sorted(slot[at], np.arange(len(at)))
         first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
         count = np.diff(np.append(first, len(b)))
         rank = np.arange(len(b)) - np.repeat(first, count)
@@ -75,54 +75,88 @@ def _suffix_arrays(text: np.ndarray, n_symbols: int) -> np.ndarray:
 
     # leftmost-smaller positions lane by lane, in text order
     who, where = np.nonzero(lms.T)
-    sa = induced(where * lanes + who)
-    # in the order found, neighbours that are the same leftmost-smaller substring get one name
-    by_lane = np.flatnonzero(lms.reshape(-1)[sa])
-    by_lane = by_lane[np.argsort(by_lane % lanes, kind="stable")]
-    found = sa[by_lane]
-    stop = np.append(where[1:], n - 1)
-    stop[np.append(who[1:] != who[:-1], True)] = n - 1
-    length = np.zeros(n * lanes, np.int32)
-    length[where * lanes + who] = stop - where
-    new = np.concatenate(([True], found[1:] % lanes != found[:-1] % lanes))
-    a, b = found[:-1], found[1:]
-    live = np.flatnonzero(~new[1:])
-    same = length[a[live]] == length[b[live]]
-    new[1:][live[~same]] = True
-    live = live[same]
-    flat = text.reshape(-1)
-    k = 0
-    while len(live):
-        # symbols alike, and neither the end nor unlike: the types of alike substrings are alike where their ends are
-        same = flat[a[live] + k * lanes] == flat[b[live] + k * lanes]
-        new[1:][live[~same]] = True
-        live = live[same]
-        k += 1
-        live = live[length[a[live]] >= k]
-    first = np.flatnonzero(np.concatenate(([True], found[1:] % lanes != found[:-1] % lanes)))
-    name = np.cumsum(new) - 1
-    name -= np.repeat(name[first], np.diff(np.append(first, len(found))))
-    if new.all():
-        sa = induced(found)  # all names differ, so their order is that of the suffixes
-    else:
-        named = np.zeros(n * lanes, np.int64)
-        named[found] = name
-        counts = np.bincount(who, minlength=lanes)
-        m = int(counts.max())
-        pad = m - counts
-        top = int(name.max())
-        reduced = np.full((m, lanes), top + 1, np.int32)
-        place = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(pad, counts)
-        reduced[place, who] = named[where * lanes + who]
-        position = np.zeros((m, lanes), np.int64)
-        position[place, who] = where
-        inner = _suffix_arrays(reduced, top + 2)
-        real = (inner >= pad).T
-        ordered = np.take_along_axis(position, inner.astype(np.int64), 0).T[real]
-        sa = induced(ordered * lanes + np.repeat(lane, counts))
+    sa = induced((where * lanes + who)[_leftmost_smaller(text, n_symbols, who, where)])
     return (sa.reshape(n, lanes) // lanes).astype(np.int32)
 
 
+def _sorted(*keys: np.ndarray) -> list[np.ndarray]:
+    """Non-negative columns sorted by the first, then the next; packed into words where they fit."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 63:
+        order = np.lexsort(keys[::-1])
+        return [k[order] for k in keys]
+    word = keys[0].astype(np.int64)
+    for k, width in zip(keys[1:], bits[1:]):
+        word = (word << width) | k
+    word.sort()
+    out = []
+    for width in bits[:0:-1]:
+        out.append(word & ((1 << width) - 1))
+        word = word >> width
+    return [word, *out[::-1]]
+
+
+def _named(name: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """New names in the order of (name, key), both sorted: a name is the number of entries before those that have it."""
+    place = np.arange(len(name))
+    turn = name[1:] != name[:-1]
+    of_name = np.maximum.accumulate(np.where(np.append(True, turn), place, 0))
+    of_both = np.maximum.accumulate(np.where(np.append(True, turn | (key[1:] != key[:-1])), place, 0))
+    return name + (of_both - of_name)
+
+
+def _leftmost_smaller(text: np.ndarray, n_symbols: int, who: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The order of the suffixes at these positions, given lane by lane, in each lane."""
+    n, lanes = text.shape
+    total = len(who)
+    # words of as many symbols as fit; a substring ends with the first symbol of the next, and then all bits are set:
+    # of two that begin alike, the longer one goes on with a larger suffix there, so it comes first
+    bits = n_symbols.bit_length()
+    per, packed = 1, text.astype(np.uint64)
+    while 2 * per * bits <= 64:
+        packed <<= np.uint64(per * bits)
+        packed[: max(n - per, 0)] |= packed[per:] >> np.uint64(per * bits)
+        per *= 2
+    packed = packed.reshape(-1)
+    rest = np.array([(1 << (bits * (per - k))) - 1 for k in range(per + 1)], np.uint64)  # the places after k symbols
+    last = np.append(who[1:] != who[:-1], True)
+    size = np.where(last, 1, np.append(where[1:], n) - where + 1)
+    at = where * lanes + who
+
+    def words(some: np.ndarray, k: int) -> np.ndarray:
+        begin = np.minimum(at[some] + k * per * lanes, n * lanes - 1)
+        return packed[begin] | rest[np.clip(size[some] - k * per, 0, per)]
+
+    word = words(np.arange(total), 0)
+    order = np.argsort(word)
+    name = np.empty(total, np.int64)
+    name[order] = _named(np.zeros(total, np.int64), word[order])
+    for k in range(1, -(-int(size.max()) // per)):
+        goes_on = np.zeros(total, bool)
+        goes_on[name[size > k * per]] = True
+        some = np.flatnonzero(goes_on[name] & (np.bincount(name, minlength=total)[name] > 1))
+        if not len(some):
+            break
+        word = words(some, k)
+        order = np.lexsort((word, name[some]))
+        name[some[order]] = _named(name[some[order]], word[order])
+    # suffixes are alike in ``step`` substrings where their ranks are; the end of a lane is unlike all else in it
+    lane, name, at = _sorted(who, name, np.arange(total))
+    rank = np.empty(total, np.int64)
+    rank[at] = _named(np.searchsorted(lane, lane), name)
+    step = 1
+    while True:
+        live = np.flatnonzero(np.bincount(rank, minlength=total)[rank] > 1)
+        if not len(live):
+            break
+        own, following, live = _sorted(rank[live], rank[live + step], live)
+        rank[live] = _named(own, following)
+        step *= 2
+    order = np.empty(total, np.int64)
+    order[rank] = np.arange(total)
+    return order
+
+
 def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """In text order: how many symbols each suffix shares with the one before it in its suffix array.
 

@@ -235,13 +235,16 @@ def _repeats(text, counts, size, first, length, lane, place, n) -> tuple[np.ndar
     # strings end their lanes: the padding is in front
     shift = n - used
     rolled = np.zeros_like(data)
-    symbols = np.full((len(data), n + 1), 257, np.int32)
+    occurring = np.flatnonzero(np.bincount(blob, minlength=256))
+    number = np.zeros(256, np.int32)
+    number[occurring] = np.arange(1, len(occurring) + 1)
+    symbols = np.full((len(data), n + 1), len(occurring) + 1, np.int32)
     symbols[:, n] = 0
     for k, by in enumerate(shift.tolist()):
         rolled[k, by:] = data[k, : n - by]
-        symbols[k, by:n] = rolled[k, by:].astype(np.int32) + 1
+        symbols[k, by:n] = number[rolled[k, by:]]
     start = start + shift[np.repeat(lane, length)]
-    sa = suffix_arrays(symbols, 258)[:, 1:]
+    sa = suffix_arrays(symbols, len(occurring) + 2)[:, 1:]
     same = permuted_common_prefixes(rolled, sa) >= LENGTH
     flat_sa = (sa + (np.arange(len(data), dtype=np.int64) * n)[:, None]).reshape(-1)
     group = np.empty(len(flat_sa), np.int64)

@@ -210,6 +210,35 @@ def test_suffix_arrays():
     assert suffix.suffix_arrays(np.array([[2, 1, 2, 1, 2, 0]], np.int32), 3).tolist() == [[5, 3, 1, 4, 2, 0]]
 
 
+def test_suffix_arrays_take_one_scan_each_way(monkeypatch):
+    """Long substrings, those that begin alike, wide alphabets and deep repeats need no arrays of reduced strings."""
+    calls, whole = [], suffix._suffix_arrays
+    monkeypatch.setattr(suffix, "_suffix_arrays", lambda *args: (calls.append(1), whole(*args))[1])
+    r = np.random.default_rng(3)
+    falls = np.concatenate([np.arange(k, 0, -1) for k in r.integers(1, 60, 40)])[:600]
+    rises = np.concatenate([np.arange(1, k) for k in r.integers(2, 40, 80)])[:600]
+    flat = np.where(r.random(600) < 0.03, 2, 1)
+    deep = np.tile(np.array([3, 1, 2, 2, 1]), 120)
+    wide = r.integers(1, 257, 600)
+    wide[300:450] = wide[50:200]
+    steps = np.repeat(r.integers(1, 3, 60), 10)
+    t = np.zeros((6, 601), np.int32)
+    for lane, row in enumerate((falls, rises, flat, deep, wide, steps)):
+        t[lane, :600] = np.concatenate([np.full(600 - len(row), 257), row])
+    for symbols, lanes in ((258, t), (62, t[[0, 2, 3, 5]]), (4, t[[2, 3, 5]])):
+        for row, found in zip(lanes.tolist(), suffix.suffix_arrays(lanes, max(symbols, int(lanes.max()) + 1)).tolist()):
+            assert found == sorted(range(601), key=lambda i: row[i:])  # noqa: B023
+    assert len(calls) == 3
+
+
+def test_columns_too_wide_for_a_word_sort_alike():
+    r = np.random.default_rng(4)
+    for wide in (8, 1 << 40):
+        a, b = r.integers(0, 5, 300) * wide, r.integers(0, wide, 300)
+        found = suffix._sorted(a, b, np.arange(300))
+        assert list(zip(*(c.tolist() for c in found))) == sorted(zip(a.tolist(), b.tolist(), range(300)))
+
+
 def test_permuted_common_prefixes():
     r = np.random.default_rng(1)
     for lanes, n, k in [(1, 40, 1), (6, 150, 2), (4, 90, 5)]:
