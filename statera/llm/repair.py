@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -295,8 +294,28 @@ def decode(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: i
     return expand(symbols[lo:hi], rules, lengths)[start - skipped : stop - skipped]
 
 
-#: a piece that the tokenizer's split leaves whole but for a line end in front: ASCII letters and U+00C0 to U+00FF, or digits
-ONE_WORD = re.compile(rb"[ \n]?(?:(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+|[0-9]+)").fullmatch
+# bytes of ASCII letters and of U+00C0 to U+00FF without the two signs among them
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
+_DIGITS = np.zeros(256, bool)
+_DIGITS[0x30:0x3A] = True
+
+
+def one_word(pieces: list[bytes], size: np.ndarray) -> np.ndarray:
+    """Which pieces the tokenizer's split leaves whole but for a line end in front: words of these letters, or digits."""
+    raw = b"".join(pieces)
+    start = np.cumsum(size) - size
+    first = np.frombuffer(raw, np.uint8)[start]
+    rest = size - ((first == 0x20) | (first == 0x0A))
+    letters, digits = (np.add.reduceat(marked(raw, table), start, dtype=np.int64) for table in (_LETTERS, _DIGITS))
+    return (rest > 0) & ((letters == rest) | (digits == rest))
+
+
+def marked(raw: bytes, table: np.ndarray) -> np.ndarray:
+    """table[byte] of each byte."""
+    return np.frombuffer(raw.translate(table.tobytes()), bool)
+
+
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 CHARS = np.zeros(256, "<u4")  # the character that stands for each byte in a byte-level vocabulary; a blank for 0xFF
 CHARS[_PRINTED] = _PRINTED
@@ -383,7 +402,7 @@ class Encoder:
 
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces and where those of each begin and end; those of one word go past the library's own split."""
-        word = np.array([ONE_WORD(p) is not None for p in pieces])
+        word = one_word(pieces, np.fromiter(map(len, pieces), np.int64, len(pieces)))
         ids, spans = np.zeros(0, np.uint16), np.zeros((len(pieces), 2), np.int64)
         for encode, mine in ((self._words, np.flatnonzero(word)), (self._others, np.flatnonzero(~word))):
             if len(mine):
@@ -513,8 +532,6 @@ class Encoder:
         return out, out_at
 
 
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, 0x0A]] = True
 _STOPS = np.zeros(256, bool)
 _STOPS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True  # ASCII punctuation and symbols
 _ALNUM = np.zeros(256, bool)
@@ -525,8 +542,8 @@ _ODD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] =
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where pieces begin: at white space, at punctuation after a letter or digit, and at the start of a text."""
-    out = _SPACES[data]
-    stop = np.flatnonzero(_STOPS[data])
+    out = (data == 0x20) | (data == 0x0A)
+    stop = np.flatnonzero(marked(data.tobytes(), _STOPS))
     stop = stop[stop > 1]
     last, lead = data[stop - 1], data[stop - 2]
     # a digit, an ASCII letter, or U+00C0 to U+00FF without the two signs among them
@@ -541,13 +558,13 @@ def odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     odd = np.zeros(len(offsets) - 1, bool)
     if not n:
         return odd
-    space = _SPACES[data]
+    space = (data == 0x20) | (data == 0x0A)
     bad = np.zeros(n, bool)
     bad[1:] = space[1:] & space[:-1]
     filled = offsets[:-1] < offsets[1:]
     bad[offsets[:-1][filled]] |= space[offsets[:-1][filled]]
     bad[offsets[1:][filled] - 1] |= space[offsets[1:][filled] - 1]
-    k = np.flatnonzero(_ODD[data])
+    k = np.flatnonzero(marked(data.tobytes(), _ODD))
     padded = np.concatenate([data, np.zeros(2, np.uint8)])
     a, b, c = padded[k], padded[k + 1], padded[k + 2]
     wide = (a == 0xE2) & (((b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | np.isin(c, (0xA8, 0xA9, 0xAF)))) | ((b == 0x81) & (c == 0x9F)))
