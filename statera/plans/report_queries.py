@@ -115,7 +115,7 @@ def declaration_xml(d) -> DataFrame:
     ))
     both = F.concat(entry(""), F.when(ordinal % 3 == 0, entry(" again")).otherwise(""))
     xml = F.concat(tag(section, F.concat(tag(F.lit("items"), both), F.lit("<neant>false</neant>"))), F.when(fault(3), "<autreDto><neant>true</neant></autreDto>").otherwise("<observationInteretDto/>"))
-    parts = d.line.select("filing_id", "ordinal", xml.alias("xml")).groupBy(F.col("filing_id").alias("document")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "xml"))), lambda x: x.xml), "\n").alias("body"))
+    parts = d.line_by_filing().select("filing_id", "ordinal", xml.alias("xml")).groupBy(F.col("filing_id").alias("document")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "xml"))), lambda x: x.xml), "\n").alias("body"))
     of = F.col("document").cast("long") % 16
     general = F.when(of == 7, "").otherwise("<general><organe>o</organe></general>")
     return parts.select("document", F.concat(F.lit('<?xml version="1.0"?>\n<!-- made --><declaration>'), general, "body", F.when(of == 5, "").otherwise("</declaration>")).alias("xml"))

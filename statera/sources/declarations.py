@@ -29,6 +29,21 @@ _ENTRIES = "items STRUCT<items: ARRAY<MAP<STRING, STRING>>>"
 _PAY = "brutNet STRING, montant STRUCT<montant: ARRAY<STRUCT<annee: STRING, montant: STRING>>>"
 
 
+def _nested(name: str, levels: int, group: int, attributes: str = "") -> str:
+    """Pattern of an element of up to so many levels, without comments and empty tags with attributes; ``group`` is the number of its own."""
+    inside = rf"[^<>]*(?:{_nested(_PLAIN_NAME, levels - 1, group + 1)}[^<>]*)*+" if levels > 1 else "[^<>]*"
+    return rf"<({name}){attributes}(?:/>|>{inside}</\{group}>)"
+
+
+# Documents in their usual form are cut by one pattern into sections, plain elements themselves, and the tags around them.
+# What the patterns match is well-formed too: up to SECTION_DEPTH levels inside the rest, which has up to the others.
+_SECTION_DEPTH = 7
+_PLAIN_NAME = r"[A-Za-z_][\w.-]*(?<!Dto)"
+_PARTS = rf"{_nested(r'[A-Za-z_][\w.-]*+(?<=Dto)', _SECTION_DEPTH, 1, r'(?:\s[^<>/]*)?')}|<[^<>]*>[^<>]*|[^<>]+|(?s:.+)"
+_IS_SECTION = rf"^<{_NAME}Dto[\s/>]"
+_AROUND = rf"\A(?:[^<>]+|<\?[^<>]*\?>|<!--[^<>]*-->|{_nested(_PLAIN_NAME, DEPTH - _SECTION_DEPTH, 1)})*+\z"
+
+
 def well_formed(xml: Column) -> Column:
     """Whether elements of up to ``DEPTH`` levels close as they open: innermost ones are taken away level by level."""
     rest = F.regexp_replace(xml, r"(?s)<\?.*?\?>|<!--.*?-->", "")
@@ -44,7 +59,26 @@ def _text(value: Column) -> Column:
 
 def _inside(xml: Column, name: str) -> Column:
     """Text of the first element of a name, white space collapsed, entities read; empty where there is none."""
-    return _text(F.from_xml(F.concat(F.lit("<r><v>"), F.regexp_extract(xml, rf"(?s)<{name}>([^<]*)</{name}>", 1), F.lit("</v></r>")), "v STRING", {"rowTag": "r"})["v"])
+    text = F.regexp_extract(xml, rf"(?s)<{name}>([^<]*)</{name}>", 1)
+    read = F.from_xml(F.concat(F.lit("<r><v>"), text, F.lit("</v></r>")), "v STRING", {"rowTag": "r"})["v"]
+    return _text(F.when(F.contains(text, F.lit("&")) | F.contains(text, F.lit("]]>")), read).otherwise(text))
+
+
+def _cut(documents: DataFrame) -> DataFrame:
+    """document, xml, ``broken`` (why it is rejected as a whole) and ``parts``, its sections in order.
+
+    Documents that leave the usual form are checked level by level and searched for sections on their own.
+    """
+    docs = documents.select("document", "xml", F.regexp_extract_all("xml", F.lit(_PARTS), F.lit(0)).alias("cut"))
+    around = F.array_join(F.filter("cut", lambda x: ~x.rlike(_IS_SECTION)), "")
+    docs = docs.select("document", "xml", F.filter("cut", lambda x: x.rlike(_IS_SECTION)).alias("parts"), around.alias("around"))
+    usual = F.coalesce(~F.contains("around", F.lit("Dto")) & F.col("around").rlike(_AROUND), F.lit(False))
+    docs = docs.select("document", "xml", "parts", usual.alias("usual"))
+    fine = F.coalesce(well_formed(F.when(F.col("usual"), "").otherwise(F.col("xml"))), F.lit(False))  # nothing is left to check in usual ones
+    broken = F.when(~fine, "malformed").when(~F.col("xml").rlike(r"<declaration[\s>]"), "no_declaration").when(~F.col("xml").rlike(r"<general[\s>]"), "no_general")
+    docs = docs.withColumn("broken", broken)
+    parts = F.when(F.col("usual"), F.col("parts")).otherwise(F.regexp_extract_all("xml", F.lit(_SECTION), F.lit(0)))
+    return docs.select("document", "broken", F.when(F.col("broken").isNull(), parts).alias("parts"))
 
 
 def entries(documents: DataFrame) -> DataFrame:
@@ -52,12 +86,8 @@ def entries(documents: DataFrame) -> DataFrame:
 
     ``documents``: document and xml.  A document without a row has one with a null row number.
     """
-    fine = well_formed(F.col("xml"))
-    docs = documents.select("document", F.col("xml"), F.when(~F.coalesce(fine, F.lit(False)), "malformed").when(~F.col("xml").rlike(r"<declaration[\s>]"), "no_declaration").when(~F.col("xml").rlike(r"<general[\s>]"), "no_general").alias("broken"))
-    sections = F.regexp_extract_all("xml", F.lit(_SECTION), F.lit(0))
-    rows = docs.select("document", "broken", F.posexplode_outer(F.when(F.col("broken").isNull(), sections)).alias("at", "xml"))
-    name = F.regexp_extract("xml", _SECTION, 1)
-    rows = rows.withColumn("section", F.when(F.col("xml").isNotNull(), name))
+    rows = _cut(documents).select("document", "broken", F.posexplode_outer("parts").alias("at", "xml"))
+    rows = rows.withColumn("section", F.regexp_extract("xml", rf"^<({_NAME})", 1))
     unknown = F.col("section").isNotNull() & ~F.col("section").isin(*PRIMARY)
     read = F.col("section").isin(*[k for k, v in PRIMARY.items() if v])
     found = F.when(read, F.from_xml("xml", _ENTRIES, {"rowTag": "section"})["items"]["items"])
@@ -75,9 +105,11 @@ def entries(documents: DataFrame) -> DataFrame:
     rows = rows.withColumns({"pays": pays, "name": entry_name, "broken": F.coalesce("broken", late)})
     whole = Window.partitionBy("document")
     order = whole.orderBy("at", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # in order first, so that what is asked of whole documents finds them sorted
+    rows = rows.withColumns({"row": F.count_if(is_entry).over(order), "first": F.row_number().over(whole.orderBy("at", "k"))})
     # the first fault in document order is the reason; a document without any entry has one of its own
     fault = F.min(F.when(F.col("broken").isNotNull(), F.struct("at", "k", "broken"))).over(whole)["broken"]
-    rows = rows.withColumns({"reason": F.coalesce(fault, F.when(F.max(is_entry).over(whole), None).otherwise("no_entries")), "row": F.count_if(is_entry).over(order), "first": F.row_number().over(whole.orderBy("at", "k"))})
+    rows = rows.withColumn("reason", F.coalesce(fault, F.when(F.max(is_entry).over(whole), None).otherwise("no_entries")))
     return rows.where(is_entry | ((F.col("first") == 1) & F.col("reason").isNotNull())).select(
         "document", F.when(is_entry, F.col("row")).alias("row"), "section", "name", "motif", "fields", _text(F.col("pay.brutNet")).alias("gross_or_net"), "pays", "reason"
     )
