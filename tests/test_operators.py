@@ -177,6 +177,34 @@ def test_a_broken_candidate_rejects_its_filing(spark):
     assert again.records.count() == 0 and {r.filing_id: r.replayed for r in again.counters.collect()} == {"f1": 0, "f2": 1, "f3": 1, "f4": 0}
 
 
+def test_a_publication_read_once_is_not_stored(spark):
+    """Each output of a plan that is not stored is what the stored one gives, and nothing is written for it."""
+    ddl = "filing_id string, ordinal int, regime_code string, backfill boolean, details map<string,string>, v int"
+    rows = [(f"f{k % 9}" if k % 10 else None, k // 9, ("uk", "ca", "us_senate", "fr_hatvp_dia", "br")[k % 9 % 5], k % 9 == 2, {"type_declaration": "dspm" if k % 4 == 0 else "dia", "counsel_name": "C"}, None if k == 45 else k) for k in range(60)]
+    c = spark.createDataFrame(rows, ddl)
+    frozen, none = spark.createDataFrame([("ca",), ("nowhere",)], "regime_code string"), spark.createDataFrame([], "fingerprint string")
+    checks, reviews = [(F.col("v").isNotNull(), "no_value")], [(F.col("v") > 20, "large")]
+    known = spark.createDataFrame(publish.publish(c.where("ordinal = 1"), ["v"], frozen, none, checks, reviews).records.select("fingerprint").collect(), "fingerprint string")
+    kept, read = publish.publish(c, ["v"], frozen, known, checks, reviews), publish.publish(c, ["v"], frozen, known, checks, reviews, keep=False)
+    for name in ("outcome", "records", "events", "reviews", "counters"):
+        ours, theirs = getattr(read, name), getattr(kept, name)
+        assert ours.columns == theirs.columns and sorted(map(str, ours.collect())) == sorted(map(str, theirs.collect()))
+    assert {r.outcome for r in read.outcome.collect()} == {"frozen", "filing_rejected", "suppressed", "replay", "inserted"}
+    plan = read.events._jdf.queryExecution().executedPlan().toString()
+    assert "published-" not in plan and "published-" in kept.events._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_filing_is_numbered_whole_or_not_at_all(spark):
+    from statera.plans.domain import Domain
+
+    lineitem = spark.createDataFrame([(o, 9 - n // 2, n) for o in (1, 2, 3, 12345678901, 12345678902) for n in range(4)], "l_orderkey long, l_linenumber int, l_partkey long")
+    d = Domain(spark, "")
+    d._made["lineitem"] = lineitem.selectExpr("l_orderkey", "l_partkey", "7L AS l_suppkey", "l_linenumber", *[f"1.5D AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")], "'N' AS l_returnflag", "'O' AS l_linestatus", "timestamp_ntz'2020-01-01' AS l_shipdate")
+    some = spark.createDataFrame([("0000000002",), ("1234567890",), ("1234567890",), (None,)], "filing_id string")
+    found = d.line_by_filing(some).select(d.line.columns)
+    assert found.count() == 12 and sorted(map(str, found.collect())) == sorted(map(str, d.line.join(some.distinct(), "filing_id", "left_semi").select(d.line.columns).collect()))
+
+
 def test_differing_paths_are_capped(spark):
     import json
 
