@@ -35,12 +35,12 @@ def _nested(name: str, levels: int, group: int, attributes: str = "") -> str:
     return rf"<({name}){attributes}(?:/>|>{inside}</\{group}>)"
 
 
-# Documents in their usual form are cut by one pattern into sections, plain elements themselves, and the tags around them.
-# What the patterns match is well-formed too: up to SECTION_DEPTH levels inside the rest, which has up to the others.
+# Documents in their usual form are cut by one pattern into sections, plain elements themselves, and the tags and text
+# around them, which name no section.  What the patterns match is well-formed too: sections of up to _SECTION_DEPTH
+# levels inside a rest that has up to the others.
 _SECTION_DEPTH = 7
 _PLAIN_NAME = r"[A-Za-z_][\w.-]*(?<!Dto)"
-_PARTS = rf"{_nested(r'[A-Za-z_][\w.-]*+(?<=Dto)', _SECTION_DEPTH, 1, r'(?:\s[^<>/]*)?')}|<[^<>]*>[^<>]*|[^<>]+|(?s:.+)"
-_IS_SECTION = rf"^<{_NAME}Dto[\s/>]"
+_PARTS = rf"{_nested(r'[A-Za-z_][\w.-]*+(?<=Dto)', _SECTION_DEPTH, 1, r'(?:\s[^<>/]*)?')}|(?!<?[^<]*Dto)(?:<[^<>]*>[^<>]*|[^<>]+)"
 _AROUND = rf"\A(?:[^<>]+|<\?[^<>]*\?>|<!--[^<>]*-->|{_nested(_PLAIN_NAME, DEPTH - _SECTION_DEPTH, 1)})*+\z"
 
 
@@ -70,10 +70,10 @@ def _cut(documents: DataFrame) -> DataFrame:
     Documents that leave the usual form are checked level by level and searched for sections on their own.
     """
     docs = documents.select("document", "xml", F.regexp_extract_all("xml", F.lit(_PARTS), F.lit(0)).alias("cut"))
-    around = F.array_join(F.filter("cut", lambda x: ~x.rlike(_IS_SECTION)), "")
-    docs = docs.select("document", "xml", F.filter("cut", lambda x: x.rlike(_IS_SECTION)).alias("parts"), around.alias("around"))
-    usual = F.coalesce(~F.contains("around", F.lit("Dto")) & F.col("around").rlike(_AROUND), F.lit(False))
-    docs = docs.select("document", "xml", "parts", usual.alias("usual"))
+    is_section = lambda x: F.contains(x, F.lit("Dto"))
+    around = F.array_join(F.filter("cut", lambda x: ~is_section(x)), "")
+    usual = F.coalesce((F.array_join("cut", "") == F.col("xml")) & around.rlike(_AROUND), F.lit(False))
+    docs = docs.select("document", "xml", F.filter("cut", is_section).alias("parts"), usual.alias("usual"))
     fine = F.coalesce(well_formed(F.when(F.col("usual"), "").otherwise(F.col("xml"))), F.lit(False))  # nothing is left to check in usual ones
     broken = F.when(~fine, "malformed").when(~F.col("xml").rlike(r"<declaration[\s>]"), "no_declaration").when(~F.col("xml").rlike(r"<general[\s>]"), "no_general")
     docs = docs.withColumn("broken", broken)
@@ -96,22 +96,26 @@ def entries(documents: DataFrame) -> DataFrame:
     nested = F.exists(F.map_entries("entry"), lambda e: ~e.key.isin("motif", "remuneration") & e.value.rlike(rf"^\s*<{_NAME}"))
     fields = F.map_filter(F.transform_values(F.map_filter("entry", lambda k, v: ~k.isin("motif", "remuneration")), lambda k, v: _text(v)), lambda k, v: v != "")
     pay = F.from_xml(F.concat(F.lit("<r>"), F.coalesce(F.col("entry")["remuneration"], F.lit("")), F.lit("</r>")), _PAY, {"rowTag": "r"})
-    rows = rows.withColumns({"fields": fields, "nested": nested, "motif": _inside(F.col("entry")["motif"], "id"), "pay": F.when(F.col("entry")["remuneration"].rlike("<"), pay)})
+    rows = rows.select(
+        "document", "broken", "at", "section", "k", F.col("entry").isNotNull().alias("is_entry"), fields.alias("fields"), nested.alias("nested"),
+        _inside(F.col("entry")["motif"], "id").alias("motif"), F.when(F.col("entry")["remuneration"].rlike("<"), pay).alias("pay"),
+    )
     pays = F.transform("pay.montant.montant", lambda m: F.struct(_text(m.annee).try_cast("int").alias("year"), _text(m.montant).alias("amount")))
     primary = F.create_map(*[F.lit(x) for k, v in PRIMARY.items() if v for x in (k, v)])
     entry_name = F.try_element_at("fields", F.try_element_at(primary, F.col("section")))
-    is_entry = F.col("entry").isNotNull()
-    late = F.when(is_entry & F.col("nested"), "nested_field").when(is_entry & F.exists(F.coalesce(pays, F.array().cast("array<struct<year:int,amount:string>>")), lambda p: p.year.isNull()), "unreadable_year").when(is_entry & entry_name.isNull(), "no_name")
-    rows = rows.withColumns({"pays": pays, "name": entry_name, "broken": F.coalesce("broken", late)})
+    rows = rows.withColumns({"pays": pays, "name": entry_name, "gross_or_net": _text(F.col("pay.brutNet"))}).drop("pay")
+    no_year = F.exists("pays", lambda p: p.year.isNull())
+    late = F.when(F.col("is_entry"), F.when(F.col("nested"), "nested_field").when(no_year, "unreadable_year").when(F.col("name").isNull(), "no_name"))
+    rows = rows.withColumn("broken", F.coalesce("broken", late)).drop("nested")
     whole = Window.partitionBy("document")
     order = whole.orderBy("at", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # in order first, so that what is asked of whole documents finds them sorted
-    rows = rows.withColumns({"row": F.count_if(is_entry).over(order), "first": F.row_number().over(whole.orderBy("at", "k"))})
+    rows = rows.withColumns({"row": F.count_if("is_entry").over(order), "first": F.row_number().over(whole.orderBy("at", "k"))})
     # the first fault in document order is the reason; a document without any entry has one of its own
     fault = F.min(F.when(F.col("broken").isNotNull(), F.struct("at", "k", "broken"))).over(whole)["broken"]
-    rows = rows.withColumn("reason", F.coalesce(fault, F.when(F.max(is_entry).over(whole), None).otherwise("no_entries")))
-    return rows.where(is_entry | ((F.col("first") == 1) & F.col("reason").isNotNull())).select(
-        "document", F.when(is_entry, F.col("row")).alias("row"), "section", "name", "motif", "fields", _text(F.col("pay.brutNet")).alias("gross_or_net"), "pays", "reason"
+    rows = rows.withColumn("reason", F.coalesce(fault, F.when(F.max("is_entry").over(whole), None).otherwise("no_entries")))
+    return rows.where(F.col("is_entry") | ((F.col("first") == 1) & F.col("reason").isNotNull())).select(
+        "document", F.when(F.col("is_entry"), F.col("row")).alias("row"), "section", "name", "motif", "fields", "gross_or_net", "pays", "reason"
     )
 
 

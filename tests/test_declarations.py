@@ -42,6 +42,7 @@ def test_usual_and_other_forms_are_cut_alike(spark):
         usual.replace("<descriptionMandat>", '<descriptionMandat a="b/c">'), usual.replace("<mandatElectifDto>", '<mandatElectifDto a="b/c">'), usual.replace("mayor", "mayor<!-- > -->"), usual.replace("mayor", "<xDto>1</xDto>"),
         usual.replace("mayor", "<![CDATA[<]]>"), usual.replace("mayor", "<mandatElectifDto/></items></mandatElectifDto><items>"), usual.replace("<uuid>", "<uuid >"), usual.replace("<uuid>u", "<!-- a -<xDto/>-><uuid>u"),
         usual.replace("<uuid>u</uuid>", "<a<xDto/>b></a>"), usual.replace("<uuid>u</uuid>", "<!-- <mandatElectifDto/> -->"), usual.replace("mayor", "<a>" * 9 + "</a>" * 9), usual.replace("mayor", "a > b"), usual.replace("</declaration>", ""), "", None,
+        usual.replace("</declaration>", "<xDto></declaration>"), usual.replace("</declaration>", "</xDto></declaration>"), usual + "<xDto <b/>>", usual.replace("<uuid>u", "<uuid>xDto"), usual.replace("</declaration>", "<xDto"), usual + "xDto>",
     ]
     frame = spark.createDataFrame([(str(k), x) for k, x in enumerate([usual, *other])], "document string, xml string")
     found = {r.document: (r.broken == "malformed", r.parts) for r in declarations._cut(frame).collect()}
