@@ -39,8 +39,8 @@ def _nested(name: str, levels: int, group: int, attributes: str = "") -> str:
 # around them, which name no section.  What the patterns match is well-formed too: sections of up to _SECTION_DEPTH
 # levels inside a rest that has up to the others.
 _SECTION_DEPTH = 7
-_PLAIN_NAME = r"[A-Za-z_][\w.-]*(?<!Dto)"
-_PARTS = rf"{_nested(r'[A-Za-z_][\w.-]*+(?<=Dto)', _SECTION_DEPTH, 1, r'(?:\s[^<>/]*)?')}|(?!<?[^<]*Dto)(?:<[^<>]*>[^<>]*|[^<>]+)"
+_PLAIN_NAME = r"[A-Za-z_]\w*(?<!Dto)"
+_PARTS = rf"{_nested(r'[A-Za-z_]\w*+(?<=Dto)', _SECTION_DEPTH, 1, r'(?:\s[^<>/]*)?')}|(?!<?[^<]*Dto)(?:<[^<>]*>[^<>]*|[^<>]+)"
 _AROUND = rf"\A(?:[^<>]+|<\?[^<>]*\?>|<!--[^<>]*-->|{_nested(_PLAIN_NAME, DEPTH - _SECTION_DEPTH, 1)})*+\z"
 
 
